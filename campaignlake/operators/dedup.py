@@ -26,19 +26,24 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: str = "ord") -> DataFra
     return _first_by(df, keys, F.col(order).desc())
 
 
-def new_rows(batch: DataFrame, existing: DataFrame, order: str = "ord") -> DataFrame:
+def new_rows(
+    batch: DataFrame, existing: DataFrame, wanted: DataFrame | None = None, order: str = "ord"
+) -> DataFrame:
     """Rows to append: keyed rows once per (version_id, dedup_key) and only when not stored yet.
 
     Rows without a dedup key always pass. One shuffle serves both steps: the collapse and the
-    anti-join are clustered by the same two columns.
+    anti-join are clustered by the same two columns. `wanted` is any frame that holds at least
+    the batch's version_id and dedup_key, e.g. the raw rows before they were joined.
     """
     keys = ["version_id", "_key"]
-    keyed = batch.withColumn("_key", spread_key(F.col("dedup_key"), F.col(order)))
-    stored = existing.where(F.col("dedup_key").isNotNull()).select(
-        "version_id", match_key(F.col("dedup_key")).alias("_key")
+    stored, asked = (
+        df.where(F.col("dedup_key").isNotNull()).select(
+            "version_id", match_key(F.col("dedup_key")).alias("_key")
+        )
+        for df in (existing, batch if wanted is None else wanted)
     )
-    probe = touched(stored, keyed.where(F.col("dedup_key").isNotNull()), keys)
-    return first_wins(keyed, keys, order).join(probe, keys, "left_anti").drop("_key")
+    keyed = batch.withColumn("_key", spread_key(F.col("dedup_key"), F.col(order)))
+    return first_wins(keyed, keys, order).join(touched(stored, asked, keys), keys, "left_anti").drop("_key")
 
 
 def new_by_natural_key(

@@ -33,6 +33,8 @@ def answer_distribution(
     """
     if version_id is not None:
         questions = questions.where(F.col("version_id") == version_id)
+        # Ingestion only links answers to options of their own version; this prunes the log.
+        answers = answers.where(F.col("version_id") == version_id)
     q = questions.select("version_id", F.col("id").alias("question_key"), "code", "text")
     o = options.select(
         F.col("question_id").alias("question_key"), F.col("id").alias("answer_option_id"), "label", "position"
