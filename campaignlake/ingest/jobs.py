@@ -35,6 +35,8 @@ from campaignlake.sources.registry import DEFAULT_REGISTRY, Registry
 from campaignlake.sources.tables import CampaignStore
 
 ANSWER_KEY = ["version_id", "player_id", "question_id"]
+# Up to this many versions a batch prunes the tables by a literal list; beyond it, by its joins.
+PRUNE_VERSIONS = 200
 
 
 @dataclass(frozen=True)
@@ -57,10 +59,23 @@ class Job:
     ids: Callable[[str], int]
     settings: Settings = DEFAULT_SETTINGS
     registry: Registry = DEFAULT_REGISTRY
+    versions: tuple[int, ...] | None = None
 
     def stamp(self) -> Column:
         return F.lit(self.now).cast("timestamp")
 
+    def _scoped(self, table: DataFrame) -> DataFrame:
+        if self.versions is None or "version_id" not in table.columns:
+            return table
+        return table.where(F.col("version_id").isin(*self.versions))
+
+    def table(self, name: str) -> DataFrame:
+        """A table, pruned to the batch's versions."""
+        return self._scoped(self.store.read(name))
+
+    def stored_before(self, name: str) -> DataFrame:
+        return self._scoped(self.store.stored_before(name, self.batch_id))
+
 
 # --- candidate rows -----------------------------------------------------------------------------
 
@@ -154,13 +169,12 @@ def _stored(stored: DataFrame) -> tuple[int, int | None]:
 
 
 def ingest_events(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
-    store, tables = job.store, job.store.tables()
+    store, players, users = job.store, job.table("players"), job.table("users")
     candidates = event_candidates(rows)
-    players, users = tables["players"], tables["users"]
     seen = count_unresolved(candidates, players, users).first()
 
     known = resolved_rows(candidates, players, users)
-    fresh = new_rows(known, store.stored_before("events", job.batch_id), wanted=candidates)
+    fresh = new_rows(known, job.stored_before("events"), wanted=candidates)
     first_id = job.ids("events")
     payload = F.col("payload")
     events = store.write_batch(
@@ -189,14 +203,14 @@ def ingest_events(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
 
 def _write_typed(job: Job, events: DataFrame, first_event: int) -> tuple[dict[str, int], int]:
     """Typed records of the stored events, one filtered pass per event type."""
-    store, last_ids = job.store, {}
-    skips = []
+    store, last_ids, skips = job.store, {}, []
+    references = {name: job.table(name) for name in job.registry.references.values()}
     for event_type, rule in job.registry.typed.items():
-        projected = project_typed(events, event_type, store.tables(), job.registry)
+        projected = project_typed(events, event_type, references, job.registry)
         records = typed_records(projected).withColumn("ord", F.col("event_id") - first_event)
         if rule.unique:
             records = new_by_natural_key(
-                records, store.stored_before(rule.table, job.batch_id), list(rule.unique)
+                records, job.stored_before(rule.table), list(rule.unique)
             )
         absent = {"dedup_key": "string", "redeemed_at": "timestamp"}
         records = records.withColumns(
@@ -220,7 +234,7 @@ def _ingest_fact(
     job: Job, table: str, candidates: DataFrame, known: DataFrame, keys: list[str] | None
 ) -> tuple[Counters, dict[str, int]]:
     store = job.store
-    existing = store.stored_before(table, job.batch_id)
+    existing = job.stored_before(table)
     if keys:
         fresh = new_by_natural_key(known, existing, keys)
     else:
@@ -234,31 +248,31 @@ def _ingest_fact(
 
 
 def ingest_transactions(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
-    tables, candidates = job.store.tables(), transaction_candidates(rows)
-    known = resolved_rows(candidates, tables["players"], tables["users"])
+    candidates = transaction_candidates(rows)
+    known = resolved_rows(candidates, job.table("players"), job.table("users"))
     return _ingest_fact(job, "transactions", candidates, known, None)
 
 
 def ingest_rewards(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
-    tables, candidates = job.store.tables(), reward_candidates(rows)
-    known = resolved_rows(candidates, tables["players"], tables["users"])
+    candidates = reward_candidates(rows)
+    known = resolved_rows(candidates, job.table("players"), job.table("users"))
     return _ingest_fact(job, "rewards", candidates, known, None)
 
 
 def ingest_answers(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
-    tables, candidates = job.store.tables(), answer_candidates(rows)
+    candidates = answer_candidates(rows)
     known = known_answers(
-        resolved_rows(candidates, tables["players"], tables["users"]),
-        tables["questions"],
-        tables["answer_options"],
+        resolved_rows(candidates, job.table("players"), job.table("users")),
+        job.table("questions"),
+        job.table("answer_options"),
     )
     return _ingest_fact(job, "answers", candidates, known, ANSWER_KEY)
 
 
 def ingest_players(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
-    store, tables = job.store, job.store.tables()
+    store = job.store
     batch = rows.withColumn("registered_at", to_utc(F.col("registered_at")))
-    accepted = batch.join(external_id_clashes(batch, tables["users"]), "email", "left_anti")
+    accepted = batch.join(external_id_clashes(batch, job.table("users")), "email", "left_anti")
 
     merged_users = merge_users(
         store.touched_buckets("users", accepted.select("email")).drop("bucket"),
@@ -340,7 +354,7 @@ def run_import(
         ledger.write(import_id, status=PROCESSING, **entry)
         try:
             counters, last_ids = JOBS[batch_type](
-                Job(store, import_id, now, ledger.next_id, settings, registry), good
+                Job(store, import_id, now, ledger.next_id, settings, registry, _versions(raw)), good
             )
         except Exception as error:
             ledger.write(
@@ -364,6 +378,12 @@ def run_import(
         return counters
 
 
+def _versions(rows: DataFrame) -> tuple[int, ...] | None:
+    """The batch's versions, or None when there are more than a literal list should hold."""
+    found = rows.select("version_id").distinct().limit(PRUNE_VERSIONS + 1).collect()
+    return tuple(r[0] for r in found) if len(found) <= PRUNE_VERSIONS else None
+
+
 def _land(store: CampaignStore, batch_type: str, rows: DataFrame, import_id: str) -> DataFrame:
     """Keep the batch as it came, for audit and replay; every later pass reads this copy."""
     path = store.path(f"raw/{batch_type}/{import_id}")

@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "SMALLINT": T.ShortType(),
+    "BOOLEAN": T.BooleanType(),
+    "STRING": T.StringType(),
+    "TIMESTAMP": T.TimestampType(),
+    "DECIMAL(12,2)": T.DecimalType(12, 2),
+    "MAP<STRING,BIGINT>": T.MapType(T.StringType(), T.LongType()),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    """Schema of "name TYPE, name TYPE"; usable before a session exists."""
+    pairs = (column.split() for column in columns.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 # Column names, types and closed value lists of the data model.
@@ -53,6 +67,7 @@ IMPORT_LOG = _schema(
     "inserted BIGINT, duplicates BIGINT, failed BIGINT, skipped BIGINT, last_ids MAP<STRING,BIGINT>, "
     "error_message STRING, created_at TIMESTAMP, started_at TIMESTAMP, completed_at TIMESTAMP, seq BIGINT"
 )
+TYPED_SKIPPED = _schema("version_id BIGINT, event_id BIGINT, type STRING, reason STRING")
 EXPORT_LOG = _schema(
     "export_id STRING, version_id BIGINT, params STRING, format STRING, status STRING, attempts INT, "
     "progress INT, total_rows BIGINT, processed_rows BIGINT, file_path STRING, file_size BIGINT, "
@@ -69,6 +84,7 @@ TABLES = {
     "answers": ANSWERS,
     "transactions": TRANSACTIONS,
     "rewards": REWARDS,
+    "typed_skipped": TYPED_SKIPPED,
     "import_log": IMPORT_LOG,
     "export_log": EXPORT_LOG,
 }

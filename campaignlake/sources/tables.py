@@ -13,12 +13,10 @@ from campaignlake import schemas
 
 # Append-only tables: one directory per version and batch, so that writing a batch again
 # replaces its own rows and nothing else.
-LOG_TABLES = ("events", "answers", "transactions", "rewards")
+LOG_TABLES = ("events", "answers", "transactions", "rewards", "typed_skipped")
 # Upserted tables are split by a hash of their key; a merge rewrites only the buckets it hits.
 MERGED_TABLES = {"users": "email", "players": "user_id"}
 
-SKIPPED = T.StructType.fromDDL("version_id BIGINT, event_id BIGINT, type STRING, reason STRING")
-
 
 def live_versions(versions: DataFrame, with_trashed: bool = False) -> DataFrame:
     """Versions without the soft-deleted ones, unless asked for."""
@@ -65,12 +63,12 @@ class CampaignStore:
         return f"{self.root}/{table}"
 
     def _partitions(self, table: str) -> list[str]:
-        if table in LOG_TABLES or table == "typed_skipped":
+        if table in LOG_TABLES:
             return ["version_id", "batch_id"]
         return {"users": ["bucket"], "players": ["version_id", "bucket"]}.get(table, [])
 
     def _schema(self, table: str) -> T.StructType:
-        fields = SKIPPED if table == "typed_skipped" else schemas.TABLES[table]
+        fields = schemas.TABLES[table]
         names = fields.fieldNames()
         extra = {"batch_id": T.StringType(), "bucket": T.IntegerType()}
         return T.StructType(

@@ -42,7 +42,6 @@ def start_ingest(
     """
     documents = stream_documents(store.spark, landing, batch_type, max_files)
     rows = explode_documents(documents, batch_type)
-    holder: dict[str, StreamingQuery] = {}
 
     def ingest(batch: DataFrame, number: int) -> None:
         query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
@@ -54,5 +53,4 @@ def start_ingest(
         .option("checkpointLocation", checkpoint)
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    holder["query"] = writer.start()
-    return holder["query"]
+    return writer.start()
