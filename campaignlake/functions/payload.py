@@ -41,29 +41,29 @@ def payload_map(payload: Column) -> Column:
 
 def is_json_container(payload: Column) -> Column:
     """True for a JSON object or array, False for scalars, broken text and NULL."""
-    return F.json_array_length(payload).isNotNull() | F.json_object_keys(payload).isNotNull()
+    return F.json_object_keys(payload).isNotNull() | F.json_array_length(payload).isNotNull()
 
 
 def is_empty_payload(payload: Column) -> Column:
     """True for `{}` and `[]`. Each JSON function is NULL on the other kind."""
     return F.coalesce(
-        F.json_array_length(payload) == 0, F.size(F.json_object_keys(payload)) == 0, F.lit(False)
+        F.size(F.json_object_keys(payload)) == 0, F.json_array_length(payload) == 0, F.lit(False)
     )
 
 
-def trim_payload(payload: Column) -> Column:
-    """Trim top-level text values and turn blank ones into null; other values are kept."""
-    trimmed = F.transform_values(
-        F.from_json(payload, "map<string,variant>"),
-        lambda _, value: F.when(
-            F.schema_of_variant(value) == "STRING",
-            F.nullif(F.trim(value.cast("string")), F.lit("")).cast("variant"),
-        ).otherwise(value),
-    )
-    return F.coalesce(F.to_json(trimmed), payload)
+def _trimmed(_: Column, value: Column) -> Column:
+    text = F.nullif(F.trim(value.cast("string")), F.lit(""))
+    return F.when(F.schema_of_variant(value) == "STRING", text.cast("variant")).otherwise(value)
 
 
-def stored_payload(payload: Column) -> Column:
-    """Payload as stored: a missing, scalar or empty one becomes `[]`."""
-    keep = is_json_container(payload) & ~is_empty_payload(payload)
-    return F.when(keep, payload).otherwise(F.lit("[]"))
+def with_stored_payload(rows: DataFrame) -> DataFrame:
+    """Payload as stored: text values trimmed, blank ones null; a missing, empty or scalar
+    payload becomes `[]`. Each object is parsed once, in a projection of its own."""
+    fields, payload = F.col("_fields"), F.col("payload")
+    stored = (
+        F.when(F.size(fields) > 0, F.to_json(F.transform_values(fields, _trimmed)))
+        .when(F.json_array_length(payload) > 0, payload)
+        .otherwise(F.lit("[]"))
+    )
+    parsed = rows.withColumn("_fields", F.from_json(payload, "map<string,variant>"))
+    return parsed.withColumn("payload", stored).drop("_fields")

@@ -13,8 +13,7 @@ from campaignlake.functions.normalize import dedup_key, money, to_utc, trim_stri
 from campaignlake.functions.payload import (
     payload_int,
     payload_text,
-    stored_payload,
-    trim_payload,
+    with_stored_payload,
 )
 from campaignlake.ingest.ledger import COMPLETED, FAILED, PROCESSING, ImportLedger, new_id, utc_now
 from campaignlake.operators.dedup import new_by_natural_key, new_rows
@@ -64,17 +63,15 @@ class Job:
     def stamp(self) -> Column:
         return F.lit(self.now).cast("timestamp")
 
-    def _scoped(self, table: DataFrame) -> DataFrame:
-        if self.versions is None or "version_id" not in table.columns:
-            return table
-        return table.where(F.col("version_id").isin(*self.versions))
-
     def table(self, name: str) -> DataFrame:
         """A table, pruned to the batch's versions."""
-        return self._scoped(self.store.read(name))
+        return self.store.read(name, self.versions)
 
     def stored_before(self, name: str) -> DataFrame:
-        return self._scoped(self.store.stored_before(name, self.batch_id))
+        return self.store.stored_before(name, self.batch_id, self.versions)
+
+    def write(self, rows: DataFrame, name: str) -> DataFrame:
+        return self.store.write_batch(rows, name, self.batch_id, self.versions)
 
 
 # --- candidate rows -----------------------------------------------------------------------------
@@ -82,13 +79,13 @@ class Job:
 
 def event_candidates(rows: DataFrame) -> DataFrame:
     """Trimmed text rows to typed candidates."""
-    return rows.select(
+    return with_stored_payload(rows).select(
         "version_id",
         F.col("player_id").try_cast("bigint").alias("player_id"),
         "player_email",
         "type",
         to_utc(F.col("occurred_at")).alias("occurred_at"),
-        stored_payload(trim_payload(F.col("payload"))).alias("payload"),
+        "payload",
         dedup_key(F.col("dedup_key")).alias("dedup_key"),
         "ord",
     )
@@ -169,7 +166,7 @@ def _stored(stored: DataFrame) -> tuple[int, int | None]:
 
 
 def ingest_events(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
-    store, players, users = job.store, job.table("players"), job.table("users")
+    players, users = job.table("players"), job.table("users")
     candidates = event_candidates(rows)
     seen = count_unresolved(candidates, players, users).first()
 
@@ -177,7 +174,7 @@ def ingest_events(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
     fresh = new_rows(known, job.stored_before("events"), wanted=candidates)
     first_id = job.ids("events")
     payload = F.col("payload")
-    events = store.write_batch(
+    events = job.write(
         with_ids(fresh, first_id).withColumns(
             {
                 "created_at": job.stamp(),
@@ -187,7 +184,6 @@ def ingest_events(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
             }
         ),
         "events",
-        job.batch_id,
     )
     inserted, last = _stored(events)
     last_ids = {"events": last} if last is not None else {}
@@ -203,7 +199,7 @@ def ingest_events(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
 
 def _write_typed(job: Job, events: DataFrame, first_event: int) -> tuple[dict[str, int], int]:
     """Typed records of the stored events, one filtered pass per event type."""
-    store, last_ids, skips = job.store, {}, []
+    last_ids, skips = {}, []
     references = {name: job.table(name) for name in job.registry.references.values()}
     for event_type, rule in job.registry.typed.items():
         projected = project_typed(events, event_type, references, job.registry)
@@ -216,9 +212,7 @@ def _write_typed(job: Job, events: DataFrame, first_event: int) -> tuple[dict[st
         records = records.withColumns(
             {c: F.lit(None).cast(t) for c, t in absent.items() if c not in records.columns}
         )
-        stored = store.write_batch(
-            with_ids(records, job.ids(rule.table)), rule.table, job.batch_id
-        )
+        stored = job.write(with_ids(records, job.ids(rule.table)), rule.table)
         _, last = _stored(stored)
         if last is not None:
             last_ids[rule.table] = last
@@ -226,21 +220,20 @@ def _write_typed(job: Job, events: DataFrame, first_event: int) -> tuple[dict[st
     report = skips[0]
     for other in skips[1:]:
         report = report.unionByName(other)
-    skipped = store.write_batch(report, "typed_skipped", job.batch_id)
+    skipped = job.write(report, "typed_skipped")
     return last_ids, skipped.count()
 
 
 def _ingest_fact(
     job: Job, table: str, candidates: DataFrame, known: DataFrame, keys: list[str] | None
 ) -> tuple[Counters, dict[str, int]]:
-    store = job.store
     existing = job.stored_before(table)
     if keys:
         fresh = new_by_natural_key(known, existing, keys)
     else:
         fresh = new_rows(known, existing, wanted=candidates)
     fresh = fresh.withColumns({"event_id": F.lit(None).cast("bigint"), "created_at": job.stamp()})
-    stored = store.write_batch(with_ids(fresh, job.ids(table)), table, job.batch_id)
+    stored = job.write(with_ids(fresh, job.ids(table)), table)
     inserted, last = _stored(stored)
     processed, accepted = candidates.count(), known.count()
     counters = Counters(processed, inserted, accepted - inserted, processed - accepted)
@@ -272,7 +265,10 @@ def ingest_answers(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]
 def ingest_players(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
     store = job.store
     batch = rows.withColumn("registered_at", to_utc(F.col("registered_at")))
-    accepted = batch.join(external_id_clashes(batch, job.table("users")), "email", "left_anti")
+    # Materialised: it depends on the users table that is replaced below.
+    accepted = store.stage(
+        batch.join(external_id_clashes(batch, job.table("users")), "email", "left_anti"), "accepted", job.batch_id
+    )
 
     merged_users = merge_users(
         store.touched_buckets("users", accepted.select("email")).drop("bucket"),
@@ -286,7 +282,7 @@ def ingest_players(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]
     mails = users.select(F.col("id").alias("user_id"), "email")
     collapsed = collapse_players(accepted, job.settings.chunk_size).join(mails, "email")
     merged_players = merge_players(
-        store.touched_buckets("players", collapsed.select("version_id", "user_id")).drop("bucket"),
+        store.touched_buckets("players", collapsed.select("version_id", "user_id"), job.versions).drop("bucket"),
         collapsed,
         job.ids("players"),
         job.stamp(),
@@ -298,6 +294,7 @@ def ingest_players(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]
     processed, kept = batch.count(), accepted.count()
     last = {name: _stored(frame)[1] for name, frame in (("users", users), ("players", players))}
     counters = Counters(processed, counted["inserted"], counted["duplicates"], processed - kept)
+    # Only the touched buckets were read, so an untouched one may hold the highest id.
     return counters, {k: max(v, job.ids(k) - 1) for k, v in last.items() if v is not None}
 
 
@@ -354,7 +351,7 @@ def run_import(
         ledger.write(import_id, status=PROCESSING, **entry)
         try:
             counters, last_ids = JOBS[batch_type](
-                Job(store, import_id, now, ledger.next_id, settings, registry, _versions(raw)), good
+                Job(store, import_id, now, ledger.id_source(), settings, registry, _versions(raw)), good
             )
         except Exception as error:
             ledger.write(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 from typing import Any
 
@@ -58,18 +59,26 @@ class ImportLedger(Ledger):
         state = self.state(import_id)
         return state is not None and state["status"] == COMPLETED
 
-    def next_id(self, table: str) -> int:
-        """First free id of a table: the ledger remembers the last one, so no table is scanned
-        unless no batch was ever recorded."""
-        last = (
+    def last_ids(self) -> dict[str, int]:
+        """Highest id per table that any completed import recorded."""
+        entries = (
             self.store.read(self.table)
             .where(F.col("status") == COMPLETED)
-            .agg(F.max(F.col("last_ids")[table]))
-            .first()[0]
+            .select(F.explode("last_ids").alias("table", "last"))
         )
-        if last is None:
-            last = self.store.read(table).agg(F.max("id")).first()[0]
-        return (last or 0) + 1
+        return {r["table"]: r["last"] for r in entries.groupBy("table").agg(F.max("last").alias("last")).collect()}
+
+    def id_source(self) -> Callable[[str], int]:
+        """First free id per table, read from the ledger once; a table is only scanned when no
+        import has recorded an id for it yet."""
+        known = self.last_ids()
+
+        def first_free(table: str) -> int:
+            if table not in known:
+                known[table] = self.store.read(table).agg(F.max("id")).first()[0] or 0
+            return known[table] + 1
+
+        return first_free
 
 
 class ExportLedger(Ledger):

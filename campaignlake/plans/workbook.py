@@ -351,7 +351,7 @@ def run_export(
     path = export_directory(store, export_id)
     try:
         written = export_workbook(
-            store.spark, params, store.tables(), version_id, path, export_id, registry, settings
+            store.spark, params, store.tables([version_id]), version_id, path, export_id, registry, settings
         )
     except Exception as error:
         ledger.write(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,28 +76,42 @@ class CampaignStore:
             + [T.StructField(p, extra[p]) for p in self._partitions(table) if p not in names]
         )
 
-    def read(self, table: str) -> DataFrame:
-        """The table with its fixed schema; an empty frame before the first write."""
-        schema = self._schema(table)
-        if not HadoopPath(self.spark, self.path(table)).exists():
+    def read(self, table: str, versions: Sequence[int] | None = None) -> DataFrame:
+        """The table with its fixed schema; an empty frame before the first write.
+
+        With `versions`, only their directories are listed and read.
+        """
+        schema, root = self._schema(table), self.path(table)
+        scoped = versions is not None and "version_id" in self._partitions(table)
+        paths = [f"{root}/version_id={v}" for v in versions] if scoped else [root]
+        paths = [p for p in paths if HadoopPath(self.spark, p).exists()]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.fieldNames())
+        rows = self.spark.read.schema(schema).option("basePath", root).parquet(*paths)
+        rows = rows.select(*schema.fieldNames())
+        if versions is not None and not scoped and "version_id" in schema.fieldNames():
+            rows = rows.where(F.col("version_id").isin(*versions))
+        return rows
 
-    def tables(self) -> Mapping[str, DataFrame]:
-        return _LazyTables(self)
+    def tables(self, versions: Sequence[int] | None = None) -> Mapping[str, DataFrame]:
+        return _LazyTables(self, versions)
 
     def bucket_of(self, table: str) -> Column:
         return F.pmod(F.xxhash64(F.col(MERGED_TABLES[table])), F.lit(self.buckets)).cast("int")
 
-    def write_batch(self, rows: DataFrame, table: str, batch_id: str) -> DataFrame:
+    def write_batch(
+        self, rows: DataFrame, table: str, batch_id: str, versions: Sequence[int] | None = None
+    ) -> DataFrame:
         """Write one batch of a log table, replacing an earlier try; returns the stored rows."""
         schema = self._schema(table)
         self._overwrite(rows.withColumn("batch_id", F.lit(batch_id)).select(*schema.fieldNames()), table)
-        return self.read(table).where(F.col("batch_id") == batch_id)
+        return self.read(table, versions).where(F.col("batch_id") == batch_id)
 
-    def stored_before(self, table: str, batch_id: str) -> DataFrame:
+    def stored_before(
+        self, table: str, batch_id: str, versions: Sequence[int] | None = None
+    ) -> DataFrame:
         """Log rows of other batches, so that a retry does not collide with its own rows."""
-        return self.read(table).where(F.col("batch_id") != batch_id)
+        return self.read(table, versions).where(F.col("batch_id") != batch_id)
 
     def append(self, rows: DataFrame, table: str) -> None:
         writer = rows.select(*schemas.TABLES[table].fieldNames()).write.mode("append")
@@ -118,24 +132,26 @@ class CampaignStore:
         schema = self._schema(table)
         self._overwrite(staged.withColumn("bucket", self.bucket_of(table)).select(*schema.fieldNames()), table)
 
-    def touched_buckets(self, table: str, keys: DataFrame) -> DataFrame:
+    def touched_buckets(
+        self, table: str, keys: DataFrame, versions: Sequence[int] | None = None
+    ) -> DataFrame:
         """Rows of the buckets that hold any of the keys. The bucket list is small by design, so
         the semi-join prunes partitions."""
-        on = [p for p in self._partitions(table)]
+        on = self._partitions(table)
         hit = keys.withColumn("bucket", self.bucket_of(table)).select(*on).distinct()
-        return self.read(table).join(hit, on, "left_semi")
+        return self.read(table, versions).join(hit, on, "left_semi")
 
     def drop_version(self, table: str, version_id: int) -> None:
         """Remove one version's rows of a table, to rebuild them."""
         HadoopPath(self.spark, f"{self.path(table)}/version_id={version_id}").delete()
 
     def _overwrite(self, rows: DataFrame, table: str) -> None:
-        # One file set per partition value: without it every task opens a file in every bucket.
+        # Rows of one directory meet in few tasks, so no task opens a file in every directory; AQE
+        # splits a directory that is large and merges those that are small.
         keys = self._partitions(table)
-        if table in MERGED_TABLES:
-            rows = rows.repartition(*keys)
         (
-            rows.write.mode("overwrite")
+            rows.hint("rebalance", *[k for k in keys if k != "batch_id"])
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*keys)
             .parquet(self.path(table))
@@ -145,11 +161,11 @@ class CampaignStore:
 class _LazyTables(Mapping):
     """Tables by name, opened on first use."""
 
-    def __init__(self, store: CampaignStore):
-        self._store = store
+    def __init__(self, store: CampaignStore, versions: Sequence[int] | None = None):
+        self._store, self._versions = store, versions
 
     def __getitem__(self, table: str) -> DataFrame:
-        return self._store.read(table)
+        return self._store.read(table, self._versions)
 
     def __iter__(self) -> Iterator[str]:
         return iter(schemas.TABLES)

@@ -15,7 +15,14 @@ def spark():
     session = build_session(
         "campaignlake-tests",
         "local[8]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g"},
+        **{
+            "spark.sql.shuffle.partitions": "4",
+            "spark.ui.enabled": "false",
+            "spark.driver.memory": "4g",
+            # Tiny inputs: compiling the plans takes longer than interpreting them.
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -13,8 +13,7 @@ from campaignlake.functions.payload import (
     is_empty_payload,
     payload_int,
     payload_text,
-    stored_payload,
-    trim_payload,
+    with_stored_payload,
 )
 from campaignlake.operators.distribution import answer_distribution
 from campaignlake.operators.integrity import integrity_report
@@ -148,16 +147,18 @@ def test_payload_functions(spark):
         ('{"language":"  "}', None, None, False, '{"language":null}'),
         ("[]", None, None, True, "[]"),
         ("{}", None, None, True, "[]"),
+        ('[1," x "]', None, None, False, '[1," x "]'),
         ("plain", None, None, False, "[]"),
         (None, None, None, False, "[]"),
     ]
     df = spark.createDataFrame([(d[0],) for d in data], "p string")
     p = F.col("p")
-    got = df.select(
-        F.nullif(F.trim(payload_text(p, "language")), F.lit("")), payload_int(p, "score"), is_empty_payload(p),
-        stored_payload(trim_payload(p)),
-    ).collect()
-    assert [tuple(r) for r in got] == [d[1:] for d in data]
+    read = df.select(
+        F.nullif(F.trim(payload_text(p, "language")), F.lit("")), payload_int(p, "score"), is_empty_payload(p)
+    )
+    assert [tuple(r) for r in read.collect()] == [d[1:4] for d in data]
+    stored = with_stored_payload(df.withColumnRenamed("p", "payload")).collect()
+    assert [r.payload for r in stored] == [d[4] for d in data]
 
 
 def test_field_functions(spark):
