@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -185,11 +187,14 @@ def ingest_events(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
         ),
         "events",
     )
-    inserted, last = _stored(events)
-    last_ids = {"events": last} if last is not None else {}
-    skipped = 0
-    if inserted:
-        written, skipped = _write_typed(job, events, first_id)
+    typed = F.when(F.col("type").isin(*job.registry.typed), F.col("type"))
+    stored = events.agg(
+        F.count(F.lit(1)).alias("n"), F.max("id").alias("last"), F.collect_set(typed).alias("typed")
+    ).first()
+    inserted, skipped = stored["n"], 0
+    last_ids = {"events": stored["last"]} if inserted else {}
+    if stored["typed"]:
+        written, skipped = _write_typed(job, events, first_id, sorted(stored["typed"]))
         last_ids.update(written)
     counters = Counters(
         seen["rows"], inserted, seen["rows"] - seen["failed"] - inserted, seen["failed"], skipped
@@ -197,31 +202,33 @@ def ingest_events(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
     return counters, last_ids
 
 
-def _write_typed(job: Job, events: DataFrame, first_event: int) -> tuple[dict[str, int], int]:
-    """Typed records of the stored events, one filtered pass per event type."""
-    last_ids, skips = {}, []
+def _write_typed(
+    job: Job, events: DataFrame, first_event: int, event_types: list[str]
+) -> tuple[dict[str, int], int]:
+    """Typed records of the stored events: one filtered pass per event type that occurs, all
+    submitted together."""
     references = {name: job.table(name) for name in job.registry.references.values()}
-    for event_type, rule in job.registry.typed.items():
-        projected = project_typed(events, event_type, references, job.registry)
-        records = typed_records(projected).withColumn("ord", F.col("event_id") - first_event)
+    projected = {t: project_typed(events, t, references, job.registry) for t in event_types}
+
+    def write(event_type: str) -> tuple[str, int | None]:
+        rule = job.registry.typed[event_type]
+        records = typed_records(projected[event_type]).withColumn("ord", F.col("event_id") - first_event)
         if rule.unique:
-            records = new_by_natural_key(
-                records, job.stored_before(rule.table), list(rule.unique)
-            )
+            records = new_by_natural_key(records, job.stored_before(rule.table), list(rule.unique))
         absent = {"dedup_key": "string", "redeemed_at": "timestamp"}
         records = records.withColumns(
             {c: F.lit(None).cast(t) for c, t in absent.items() if c not in records.columns}
         )
-        stored = job.write(with_ids(records, job.ids(rule.table)), rule.table)
-        _, last = _stored(stored)
-        if last is not None:
-            last_ids[rule.table] = last
-        skips.append(skipped_records(projected))
-    report = skips[0]
-    for other in skips[1:]:
-        report = report.unionByName(other)
-    skipped = job.write(report, "typed_skipped")
-    return last_ids, skipped.count()
+        return rule.table, _stored(job.write(with_ids(records, job.ids(rule.table)), rule.table))[1]
+
+    def write_skips() -> int:
+        report = reduce(DataFrame.unionByName, [skipped_records(p) for p in projected.values()])
+        return job.write(report, "typed_skipped").count()
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        skips = pool.submit(write_skips)
+        last_ids = {table: last for table, last in pool.map(write, event_types) if last is not None}
+        return last_ids, skips.result()
 
 
 def _ingest_fact(

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campaignlake.operators.keys import touched
 from campaignlake.schemas import RELATIONS
 
 
@@ -48,32 +48,22 @@ def version_mismatches(child: DataFrame, column: str, parent: DataFrame) -> Data
 
 
 def integrity_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """child, column, parent, orphan rows and versions concerned, for every known relation."""
+    """child, column, parent and number of orphan rows, for every known relation of the tables."""
+    opened = {name: tables[name] for pair in RELATIONS.items() for name in (pair[0][0], pair[1]) if name in tables}
     parts = []
     for (child, column), parent in RELATIONS.items():
-        if child in tables and parent in tables and column in tables[child].columns:
-            source = tables[child]
-            if "version_id" not in source.columns:
-                source = source.withColumn("version_id", F.lit(None).cast("bigint"))
-            if column == "version_id":
-                source = source.select("version_id", F.col("version_id").alias("_ref"))
-                counted = orphan_counts(source, "_ref", tables[parent])
-            else:
-                counted = orphan_counts(source, column, tables[parent])
-            parts.append(
-                counted.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("orphans")).select(
-                    F.lit(child).alias("child"),
-                    F.lit(column).alias("column"),
-                    F.lit(parent).alias("parent"),
-                    "orphans",
-                )
-            )
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
-
-
-def referenced(parent: DataFrame, child: DataFrame, column: str) -> DataFrame:
-    """Parents that occur in a child table."""
-    return touched(parent.withColumn(column, F.col("id")), child, [column]).drop(column)
+        if child not in opened or parent not in opened or column not in opened[child].columns:
+            continue
+        # Counted per reference before the anti-join, as in orphan_counts.
+        used = (
+            opened[child]
+            .where(F.col(column).isNotNull())
+            .groupBy(F.col(column).alias("ref"))
+            .agg(F.count(F.lit(1)).alias("rows"))
+        )
+        parts.append(
+            orphans(used, "ref", opened[parent])
+            .agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("orphans"))
+            .select(F.lit(child).alias("child"), F.lit(column).alias("column"), F.lit(parent).alias("parent"), "orphans")
+        )
+    return reduce(DataFrame.unionByName, parts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,7 +94,8 @@ class CampaignStore:
         return rows
 
     def tables(self, versions: Sequence[int] | None = None) -> Mapping[str, DataFrame]:
-        return _LazyTables(self, versions)
+        """All tables as they are now; read again after a write."""
+        return LazyTables(schemas.TABLES, lambda name: self.read(name, versions))
 
     def bucket_of(self, table: str) -> Column:
         return F.pmod(F.xxhash64(F.col(MERGED_TABLES[table])), F.lit(self.buckets)).cast("int")
@@ -158,17 +159,25 @@ class CampaignStore:
         )
 
 
-class _LazyTables(Mapping):
-    """Tables by name, opened on first use."""
+class LazyTables(Mapping):
+    """Tables by name, each opened once and only when used."""
 
-    def __init__(self, store: CampaignStore, versions: Sequence[int] | None = None):
-        self._store, self._versions = store, versions
+    def __init__(self, names: Iterable[str], open_table: Callable[[str], DataFrame]):
+        self._names, self._open = tuple(names), open_table
+        self._opened: dict[str, DataFrame] = {}
 
-    def __getitem__(self, table: str) -> DataFrame:
-        return self._store.read(table, self._versions)
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        if name not in self._opened:
+            self._opened[name] = self._open(name)
+        return self._opened[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._names
 
     def __iter__(self) -> Iterator[str]:
-        return iter(schemas.TABLES)
+        return iter(self._names)
 
     def __len__(self) -> int:
-        return len(schemas.TABLES)
+        return len(self._names)

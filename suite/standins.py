@@ -6,10 +6,12 @@ and the zone-less timestamp type, which are filled in per engine.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from campaignlake.sources.tables import LazyTables
+
 SPARK = {
     "K": "get_json_object(props, '$.k')",
     "TS": "timestamp_ntz",
@@ -191,24 +193,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return load(spark, sf_dir, base).selectExpr(*[c.format(**SPARK) for c in columns])
 
 
-class _Tables(Mapping):
-    """Stand-in tables by name, each opened on first use."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._sf_dir = spark, sf_dir
-
-    def __getitem__(self, name: str) -> DataFrame:
-        return table(self._spark, self._sf_dir, name)
-
-    def __iter__(self) -> Iterator[str]:
-        return iter([*DEFINITIONS, "answers"])
-
-    def __len__(self) -> int:
-        return len(DEFINITIONS) + 1
-
-
 def tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
-    return _Tables(spark, sf_dir)
+    return LazyTables([*DEFINITIONS, "answers"], lambda name: table(spark, sf_dir, name))
 
 
 def event_batch(spark: SparkSession, sf_dir: str) -> DataFrame:

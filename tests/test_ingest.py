@@ -61,7 +61,8 @@ def test_the_same_import_runs_once(spark, store):
 
 def test_retry_after_failure_replaces_what_the_first_try_wrote(spark, store, monkeypatch):
     with_players(store, "alice")
-    rows = batch(spark, "events", [event(1, "k1"), event(1, None)])
+    reward = ("reward_granted", {"reward_type": "coupon"})
+    rows = batch(spark, "events", [event(1, "k1", *reward), event(1, None, *reward)])
     with monkeypatch.context() as patch:
         patch.setattr(jobs, "_write_typed", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
         with pytest.raises(RuntimeError):
@@ -69,7 +70,7 @@ def test_retry_after_failure_replaces_what_the_first_try_wrote(spark, store, mon
     state = ImportLedger(store).state("job-1")
     assert state["status"] == "failed" and "lost" in state["error_message"]
     assert run_import(store, "events", rows, "job-1") == Counters(2, 2, 0, 0)
-    assert store.read("events").count() == 2
+    assert store.read("events").count() == store.read("rewards").count() == 2
     done = ImportLedger(store).state("job-1")
     assert (done["status"], done["attempts"], done["inserted"]) == ("completed", 2, 2)
 
