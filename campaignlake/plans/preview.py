@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from campaignlake.functions.normalize import iso8601
 from campaignlake.plans.guards import check_spec
-from campaignlake.plans.sheet import Tables, compile_sheet
-from campaignlake.plans.spec import parse_spec
+from campaignlake.plans.sheet import Tables, compile_sheet, filtered_source
+from campaignlake.plans.spec import SheetSpec, parse_spec
 from campaignlake.settings import DEFAULT_SETTINGS, Settings
 from campaignlake.sources.registry import DEFAULT_REGISTRY, Registry
 
@@ -50,6 +50,30 @@ def preview(
     return shown
 
 
+def sheet_page(
+    spec: SheetSpec,
+    tables: Tables,
+    version_id: int,
+    after: int | None = None,
+    size: int = 1000,
+    registry: Registry = DEFAULT_REGISTRY,
+    settings: Settings = DEFAULT_SETTINGS,
+) -> DataFrame:
+    """Next `size` rows of an unsorted detail sheet after a known key, with that key as `_key`.
+
+    For readers that page through a sheet; a bulk read or an export needs no paging.
+    """
+    if spec.aggregated or spec.sort:
+        raise ValueError("only unsorted detail sheets can be paged by key")
+    source = registry.sources[spec.source]
+    rows = filtered_source(spec, source, tables, version_id, settings)
+    if after is not None:
+        rows = rows.where(F.col(source.key) > after)
+    picked = [F.col(source.fields[c.field]).alias(f"c{i}") for i, c in enumerate(spec.columns)]
+    page = rows.orderBy(source.key).select(F.col(source.key).alias("_key"), *picked).limit(size)
+    return page.toDF("_key", *spec.header)
+
+
 def player_listing(players: DataFrame, users: DataFrame, version_id: int | None) -> DataFrame:
     """Public view of a version's players; a player without a user keeps a NULL e-mail."""
     scoped = players if version_id is None else players.where(F.col("version_id") == version_id)
@@ -83,6 +107,11 @@ def player_page(
     return player_listing(ids, users, version_id).orderBy("id")
 
 
+def player_count(players: DataFrame, version_id: int) -> DataFrame:
+    """Total behind the pages, as one row."""
+    return players.where(F.col("version_id") == version_id).agg(F.count(F.lit(1)).alias("total"))
+
+
 def player_keyset_page(
     players: DataFrame, users: DataFrame, version_id: int, after_id: int, per_page: int = DEFAULT_PAGE
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -26,7 +27,7 @@ from campaignlake.ingest.ledger import (
 )
 from campaignlake.operators.quality import quality_report
 from campaignlake.plans.guards import check_spec
-from campaignlake.plans.sheet import Tables, compile_sheet
+from campaignlake.plans.sheet import Tables, compile_sheet, sheet_row_count
 from campaignlake.plans.spec import parse_spec
 from campaignlake.settings import DEFAULT_SETTINGS, Settings
 from campaignlake.sources.registry import DEFAULT_REGISTRY, Registry
@@ -126,6 +127,32 @@ def kpi_rows(counts: Sequence[tuple[str, int]], fmt: str, now: datetime) -> list
     ]
 
 
+def sheet_counts(
+    params: Mapping[str, Any],
+    tables: Tables,
+    version_id: int | None,
+    registry: Registry = DEFAULT_REGISTRY,
+    settings: Settings = DEFAULT_SETTINGS,
+    day: Any = None,
+) -> DataFrame:
+    """Rows of every sheet of a request before it is exported, and their total, as one frame."""
+    counts = [
+        sheet_row_count(spec, tables, version_id, registry, settings).select(
+            *(["version_id"] if version_id is None else []),
+            F.lit(number).alias("sheet_no"),
+            F.lit(spec.name).alias("metric"),
+            "rows",
+        )
+        for number, spec in enumerate(parse_spec(params, day, registry).sheets, start=1)
+    ]
+    each = reduce(DataFrame.unionByName, counts)
+    lead = ["version_id"] if version_id is None else []
+    total = each.groupBy(*lead).agg(
+        F.lit(len(counts) + 1).alias("sheet_no"), F.lit("Total").alias("metric"), F.sum("rows").alias("rows")
+    )
+    return each.unionByName(total)
+
+
 def _scalar(value: Any) -> bool:
     return isinstance(value, (str, int, float, bool))
 

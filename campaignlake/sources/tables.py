@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from threading import RLock
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from campaignlake import schemas
+from campaignlake.operators.predicates import has_prefix
 
 # Append-only tables: one directory per version and batch, so that writing a batch again
 # replaces its own rows and nothing else.
@@ -144,7 +146,32 @@ class CampaignStore:
 
     def drop_version(self, table: str, version_id: int) -> None:
         """Remove one version's rows of a table, to rebuild them."""
-        HadoopPath(self.spark, f"{self.path(table)}/version_id={version_id}").delete()
+        if "version_id" in self._partitions(table):
+            HadoopPath(self.spark, f"{self.path(table)}/version_id={version_id}").delete()
+        else:
+            self.keep_only(table, F.col("version_id") != version_id)
+
+    def keep_only(self, table: str, condition: Column) -> None:
+        """Rewrite a whole table without the rows that fail the condition."""
+        kept = self.read(table).where(F.coalesce(condition, F.lit(True)))
+        name = f"keep-{uuid.uuid4()}"
+        staged = self.stage(kept, table, name)
+        writer = staged.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        if self._partitions(table):
+            writer = writer.partitionBy(*self._partitions(table))
+        writer.parquet(self.path(table))
+        self.drop_stage(name)
+
+    def wipe_version(self, version_id: int, email_prefix: str | None = None) -> None:
+        """Empty one version, children before parents; users only by an e-mail prefix, because
+        versions share them. The version row itself stays."""
+        with self.lock:
+            for table in ("answers", "transactions", "rewards", "events", "players"):
+                self.drop_version(table, version_id)
+            if email_prefix:
+                self.keep_only("users", ~has_prefix(F.col("email"), email_prefix))
+            for table in ("answer_options", "questions"):
+                self.drop_version(table, version_id)
 
     def _overwrite(self, rows: DataFrame, table: str) -> None:
         # Rows of one directory meet in few tasks, so no task opens a file in every directory; AQE

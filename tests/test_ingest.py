@@ -240,7 +240,11 @@ def test_versions(store):
     assert len(got[first].uuid) == 36 and first != second
 
 
-def test_drop_version_rebuilds_one_version_only(spark, store):
+def test_wiping_a_version_leaves_the_others(spark, store):
     seed(store, "events", [{"id": 1, "version_id": 1}, {"id": 2, "version_id": 2}])
-    store.drop_version("events", 1)
-    assert rows_of(store.read("events"), "id") == [(2,)]
+    seed(store, "questions", [{"id": 10, "version_id": 1}, {"id": 20, "version_id": 2}])
+    seed(store, "users", [{"id": 1, "email": "demo-a@x"}, {"id": 2, "email": "b@x"}])
+    seed(store, "players", [{"id": 1, "version_id": 1, "user_id": 1}, {"id": 2, "version_id": 2, "user_id": 2}])
+    store.wipe_version(1, email_prefix="demo-")
+    left = {t: rows_of(store.read(t), "id") for t in ("events", "questions", "users", "players")}
+    assert left == {"events": [(2,)], "questions": [(20,)], "users": [(2,)], "players": [(2,)]}

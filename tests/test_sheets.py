@@ -20,7 +20,7 @@ from campaignlake.operators.integrity import integrity_report
 from campaignlake.operators.predicates import predicate
 from campaignlake.operators.quality import quality_report
 from campaignlake.operators.scores import score_mismatches
-from campaignlake.plans.preview import preview
+from campaignlake.plans.preview import player_count, preview, sheet_page
 from campaignlake.plans.sheet import compile_sheet, sheet_row_count
 from campaignlake.plans.spec import parse_spec
 
@@ -128,6 +128,16 @@ def test_preview_truncates_and_keeps_the_last_of_repeated_labels(spark, tables):
     assert not preview({"sheets": [{"source": "events"}]}, tables, 1)[0]["truncated"]
 
 
+def test_pages_by_key(tables):
+    spec = parse_spec({"sheets": [{"source": "players", "columns": ["email"]}]}).sheets[0]
+    first = sheet_page(spec, tables, 1, size=2).collect()
+    assert [tuple(r) for r in first] == [(1, "a@x"), (2, "b@x")]
+    assert [tuple(r) for r in sheet_page(spec, tables, 1, after=2, size=2).collect()] == [(3, "c@x")]
+    assert player_count(tables["players"], 1).first()["total"] == 3
+    with pytest.raises(ValueError):
+        sheet_page(parse_spec({"sheets": [{"source": "events", "sort": ["id"]}]}).sheets[0], tables, 1)
+
+
 def test_predicates(spark):
     df = spark.createDataFrame([("it", 1), ("en", None)], "t string, n int")
 

@@ -25,7 +25,8 @@ def test_source_resolution():
     assert source_of({"name": "players"}) == "players"
     assert source_of({"name": "events_summary"}) == "events"
     # The name map is case-sensitive.
-    assert source_of({"name": "Players"}) == "events"
+    with pytest.warns(UserWarning, match="case-sensitive"):
+        assert source_of({"name": "Players"}) == "events"
     assert source_of({}) == "events"
 
 
