@@ -250,6 +250,8 @@ def _ingest_fact(
 def ingest_transactions(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
     candidates = transaction_candidates(rows)
     known = resolved_rows(candidates, job.table("players"), job.table("users"))
+    # An amount that the column cannot hold fails its row, not the batch.
+    known = known.where(F.col("amount").isNotNull())
     return _ingest_fact(job, "transactions", candidates, known, None)
 
 

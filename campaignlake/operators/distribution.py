@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,9 +45,10 @@ def answer_distribution(
         .groupBy("version_id", "code", "text", "label", "position")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("answers_count"))
     )
-    asked = F.sum("answers_count").over(Window.partitionBy("version_id", "code"))
-    share = F.col("answers_count").cast("decimal(20,0)") / F.nullif(asked, F.lit(0)).cast("decimal(20,0)")
-    return counted.select(
+    # Totals by a second aggregate rather than a window: no question is gathered in one task.
+    asked = counted.groupBy("version_id", "code").agg(F.sum("answers_count").alias("asked"))
+    share = F.col("answers_count").cast("decimal(20,0)") / F.nullif(F.col("asked"), F.lit(0)).cast("decimal(20,0)")
+    return counted.join(asked, ["version_id", "code"]).select(
         "version_id",
         F.col("code").alias("question_id"),
         F.col("text").alias("question"),

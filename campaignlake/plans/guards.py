@@ -9,6 +9,8 @@ from typing import Any
 
 from campaignlake.plans.spec import (
     DATE_FILTERS,
+    FALSE_VALUES,
+    TRUE_VALUES,
     SpecError,
     group_aliases,
     sort_entry,
@@ -40,7 +42,7 @@ def _shape(params: Mapping[str, Any], settings: Settings, registry: Registry) ->
     for name in DATE_FILTERS:
         if params.get(name) is not None and not is_date_text(params[name]):
             yield name, "Not a valid date."
-    if not isinstance(params.get("include_summary", False), (bool, int, str, type(None))):
+    if params.get("include_summary") not in TRUE_VALUES + FALSE_VALUES:
         yield "include_summary", "Must be true or false."
     sheets = params.get("sheets")
     if sheets is None:

@@ -28,7 +28,7 @@ from campaignlake.ingest.ledger import (
 from campaignlake.operators.quality import quality_report
 from campaignlake.plans.guards import check_spec
 from campaignlake.plans.sheet import Tables, compile_sheet, sheet_row_count
-from campaignlake.plans.spec import parse_spec
+from campaignlake.plans.spec import TRUE_VALUES, parse_spec
 from campaignlake.settings import DEFAULT_SETTINGS, Settings
 from campaignlake.sources.registry import DEFAULT_REGISTRY, Registry
 from campaignlake.sources.tables import CampaignStore, HadoopPath
@@ -299,7 +299,7 @@ def export_workbook(
     fmt = str(params.get("format") or "xlsx")
     data = data_sheets(params, tables, version_id, registry, settings, now.date())
     HadoopPath(spark, path).delete()
-    if not params.get("include_summary"):
+    if params.get("include_summary") not in TRUE_VALUES:
         written = write_workbook(spark, data, path, WRITERS[fmt])
     else:
         written = _with_summary(spark, data, params, tables, version_id, path, export_id, fmt, now)

@@ -22,6 +22,8 @@ ROW_FIELDS = {
 }
 # A JSON document is below 2^31 bytes, so no row position reaches this stride.
 DOCUMENT_STRIDE = 1 << 30
+# Most documents one batch read numbers; a bigger backlog goes through the stream, in micro-batches.
+MAX_DOCUMENTS = 100_000
 
 
 def row_schema(batch_type: str) -> T.StructType:
@@ -53,9 +55,10 @@ def _with_origin(documents: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, path: str, batch_type: str, version_id: int | None = None) -> DataFrame:
     """Documents under `path`. The version comes from the argument, the document, or a
     `version_id=…` directory."""
-    docs = _with_origin(
-        spark.read.schema(document_schema(batch_type)).option("multiLine", True).json(path)
-    )
+    found = spark.read.schema(document_schema(batch_type)).option("multiLine", True).json(path)
+    if len(found.inputFiles()) > MAX_DOCUMENTS:
+        raise ValueError(f"more than {MAX_DOCUMENTS} documents under {path}: ingest them as a stream")
+    docs = _with_origin(found)
     if version_id is not None:
         docs = docs.withColumn("version_id", F.lit(version_id).cast("bigint"))
     return docs
@@ -76,8 +79,8 @@ def stream_documents(
 def with_ordinal(rows: DataFrame) -> DataFrame:
     """Add `ord`: arrival order of the file, then position inside it.
 
-    The unpartitioned window only numbers files, at most `max_files` of them; rows get their
-    ordinal through a join on the file name.
+    The unpartitioned window only numbers files, at most MAX_DOCUMENTS or the stream's
+    `max_files` of them; rows get their ordinal through a join on the file name.
     """
     files = rows.select("file", "arrived").distinct()
     numbered = files.select(

@@ -22,7 +22,11 @@ class FilterDef:
 
 @dataclass(frozen=True)
 class JoinDef:
-    """Join to another table; `on` is a list of (left column, operator, right column)."""
+    """Join to another table; `on` is a list of (left column, operator, right column).
+
+    Declared joins go from the source to a table with one row per key. A hot key then sits on
+    the left side, which AQE can split for inner and left joins alike.
+    """
 
     table: str
     alias: str

@@ -259,16 +259,22 @@ add_sheet(
     "group by 1, 2",
 )
 
-# Sources a user may add: a left join, and a join with an inequality next to the key.
-BUYERS = SourceDef(
-    table="players", version_column="players.version_id", key="players.id",
-    joins=(JoinDef("transactions", "orders", (("players.id", "=", "orders.player_id"),), "left"),),
-    fields={"player_id": "players.id", "language": "players.language", "amount": "orders.amount",
-            "order_id": "orders.id"},
-    default_columns=("player_id", "order_id"),
-    filters={"language": FilterDef("players.language", "in")},
-    aggregatable={"count": ("*",), "count_distinct": ("player_id", "order_id"), "sum": ("amount",)},
-    sort=("player_id",),
+# Sources a user may add: events with the language of their player, if already registered, and
+# events that came too early. Both join on a key plus an inequality.
+REGISTERED_EVENTS = SourceDef(
+    table="events", prepare=DEFAULT_REGISTRY.sources["events"].prepare,
+    version_column="events.version_id", key="events.id",
+    joins=(
+        JoinDef(
+            "players", "players",
+            (("players.id", "=", "events.player_id"), ("events.occurred_at", ">=", "players.registered_at")),
+            "left",
+        ),
+    ),
+    fields={"type": "events.type", "language": "players.language", "player_id": "players.id",
+            "score": "payload_score"},
+    default_columns=("type", "language"), filters={},
+    aggregatable={"count": ("*",), "count_distinct": ("player_id",), "sum": ("score",)}, sort=("type",),
 )
 EARLY_EVENTS = SourceDef(
     table="events", prepare=DEFAULT_REGISTRY.sources["events"].prepare,
@@ -283,20 +289,19 @@ EARLY_EVENTS = SourceDef(
     default_columns=("id", "type"), filters={"type": FilterDef("events.type", "in")},
     aggregatable={"count": ("*",)}, sort=("id",),
 )
-EXTENDED = DEFAULT_REGISTRY.with_source("buyers", BUYERS).with_source("early_events", EARLY_EVENTS)
+EXTENDED = DEFAULT_REGISTRY.with_source("registered_events", REGISTERED_EVENTS).with_source("early_events", EARLY_EVENTS)
 QUERIES["players_left_join"] = lambda spark, sf: run_sheet(
     spark, sf,
-    {"sheets": [{"source": "buyers", "group_by": ["language"], "columns": [
-        "language", {"fn": "count_distinct", "field": "player_id", "as": "players"},
-        {"fn": "count_distinct", "field": "order_id", "as": "orders"},
-        {"fn": "sum", "field": "amount", "as": "amount"}]}]},
+    {"sheets": [{"source": "registered_events", "group_by": ["language"], "columns": [
+        "language", {"fn": "count", "as": "n"}, {"fn": "count_distinct", "field": "player_id", "as": "players"},
+        {"fn": "sum", "field": "score", "as": "score"}]}]},
     registry=EXTENDED,
-).withColumn("amount", F.col("amount").cast("double"))
+)
 ORACLES["players_left_join"] = (
-    ctes("players", "transactions")
-    + "select p.version_id, p.language, count(distinct p.id) as players, count(distinct t.id) as orders, "
-    "cast(sum(t.amount) as double) as amount from s_players p left join s_transactions t on p.id = t.player_id "
-    "group by 1, 2"
+    ctes("events", "players")
+    + "select e.version_id, p.language, count(*) as n, count(distinct p.id) as players, "
+    f"sum({E_SCORE}) as score from s_events e left join s_players p on p.id = e.player_id "
+    "and e.occurred_at >= p.registered_at group by 1, 2"
 )
 QUERIES["players_theta_join"] = lambda spark, sf: run_sheet(
     spark, sf, {"sheets": [{"source": "early_events", "columns": ["id", "type", "language"]}]}, registry=EXTENDED

@@ -180,8 +180,9 @@ def test_direct_transactions_and_rewards(spark, store):
     with_players(store, "alice")
     tx = [{"player_id": 1, "type": "spend", "amount": "10.5", "currency": "EUR", "occurred_at": AT, "dedup_key": k}
           for k in ("t1", "t1", None)] + [{"player_id": 5, "type": "spend", "amount": 1, "currency": "EUR", "occurred_at": AT}]
-    assert run_import(store, "transactions", batch(spark, "transactions", tx)) == Counters(4, 2, 1, 1)
-    assert run_import(store, "transactions", batch(spark, "transactions", tx)) == Counters(4, 1, 2, 1)
+    tx.append({"player_id": 1, "type": "spend", "amount": "1e11", "currency": "EUR", "occurred_at": AT})
+    assert run_import(store, "transactions", batch(spark, "transactions", tx)) == Counters(5, 2, 1, 2)
+    assert run_import(store, "transactions", batch(spark, "transactions", tx)) == Counters(5, 1, 2, 2)
     assert {r.status for r in store.read("transactions").collect()} == {"completed"}
     rw = [{"player_id": 1, "reward_type": "badge", "granted_at": AT, "dedup_key": "r1"},
           {"player_id": 1, "reward_type": "badge", "granted_at": AT, "redeemed_at": AT, "status": "redeemed"}]

@@ -93,8 +93,9 @@ def test_guards_reject(sheet):
 
 @pytest.mark.parametrize(
     "params",
-    [{"format": "pdf"}, {"date_from": "x"}, {"sheets": [{}] * 11}, {"sheets": "events"}],
-    ids=["format", "date", "too many sheets", "sheets not a list"],
+    [{"format": "pdf"}, {"date_from": "x"}, {"sheets": [{}] * 11}, {"sheets": "events"},
+     {"include_summary": "perhaps"}],
+    ids=["format", "date", "too many sheets", "sheets not a list", "summary"],
 )
 def test_guards_reject_requests(params):
     with pytest.raises(SpecError):
@@ -149,5 +150,11 @@ def test_summary_rows():
     ]
 
 
+def test_summary_flag():
+    assert [parse_spec({"include_summary": v}).include_summary for v in (True, "1", 0, "0", None)] == [
+        True, True, False, False, False,
+    ]
+
+
 def test_progress():
     assert [progress_percent(w, 200) for w in (0, 199, 200)] == [0, 99, 99] and progress_percent(1, 0) == 0

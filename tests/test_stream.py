@@ -40,6 +40,9 @@ def test_micro_batches_are_imports(spark, tmp_path):
     assert rows_of(log, "status", "processed_rows", "inserted", "duplicates", "failed") == [
         ("completed", 2, 1, 1, 0), ("completed", 4, 2, 1, 1),
     ]
+    # Import ids carry the id of the checkpointed query, so another query's batch 0 is another import.
+    assert len({r.import_id.rsplit("-", 1)[0] for r in log.collect()}) == 1
+    assert not log.where("import_id like 'None%'").count()
     # A lost checkpoint replays all files: keyed rows stay single, only key-less rows come again.
     drain(store, landing, tmp_path / "cp2", max_files=1)
     assert store.read("events").groupBy("dedup_key").count().where("dedup_key is not null and count > 1").count() == 0
