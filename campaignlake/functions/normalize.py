@@ -12,10 +12,15 @@ NUMERIC_FORM = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 DATE_FORM = r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"
 EMAIL_FORM = r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)*$"
 MONEY = "decimal(12,2)"
+WHITESPACE = " \t\n\r\0\x0b"
+
+
+def trimmed(value: Column) -> Column:
+    return F.trim(value, F.lit(WHITESPACE))
 
 
 def blank_to_null(value: Column) -> Column:
-    return F.nullif(F.trim(value), F.lit(""))
+    return F.nullif(trimmed(value), F.lit(""))
 
 
 def trim_strings(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:

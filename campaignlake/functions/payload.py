@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from campaignlake.functions.normalize import blank_to_null
+
 # Derived column -> payload key.
 PAYLOAD_COLUMNS = {
     "payload_language": "language",
@@ -12,6 +14,11 @@ PAYLOAD_COLUMNS = {
     "payload_score": "score",
 }
 
+CONTAINER = r"^\s*[{\[]"
+EMPTY_CONTAINER = r"^\s*[{\[]\s*[}\]]\s*$"
+# A value that is empty, starts with white space or an escape, or ends with white space.
+MAY_NEED_TRIM = r':\s*"(\s|\\|")|(\s|\\[tnr]|\\u[0-9a-fA-F]{4})"\s*[,}]'
+
 
 def payload_text(payload: Column, key: str) -> Column:
     """Unquoted text at a top-level key; a JSON null reads as NULL."""
@@ -52,18 +59,23 @@ def is_empty_payload(payload: Column) -> Column:
 
 
 def _trimmed(_: Column, value: Column) -> Column:
-    text = F.nullif(F.trim(value.cast("string")), F.lit(""))
+    text = blank_to_null(value.cast("string"))
     return F.when(F.schema_of_variant(value) == "STRING", text.cast("variant")).otherwise(value)
 
 
 def with_stored_payload(rows: DataFrame) -> DataFrame:
     """Payload as stored: text values trimmed, blank ones null; a missing, empty or scalar
-    payload becomes `[]`. Each object is parsed once, in a projection of its own."""
-    fields, payload = F.col("_fields"), F.col("payload")
+    payload becomes `[]`.
+
+    Only a payload that may hold such a value is parsed and written anew; a pattern finds the
+    candidates, and one it finds needlessly comes out with the same content.
+    """
+    payload = F.col("payload")
+    fields = F.from_json(F.when(payload.rlike(MAY_NEED_TRIM), payload), "map<string,variant>")
+    parsed = rows.withColumn("_fields", fields)
     stored = (
-        F.when(F.size(fields) > 0, F.to_json(F.transform_values(fields, _trimmed)))
-        .when(F.json_array_length(payload) > 0, payload)
-        .otherwise(F.lit("[]"))
+        F.when(F.coalesce(~payload.rlike(CONTAINER) | payload.rlike(EMPTY_CONTAINER), F.lit(True)), F.lit("[]"))
+        .when(F.size("_fields") > 0, F.to_json(F.transform_values("_fields", _trimmed)))
+        .otherwise(payload)
     )
-    parsed = rows.withColumn("_fields", F.from_json(payload, "map<string,variant>"))
     return parsed.withColumn("payload", stored).drop("_fields")

@@ -81,7 +81,7 @@ class Job:
 
 def event_candidates(rows: DataFrame) -> DataFrame:
     """Trimmed text rows to typed candidates."""
-    return with_stored_payload(rows).select(
+    return rows.select(
         "version_id",
         F.col("player_id").try_cast("bigint").alias("player_id"),
         "player_email",
@@ -93,6 +93,19 @@ def event_candidates(rows: DataFrame) -> DataFrame:
     )
 
 
+def stored_events(fresh: DataFrame, first_id: int) -> DataFrame:
+    """New candidates as they are stored: id, cleaned payload and its extracted keys. This comes
+    after the dedup, so that dropped rows are never parsed."""
+    payload = F.col("payload")
+    return with_ids(with_stored_payload(fresh), first_id).withColumns(
+        {
+            "payload_language": payload_text(payload, "language"),
+            "payload_utm_source": payload_text(payload, "utm_source"),
+            "payload_score": payload_int(payload, "score"),
+        }
+    )
+
+
 def transaction_candidates(rows: DataFrame) -> DataFrame:
     return rows.select(
         "version_id",
@@ -175,18 +188,7 @@ def ingest_events(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
     known = resolved_rows(candidates, players, users)
     fresh = new_rows(known, job.stored_before("events"), wanted=candidates)
     first_id = job.ids("events")
-    payload = F.col("payload")
-    events = job.write(
-        with_ids(fresh, first_id).withColumns(
-            {
-                "created_at": job.stamp(),
-                "payload_language": payload_text(payload, "language"),
-                "payload_utm_source": payload_text(payload, "utm_source"),
-                "payload_score": payload_int(payload, "score"),
-            }
-        ),
-        "events",
-    )
+    events = job.write(stored_events(fresh, first_id).withColumn("created_at", job.stamp()), "events")
     typed = F.when(F.col("type").isin(*job.registry.typed), F.col("type"))
     stored = events.agg(
         F.count(F.lit(1)).alias("n"), F.max("id").alias("last"), F.collect_set(typed).alias("typed")

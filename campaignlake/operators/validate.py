@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campaignlake import schemas
-from campaignlake.functions.normalize import is_date, is_email, is_integer, is_numeric
+from campaignlake.functions.normalize import is_date, is_email, is_integer, is_numeric, trimmed
 from campaignlake.functions.payload import is_json_container
 
 Check = tuple[str, Callable[[Column], Column]]
@@ -108,13 +108,13 @@ def _error(field: str, rule: str, failing: Column) -> Column:
 
 
 def _filled(value: Column) -> Column:
-    return F.coalesce(F.trim(value) != "", F.lit(False))
+    return F.coalesce(trimmed(value) != "", F.lit(False))
 
 
 def _cross_field(batch_type: str) -> list[Column]:
     if batch_type == "answers":
         # "0" counts as empty, as any blank value does.
-        given = [F.coalesce(~F.trim(F.col(c)).isin("", "0"), F.lit(False))
+        given = [F.coalesce(~trimmed(F.col(c)).isin("", "0"), F.lit(False))
                  for c in ("answer_option_id", "answer_text")]
         return [_error("answer_option_id", "required_without:answer_text", ~(given[0] | given[1]))]
     if batch_type == "versions":

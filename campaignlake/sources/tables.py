@@ -107,7 +107,9 @@ class CampaignStore:
     ) -> DataFrame:
         """Write one batch of a log table, replacing an earlier try; returns the stored rows."""
         schema = self._schema(table)
-        self._overwrite(rows.withColumn("batch_id", F.lit(batch_id)).select(*schema.fieldNames()), table)
+        rows = rows.withColumn("batch_id", F.lit(batch_id)).select(*schema.fieldNames())
+        # Rows of one version all go to one directory as they are; more versions are regrouped.
+        self._overwrite(rows, table, regroup=versions is None or len(versions) > 1)
         return self.read(table, versions).where(F.col("batch_id") == batch_id)
 
     def stored_before(
@@ -173,13 +175,14 @@ class CampaignStore:
             for table in ("answer_options", "questions"):
                 self.drop_version(table, version_id)
 
-    def _overwrite(self, rows: DataFrame, table: str) -> None:
-        # Rows of one directory meet in few tasks, so no task opens a file in every directory; AQE
-        # splits a directory that is large and merges those that are small.
+    def _overwrite(self, rows: DataFrame, table: str, regroup: bool = True) -> None:
         keys = self._partitions(table)
+        if regroup:
+            # Rows of one directory meet in few tasks, so no task opens a file in every directory;
+            # AQE splits a directory that is large and merges those that are small.
+            rows = rows.hint("rebalance", *[k for k in keys if k != "batch_id"])
         (
-            rows.hint("rebalance", *[k for k in keys if k != "batch_id"])
-            .write.mode("overwrite")
+            rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*keys)
             .parquet(self.path(table))

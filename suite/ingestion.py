@@ -67,7 +67,7 @@ ORACLES["resolve_players"] = KNOWN + "select ord, version_id, pid as resolved_id
 def _new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = jobs.event_candidates(st.event_batch(spark, sf_dir))
     known = jobs.resolved_rows(candidates, *_identities(spark, sf_dir))
-    return jobs.with_ids(new_rows(known, st.stored_keys(spark, sf_dir), wanted=candidates), FIRST_ID)
+    return jobs.stored_events(new_rows(known, st.stored_keys(spark, sf_dir), wanted=candidates), FIRST_ID)
 
 
 QUERIES["ingest_events_new"] = lambda spark, sf: _text_time(_new_events(spark, sf), "occurred_at").select(
@@ -76,7 +76,7 @@ QUERIES["ingest_events_new"] = lambda spark, sf: _text_time(_new_events(spark, s
 ORACLES["ingest_events_new"] = (
     KNOWN + f"select {FIRST_ID} + ord as id, version_id, pid as player_id, type, "
     f"{DUCK['SEC'].format('cast(occurred_at as timestamp)')} as occurred_at, "
-    "cast(json(payload) as varchar) as payload, k as dedup_key from fresh"
+    "payload, k as dedup_key from fresh"
 )
 
 

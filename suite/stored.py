@@ -79,7 +79,7 @@ QUERIES["stream_ingest_events"] = stream_ingest_events
 ORACLES["stream_ingest_events"] = (
     KNOWN + "select (select max(event_id) from events where event_type = 'view') + 1 + ord as id, version_id, "
     f"pid as player_id, type, {DUCK['SEC'].format('cast(occurred_at as timestamp)')} as occurred_at, "
-    "cast(json(payload) as varchar) as payload, k as dedup_key, "
+    "payload, k as dedup_key, "
     "json_extract_string(payload, '$.language') as language, "
     "cast(json_extract_string(payload, '$.score') as int) as score from fresh"
 )

@@ -8,7 +8,7 @@ import pytest
 from helpers import frame, rows_of
 from pyspark.sql import functions as F
 
-from campaignlake.functions.normalize import is_date, is_email, is_integer, is_numeric, to_utc
+from campaignlake.functions.normalize import blank_to_null, is_date, is_email, is_integer, is_numeric, to_utc
 from campaignlake.functions.payload import (
     is_empty_payload,
     payload_int,
@@ -155,7 +155,12 @@ def test_payload_functions(spark):
         ('{"language":"it","score":87.6}', "it", 88, False, '{"language":"it","score":87.6}'),
         ('{"language":null,"score":"x"}', None, None, False, '{"language":null,"score":"x"}'),
         ('{"language":"  "}', None, None, False, '{"language":null}'),
+        ('{"language": "it ", "n": 1}', "it", None, False, '{"language":"it","n":1}'),
+        ('{"language": "it", "n": {"m": ""}}', "it", None, False, '{"language":"it","n":{"m":""}}'),
+        ('{"language": "\\tit", "n": "a, b"}', "it", None, False, '{"language":"it","n":"a, b"}'),
+        ('{"language": "it", "n": "a b"}', "it", None, False, '{"language": "it", "n": "a b"}'),
         ("[]", None, None, True, "[]"),
+        (" { } ", None, None, True, "[]"),
         ("{}", None, None, True, "[]"),
         ('[1," x "]', None, None, False, '[1," x "]'),
         ("plain", None, None, False, "[]"),
@@ -164,7 +169,7 @@ def test_payload_functions(spark):
     df = spark.createDataFrame([(d[0],) for d in data], "p string")
     p = F.col("p")
     read = df.select(
-        F.nullif(F.trim(payload_text(p, "language")), F.lit("")), payload_int(p, "score"), is_empty_payload(p)
+        blank_to_null(payload_text(p, "language")), payload_int(p, "score"), is_empty_payload(p)
     )
     assert [tuple(r) for r in read.collect()] == [d[1:4] for d in data]
     stored = with_stored_payload(df.withColumnRenamed("p", "payload")).collect()
