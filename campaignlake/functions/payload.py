@@ -14,31 +14,36 @@ PAYLOAD_COLUMNS = {
     "payload_score": "score",
 }
 
+PAYLOAD_KEYS = ", ".join(f"{key} STRING" for key in PAYLOAD_COLUMNS.values())
+
+OBJECT = r"^\s*\{"
 CONTAINER = r"^\s*[{\[]"
 EMPTY_CONTAINER = r"^\s*[{\[]\s*[}\]]\s*$"
 # A value that is empty, starts with white space or an escape, or ends with white space.
 MAY_NEED_TRIM = r':\s*"(\s|\\|")|(\s|\\[tnr]|\\u[0-9a-fA-F]{4})"\s*[,}]'
 
 
-def payload_text(payload: Column, key: str) -> Column:
-    """Unquoted text at a top-level key; a JSON null reads as NULL."""
-    return F.get_json_object(payload, f"$.{key}")
-
-
-def payload_int(payload: Column, key: str) -> Column:
-    """Number at a key rounded to an integer; anything non-numeric reads as NULL."""
-    return F.round(payload_text(payload, key).try_cast("double")).try_cast("int")
+def rounded_int(text: Column) -> Column:
+    """Number text rounded to an integer; anything non-numeric reads as NULL."""
+    return F.round(text.try_cast("double")).try_cast("int")
 
 
 def with_payload_columns(events: DataFrame) -> DataFrame:
-    """Expose the hot payload keys as columns, unless the table already stores them."""
-    payload = F.col("payload")
+    """Expose the hot payload keys as columns, unless the table already stores them.
+
+    One parse serves all three, and Spark narrows it to the keys a query uses. A JSON null reads
+    as NULL; a payload that is no object has no keys.
+    """
+    missing = [c for c in PAYLOAD_COLUMNS if c not in events.columns]
+    if not missing:
+        return events
+    keys = F.from_json(F.when(F.col("payload").rlike(OBJECT), F.col("payload")), PAYLOAD_KEYS)
     derived = {
-        "payload_language": payload_text(payload, "language"),
-        "payload_utm_source": payload_text(payload, "utm_source"),
-        "payload_score": payload_int(payload, "score"),
+        "payload_language": F.col("_keys.language"),
+        "payload_utm_source": F.col("_keys.utm_source"),
+        "payload_score": rounded_int(F.col("_keys.score")),
     }
-    return events.withColumns({k: v for k, v in derived.items() if k not in events.columns})
+    return events.withColumn("_keys", keys).withColumns({c: derived[c] for c in missing}).drop("_keys")
 
 
 def payload_map(payload: Column) -> Column:

@@ -12,11 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campaignlake.functions.normalize import dedup_key, money, to_utc, trim_strings
-from campaignlake.functions.payload import (
-    payload_int,
-    payload_text,
-    with_stored_payload,
-)
+from campaignlake.functions.payload import with_payload_columns, with_stored_payload
 from campaignlake.ingest.ledger import COMPLETED, FAILED, PROCESSING, ImportLedger, new_id, utc_now
 from campaignlake.operators.dedup import new_by_natural_key, new_rows
 from campaignlake.operators.keys import flag_existing
@@ -96,14 +92,7 @@ def event_candidates(rows: DataFrame) -> DataFrame:
 def stored_events(fresh: DataFrame, first_id: int) -> DataFrame:
     """New candidates as they are stored: id, cleaned payload and its extracted keys. This comes
     after the dedup, so that dropped rows are never parsed."""
-    payload = F.col("payload")
-    return with_ids(with_stored_payload(fresh), first_id).withColumns(
-        {
-            "payload_language": payload_text(payload, "language"),
-            "payload_utm_source": payload_text(payload, "utm_source"),
-            "payload_score": payload_int(payload, "score"),
-        }
-    )
+    return with_payload_columns(with_ids(with_stored_payload(fresh), first_id))
 
 
 def transaction_candidates(rows: DataFrame) -> DataFrame:

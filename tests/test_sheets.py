@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from campaignlake.functions.normalize import blank_to_null, is_date, is_email, is_integer, is_numeric, to_utc
 from campaignlake.functions.payload import (
     is_empty_payload,
-    payload_int,
-    payload_text,
+    with_payload_columns,
     with_stored_payload,
 )
 from campaignlake.operators.distribution import answer_distribution
@@ -159,6 +158,7 @@ def test_payload_functions(spark):
         ('{"language": "it", "n": {"m": ""}}', "it", None, False, '{"language":"it","n":{"m":""}}'),
         ('{"language": "\\tit", "n": "a, b"}', "it", None, False, '{"language":"it","n":"a, b"}'),
         ('{"language": "it", "n": "a b"}', "it", None, False, '{"language": "it", "n": "a b"}'),
+        ('[{"language":"it"}]', None, None, False, '[{"language":"it"}]'),
         ("[]", None, None, True, "[]"),
         (" { } ", None, None, True, "[]"),
         ("{}", None, None, True, "[]"),
@@ -166,13 +166,12 @@ def test_payload_functions(spark):
         ("plain", None, None, False, "[]"),
         (None, None, None, False, "[]"),
     ]
-    df = spark.createDataFrame([(d[0],) for d in data], "p string")
-    p = F.col("p")
-    read = df.select(
-        blank_to_null(payload_text(p, "language")), payload_int(p, "score"), is_empty_payload(p)
+    df = spark.createDataFrame([(d[0],) for d in data], "payload string")
+    read = with_payload_columns(df).select(
+        blank_to_null(F.col("payload_language")), "payload_score", is_empty_payload(F.col("payload"))
     )
     assert [tuple(r) for r in read.collect()] == [d[1:4] for d in data]
-    stored = with_stored_payload(df.withColumnRenamed("p", "payload")).collect()
+    stored = with_stored_payload(df).collect()
     assert [r.payload for r in stored] == [d[4] for d in data]
 
 
