@@ -23,12 +23,3 @@ def build_session(app: str = "campaignlake", master: str | None = None, **conf:
     for key, value in {**ENGINE_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Shared folder for cut lineage: the cluster's setting first, a fallback only when unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    root = configured or fallback
-    if root:
-        spark.sparkContext.setCheckpointDir(root)
-    return root

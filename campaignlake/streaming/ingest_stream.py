@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from campaignlake.ingest.jobs import run_import
@@ -18,9 +19,12 @@ def keyed_events_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Event stream without repeated dedup keys, with state bounded by the watermark.
 
     For readers of the stream itself; `start_ingest` needs no state, it checks the stored table.
+    Rows without a key are never repeats of each other, so they pass beside the dedup.
     """
-    return events.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(
-        ["version_id", "dedup_key"]
+    timed = events.withWatermark("occurred_at", delay)
+    keyed = timed.where(F.col("dedup_key").isNotNull())
+    return keyed.dropDuplicatesWithinWatermark(["version_id", "dedup_key"]).unionByName(
+        timed.where(F.col("dedup_key").isNull())
     )
 
 

@@ -52,7 +52,7 @@ def test_micro_batches_are_imports(spark, tmp_path):
 def test_stream_dedup_within_the_watermark(spark, tmp_path):
     source = tmp_path / "in"
     schema = "version_id long, dedup_key string, occurred_at timestamp"
-    spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "version_id long, dedup_key string").withColumn(
+    spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (1, None), (1, None)], "version_id long, dedup_key string").withColumn(
         "occurred_at", F.lit("2026-01-01").cast("timestamp")
     ).write.parquet(str(source))
     query = (
@@ -60,4 +60,4 @@ def test_stream_dedup_within_the_watermark(spark, tmp_path):
         .writeStream.format("memory").queryName("deduped").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    assert rows_of(spark.table("deduped"), "version_id", "dedup_key") == [(1, "a"), (2, "a")]
+    assert rows_of(spark.table("deduped"), "version_id", "dedup_key") == [(1, "a"), (1, None), (1, None), (2, "a")]
