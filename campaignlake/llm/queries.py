@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaignlake.llm import secret_scan, sharding
+from campaignlake.llm import ngram_join, secret_scan, sharding
 from campaignlake.llm.common import table, text_column
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op5_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = text_column(docs)
@@ -27,6 +31,7 @@ def op8_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op5_two_pass_shuffle": op5_two_pass_shuffle,
     "op8_credential_linking": op8_credential_linking,
 }
