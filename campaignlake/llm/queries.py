@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaignlake.llm import ngram_join, secret_scan, sharding
+from campaignlake.llm import decontamination, ngram_join, secret_scan, sharding
 from campaignlake.llm.common import table, text_column
 
 
@@ -30,9 +30,15 @@ def op8_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.contamination(docs, benchmark, ["doc_id"])
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op5_two_pass_shuffle": op5_two_pass_shuffle,
+    "op10_suffix_array_decontamination": op10_suffix_array_decontamination,
     "op8_credential_linking": op8_credential_linking,
 }
 ORACLES: dict[str, str] = {}
