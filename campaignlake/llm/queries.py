@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaignlake.llm import decontamination, ngram_join, secret_scan, sharding
+from campaignlake.llm import decontamination, fingerprints, ngram_join, secret_scan, sharding
 from campaignlake.llm.common import table, text_column
 
 
@@ -13,6 +13,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op2_weighted_sampling_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = text_column(docs)
@@ -37,6 +41,7 @@ def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataF
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_weighted_sampling_fingerprints": op2_weighted_sampling_fingerprints,
     "op5_two_pass_shuffle": op5_two_pass_shuffle,
     "op10_suffix_array_decontamination": op10_suffix_array_decontamination,
     "op8_credential_linking": op8_credential_linking,
