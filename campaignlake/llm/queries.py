@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaignlake.llm import decontamination, fingerprints, ngram_join, secret_scan, sharding
+from campaignlake.llm import decontamination, fingerprints, ngram_join, packing, secret_scan, sharding
 from campaignlake.llm.common import table, text_column
 
 
@@ -17,6 +17,10 @@ def op2_weighted_sampling_fingerprints(spark: SparkSession, sf_dir: str) -> Data
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
+
+
 def op5_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = text_column(docs)
@@ -42,6 +46,7 @@ def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataF
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_weighted_sampling_fingerprints": op2_weighted_sampling_fingerprints,
+    "op4_bin_completion_packing": op4_bin_completion_packing,
     "op5_two_pass_shuffle": op5_two_pass_shuffle,
     "op10_suffix_array_decontamination": op10_suffix_array_decontamination,
     "op8_credential_linking": op8_credential_linking,
