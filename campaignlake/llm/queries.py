@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaignlake.llm import decontamination, fingerprints, ngram_join, packing, secret_scan, sharding
+from campaignlake.llm import decontamination, fingerprints, langid, ngram_join, packing, quality, secret_scan, sharding
 from campaignlake.llm.common import table, text_column
 
 
@@ -34,10 +34,20 @@ def op5_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_byte_cnn_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", langid.in_fold(F.col("doc_id")).alias("held_out"))
+    return langid.predict(rows, langid.train(docs), ["doc_id", "held_out"])
+
+
 def op8_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontamination.contamination(docs, benchmark, ["doc_id"])
@@ -48,6 +58,8 @@ QUERIES = {
     "op2_weighted_sampling_fingerprints": op2_weighted_sampling_fingerprints,
     "op4_bin_completion_packing": op4_bin_completion_packing,
     "op5_two_pass_shuffle": op5_two_pass_shuffle,
+    "op6_byte_cnn_language_id": op6_byte_cnn_language_id,
+    "op9_quadratic_discriminant": op9_quadratic_discriminant,
     "op10_suffix_array_decontamination": op10_suffix_array_decontamination,
     "op8_credential_linking": op8_credential_linking,
 }
