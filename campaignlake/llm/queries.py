@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaignlake.llm import decontamination, fingerprints, langid, ngram_join, packing, quality, secret_scan, sharding
+from campaignlake.llm import decontamination, fingerprints, html_wrappers, langid, ngram_join, packing, quality, secret_scan, sharding
 from campaignlake.llm.common import table, text_column
 
 
@@ -40,6 +40,10 @@ def op6_byte_cnn_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, langid.train(docs), ["doc_id", "held_out"])
 
 
+def op7_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.page_texts(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op8_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_byte_cnn_language_id": op6_byte_cnn_language_id,
     "op9_quadratic_discriminant": op9_quadratic_discriminant,
     "op10_suffix_array_decontamination": op10_suffix_array_decontamination,
+    "op7_wrapper_extraction": op7_wrapper_extraction,
     "op8_credential_linking": op8_credential_linking,
 }
 ORACLES: dict[str, str] = {}
