@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaignlake.llm import decontamination, fingerprints, html_wrappers, langid, ngram_join, packing, quality, secret_scan, sharding
-from campaignlake.llm.common import table, text_column
+from campaignlake.llm import decontamination, fingerprints, html_wrappers, langid, ngram_join, packing, quality, secret_scan, sharding, warc_audit
+from campaignlake.llm.common import shared_dir, table, text_column
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,26 @@ def op2_weighted_sampling_fingerprints(spark: SparkSession, sf_dir: str) -> Data
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_merkle_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives all pages twice, the second time with one byte changed in the records of every 97th page_id, and audits."""
+    records = warc_audit.archive_records(table(spark, sf_dir, "pages"))
+    root = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    warc_audit.write_archive(records, f"{root}/archive")
+    rot = F.when(F.col("page_id") % 97 == 5, F.regexp_replace("record", "^(WARC/1.0\r\nWARC-Type: resourc)e", "$1f"))
+    warc_audit.write_archive(records.withColumn("record", F.coalesce(rot, F.col("record"))), f"{root}/replica")
+    leaves, damaged = warc_audit.audit(spark, f"{root}/archive", f"{root}/replica")
+    found = damaged.select("node", "other_digest")
+    return leaves.join(found, "node", "left").select(
+        F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("page_id"),
+        "file",
+        F.col("first").alias("start"),
+        (F.col("last") - F.col("first")).alias("length"),
+        "digest",
+        F.coalesce("other_digest", "digest").alias("replica_digest"),
+        F.col("other_digest").isNull().alias("intact"),
+    )
+
+
 def op4_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
@@ -60,6 +82,7 @@ def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataF
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_weighted_sampling_fingerprints": op2_weighted_sampling_fingerprints,
+    "op3_merkle_fixity_audit": op3_merkle_fixity_audit,
     "op4_bin_completion_packing": op4_bin_completion_packing,
     "op5_two_pass_shuffle": op5_two_pass_shuffle,
     "op6_byte_cnn_language_id": op6_byte_cnn_language_id,
@@ -68,4 +91,27 @@ QUERIES = {
     "op7_wrapper_extraction": op7_wrapper_extraction,
     "op8_credential_linking": op8_credential_linking,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_merkle_fixity_audit": """
+        WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / 2000.0) AS BIGINT)) AS files FROM pages),
+        records AS (
+            SELECT page_id, page_id % files AS file, url, html,
+                'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+                || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+                || 'Content-Type: text/html' || chr(13) || chr(10)
+                || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+                || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+            FROM pages, n
+        ),
+        copies AS (
+            SELECT *, CASE WHEN page_id % 97 = 5 THEN left(record, 28) || 'f' || substr(record, 30) ELSE record END AS replica
+            FROM records
+        )
+        SELECT page_id, file,
+            CAST(sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id, url, html) - strlen(record) AS BIGINT) AS start,
+            CAST(strlen(record) AS BIGINT) AS length,
+            sha256(record) AS digest, sha256(replica) AS replica_digest, record = replica AS intact
+        FROM copies
+    """,
+}
