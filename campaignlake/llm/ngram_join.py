@@ -15,8 +15,8 @@ Two sets of sizes a and b reach the threshold when they share c(a, b) shingles.
 
 Equal sets are one node throughout, so copies cost nothing beyond their own row. Shingles move as packed
 arrays by hash range; a range is sized by the number of shingles, so it fits in a task's memory at any scale.
-Shingle hashes have 48 bits within a document, 40 and the range's bits across documents: two different
-shingles of one pair are taken for one with a chance below 1e-6 for sets of thousands.
+Shingle hashes have 48 bits within a document, and 40 besides the range's (48 at most) across documents: two
+different shingles of one pair are taken for one with a chance below 1e-6 for sets of thousands.
 
 Defined cases: null, empty and blank texts have no shingles and are their own component; repeated rows and
 equal texts share a component; doc_id null is ignored as a component's name unless all its ids are null;
@@ -38,8 +38,8 @@ from campaignlake.llm import textkit as tk
 from campaignlake.llm.common import staged
 from campaignlake.llm.graph import components
 
-RANGE_SHINGLES = 4_000_000
-FLUSH_SHINGLES = 2_000_000
+RANGE_SHINGLES = 2_000_000
+FLUSH_SHINGLES = 1_000_000
 LIGHT_LIMIT = 24
 #: Cost of one enumerated subset (a row) against one list entry (a few bytes of an array).
 SUBSET_COST = 4.0
@@ -139,13 +139,20 @@ def _runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(group)))
 
 
+def _low_bits(bits: int) -> int:
+    """Bits of a shingle's hash below those of its range; five bytes hold them."""
+    return min(40, 48 - bits)
+
+
 def _requests(k: int, bits: int, smallest: int):
     """Packed entries by hash range: which sets, of which sizes, hold which shingles of the range."""
+    below = _low_bits(bits)
+    unused = np.uint64(48 - bits - below)
 
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
         h, sig, n = (np.concatenate([p[x] for p in parts]) for x in range(3))
-        low = h & np.uint64((1 << 40) - 1)
-        ranges = (h >> np.uint64(40)).astype(np.int64)
+        low = h & np.uint64((1 << below) - 1)
+        ranges = (h >> np.uint64(below)).astype(np.int64)
         order = np.argsort(ranges, kind="stable")
         ranges, low, sig, n = ranges[order], low[order], sig[order], n[order]
         out = []
@@ -168,7 +175,7 @@ def _requests(k: int, bits: int, smallest: int):
                 wanted[first] = True
                 wanted &= n_of >= smallest
                 entry = np.repeat(wanted, n_of)
-                h = hashes[entry] >> np.uint64(8 - bits)
+                h = hashes[entry] >> unused
                 sizes = n_of[wanted]
                 parts.append((h, np.repeat(sigs[wanted], sizes), np.repeat(sizes.astype(np.int32), sizes)))
                 held += len(h)
@@ -188,7 +195,7 @@ def _entries(group: pa.Table, columns: list[tuple[str, str]]) -> list[np.ndarray
     return [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(name)]) for name, kind in columns]
 
 
-def _frequencies(parts: int):
+def _frequencies(parts: int, bits: int):
     """One range's lists: entries of shingles that two or more different sets hold, sent back by set."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -211,7 +218,7 @@ def _frequencies(parts: int):
         keep = frequency > 1
         low, owner, frequency = low[keep], owner[keep], frequency[keep]
         rank = np.minimum(255, 6 * np.log2(np.maximum(frequency, 1))).astype(np.uint8)
-        full = low | np.uint64(int(key[0].as_py()) << 40)
+        full = low | np.uint64(int(key[0].as_py()) << _low_bits(bits))
         sig = sigs[owner]
         part = (sig % parts).astype(np.int32)
         order = np.lexsort((sig, part))
@@ -324,7 +331,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     by_size = {r["n"]: (r["c"], r["s"]) for r in sizes.collect()}
     boundary = light_boundary({n: c for n, (c, _) in by_size.items() if n <= LIGHT_LIMIT}, percent)
     shingles = sum(s for _, s in by_size.values())
-    bits = min(8, max(0, (shingles // RANGE_SHINGLES).bit_length()))
+    bits = min(30, (shingles // RANGE_SHINGLES).bit_length())
     parts = max(1, shingles // RANGE_SHINGLES * 2)
 
     subsets = staged(texts.mapInArrow(_subsets(words, percent, boundary), "key long, sig long, n int, a int"), "subsets")
@@ -335,7 +342,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     requests = texts.mapInArrow(
         _requests(words, bits, least_overlap(boundary + 1, percent)), "range int, sigs binary, sizes binary, counts binary, low binary"
     )
-    replies = requests.groupBy("range").applyInArrow(_frequencies(parts), REPLY)
+    replies = requests.groupBy("range").applyInArrow(_frequencies(parts, bits), REPLY)
     sets = staged(replies.groupBy("part").applyInArrow(_prefixes(percent), SURVIVOR), "candidates")
     tokens = sets.select("sig", "n", "m", F.posexplode("prefix").alias("i", "h")).select(
         "h", "sig", "n", "m", (F.col("n") - F.col("m") + F.col("i")).alias("at")
