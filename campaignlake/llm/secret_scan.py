@@ -52,19 +52,23 @@ def _raw(text: Column, kind: str, pattern: str, when: Column, value_group: int =
     return F.when(when, F.transform(parts, lambda x, i: one(i, x))).otherwise(empty)
 
 
-def _parts(docs: DataFrame) -> DataFrame:
-    """(doc_id, _row, raw): one row per document, staged, so that texts are scanned once and `_row` is fixed."""
+NAMED = r"(?i:passw(or)?d|secret|token|api_?key)"
+
+
+def _parts(docs: DataFrame, *keys: Column) -> DataFrame:
+    """(doc_id, keys, _row, raw): one row per document, staged, so that texts are scanned once and `_row` is fixed."""
     t = F.col("_text")
     access = t.contains("AKIA")
     raw = F.concat(
-        _raw(t, "assign", ASSIGN, t.rlike(r"(?i:passw(or)?d|secret|token|api_?key)"), 2),
+        _raw(t, "assign", ASSIGN, t.rlike(NAMED), 2),
         _raw(t, "access", ACCESS, access),
         _raw(t, "hex", HEX, t.rlike(HEX)),
         _raw(t, "weak_secret", WEAK_SECRET, access),
         _raw(t, "endpoint", ENDPOINT, access),
     )
-    texts = docs.select(F.col("doc_id"), text_column(docs).alias("_text"))
-    return staged(texts.select("doc_id", F.monotonically_increasing_id().alias("_row"), raw.alias("raw")), "secret-parts")
+    texts = docs.select(F.col("doc_id"), *keys, text_column(docs).alias("_text"))
+    rows = texts.drop("_text").columns
+    return staged(texts.select(*rows, F.monotonically_increasing_id().alias("_row"), raw.alias("raw")), "secret-parts")
 
 
 def _placed(parts: DataFrame) -> DataFrame:
@@ -96,9 +100,9 @@ def _near(candidates: DataFrame, parts: DataFrame) -> DataFrame:
     return c.join(p, meets, "left_semi").drop("_in")
 
 
-def secret_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, spans): doc_id with a row number `_row` for every document, and (_row, kind, start, end)."""
-    parts = _parts(docs)
+def secret_spans(docs: DataFrame, *keys: Column) -> tuple[DataFrame, DataFrame]:
+    """(documents, spans): doc_id and keys with a row number `_row` for every document, and (_row, kind, start, end)."""
+    parts = _parts(docs, *keys)
     placed = _placed(parts)
     of = lambda *kinds: placed.where(F.col("kind").isin([KINDS[k] for k in kinds]))
     base = of("assign", "access", "hex")
@@ -107,7 +111,7 @@ def secret_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     secrets = reduce(DataFrame.unionByName, [of("assign", "hex"), weak])
     endpoints = _near(_near(of("endpoint"), access), secrets)
     spans = reduce(DataFrame.unionByName, [base, weak, endpoints]).select("_row", "kind", "start", "end")
-    return parts.select("doc_id", "_row"), spans
+    return parts.drop("raw"), spans
 
 
 def _joined(spans: Column) -> Column:
@@ -134,3 +138,34 @@ def secret_digest(docs: DataFrame) -> DataFrame:
         F.sha2(F.encode(_joined(base), "UTF-8"), 256).alias("base_sha256"),
         _joined(every).alias("spans"),
     )
+
+
+def redacted(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
+    """`docs` with every span in its text replaced by `mark` and n_chars counted anew; columns as they were.
+
+    Only rows that hold a base pattern's beginnings are joined with spans, by a hash of their text; the others pass.
+    """
+    columns = docs.columns
+    suspect = F.coalesce(docs["text"].rlike(f"{NAMED}|AKIA|{HEX}"), F.lit(False))
+    key = F.sha2(F.encode(docs["text"], "UTF-8"), 256).alias("_key")
+    hot = docs.where(suspect)
+    rows, spans = secret_spans(hot.dropDuplicates(["text"]), key)
+    places = F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")
+    by_text = rows.join(spans, "_row").groupBy("_key").agg(places)
+    text = F.col("text")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def put(acc, s):
+        fresh = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        return F.when(
+            s["start"] >= acc["at"], F.struct(F.concat(acc["out"], fresh, F.lit(mark)).alias("out"), s["end"].alias("at"))
+        ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    none = F.array().cast("array<struct<start:long,end:long>>")
+    cleaned = hot.withColumn("_key", key).join(by_text, "_key", "left").withColumn(
+        "text", F.aggregate(F.coalesce("_spans", none), start, put, rest)
+    )
+    if "n_chars" in columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.where(~suspect).unionByName(cleaned.select(*columns))

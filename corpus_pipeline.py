@@ -1,12 +1,68 @@
-"""Corpus pipeline: the stages that turn raw documents into packed training sequences."""
+"""Corpus pipeline: raw documents to packed training sequences.
+
+Each stage takes and returns the columns of `documents` (the last one returns sequence places) and works on all
+rows that its predecessor kept.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from campaignlake.llm import decontamination, langid, ngram_join, packing, secret_scan
+from campaignlake.llm.common import ship_package, staged, table
+
+#: Documents without a letter, or of whose language the network is less sure than this, are rejected.
+LEAST_SURE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a recognisable language; a missing `lang` is filled in. Without any labelled
+    document there is nothing to learn, and all pass."""
+    ship_package(spark)
+    network = langid.train(docs)
+    if network is None:
+        return docs
+    sure = langid.predict(docs, network, docs.columns).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE))
+    return sure.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates (five words, 0.8): the one with the smallest doc_id.
+    Rows without doc_id go by a hash of their text; of repeated rows one stays."""
+    ship_package(spark)
+    named = docs.withColumn("_id", F.coalesce("doc_id", -F.pmod(F.xxhash64("text"), F.lit(1 << 62)) - 1))
+    groups = ngram_join.ngram_components(named.select(F.col("_id").alias("doc_id"), "text"), words=5, percent=80)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    one = F.row_number().over(Window.partitionBy("_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64(*docs.columns)))
+    return named.join(kept, "_id", "left_semi").withColumn("_n", one).where("_n = 1").select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes documents that hold a window of the benchmark."""
+    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts."""
+    return secret_scan.redacted(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents' tokens into sequences."""
+    ship_package(spark)
+    return packing.pack(packing.token_pieces(docs))
+
 
-from campaignlake.llm.common import staged, table
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("best-fit packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: No SQL: the first and last stages can't be expressed in it; tests/llm compares each stage with a plain version.
 ORACLE_SQL = None
 
 
@@ -14,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
