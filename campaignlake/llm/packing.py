@@ -197,21 +197,22 @@ def plan_table(bins: Bins) -> dict[int, np.ndarray]:
     return {size: np.array(x, np.int64) for size, x in rows.items()}
 
 
-def _placed(plan) -> object:
-    def run(key: tuple, pieces: pa.Table, bases: pa.Table) -> pa.Table:
-        length = pieces.column("length").to_numpy()
-        order = np.argsort(length, kind="stable")
-        base = dict(zip(bases.column("length").to_pylist(), bases.column("base").to_pylist(), strict=True))
-        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-        bounds = np.flatnonzero(np.diff(length[order])) + 1
-        for own in np.split(order, bounds) if len(order) else []:
-            size = int(length[own[0]])
-            rank = base[size] + np.arange(len(own))
-            first, seq, copies, at = plan.value[size][np.searchsorted(plan.value[size][:, 0], rank, "right") - 1].T
-            sequence[own] = seq + (rank - first) // copies
-            offset[own] = at + (rank - first) % copies * size
-        kept = pieces.drop_columns(["_chunk"])
-        return kept.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+def _placed(plan, keep: list[str]):
+    """Sequence and offset of pieces whose rank among those of their length is known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
+            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+            order = np.argsort(length, kind="stable")
+            bounds = np.flatnonzero(np.diff(length[order])) + 1
+            for own in np.split(order, bounds) if len(order) else []:
+                size = int(length[own[0]])
+                rows = plan.value[size]
+                first, seq, copies, at = rows[np.searchsorted(rows[:, 0], rank[own], "right") - 1].T
+                sequence[own] = seq + (rank[own] - first) // copies
+                offset[own] = at + (rank[own] - first) % copies * size
+            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
     return run
 
@@ -222,14 +223,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = pieces.sparkSession.sparkContext.broadcast(plan_table(bin_completion(counts, capacity)))
     chunks = max(1, sum(counts.values()) // CHUNK_PIECES)
-    dealt = pieces.withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.lit(chunks))).drop("_row")
+    dealt = pieces.withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.lit(chunks)))
     before = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
-        dealt.groupBy("length", "_chunk").count().select("length", "_chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+        dealt.groupBy("length", "_chunk").count().select("length", "_chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
     )
-    kept = dealt.drop("_chunk").schema.fields
+    within = F.row_number().over(Window.partitionBy("length", "_chunk").orderBy("_row")) - 1
+    ranked = dealt.withColumn("_within", within).join(bases, ["length", "_chunk"]).withColumn("_rank", F.col("_base") + F.col("_within"))
+    kept = pieces.drop("_row").schema.fields
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long"
-    return dealt.groupBy("_chunk").cogroup(bases.groupBy("_chunk")).applyInArrow(_placed(plan), fields)
+    return ranked.mapInArrow(_placed(plan, [f.name for f in kept]), fields)
 
 
 def packed_sequences(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
