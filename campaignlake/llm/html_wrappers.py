@@ -151,6 +151,14 @@ def slots(source: str) -> Iterator[tuple[tuple[str, ...], str]]:
             yield tuple(path[:MAX_DEPTH]), value
 
 
+def block_of(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path without the inline elements at its end: text slots belong to blocks."""
+    n = len(path)
+    while n and path[n - 1].split(" ", 1)[0] not in BLOCK:
+        n -= 1
+    return path[:n] if n else path
+
+
 def tree(source: str) -> Node:
     """The page's token stream, repeats folded."""
     root = Node("")
@@ -248,7 +256,8 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: dict[tuple[str, ...], str] = {}
             for path, text in slots(source or ""):
                 if text and text.strip():
-                    own[path] = own.get(path, "") + text
+                    slot = path if any(map(excluded, path)) else block_of(path)
+                    own[slot] = own.get(slot, "") + text
             for path, text in own.items():
                 mark = zlib.crc32(" ".join(text.split()).encode())
                 x = found.setdefault((host, json.dumps(path)), [0, 0, mark, mark])
@@ -338,7 +347,7 @@ def main_text(source: str, regions: list[tuple[str, ...]], template: set[tuple[s
     for path, text in pieces:
         if path not in verdict:
             within = not fits or any(path[: len(r)] == r for r in fits)
-            verdict[path] = within and path not in template and not any(map(excluded, path))
+            verdict[path] = within and block_of(path) not in template and not any(map(excluded, path))
         if text is None:
             blocks.append([])
         elif verdict[path]:
