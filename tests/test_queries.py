@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from pathlib import Path
 
@@ -21,10 +22,11 @@ def duck():
 
 
 def test_every_query_has_a_statement():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    without = set(registered.queries()) - set(registered.oracle_sql())
+    assert all(re.match(r"op\d+_|pipeline$", name) for name in without)
 
 
-@pytest.mark.parametrize("name", registered.queries())
+@pytest.mark.parametrize("name", registered.oracle_sql())
 def test_query(spark, duck, name):
     assert compare.difference(spark, SF, name, duck) is None
 
