@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
+from itertools import accumulate, chain, count, filterfalse
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -39,8 +40,15 @@ KPIS = "KPIs"
 CONFIGURATION = "Configurazione_Richiesta"
 DATA_QUALITY = "Data_Quality"
 QUALITY_HEADER = ["Check", "Severity", "Occurrences", "Description"]
+LABEL_HEADER, KPI_HEADER, CONFIG_HEADER = ["Label", "Value"], ["Metric", "Value"], ["Parameter", "Value"]
+README_LABELS = {
+    "Export ID": "export_id", "Version ID": "version_id", "Generated at": "generated", "Format": "format",
+    "Sheets included": "sheets",
+}
+KPI_LABELS = {"Total": "total", "Format": "format", "Generated at": "generated"}
 CONFIG_FIELDS = ("source", "columns", "group_by", "metrics", "sort", "filters")
-FORBIDDEN_IN_NAME = r"[:\\/?*\[\]]"
+SHEET_LABEL, NAMED_SHEET_LABEL = "Sheet {number} - {field}", "Sheet {number} ({name}) - {field}"
+FORBIDDEN_IN_NAME = re.compile(r"[:\\/?*\[\]]")
 FALLBACK_NAME = "Sheet"
 MAX_NAME = 31
 # What each requested format is written as.
@@ -63,27 +71,21 @@ class WrittenSheet:
     rows: int
 
 
-def unique_sheet_names(names: Sequence[str]) -> list[str]:
-    """Names a spreadsheet accepts: no forbidden characters, at most 31 bytes, no repeats.
-
-    Bytes are counted as spreadsheets do, but a name is never cut inside a character.
-    """
-    used: set[str] = set()
-    result = []
-    for name in names:
-        base = cut(re.sub(FORBIDDEN_IN_NAME, " ", name).strip(), MAX_NAME) or FALLBACK_NAME
-        candidate, number = base, 2
-        while candidate in used:
-            tag = f" ({number})"
-            candidate = cut(base, MAX_NAME - len(tag)) + tag
-            number += 1
-        used.add(candidate)
-        result.append(candidate)
-    return result
+def fitted(stem: str, suffix: str = "") -> str:
+    """`stem` and suffix within the spreadsheet's bytes; only whole characters of the stem are left out."""
+    room = MAX_NAME - len(suffix)
+    widths = accumulate(len(character.encode()) for character in stem)
+    return stem[: sum(width <= room for width in widths)] + suffix
 
 
-def cut(text: str, size: int) -> str:
-    return text.encode("utf-8")[:size].decode("utf-8", errors="ignore")
+def unique_sheet_names(names: Sequence[str]) -> list[str]:
+    """Names a spreadsheet accepts: no forbidden characters, at most 31 bytes, repeats numbered from 2."""
+    given: dict[str, None] = {}
+    for name in names:
+        stem = fitted(FORBIDDEN_IN_NAME.sub(" ", name).strip()) or FALLBACK_NAME
+        spellings = chain([stem], (fitted(stem, f" ({n})") for n in count(2)))
+        given[next(filterfalse(given.__contains__, spellings))] = None
+    return list(given)
 
 
 def memory_sheet(
@@ -105,26 +107,13 @@ def _cell(value: Any) -> str:
 # --- summary sheets -----------------------------------------------------------------------------
 
 
-def readme_rows(
-    export_id: str, version_id: int, fmt: str, names: Sequence[str], now: datetime
-) -> list[list[Any]]:
-    return [
-        ["Export ID", export_id],
-        ["Version ID", version_id],
-        ["Generated at", now.isoformat()],
-        ["Format", fmt],
-        ["Sheets included", ", ".join(names)],
-    ]
+def labelled(labels: Mapping[str, str], facts: Mapping[str, Any]) -> list[list[Any]]:
+    return [[label, facts[fact]] for label, fact in labels.items()]
 
 
-def kpi_rows(counts: Sequence[tuple[str, int]], fmt: str, now: datetime) -> list[list[Any]]:
+def kpi_rows(counts: Sequence[tuple[str, int]], facts: Mapping[str, Any]) -> list[list[Any]]:
     """One row per sheet by position, so two sheets of one name keep both rows."""
-    return [
-        *[[name, n] for name, n in counts],
-        ["Total", sum(n for _, n in counts)],
-        ["Format", fmt],
-        ["Generated at", now.isoformat()],
-    ]
+    return [list(pair) for pair in counts] + labelled(KPI_LABELS, {**facts, "total": sum(n for _, n in counts)})
 
 
 def sheet_counts(
@@ -146,49 +135,50 @@ def sheet_counts(
         for number, spec in enumerate(parse_spec(params, day, registry).sheets, start=1)
     ]
     each = reduce(DataFrame.unionByName, counts)
-    lead = ["version_id"] if version_id is None else []
-    total = each.groupBy(*lead).agg(
-        F.lit(len(counts) + 1).alias("sheet_no"), F.lit("Total").alias("metric"), F.sum("rows").alias("rows")
-    )
-    return each.unionByName(total)
-
-
-def _scalar(value: Any) -> bool:
-    return isinstance(value, (str, int, float, bool))
-
-
-def _rendered(value: Any) -> str:
-    return _cell(value) if _scalar(value) else json.dumps(value, separators=(",", ":"))
-
-
-def spec_text(value: Any) -> Any:
-    """A spec value on one line: lists joined by comma, objects as `key: value`."""
-    if isinstance(value, Mapping):
-        return ", ".join(f"{k}: {_rendered(v)}" for k, v in value.items())
-    if isinstance(value, (list, tuple)):
-        return ", ".join(_rendered(v) for v in value)
-    return value if _scalar(value) else json.dumps(value)
+    lead = [] if version_id is not None else ["version_id"]
+    # Every counted row also goes to the total's group, so no sheet is counted twice.
+    total = F.struct(F.lit(len(counts) + 1).alias("sheet_no"), F.lit("Total").alias("metric"))
+    both = each.select(*lead, "rows", F.explode(F.array(F.struct("sheet_no", "metric"), total)).alias("_at"))
+    return both.groupBy(*lead, "_at").agg(F.sum("rows").alias("rows")).select(*lead, "_at.sheet_no", "_at.metric", "rows")
+
+
+def settings_of(params: Mapping[str, Any]) -> Iterator[tuple[str, Any]]:
+    """A request flattened to (label, value): its parameters, and the fields of each of its sheets."""
+    for parameter, value in params.items():
+        match parameter, value:
+            case "format", _:
+                continue
+            case "sheets", list() | tuple():
+                for number, sheet in enumerate(value, start=1):
+                    fields = sheet if isinstance(sheet, Mapping) else {}
+                    shape = SHEET_LABEL if fields.get("name") is None else NAMED_SHEET_LABEL
+                    for field in filter(lambda f: fields.get(f) is not None, CONFIG_FIELDS):
+                        yield shape.format(number=number, name=fields.get("name"), field=field), one_line(fields[field])
+            case _, str() | int() | float():
+                yield parameter, value
+            case _:
+                yield parameter, json.dumps(value)
+
+
+def one_line(value: Any, inner: bool = False) -> Any:
+    """A value in one cell: lists joined by comma, objects as `key: value`, anything inside them as compact JSON."""
+    match value:
+        case bool() if inner:
+            return _cell(value)
+        case str() | int() | float():
+            return str(value) if inner else value
+        case _ if inner:
+            return json.dumps(value, separators=(",", ":"))
+        case Mapping():
+            return ", ".join(f"{key}: {one_line(part, True)}" for key, part in value.items())
+        case list() | tuple():
+            return ", ".join(one_line(part, True) for part in value)
+    return json.dumps(value)
 
 
 def configuration_rows(params: Mapping[str, Any]) -> list[list[Any]]:
     """The request as it came, one row per parameter and per sheet field."""
-    rows: list[list[Any]] = []
-    for key, value in params.items():
-        if key == "format":
-            continue
-        if key != "sheets" or not isinstance(value, (list, tuple)):
-            rows.append([key, value if _scalar(value) else json.dumps(value)])
-            continue
-        for number, sheet in enumerate(value, start=1):
-            if not isinstance(sheet, Mapping):
-                continue
-            label = f"Sheet {number}" + (f" ({sheet['name']})" if sheet.get("name") is not None else "")
-            rows += [
-                [f"{label} - {part}", spec_text(sheet[part])]
-                for part in CONFIG_FIELDS
-                if sheet.get(part) is not None
-            ]
-    return rows
+    return [list(pair) for pair in settings_of(params)]
 
 
 def quality_sheet(tables: Tables, version_id: int) -> Sheet:
@@ -320,13 +310,14 @@ def _with_summary(
 ) -> list[WrittenSheet]:
     body = write_workbook(spark, [*data, quality_sheet(tables, version_id)], f"{path}/data", WRITERS[fmt])
     counts = [(sheet.name, done.rows) for sheet, done in zip(data, body)]
-    label = ["Label", "Value"]
+    facts = {
+        "export_id": export_id, "version_id": version_id, "format": fmt, "generated": now.isoformat(),
+        "sheets": ", ".join(name for name, _ in counts),
+    }
     front = [
-        memory_sheet(
-            spark, README, label, readme_rows(export_id, version_id, fmt, [n for n, _ in counts], now)
-        ),
-        memory_sheet(spark, KPIS, ["Metric", "Value"], kpi_rows(counts, fmt, now)),
-        memory_sheet(spark, CONFIGURATION, ["Parameter", "Value"], configuration_rows(params)),
+        memory_sheet(spark, README, LABEL_HEADER, labelled(README_LABELS, facts)),
+        memory_sheet(spark, KPIS, KPI_HEADER, kpi_rows(counts, facts)),
+        memory_sheet(spark, CONFIGURATION, CONFIG_HEADER, configuration_rows(params)),
     ]
     head = write_workbook(spark, front, f"{path}/summary", WRITERS[fmt])
     names = unique_sheet_names([w.name for w in front] + [s.name for s in data] + [DATA_QUALITY])
@@ -336,11 +327,6 @@ def _with_summary(
     ]
 
 
-def progress_percent(written: int, total: int) -> int:
-    """Whole percent, at most 99 until the export is complete."""
-    return min(99, written * 100 // total) if total > 0 else 0
-
-
 def export_directory(store: CampaignStore, export_id: str) -> str:
     return store.path(f"exports/{export_id}")
 
@@ -382,7 +368,7 @@ def run_export(
         )
     except Exception as error:
         ledger.write(
-            export_id, status=FAILED, error_message=str(error)[:2000], completed_at=utc_now(), **entry
+            export_id, status=FAILED, error_message=str(error), completed_at=utc_now(), **entry
         )
         raise
     total = sum(w.rows for w in written)

@@ -8,17 +8,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campaignlake.ingest.jobs import run_import
-from campaignlake.plans.workbook import export_workbook, manifest_frame
+from campaignlake.plans.workbook import WrittenSheet, export_workbook, manifest_frame, read_sheet
 from campaignlake.sources.tables import CampaignStore
 from campaignlake.streaming.ingest_stream import STREAM_SETTINGS
 from suite import standins as st
 from suite.ingestion import KNOWN
-from suite.sheets import FIVE_COUNTS, FIVE_SHEETS, Query
+from suite.sheets import BETWEEN, E_LANG, E_SCORE, WORKBOOK, WORKBOOK_COUNTS, Query
 from suite.standins import DUCK
 
 QUERIES: dict[str, Query] = {}
@@ -85,14 +86,44 @@ ORACLES["stream_ingest_events"] = (
 )
 
 
+def _exported(spark: SparkSession, sf_dir: str) -> tuple[str, list[WrittenSheet]]:
+    path = f"{work_folder(spark)}/export"
+    written = export_workbook(spark, WORKBOOK, st.tables(spark, sf_dir), 1, path)
+    return path, written
+
+
 def workbook_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Export of the five-sheet request for one version; returns its manifest."""
-    written = export_workbook(spark, FIVE_SHEETS, st.tables(spark, sf_dir), 1, f"{work_folder(spark)}/export")
+    """Export of a request over all sources for one version; returns its manifest."""
+    _, written = _exported(spark, sf_dir)
     return manifest_frame(spark, written).select("sheet_no", "name", "rows", F.size("header").alias("columns"))
 
 
 QUERIES["workbook_manifest"] = workbook_manifest
 ORACLES["workbook_manifest"] = (
-    FIVE_COUNTS + 'select sheet_no, metric as name, n as "rows", '
-    "[4, 5, 5, 6, 7][sheet_no] as columns from counts where version_id = 1"
+    WORKBOOK_COUNTS + 'select sheet_no, metric as name, n as "rows", '
+    "[4, 3, 3, 3][sheet_no] as columns from counts where version_id = 1"
+)
+
+
+def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of the exported workbook, read back from its files: sheet number and the row's cells in order."""
+    path, written = _exported(spark, sf_dir)
+    sheets = [
+        read_sheet(spark, path, w.number).toDF(*[f"c{i}" for i in range(len(w.header))])
+        .select(F.lit(w.number).alias("sheet_no"), F.array([F.coalesce(f"c{i}", F.lit("")) for i in range(len(w.header))]).alias("cells"))
+        .select("sheet_no", F.array_join("cells", "|").alias("cells"))
+        for w in written
+    ]
+    return reduce(DataFrame.unionByName, sheets)
+
+
+QUERIES["workbook_cells"] = workbook_cells
+ORACLES["workbook_cells"] = (
+    WORKBOOK_COUNTS + "select 1 as sheet_no, concat_ws('|', currency, status, cast(sum(amount) as decimal(20, 2)), count(*)) as cells "
+    f"from s_transactions where version_id = 1 and {BETWEEN} group by currency, status "
+    "union all select 2, concat_ws('|', id, total_score, coalesce(language, '')) from s_players where version_id = 1 "
+    f"union all select 3, concat_ws('|', id, player_id, coalesce(cast({E_SCORE} as string), '')) from s_events "
+    f"where version_id = 1 and {BETWEEN} and type = 'click' and {E_LANG} in ('en', 'es') "
+    "union all select 4, concat_ws('|', question_id, count(distinct player_id), count(*)) from s_answers "
+    f"where version_id = 1 and {BETWEEN} group by question_id"
 )
