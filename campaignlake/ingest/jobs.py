@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 from functools import reduce
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from campaignlake.functions.normalize import dedup_key, money, to_utc, trim_strings
 from campaignlake.functions.payload import with_payload_columns, with_stored_payload
-from campaignlake.ingest.ledger import COMPLETED, FAILED, PROCESSING, ImportLedger, new_id, utc_now
+from campaignlake.ingest.ledger import COMPLETED, FAILED, PROCESSING, ImportLedger, new_id, require_live_versions, utc_now
 from campaignlake.operators.dedup import new_by_natural_key, new_rows
 from campaignlake.operators.keys import flag_existing
 from campaignlake.operators.merge import (
@@ -25,15 +25,23 @@ from campaignlake.operators.merge import (
     player_counters,
 )
 from campaignlake.operators.resolve import count_unresolved, resolve_players
+from campaignlake.operators.scores import GAME_EVENT, score_mismatches
 from campaignlake.operators.typed import project_typed, skipped_records, typed_records
-from campaignlake.operators.validate import require_clean, split_valid
+from campaignlake.operators.validate import BatchRejected, require_clean, split_valid
 from campaignlake.settings import DEFAULT_SETTINGS, Settings
+from campaignlake.sources.batches import explode_documents, split_documents, with_ordinal
 from campaignlake.sources.registry import DEFAULT_REGISTRY, Registry
-from campaignlake.sources.tables import CampaignStore
+from campaignlake.sources.tables import CampaignStore, live_versions
 
 ANSWER_KEY = ["version_id", "player_id", "question_id"]
-# Up to this many versions a batch prunes the tables by a literal list; beyond it, by its joins.
-PRUNE_VERSIONS = 200
+# Tables that a job gives ids to.
+WRITES = {
+    "players": ("users", "players"),
+    "events": ("events", "answers", "transactions", "rewards"),
+    "transactions": ("transactions",),
+    "answers": ("answers",),
+    "rewards": ("rewards",),
+}
 
 
 @dataclass(frozen=True)
@@ -44,6 +52,8 @@ class Counters:
     failed: int
     skipped: int = 0
     rejected: int = 0
+    rejected_documents: int = 0
+
 
 
 @dataclass(frozen=True)
@@ -52,11 +62,12 @@ class Job:
 
     store: CampaignStore
     batch_id: str
+    attempt: str
     now: datetime
-    ids: Callable[[str], int]
+    ids: Mapping[str, int]
     settings: Settings = DEFAULT_SETTINGS
     registry: Registry = DEFAULT_REGISTRY
-    versions: tuple[int, ...] | None = None
+    versions: tuple[int, ...] = ()
 
     def stamp(self) -> Column:
         return F.lit(self.now).cast("timestamp")
@@ -65,11 +76,9 @@ class Job:
         """A table, pruned to the batch's versions."""
         return self.store.read(name, self.versions)
 
-    def stored_before(self, name: str) -> DataFrame:
-        return self.store.stored_before(name, self.batch_id, self.versions)
-
     def write(self, rows: DataFrame, name: str) -> DataFrame:
-        return self.store.write_batch(rows, name, self.batch_id, self.versions)
+        """Rows of a log table, unseen by readers until the import is published."""
+        return self.store.prepare_batch(rows, name, self.batch_id)
 
 
 # --- candidate rows -----------------------------------------------------------------------------
@@ -164,53 +173,39 @@ def with_ids(rows: DataFrame, first_id: int) -> DataFrame:
 # --- jobs -----------------------------------------------------------------------------------------
 
 
-def _stored(stored: DataFrame) -> tuple[int, int | None]:
-    seen = stored.agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).first()
-    return seen["n"], seen["last"]
-
-
-def ingest_events(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
+def ingest_events(job: Job, rows: DataFrame) -> Counters:
     players, users = job.table("players"), job.table("users")
     candidates = event_candidates(rows)
     seen = count_unresolved(candidates, players, users).first()
 
     known = resolved_rows(candidates, players, users)
-    fresh = new_rows(known, job.stored_before("events"), wanted=candidates)
-    first_id = job.ids("events")
+    fresh = new_rows(known, job.table("events"), wanted=candidates)
+    first_id = job.ids["events"]
     events = job.write(stored_events(fresh, first_id).withColumn("created_at", job.stamp()), "events")
     typed = F.when(F.col("type").isin(*job.registry.typed), F.col("type"))
-    stored = events.agg(
-        F.count(F.lit(1)).alias("n"), F.max("id").alias("last"), F.collect_set(typed).alias("typed")
-    ).first()
+    stored = events.agg(F.count(F.lit(1)).alias("n"), F.collect_set(typed).alias("typed")).first()
     inserted, skipped = stored["n"], 0
-    last_ids = {"events": stored["last"]} if inserted else {}
     if stored["typed"]:
-        written, skipped = _write_typed(job, events, first_id, sorted(stored["typed"]))
-        last_ids.update(written)
-    counters = Counters(
-        seen["rows"], inserted, seen["rows"] - seen["failed"] - inserted, seen["failed"], skipped
-    )
-    return counters, last_ids
+        skipped = _write_typed(job, events, first_id, sorted(stored["typed"]))
+    return Counters(seen["rows"], inserted, seen["rows"] - seen["failed"] - inserted, seen["failed"], skipped)
 
 
-def _write_typed(
-    job: Job, events: DataFrame, first_event: int, event_types: list[str]
-) -> tuple[dict[str, int], int]:
-    """Typed records of the stored events: one filtered pass per event type that occurs, all
-    submitted together."""
+def _write_typed(job: Job, events: DataFrame, first_event: int, event_types: list[str]) -> int:
+    """Typed records of the stored events, one filtered pass per event type that occurs, all
+    submitted together; returns how many were skipped."""
     references = {name: job.table(name) for name in job.registry.references.values()}
     projected = {t: project_typed(events, t, references, job.registry) for t in event_types}
 
-    def write(event_type: str) -> tuple[str, int | None]:
+    def write(event_type: str) -> None:
         rule = job.registry.typed[event_type]
         records = typed_records(projected[event_type]).withColumn("ord", F.col("event_id") - first_event)
         if rule.unique:
-            records = new_by_natural_key(records, job.stored_before(rule.table), list(rule.unique))
+            records = new_by_natural_key(records, job.table(rule.table), list(rule.unique))
         absent = {"dedup_key": "string", "redeemed_at": "timestamp"}
         records = records.withColumns(
             {c: F.lit(None).cast(t) for c, t in absent.items() if c not in records.columns}
         )
-        return rule.table, _stored(job.write(with_ids(records, job.ids(rule.table)), rule.table))[1]
+        job.write(with_ids(records, job.ids[rule.table]), rule.table)
 
     def write_skips() -> int:
         report = reduce(DataFrame.unionByName, [skipped_records(p) for p in projected.values()])
@@ -218,27 +213,27 @@ def _write_typed(
 
     with ThreadPoolExecutor(max_workers=4) as pool:
         skips = pool.submit(write_skips)
-        last_ids = {table: last for table, last in pool.map(write, event_types) if last is not None}
-        return last_ids, skips.result()
+        list(pool.map(write, event_types))
+        return skips.result()
 
 
 def _ingest_fact(
     job: Job, table: str, candidates: DataFrame, known: DataFrame, keys: list[str] | None
-) -> tuple[Counters, dict[str, int]]:
-    existing = job.stored_before(table)
+) -> Counters:
+    """`known` is resolved once: the copy that is staged feeds the count, the dedup and the write."""
+    existing = job.table(table)
+    known = job.store.stage(known, "known", job.attempt)
     if keys:
         fresh = new_by_natural_key(known, existing, keys)
     else:
         fresh = new_rows(known, existing, wanted=candidates)
     fresh = fresh.withColumns({"event_id": F.lit(None).cast("bigint"), "created_at": job.stamp()})
-    stored = job.write(with_ids(fresh, job.ids(table)), table)
-    inserted, last = _stored(stored)
+    inserted = job.write(with_ids(fresh, job.ids[table]), table).count()
     processed, accepted = candidates.count(), known.count()
-    counters = Counters(processed, inserted, accepted - inserted, processed - accepted)
-    return counters, {table: last} if last is not None else {}
+    return Counters(processed, inserted, accepted - inserted, processed - accepted)
 
 
-def ingest_transactions(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
+def ingest_transactions(job: Job, rows: DataFrame) -> Counters:
     candidates = transaction_candidates(rows)
     known = resolved_rows(candidates, job.table("players"), job.table("users"))
     # An amount that the column cannot hold fails its row, not the batch.
@@ -246,13 +241,13 @@ def ingest_transactions(job: Job, rows: DataFrame) -> tuple[Counters, dict[str,
     return _ingest_fact(job, "transactions", candidates, known, None)
 
 
-def ingest_rewards(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
+def ingest_rewards(job: Job, rows: DataFrame) -> Counters:
     candidates = reward_candidates(rows)
     known = resolved_rows(candidates, job.table("players"), job.table("users"))
     return _ingest_fact(job, "rewards", candidates, known, None)
 
 
-def ingest_answers(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
+def ingest_answers(job: Job, rows: DataFrame) -> Counters:
     candidates = answer_candidates(rows)
     known = known_answers(
         resolved_rows(candidates, job.table("players"), job.table("users")),
@@ -262,43 +257,39 @@ def ingest_answers(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]
     return _ingest_fact(job, "answers", candidates, known, ANSWER_KEY)
 
 
-def ingest_players(job: Job, rows: DataFrame) -> tuple[Counters, dict[str, int]]:
+def ingest_players(job: Job, rows: DataFrame) -> Counters:
     store = job.store
     batch = rows.withColumn("registered_at", to_utc(F.col("registered_at")))
     # Materialised: it depends on the users table that is replaced below.
+    # Materialised: they depend on tables that are replaced below. Both tables are merged before
+    # either is replaced, and a retry merges again from the tables as they are then.
     accepted = store.stage(
-        batch.join(external_id_clashes(batch, job.table("users")), "email", "left_anti"), "accepted", job.batch_id
+        batch.join(external_id_clashes(batch, job.table("users")), "email", "left_anti"), "accepted", job.attempt
     )
-
     merged_users = merge_users(
         store.touched_buckets("users", accepted.select("email")).drop("bucket"),
         collapse_users(accepted),
-        job.ids("users"),
+        job.ids["users"],
         job.stamp(),
     )
-    users = store.stage(merged_users, "users", job.batch_id)
-    store.replace_buckets(users, "users")
-
+    users = store.stage(merged_users, "users", job.attempt)
     mails = users.select(F.col("id").alias("user_id"), "email")
     collapsed = collapse_players(accepted, job.settings.chunk_size).join(mails, "email")
     merged_players = merge_players(
         store.touched_buckets("players", collapsed.select("version_id", "user_id"), job.versions).drop("bucket"),
         collapsed,
-        job.ids("players"),
+        job.ids["players"],
         job.stamp(),
     )
-    players = store.stage(merged_players, "players", job.batch_id)
+    players = store.stage(merged_players, "players", job.attempt)
     counted = player_counters(players).first()
+    store.replace_buckets(users, "users")
     store.replace_buckets(players, "players")
-
     processed, kept = batch.count(), accepted.count()
-    last = {name: _stored(frame)[1] for name, frame in (("users", users), ("players", players))}
-    counters = Counters(processed, counted["inserted"], counted["duplicates"], processed - kept)
-    # Only the touched buckets were read, so an untouched one may hold the highest id.
-    return counters, {k: max(v, job.ids(k) - 1) for k, v in last.items() if v is not None}
+    return Counters(processed, counted["inserted"], counted["duplicates"], processed - kept)
 
 
-JOBS: Mapping[str, Callable[[Job, DataFrame], tuple[Counters, dict[str, int]]]] = {
+JOBS: Mapping[str, Callable[[Job, DataFrame], Counters]] = {
     "players": ingest_players,
     "events": ingest_events,
     "transactions": ingest_transactions,
@@ -315,12 +306,16 @@ def run_import(
     mode: str = "reject_batch",
     settings: Settings = DEFAULT_SETTINGS,
     registry: Registry = DEFAULT_REGISTRY,
+    rejected_documents: int = 0,
 ) -> Counters | None:
     """Ingest one batch (text rows with version_id and ord) and record it in the ledger.
 
     `reject_batch` refuses the whole batch when a row breaks the rules; `quarantine` keeps the
     good rows and stores the others with their errors. Returns None for a batch that is already
-    completed. A failed batch may be run again: every write replaces the batch's own rows.
+    completed. A failed batch may be run again, with the same rows or corrected ones: an attempt
+    takes new ids, computes everything from the tables as they are, and its log rows are published
+    only at its end. The ids of an attempt are reserved in the ledger before it writes and are
+    never given out again.
     """
     import_id = import_id or new_id()
     ledger = ImportLedger(store)
@@ -328,7 +323,13 @@ def run_import(
         before = ledger.state(import_id)
         if before is not None and before["status"] == COMPLETED:
             return None
+        recover(store)
+        store.withdraw(import_id)
         raw = _land(store, batch_type, rows, import_id)
+        seen = raw.agg(F.max("ord").alias("last"), F.collect_set("version_id").alias("versions")).first()
+        versions = tuple(sorted(seen["versions"]))
+        if settings.check_versions:
+            require_live_versions(store, versions)
         trimmed = trim_strings(raw, skip=("payload",))
         rejected = 0
         if mode == "reject_batch":
@@ -341,24 +342,29 @@ def run_import(
             bad.write.mode("overwrite").parquet(path)
             rejected = store.spark.read.schema(bad.schema).parquet(path).count()
         now = utc_now()
+        attempts = (before["attempts"] if before else 0) + 1
+        first_ids = ledger.first_ids(WRITES[batch_type])
+        size = 0 if seen["last"] is None else seen["last"] + 1
         entry = {
             "type": batch_type,
             "batch_id": import_id,
-            "attempts": (before["attempts"] if before else 0) + 1,
+            "attempts": attempts,
+            "last_ids": {table: first + size - 1 for table, first in first_ids.items()},
             "created_at": before["created_at"] if before else now,
             "started_at": now,
         }
         ledger.write(import_id, status=PROCESSING, **entry)
+        attempt = f"{import_id}/{attempts}"
         try:
-            counters, last_ids = JOBS[batch_type](
-                Job(store, import_id, now, ledger.id_source(), settings, registry, _versions(raw)), good
+            counters = JOBS[batch_type](
+                Job(store, import_id, attempt, now, first_ids, settings, registry, versions), good
             )
+            store.publish(import_id)
         except Exception as error:
-            ledger.write(
-                import_id, status=FAILED, error_message=str(error)[:2000], completed_at=utc_now(), **entry
-            )
+            store.withdraw(import_id)
+            ledger.write(import_id, status=FAILED, error_message=str(error), completed_at=utc_now(), **entry)
             raise
-        counters = Counters(**{**counters.__dict__, "rejected": rejected})
+        counters = replace(counters, rejected=rejected, rejected_documents=rejected_documents)
         ledger.write(
             import_id,
             status=COMPLETED,
@@ -367,7 +373,8 @@ def run_import(
             duplicates=counters.duplicates,
             failed=counters.failed,
             skipped=counters.skipped,
-            last_ids=last_ids,
+            rejected=rejected,
+            rejected_documents=rejected_documents,
             completed_at=utc_now(),
             **entry,
         )
@@ -375,10 +382,63 @@ def run_import(
         return counters
 
 
-def _versions(rows: DataFrame) -> tuple[int, ...] | None:
-    """The batch's versions, or None when there are more than a literal list should hold."""
-    found = rows.select("version_id").distinct().limit(PRUNE_VERSIONS + 1).collect()
-    return tuple(r[0] for r in found) if len(found) <= PRUNE_VERSIONS else None
+def recover(store: CampaignStore) -> list[str]:
+    """Take back what imports of a driver that died have left; they may be run again."""
+    lost = ImportLedger(store).unfinished()
+    for import_id in lost:
+        store.withdraw(import_id)
+    return lost
+
+
+def run_documents(
+    store: CampaignStore,
+    batch_type: str,
+    documents: DataFrame,
+    import_id: str | None = None,
+    mode: str = "reject_batch",
+    settings: Settings = DEFAULT_SETTINGS,
+    registry: Registry = DEFAULT_REGISTRY,
+) -> Counters | None:
+    """Ingest documents as one batch. Documents that cannot be read, are empty or name no live version
+    refuse the batch, or, with `quarantine`, are stored with their reason and text and counted."""
+    import_id = import_id or new_id()
+    with store.lock:
+        landed = _land(store, f"documents/{batch_type}", documents, import_id)
+        versions = live_versions(store.read("versions")) if settings.check_versions else None
+        good, bad = split_documents(landed, batch_type, versions, settings.max_batch_rows)
+        path = store.path(f"rejected/documents/{batch_type}/{import_id}")
+        bad = bad.withColumn("import_id", F.lit(import_id))
+        bad.write.mode("overwrite").parquet(path)
+        rejected = store.spark.read.schema(bad.schema).parquet(path)
+        number = rejected.count()
+        if number and mode == "reject_batch":
+            reasons = rejected.groupBy("reason").count().orderBy("reason").collect()
+            raise BatchRejected("documents refused: " + ", ".join(f"{r['count']} {r['reason']}" for r in reasons))
+        rows = with_ordinal(explode_documents(good, batch_type))
+        # The document limit is checked above; a load of many documents has none.
+        load = replace(settings, max_batch_rows=None)
+        return run_import(store, batch_type, rows, import_id, mode, load, registry, number)
+
+
+def refresh_scores(store: CampaignStore, event_type: str = GAME_EVENT) -> int:
+    """Write `total_score` of the players whose events say otherwise; only their buckets are rewritten."""
+    with store.lock:
+        attempt = f"scores-{new_id()}"
+        players, events = store.read("players"), store.read("events")
+        wrong = score_mismatches(players.drop("bucket"), events, event_type).join(
+            players.select("version_id", F.col("id").alias("player_id"), "user_id"), ["version_id", "player_id"]
+        )
+        wrong = store.stage(wrong, "wrong", attempt)
+        changed = wrong.count()
+        if changed:
+            touched = store.touched_buckets("players", wrong.select("version_id", "user_id")).drop("bucket")
+            scores = wrong.select("version_id", F.col("player_id").alias("id"), F.col("score").alias("_score"))
+            merged = touched.join(scores, ["version_id", "id"], "left").withColumn(
+                "total_score", F.coalesce("_score", "total_score")
+            )
+            store.replace_buckets(store.stage(merged.drop("_score"), "players", attempt), "players")
+        store.drop_stage(attempt)
+        return changed
 
 
 def _land(store: CampaignStore, batch_type: str, rows: DataFrame, import_id: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterable
 from datetime import datetime, timezone
 from typing import Any
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campaignlake import schemas
-from campaignlake.sources.tables import CampaignStore
+from campaignlake.sources.tables import CampaignStore, live_versions
 
 # Job states.
 PENDING, PROCESSING, COMPLETED, FAILED, CANCELLED = (
@@ -54,31 +54,22 @@ class ImportLedger(Ledger):
     def __init__(self, store: CampaignStore):
         super().__init__(store, "import_log", "import_id")
 
-    def is_terminal(self, import_id: str) -> bool:
-        """Only a completed import is never run again; a failed one may be retried."""
-        state = self.state(import_id)
-        return state is not None and state["status"] == COMPLETED
-
     def last_ids(self) -> dict[str, int]:
-        """Highest id per table that any completed import recorded."""
-        entries = (
-            self.store.read(self.table)
-            .where(F.col("status") == COMPLETED)
-            .select(F.explode("last_ids").alias("table", "last"))
-        )
+        """Highest id per table that any import reserved, whatever became of it."""
+        entries = self.store.read(self.table).select(F.explode("last_ids").alias("table", "last"))
         return {r["table"]: r["last"] for r in entries.groupBy("table").agg(F.max("last").alias("last")).collect()}
 
-    def id_source(self) -> Callable[[str], int]:
-        """First free id per table, read from the ledger once; a table is only scanned when no
-        import has recorded an id for it yet."""
+    def first_ids(self, tables: Iterable[str]) -> dict[str, int]:
+        """First id per table that no import has reserved; a table is only scanned when no import
+        has reserved an id of it yet."""
         known = self.last_ids()
+        scanned = lambda table: self.store.read(table).agg(F.max("id")).first()[0] or 0
+        return {table: (known[table] if table in known else scanned(table)) + 1 for table in tables}
 
-        def first_free(table: str) -> int:
-            if table not in known:
-                known[table] = self.store.read(table).agg(F.max("id")).first()[0] or 0
-            return known[table] + 1
-
-        return first_free
+    def unfinished(self) -> list[str]:
+        """Imports that a driver began and neither completed nor recorded as failed."""
+        log = latest(self.store.read(self.table), self.key)
+        return [r[0] for r in log.where(F.col("status") == PROCESSING).select(self.key).collect()]
 
 
 class ExportLedger(Ledger):
@@ -109,6 +100,17 @@ def version_row(attributes: dict[str, Any], version_id: int, now: datetime) -> t
     return tuple(row.get(name) for name in schemas.VERSIONS.fieldNames())
 
 
+class UnknownVersion(ValueError):
+    """A batch or export names a version that does not exist or is soft-deleted."""
+
+
+def require_live_versions(store: CampaignStore, versions: Iterable[int | None]) -> None:
+    """Refuse versions that are not there or soft-deleted. The versions table is a small dimension."""
+    live = {r["id"] for r in live_versions(store.read("versions")).select("id").collect()}
+    if unknown := sorted({str(v) for v in versions if v not in live}):
+        raise UnknownVersion(f"no live version {', '.join(unknown)}")
+
+
 def create_version(store: CampaignStore, attributes: dict[str, Any]) -> int:
     """Append a version and return its id. The versions table is a small dimension."""
     with store.lock:

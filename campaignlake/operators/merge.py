@@ -84,7 +84,7 @@ def merge_players(existing: DataFrame, batch: DataFrame, first_id: int, now: Col
         (F.lit(first_id) + F.col("ord")).cast("bigint").alias("id"),
         *keys,
         "registered_at",
-        F.lit(0).alias("total_score"),
+        F.lit(0).cast("bigint").alias("total_score"),
         "language",
         now.alias("created_at"),
         now.alias("updated_at"),

@@ -31,7 +31,7 @@ def player_scores(players: DataFrame, events: DataFrame, event_type: str = GAME_
 def refresh_total_scores(players: DataFrame, events: DataFrame, event_type: str = GAME_EVENT) -> DataFrame:
     """Players with `total_score` recomputed from the event log."""
     refreshed = player_scores(players, events, event_type)
-    return refreshed.withColumn("total_score", F.col("score").cast("int")).select(*players.columns)
+    return refreshed.withColumn("total_score", F.col("score")).select(*players.columns)
 
 
 def score_mismatches(players: DataFrame, events: DataFrame, event_type: str = GAME_EVENT) -> DataFrame:

@@ -84,13 +84,15 @@ def player_listing(players: DataFrame, users: DataFrame, version_id: int | None)
         F.col("id"),
         "email",
         iso8601(F.col("registered_at")).alias("registered_at"),
-        F.col("total_score").cast("int").alias("total_score"),
+        "total_score",
         "language",
     )
 
 
 def _page_size(per_page: int) -> int:
-    return max(1, min(per_page, MAX_PAGE))
+    if not 1 <= per_page <= MAX_PAGE:
+        raise ValueError(f"a page holds 1 to {MAX_PAGE} rows, not {per_page}")
+    return per_page
 
 
 def player_page(

@@ -24,6 +24,7 @@ from campaignlake.ingest.ledger import (
     PROCESSING,
     ExportLedger,
     new_id,
+    require_live_versions,
     utc_now,
 )
 from campaignlake.operators.quality import quality_report
@@ -344,6 +345,8 @@ def run_export(
     A completed or cancelled export is not run again; a failed one may be.
     """
     check_spec(params, settings, registry)
+    if settings.check_versions:
+        require_live_versions(store, [version_id])
     export_id, ledger = export_id or new_id(), ExportLedger(store)
     before = ledger.state(export_id)
     if before is not None and before["status"] in (COMPLETED, CANCELLED):

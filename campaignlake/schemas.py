@@ -32,7 +32,7 @@ USERS = _schema(
     "id BIGINT, email STRING, external_id STRING, created_at TIMESTAMP, updated_at TIMESTAMP"
 )
 PLAYERS = _schema(
-    "id BIGINT, version_id BIGINT, user_id BIGINT, registered_at TIMESTAMP, total_score INT, "
+    "id BIGINT, version_id BIGINT, user_id BIGINT, registered_at TIMESTAMP, total_score BIGINT, "
     "language STRING, created_at TIMESTAMP, updated_at TIMESTAMP"
 )
 # The three payload_* columns are extracted once on write, so scans prune and push them down.
@@ -64,7 +64,8 @@ REWARDS = _schema(
 )
 IMPORT_LOG = _schema(
     "import_id STRING, type STRING, batch_id STRING, status STRING, attempts INT, processed_rows BIGINT, "
-    "inserted BIGINT, duplicates BIGINT, failed BIGINT, skipped BIGINT, last_ids MAP<STRING,BIGINT>, "
+    "inserted BIGINT, duplicates BIGINT, failed BIGINT, skipped BIGINT, "
+    "rejected BIGINT, rejected_documents BIGINT, last_ids MAP<STRING,BIGINT>, "
     "error_message STRING, created_at TIMESTAMP, started_at TIMESTAMP, completed_at TIMESTAMP, seq BIGINT"
 )
 TYPED_SKIPPED = _schema("version_id BIGINT, event_id BIGINT, type STRING, reason STRING")
@@ -97,19 +98,20 @@ RELATIONS = {
     ("events", "version_id"): "versions",
     ("questions", "version_id"): "versions",
     ("answer_options", "question_id"): "questions",
+    ("answers", "version_id"): "versions",
     ("answers", "player_id"): "players",
     ("answers", "event_id"): "events",
     ("answers", "question_id"): "questions",
     ("answers", "answer_option_id"): "answer_options",
+    ("transactions", "version_id"): "versions",
     ("transactions", "player_id"): "players",
     ("transactions", "event_id"): "events",
+    ("rewards", "version_id"): "versions",
     ("rewards", "player_id"): "players",
     ("rewards", "event_id"): "events",
 }
 
 VERSION_STATUSES = ["draft", "active", "archived"]
-QUESTION_TYPES = ["single_choice", "multiple_choice", "rating", "open"]
 TRANSACTION_TYPES = ["purchase", "spend", "refund"]
 TRANSACTION_STATUSES = ["pending", "completed", "failed"]
 REWARD_STATUSES = ["granted", "redeemed", "expired"]
-IMPORT_TYPES = ["players", "events", "transactions", "answers", "rewards"]

@@ -7,8 +7,11 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
+    # Most rows of one request document; None sets no limit. It never applies to a whole load of documents.
+    max_batch_rows: int | None = None
+    # Imports and exports name versions that exist and are not soft-deleted.
+    check_versions: bool = True
     # The published defaults of the limits below.
-    max_batch_rows: int | None = 5000
     chunk_size: int = 1000
     max_sheets: int = 10
     max_sheet_name: int = 31

@@ -20,10 +20,8 @@ ROW_FIELDS = {
         "redeemed_at", "dedup_key",
     ],
 }
-# A JSON document is below 2^31 bytes, so no row position reaches this stride.
-DOCUMENT_STRIDE = 1 << 30
-# Most documents one batch read numbers; a bigger backlog goes through the stream, in micro-batches.
-MAX_DOCUMENTS = 100_000
+# Text of a document that is no JSON of the expected shape.
+BROKEN = "_corrupt_record"
 
 
 def row_schema(batch_type: str) -> T.StructType:
@@ -34,33 +32,66 @@ def document_schema(batch_type: str) -> T.StructType:
     return T.StructType(
         [
             T.StructField(batch_type, T.ArrayType(row_schema(batch_type))),
-            T.StructField("version_id", T.LongType()),
+            T.StructField("version_id", T.StringType()),
+            T.StructField(BROKEN, T.StringType()),
         ]
     )
 
 
 def explode_documents(documents: DataFrame, batch_type: str) -> DataFrame:
-    """One line per row: version_id, file, position and the text fields."""
+    """One line per row: version_id, file, position and the text fields. A document without rows
+    gives none; `split_documents` is what reports it."""
     return documents.select(
-        "version_id", "file", "arrived", F.posexplode(batch_type).alias("position", "row")
+        F.col("version_id").try_cast("bigint").alias("version_id"), "file", "arrived",
+        F.posexplode(batch_type).alias("position", "row"),
     ).select("version_id", "file", "arrived", "position", "row.*")
 
 
+def split_documents(
+    documents: DataFrame, batch_type: str, versions: DataFrame | None = None, max_rows: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(readable documents, rejected ones as file, reason, version_id, text).
+
+    A document is rejected when it is broken or of another shape, has no rows or more than
+    `max_rows`, or names no version among `versions` (id). Every document is in exactly one part.
+    """
+    version = F.col("version_id").try_cast("bigint")
+    known = F.lit(True)
+    if versions is not None:
+        documents = documents.withColumn("_version", version).join(
+            versions.select(F.col("id").alias("_version"), F.lit(True).alias("_live")).distinct(), "_version", "left"
+        )
+        known = F.col("_live").isNotNull()
+    size = F.coalesce(F.size(batch_type), F.lit(0))
+    reason = (
+        F.when(F.col(BROKEN).isNotNull() | (F.col(batch_type).isNull() & F.col("version_id").isNull()), "unreadable")
+        .when(size < 1, "no rows")
+        .when(F.lit(max_rows is not None) & (size > F.lit(max_rows)), "too many rows")
+        .when(F.col("version_id").isNull(), "no version")
+        .when(version.isNull() | ~known, "unknown version")
+    )
+    judged = documents.withColumn("reason", reason)
+    text = F.coalesce(BROKEN, F.to_json(F.struct("version_id", batch_type)))
+    good = judged.where(F.col("reason").isNull()).select("version_id", batch_type, BROKEN, "file", "arrived")
+    return good, judged.where(F.col("reason").isNotNull()).select("file", "reason", "version_id", text.alias("text"))
+
+
 def _with_origin(documents: DataFrame) -> DataFrame:
     return documents.withColumns(
         {"file": F.col("_metadata.file_path"), "arrived": F.col("_metadata.file_modification_time")}
     )
 
 
+def _json(reader, batch_type: str):
+    return reader.schema(document_schema(batch_type)).option("multiLine", True).option("columnNameOfCorruptRecord", BROKEN)
+
+
 def read_documents(spark: SparkSession, path: str, batch_type: str, version_id: int | None = None) -> DataFrame:
-    """Documents under `path`. The version comes from the argument, the document, or a
+    """Documents under `path`, readable or not. The version comes from the argument, the document, or a
     `version_id=…` directory."""
-    found = spark.read.schema(document_schema(batch_type)).option("multiLine", True).json(path)
-    if len(found.inputFiles()) > MAX_DOCUMENTS:
-        raise ValueError(f"more than {MAX_DOCUMENTS} documents under {path}: ingest them as a stream")
-    docs = _with_origin(found)
+    docs = _with_origin(_json(spark.read, batch_type).json(path))
     if version_id is not None:
-        docs = docs.withColumn("version_id", F.lit(version_id).cast("bigint"))
+        docs = docs.withColumn("version_id", F.lit(str(version_id)))
     return docs
 
 
@@ -68,26 +99,25 @@ def stream_documents(
     spark: SparkSession, path: str, batch_type: str, max_files: int = 1000
 ) -> DataFrame:
     """The same documents as a stream; `max_files` bounds one micro-batch."""
-    return _with_origin(
-        spark.readStream.schema(document_schema(batch_type))
-        .option("multiLine", True)
-        .option("maxFilesPerTrigger", max_files)
-        .json(path)
-    )
+    return _with_origin(_json(spark.readStream, batch_type).option("maxFilesPerTrigger", max_files).json(path))
 
 
 def with_ordinal(rows: DataFrame) -> DataFrame:
-    """Add `ord`: arrival order of the file, then position inside it.
+    """Add `ord`: 0, 1, ... by arrival of the file and position inside it, without gaps.
 
-    The unpartitioned window only numbers files, at most MAX_DOCUMENTS or the stream's
-    `max_files` of them; rows get their ordinal through a join on the file name.
+    Rows are counted by file and files by the hour they arrived in; running sums then go over
+    the hours, over the files of an hour, and rows take their place from their file's.
     """
-    files = rows.select("file", "arrived").distinct()
-    numbered = files.select(
-        "file", (F.row_number().over(Window.orderBy("arrived", "file")) - 1).cast("bigint").alias("_file_no")
-    )
+    sizes = rows.groupBy("file", "arrived").agg((F.max("position") + 1).cast("bigint").alias("_rows"))
+    sizes = sizes.withColumn("_hour", F.date_trunc("hour", "arrived"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda total, window: F.coalesce(F.sum(total).over(window), F.lit(0))
+    hours = sizes.groupBy("_hour").agg(F.sum("_rows").alias("_total"))
+    starts = hours.select("_hour", running("_total", before.orderBy("_hour")).alias("_start"))
+    inside = running("_rows", before.partitionBy("_hour").orderBy("arrived", "file"))
+    first = sizes.withColumn("_inside", inside).join(starts, "_hour")
     return (
-        rows.join(numbered, "file")
-        .withColumn("ord", F.col("_file_no") * DOCUMENT_STRIDE + F.col("position"))
-        .drop("_file_no", "file", "arrived", "position")
+        rows.join(first.select("file", (F.col("_start") + F.col("_inside")).alias("_first")), "file")
+        .withColumn("ord", F.col("_first") + F.col("position"))
+        .drop("_first", "file", "arrived", "position")
     )

@@ -18,6 +18,7 @@ from campaignlake.operators.predicates import has_prefix
 LOG_TABLES = ("events", "answers", "transactions", "rewards", "typed_skipped")
 # Upserted tables are split by a hash of their key; a merge rewrites only the buckets it hits.
 MERGED_TABLES = {"users": "email", "players": "user_id"}
+DEFAULT_BUCKETS = 64
 
 
 def live_versions(versions: DataFrame, with_trashed: bool = False) -> DataFrame:
@@ -50,17 +51,57 @@ class HadoopPath:
     def delete(self) -> None:
         self.fs.delete(self.path, True)
 
+    def matches(self) -> list[str]:
+        """Existing paths for a path with wildcards."""
+        found = self.fs.globStatus(self.path)
+        return [] if found is None else [f.getPath().toString() for f in found]
+
+    def move_to(self, target: HadoopPath) -> None:
+        """Rename, replacing what is at the target."""
+        target.delete()
+        target.fs.mkdirs(target.path.getParent())
+        if not self.fs.rename(self.path, target.path):
+            raise OSError(f"cannot move {self.path} to {target.path}")
+
+    def read_text(self) -> str:
+        stream = self.fs.open(self.path)
+        try:
+            return stream.readLine() or ""
+        finally:
+            stream.close()
+
+    def write_new(self, line: str) -> None:
+        """Create the file; fails when it is there already."""
+        stream = self.fs.create(self.path, False)
+        try:
+            stream.writeBytes(line)
+        finally:
+            stream.close()
+
 
 class CampaignStore:
     """Tables under one root. One driver application writes a store at a time; `lock` orders
-    the jobs inside it, which keeps id ranges apart."""
+    the jobs inside it.
+
+    The bucket count is part of the layout: the first write stores it under the root, and a
+    store that is opened with another one is refused.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.buckets = buckets
+        self._layout = HadoopPath(spark, f"{self.root}/_buckets")
+        stored = int(self._layout.read_text()) if self._layout.exists() else None
+        if stored is not None and buckets not in (None, stored):
+            raise ValueError(f"the store at {root} has {stored} buckets, not {buckets}")
+        self.buckets = stored or buckets or DEFAULT_BUCKETS
         self.lock = RLock()
 
+    def keep_layout(self) -> None:
+        """Store the bucket count before anything depends on it."""
+        if not self._layout.exists():
+            self._layout.write_new(str(self.buckets))
+
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
@@ -102,40 +143,57 @@ class CampaignStore:
     def bucket_of(self, table: str) -> Column:
         return F.pmod(F.xxhash64(F.col(MERGED_TABLES[table])), F.lit(self.buckets)).cast("int")
 
-    def write_batch(
-        self, rows: DataFrame, table: str, batch_id: str, versions: Sequence[int] | None = None
-    ) -> DataFrame:
-        """Write one batch of a log table, replacing an earlier try; returns the stored rows."""
-        schema = self._schema(table)
-        rows = rows.withColumn("batch_id", F.lit(batch_id)).select(*schema.fieldNames())
-        # Rows of one version all go to one directory as they are; more versions are regrouped.
-        self._overwrite(rows, table, regroup=versions is None or len(versions) > 1)
-        return self.read(table, versions).where(F.col("batch_id") == batch_id)
+    def write_batch(self, rows: DataFrame, table: str, batch_id: str) -> DataFrame:
+        """Write and publish one batch of a log table; returns the stored rows."""
+        self.prepare_batch(rows, table, batch_id)
+        self.publish(batch_id)
+        return self.read(table).where(F.col("batch_id") == batch_id)
 
-    def stored_before(
-        self, table: str, batch_id: str, versions: Sequence[int] | None = None
-    ) -> DataFrame:
-        """Log rows of other batches, so that a retry does not collide with its own rows."""
-        return self.read(table, versions).where(F.col("batch_id") != batch_id)
+    def _pending(self, batch_id: str, table: str = "") -> str:
+        return f"{self.root}/_pending/{batch_id}/{table}"
+
+    def prepare_batch(self, rows: DataFrame, table: str, batch_id: str) -> DataFrame:
+        """Write a batch's rows beside the table, where no reader sees them; returns the written rows."""
+        schema, path = self._schema(table), self._pending(batch_id, table)
+        rows = rows.withColumn("batch_id", F.lit(batch_id)).select(*schema.fieldNames())
+        self._write(rows, table, path, "static")
+        return self.spark.read.schema(schema).option("basePath", path).parquet(path).select(*schema.fieldNames())
+
+    def publish(self, batch_id: str) -> None:
+        """Move a prepared batch's directories into their tables: one rename for each version and table."""
+        for table in LOG_TABLES:
+            root = self._pending(batch_id, table)
+            for path in HadoopPath(self.spark, f"{root}/version_id=*/batch_id=*").matches():
+                version, batch = path.split("/")[-2:]
+                HadoopPath(self.spark, path).move_to(HadoopPath(self.spark, f"{self.path(table)}/{version}/{batch}"))
+        HadoopPath(self.spark, self._pending(batch_id)).delete()
+
+    def withdraw(self, batch_id: str) -> None:
+        """Remove whatever a batch has left, published or not."""
+        for table in LOG_TABLES:
+            for path in HadoopPath(self.spark, f"{self.path(table)}/version_id=*/batch_id={batch_id}").matches():
+                HadoopPath(self.spark, path).delete()
+        HadoopPath(self.spark, self._pending(batch_id)).delete()
 
     def append(self, rows: DataFrame, table: str) -> None:
         writer = rows.select(*schemas.TABLES[table].fieldNames()).write.mode("append")
         writer.parquet(self.path(table))
 
-    def stage(self, rows: DataFrame, name: str, batch_id: str) -> DataFrame:
-        """Materialise a frame once per batch. A finished copy of an earlier try is reused."""
-        path = f"{self.root}/_staging/{batch_id}/{name}"
-        if not HadoopPath(self.spark, f"{path}/_SUCCESS").exists():
-            rows.write.mode("overwrite").parquet(path)
+    def stage(self, rows: DataFrame, name: str, attempt: str) -> DataFrame:
+        """Materialise a frame for one attempt of a batch. Nothing of another attempt is reused, since the
+        tables and the batch's rows may have changed in between."""
+        path = f"{self.root}/_staging/{attempt}/{name}"
+        rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def drop_stage(self, batch_id: str) -> None:
-        HadoopPath(self.spark, f"{self.root}/_staging/{batch_id}").delete()
+    def drop_stage(self, attempt: str) -> None:
+        HadoopPath(self.spark, f"{self.root}/_staging/{attempt}").delete()
 
     def replace_buckets(self, staged: DataFrame, table: str) -> None:
         """Swap the merged buckets in. `staged` never reads from the table it replaces."""
         schema = self._schema(table)
-        self._overwrite(staged.withColumn("bucket", self.bucket_of(table)).select(*schema.fieldNames()), table)
+        self.keep_layout()
+        self._write(staged.withColumn("bucket", self.bucket_of(table)).select(*schema.fieldNames()), table, self.path(table), "dynamic")
 
     def touched_buckets(
         self, table: str, keys: DataFrame, versions: Sequence[int] | None = None
@@ -175,17 +233,16 @@ class CampaignStore:
             for table in ("answer_options", "questions"):
                 self.drop_version(table, version_id)
 
-    def _overwrite(self, rows: DataFrame, table: str, regroup: bool = True) -> None:
+    def _write(self, rows: DataFrame, table: str, path: str, overwrite: str) -> None:
+        # Rows of one directory meet in few tasks, so no task opens a file in every directory;
+        # AQE splits a directory that is large and merges those that are small.
         keys = self._partitions(table)
-        if regroup:
-            # Rows of one directory meet in few tasks, so no task opens a file in every directory;
-            # AQE splits a directory that is large and merges those that are small.
-            rows = rows.hint("rebalance", *[k for k in keys if k != "batch_id"])
         (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
+            rows.hint("rebalance", *[k for k in keys if k != "batch_id"])
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", overwrite)
             .partitionBy(*keys)
-            .parquet(self.path(table))
+            .parquet(path)
         )
 
 

@@ -6,14 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from campaignlake.ingest.jobs import run_import
-from campaignlake.settings import Settings
-from campaignlake.sources.batches import explode_documents, stream_documents, with_ordinal
+from campaignlake.ingest.jobs import run_documents
+from campaignlake.settings import DEFAULT_SETTINGS, Settings
+from campaignlake.sources.batches import stream_documents
 from campaignlake.sources.tables import CampaignStore
 
-# A micro-batch is bounded by its files; the per-request row cap belongs to single documents.
-STREAM_SETTINGS = Settings(max_batch_rows=None)
-
 
 def keyed_events_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Event stream without repeated dedup keys, with state bounded by the watermark.
@@ -35,24 +32,22 @@ def start_ingest(
     checkpoint: str,
     max_files: int = 1000,
     mode: str = "quarantine",
-    settings: Settings = STREAM_SETTINGS,
+    settings: Settings = DEFAULT_SETTINGS,
     available_now: bool = True,
 ) -> StreamingQuery:
     """One query per batch type; each micro-batch is one import.
 
     The import id is made of the query's checkpointed id and the micro-batch number, so a
     micro-batch that Spark runs again after a failure is found in the ledger and, when it was
-    completed, skipped; otherwise its writes replace what the first try left.
+    completed, skipped; otherwise it is run again from the tables as they are then.
     """
     documents = stream_documents(store.spark, landing, batch_type, max_files)
-    rows = explode_documents(documents, batch_type)
-
     def ingest(batch: DataFrame, number: int) -> None:
         query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        run_import(store, batch_type, with_ordinal(batch), f"{query_id}-{number}", mode, settings)
+        run_documents(store, batch_type, batch, f"{query_id}-{number}", mode, settings)
 
     writer = (
-        rows.writeStream.foreachBatch(ingest)
+        documents.writeStream.foreachBatch(ingest)
         .queryName(f"ingest_{batch_type}")
         .option("checkpointLocation", checkpoint)
     )

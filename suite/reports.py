@@ -121,7 +121,7 @@ QUERIES["score_refresh"] = lambda spark, sf: refresh_total_scores(
 ).select("id", "version_id", "total_score")
 ORACLES["score_refresh"] = (
     ctes("players", "events") + ROLLED
-    + "select id, version_id, cast(coalesce(s, 0) as int) as total_score from s_players left join g on g.player_id = id"
+    + "select id, version_id, cast(coalesce(s, 0) as bigint) as total_score from s_players left join g on g.player_id = id"
 )
 QUERIES["avg_score_per_player"] = lambda spark, sf: average_per_player(st.table(spark, sf, "events"))
 ORACLES["avg_score_per_player"] = (

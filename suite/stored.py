@@ -13,10 +13,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from campaignlake import schemas
 from campaignlake.ingest.jobs import run_import
 from campaignlake.plans.workbook import WrittenSheet, export_workbook, manifest_frame, read_sheet
 from campaignlake.sources.tables import CampaignStore
-from campaignlake.streaming.ingest_stream import STREAM_SETTINGS
 from suite import standins as st
 from suite.ingestion import KNOWN
 from suite.sheets import BETWEEN, E_LANG, E_SCORE, WORKBOOK, WORKBOOK_COUNTS, Query
@@ -35,6 +35,9 @@ def _seeded_store(spark: SparkSession, sf_dir: str, folder: str) -> CampaignStor
     """Users, players and an already ingested batch of events."""
     store = CampaignStore(spark, f"{folder}/lake", buckets=8)
     stamps = {"created_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")}
+    versions = st.load(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as bigint) as id")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.VERSIONS if f.name != "id"]
+    store.append(versions.select("id", *empty).coalesce(1), "versions")
     store.replace_buckets(st.table(spark, sf_dir, "users").withColumns(stamps), "users")
     store.replace_buckets(st.table(spark, sf_dir, "players").withColumns(stamps), "players")
     stored = st.load(spark, sf_dir, "events").where("event_type = 'view'").selectExpr(
@@ -56,7 +59,7 @@ def stream_ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.readStream.schema(spark.read.parquet(landing).schema).parquet(landing)
 
     def ingest(batch: DataFrame, number: int) -> None:
-        run_import(store, "events", batch, f"stream-{number}", "quarantine", STREAM_SETTINGS)
+        run_import(store, "events", batch, f"stream-{number}", "quarantine")
 
     query = (
         rows.writeStream.foreachBatch(ingest)

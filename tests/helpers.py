@@ -42,8 +42,13 @@ def seed(store: CampaignStore, table, rows):
     )
 
 
+def with_versions(store: CampaignStore):
+    seed(store, "versions", [{"id": i, "uuid": f"u{i}", "name": f"V{i}"} for i in (1, 2)])
+
+
 def with_players(store: CampaignStore, *names, version_id=1):
-    """Users and players 1..n of a version, one per name."""
+    """Users and players 1..n of a version, one per name; versions 1 and 2 are live."""
+    with_versions(store)
     seed(store, "users", [{"id": i, "email": f"{n}@example.com"} for i, n in enumerate(names, 1)])
     seed(
         store,

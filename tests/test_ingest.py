@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 import pytest
-from helpers import batch, rows_of, seed, with_players
+from helpers import batch, rows_of, seed, with_players, with_versions
 
 from campaignlake.ingest import jobs
-from campaignlake.ingest.jobs import Counters, run_import
-from campaignlake.ingest.ledger import ImportLedger, create_version
+from campaignlake.ingest.jobs import Counters, refresh_scores, run_documents, run_import
+from campaignlake.ingest.ledger import ImportLedger, UnknownVersion, create_version
 from campaignlake.operators.validate import BatchRejected
+from campaignlake.plans.workbook import run_export
 from campaignlake.settings import Settings
 from campaignlake.sources.batches import explode_documents, read_documents, with_ordinal
 from campaignlake.sources.tables import CampaignStore
@@ -87,12 +89,12 @@ def catalogue(store):
 
 
 def test_typed_records_follow_their_event(spark, store):
-    with_players(store, "alice", "bob", "carol")
+    with_players(store, "zora", "milan", "ines")
     catalogue(store)
     rows = [
-        event(1, "a", "transaction", {"type": "purchase", "amount": 9.99, "currency": "EUR"}),
-        event(2, "b", "reward_granted", {"reward_type": "coupon", "reward_code": "X1"}),
-        event(3, "c", "transaction", {"type": "refund", "amount": "5", "currency": "EUR", "status": "pending"}),
+        event(1, "a", "transaction", {"type": "spend", "amount": "0.75", "currency": "CHF"}),
+        event(2, "b", "reward_granted", {"reward_type": "badge", "reward_code": "GOLD-7"}),
+        event(3, "c", "transaction", {"type": "refund", "amount": 41, "currency": "SEK", "status": "failed"}),
         event(1, "d", "answer_submitted", {"question_id": 10, "answer_option_id": 100}),
         event(1, "e", "answer_submitted", {"question_id": 10, "answer_text": "again"}),
     ]
@@ -100,7 +102,7 @@ def test_typed_records_follow_their_event(spark, store):
     owner = {r.id: (r.player_id, r.dedup_key) for r in store.read("events").collect()}
     tx = store.read("transactions").orderBy("id").collect()
     assert [(owner[t.event_id], t.player_id, float(t.amount), t.status) for t in tx] == [
-        ((1, "a"), 1, 9.99, "completed"), ((3, "c"), 3, 5.0, "pending"),
+        ((1, "a"), 1, 0.75, "completed"), ((3, "c"), 3, 41.0, "failed"),
     ]
     assert [(owner[r.event_id], r.status, str(r.granted_at)[:10]) for r in store.read("rewards").collect()] == [
         ((2, "b"), "granted", "2026-01-15")
@@ -141,6 +143,7 @@ def player(name, **more):
 
 
 def test_players_upsert(spark, store):
+    with_versions(store)
     rows = [player("a", external_id="x1", language="it", registered_at=AT), player("b")]
     assert run_import(store, "players", batch(spark, "players", rows)) == Counters(2, 2, 0, 0)
     assert run_import(store, "players", batch(spark, "players", rows)) == Counters(2, 0, 2, 0)
@@ -161,6 +164,7 @@ def test_players_upsert(spark, store):
 
 
 def test_player_counters_depend_on_chunks(spark, store):
+    with_versions(store)
     rows = batch(spark, "players", [player("a"), player("a"), player("b"), player("a", language="fr")])
     got = run_import(store, "players", rows, settings=Settings(chunk_size=2))
     assert (got.inserted, got.duplicates) == (2, 1)
@@ -168,6 +172,7 @@ def test_player_counters_depend_on_chunks(spark, store):
 
 
 def test_external_id_of_another_player_fails(spark, store):
+    with_versions(store)
     run_import(store, "players", batch(spark, "players", [player("a", external_id="x")]))
     got = run_import(
         store, "players",
@@ -249,3 +254,110 @@ def test_wiping_a_version_leaves_the_others(spark, store):
     store.wipe_version(1, email_prefix="demo-")
     left = {t: rows_of(store.read(t), "id") for t in ("events", "questions", "users", "players")}
     assert left == {"events": [(2,)], "questions": [(20,)], "users": [(2,)], "players": [(2,)]}
+
+
+def test_a_failed_import_leaves_nothing_and_its_ids_are_gone(spark, store, monkeypatch):
+    with_players(store, "zora")
+    rows = batch(spark, "events", [event(1, "k1"), event(1, None)])
+    with monkeypatch.context() as patch:
+        patch.setattr(CampaignStore, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            run_import(store, "events", rows, "x")
+    assert store.read("events").count() == 0
+    run_import(store, "events", batch(spark, "events", [event(1, "k2")]), "y")
+    assert run_import(store, "events", rows, "x").inserted == 2
+    ids = [r.id for r in store.read("events").collect()]
+    assert len(ids) == len(set(ids)) == 3 and min(ids) > 2
+
+
+def test_what_a_lost_driver_left_is_taken_back(spark, store):
+    with_players(store, "zora")
+    seed(store, "events", [{"id": 1, "version_id": 1}])
+    store.write_batch(store.read("events").drop("batch_id"), "events", "dead")
+    store.prepare_batch(store.read("events").drop("batch_id"), "events", "dead")
+    ImportLedger(store).write("dead", status="processing", type="events", batch_id="dead", attempts=1, last_ids={"events": 40})
+    run_import(store, "events", batch(spark, "events", [event(1, "k")]))
+    got = {r.batch_id: r.id for r in store.read("events").collect()}
+    assert set(got) == {"seed", *[b for b in got if b not in ("seed", "dead")]} and max(got.values()) == 41
+
+
+def test_retry_of_a_players_import_keeps_what_came_between(spark, store, monkeypatch):
+    with_versions(store)
+    first = batch(spark, "players", [player("a"), player("b")])
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "merge_players", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            run_import(store, "players", first, "x")
+    run_import(store, "players", batch(spark, "players", [player("b"), player("c")]), "y")
+    corrected = batch(spark, "players", [player("a"), player("b", language="sv")])
+    assert run_import(store, "players", corrected, "x").inserted == 1
+    users, players = store.read("users").collect(), store.read("players").collect()
+    assert sorted(u.email for u in users) == ["a@example.com", "b@example.com", "c@example.com"]
+    assert len({u.id for u in users}) == len({p.id for p in players}) == len(players) == 3
+    assert [p.language for p in players if p.language] == ["sv"]
+
+
+def test_a_store_keeps_its_bucket_count(spark, store):
+    with_players(store, "zora")
+    assert CampaignStore(spark, store.root).buckets == 2
+    with pytest.raises(ValueError, match="2 buckets"):
+        CampaignStore(spark, store.root, buckets=8)
+
+
+def test_unknown_and_trashed_versions_are_refused(spark, store):
+    seed(store, "versions", [{"id": 1}, {"id": 2, "deleted_at": datetime(2026, 1, 1)}])
+    for version in (2, 3):
+        with pytest.raises(UnknownVersion):
+            run_import(store, "events", batch(spark, "events", [event(1)], version_id=version))
+        with pytest.raises(UnknownVersion):
+            run_export(store, {}, version)
+
+
+def test_no_document_is_lost(spark, store, tmp_path):
+    with_players(store, "zora")
+    landing = tmp_path / "in"
+    landing.mkdir()
+    documents = {
+        "good": json.dumps({"version_id": 1, "events": [event(1, "a"), event(1, "b")]}),
+        "truncated": json.dumps({"version_id": 1, "events": [event(1, "c")]})[:-9],
+        "object": json.dumps({"version_id": 1, "events": {"0": event(1, "d")}}),
+        "text_version": json.dumps({"version_id": "one", "events": [event(1, "e")]}),
+        "no_version": json.dumps({"events": [event(1, "f")]}),
+        "unknown_version": json.dumps({"version_id": 77, "events": [event(1, "g")]}),
+        "empty": json.dumps({"version_id": 1, "events": []}),
+        "other": json.dumps({"version_id": 1, "players": []}),
+        "long": json.dumps({"version_id": 1, "events": [event(1, f"l{i}") for i in range(4)]}),
+    }
+    for name, text in documents.items():
+        (landing / f"{name}.json").write_text(text)
+    found = read_documents(spark, str(landing), "events")
+    with pytest.raises(BatchRejected, match="unreadable"):
+        run_documents(store, "events", found)
+    assert store.read("events").count() == 0
+    got = run_documents(store, "events", found, "q", "quarantine", Settings(max_batch_rows=3))
+    assert (got.inserted, got.rejected_documents) == (2, 8)
+    kept = spark.read.parquet(store.path("rejected/documents/events/q"))
+    reasons = {r.file.rsplit("/", 1)[1][:-5]: r.reason for r in kept.collect()}
+    assert reasons == {
+        "truncated": "unreadable", "object": "unreadable", "text_version": "unknown version", "no_version": "no version",
+        "unknown_version": "unknown version", "empty": "no rows", "other": "no rows", "long": "too many rows",
+    }
+    assert kept.where("text is null or text = ''").count() == 0
+
+
+def test_ordinals_have_no_gaps(spark):
+    rows = spark.range(300).selectExpr(
+        "'f' || cast(id % 7 as string) as file", "timestamp'2026-01-01' + make_interval(0,0,0,0,cast(id % 7 % 3 as int)) as arrived",
+        "cast(id div 7 as int) as position", "id",
+    )
+    got = with_ordinal(rows).collect()
+    assert sorted(r.ord for r in got) == list(range(300))
+
+
+def test_scores_are_written_back(spark, store):
+    with_players(store, "zora", "milan")
+    seed(store, "events", [
+        {"id": i, "version_id": 1, "player_id": 1, "type": "game_completed", "payload_score": 2_000_000_000, "payload": "[]"} for i in (1, 2)
+    ])
+    assert refresh_scores(store) == 1 and refresh_scores(store) == 0
+    assert rows_of(store.read("players"), "id", "total_score") == [(1, 4_000_000_000), (2, 0)]
