@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campaignlake.functions.normalize import blank_to_null
-
 # Derived column -> payload key.
 PAYLOAD_COLUMNS = {
     "payload_language": "language",
@@ -19,8 +17,12 @@ PAYLOAD_KEYS = ", ".join(f"{key} STRING" for key in PAYLOAD_COLUMNS.values())
 OBJECT = r"^\s*\{"
 CONTAINER = r"^\s*[{\[]"
 EMPTY_CONTAINER = r"^\s*[{\[]\s*[}\]]\s*$"
-# A value that is empty, starts with white space or an escape, or ends with white space.
-MAY_NEED_TRIM = r':\s*"(\s|\\|")|(\s|\\[tnr]|\\u[0-9a-fA-F]{4})"\s*[,}]'
+# White space at an end of a text value, as it is or escaped, once `\\\\` and `\\"` are masked.
+EDGE = r"(?:\s|\\[tnr]|\\u00(?:00|09|0[aAbBdD]|20))+"
+# Such an end somewhere, or an empty value: what makes a payload worth writing anew.
+MAY_NEED_TRIM = rf'"{EDGE}|{EDGE}"|""'
+# Control characters, which JSON text cannot hold, stand for an escaped backslash and an escaped quote.
+MASKS = {"\\\\": "\u0001", '\\"': "\u0002"}
 
 
 def rounded_int(text: Column) -> Column:
@@ -63,24 +65,37 @@ def is_empty_payload(payload: Column) -> Column:
     )
 
 
-def _trimmed(_: Column, value: Column) -> Column:
-    text = blank_to_null(value.cast("string"))
-    return F.when(F.schema_of_variant(value) == "STRING", text.cast("variant")).otherwise(value)
+def trimmed_payload(payload: Column) -> Column:
+    """JSON text with every text value trimmed, at any depth, and blank ones null; keys and all else as they are.
+
+    Without escaped quotes the text alternates between what is outside and inside a literal, so
+    the odd parts of a split at the quotes are the literals; one before a colon is a key.
+    """
+    masked = payload
+    for text, mask in MASKS.items():
+        masked = F.replace(masked, F.lit(text), F.lit(mask))
+    parts = F.split(masked, '"', -1)
+    quote = F.lit('"')
+
+    def written(part: Column, i: Column) -> Column:
+        key = F.coalesce(F.get(parts, i + 1), F.lit("")).rlike(r"^\s*:")
+        value = F.regexp_replace(part, f"^{EDGE}|{EDGE}$", "")
+        text = F.when(value == "", "null").otherwise(F.concat(quote, value, quote))
+        return F.when(i % 2 == 0, part).when(key, F.concat(quote, part, quote)).otherwise(text)
+
+    joined = F.array_join(F.transform(parts, written), "")
+    for text, mask in MASKS.items():
+        joined = F.replace(joined, F.lit(mask), F.lit(text))
+    return joined
 
 
 def with_stored_payload(rows: DataFrame) -> DataFrame:
     """Payload as stored: text values trimmed, blank ones null; a missing, empty or scalar
-    payload becomes `[]`.
-
-    Only a payload that may hold such a value is parsed and written anew; a pattern finds the
-    candidates, and one it finds needlessly comes out with the same content.
-    """
+    payload becomes `[]`. A payload that no pattern marks is stored as it came."""
     payload = F.col("payload")
-    fields = F.from_json(F.when(payload.rlike(MAY_NEED_TRIM), payload), "map<string,variant>")
-    parsed = rows.withColumn("_fields", fields)
     stored = (
         F.when(F.coalesce(~payload.rlike(CONTAINER) | payload.rlike(EMPTY_CONTAINER), F.lit(True)), F.lit("[]"))
-        .when(F.size("_fields") > 0, F.to_json(F.transform_values("_fields", _trimmed)))
+        .when(payload.rlike(MAY_NEED_TRIM) & is_json_container(payload), trimmed_payload(payload))
         .otherwise(payload)
     )
-    return parsed.withColumn("payload", stored).drop("_fields")
+    return rows.withColumn("payload", stored)

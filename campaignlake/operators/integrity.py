@@ -48,22 +48,36 @@ def version_mismatches(child: DataFrame, column: str, parent: DataFrame) -> Data
 
 
 def integrity_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """child, column, parent and number of orphan rows, for every known relation of the tables."""
-    opened = {name: tables[name] for pair in RELATIONS.items() for name in (pair[0][0], pair[1]) if name in tables}
-    parts = []
-    for (child, column), parent in RELATIONS.items():
-        if child not in opened or parent not in opened or column not in opened[child].columns:
-            continue
-        # Counted per reference before the anti-join, as in orphan_counts.
-        used = (
-            opened[child]
-            .where(F.col(column).isNotNull())
-            .groupBy(F.col(column).alias("ref"))
-            .agg(F.count(F.lit(1)).alias("rows"))
-        )
-        parts.append(
-            orphans(used, "ref", opened[parent])
-            .agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("orphans"))
-            .select(F.lit(child).alias("child"), F.lit(column).alias("column"), F.lit(parent).alias("parent"), "orphans")
-        )
-    return reduce(DataFrame.unionByName, parts)
+    """child, column, parent and number of orphan rows, for every known relation of the tables.
+
+    A child is scanned once for all its references, which are counted before they are looked up,
+    and a parent's ids are read once for all children.
+    """
+    needed = {name for (child, _), parent in RELATIONS.items() for name in (child, parent)}
+    opened = {name: tables[name] for name in needed if name in tables}
+    known = {
+        (child, column): parent
+        for (child, column), parent in RELATIONS.items()
+        if parent in opened and child in opened and column in opened[child].columns
+    }
+    relation = lambda child, column: F.lit(f"{child}.{column}")
+    used = []
+    for child in sorted({child for child, _ in known}):
+        held = [
+            F.struct(relation(child, column).alias("relation"), F.lit(known[child, column]).alias("parent"), F.col(column).cast("bigint").alias("ref"))
+            for owner, column in known
+            if owner == child
+        ]
+        used.append(opened[child].select(F.inline(F.array(*held))).where("ref is not null"))
+    refs = reduce(DataFrame.unionByName, used).groupBy("relation", "parent", "ref").agg(F.count(F.lit(1)).alias("rows"))
+    ids = [opened[p].select(F.lit(p).alias("parent"), F.col("id").cast("bigint").alias("ref")) for p in sorted(set(known.values()))]
+    missing = refs.join(reduce(DataFrame.unionByName, ids), ["parent", "ref"], "left_anti")
+    lost = missing.groupBy("relation").agg(F.sum("rows").alias("orphans"))
+    spark = next(iter(opened.values())).sparkSession
+    every = spark.createDataFrame(
+        [(f"{child}.{column}", child, column, parent) for (child, column), parent in known.items()],
+        "relation string, child string, column string, parent string",
+    )
+    return every.join(lost, "relation", "left").select(
+        "child", "column", "parent", F.coalesce("orphans", F.lit(0)).cast("bigint").alias("orphans")
+    )

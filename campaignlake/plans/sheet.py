@@ -51,17 +51,21 @@ def _aggregate_column(
     if column.field is None:
         return aggregate(column.fn, None, None, settings)
     real = source.fields[column.field]
-    return aggregate(column.fn, F.col(real), _dtype(rows, real), settings)
+    dtype = _dtype(rows, real)
+    return aggregate(column.fn, _compared(F.col(real), dtype, settings), dtype, settings)
+
+
+def _compared(column: Column, dtype: T.DataType, settings: Settings) -> Column:
+    """A text as the settings compare it; groups and distinct counts use the same rule."""
+    collated = settings.text_collation and isinstance(dtype, T.StringType)
+    return F.collate(column, settings.text_collation) if collated else column
 
 
 def _grouped(
     spec: SheetSpec, source: SourceDef, rows: DataFrame, per_version: bool, settings: Settings
 ) -> DataFrame:
-    dims = {alias: F.col(source.fields[alias]) for alias in spec.group_by}
-    if settings.text_collation:
-        for alias in dims:
-            if isinstance(_dtype(rows, source.fields[alias]), T.StringType):
-                dims[alias] = F.collate(dims[alias], settings.text_collation)
+    fields = {alias: source.fields[alias] for alias in spec.group_by}
+    dims = {alias: _compared(F.col(f), _dtype(rows, f), settings) for alias, f in fields.items()}
     keys = [c.alias(f"g{i}") for i, c in enumerate(dims.values())]
     if per_version:
         keys = [F.col(source.version_column).alias("version_id"), *keys]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from campaignlake.plans.guards import check_spec
@@ -13,6 +13,7 @@ from campaignlake.plans.preview import (
     player_keyset_page,
     player_listing,
     player_page,
+    preview,
     preview_frame,
     sheet_page,
 )
@@ -202,13 +203,21 @@ def _ranked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sheets": [{"source": "events", "columns": ["id", "player_id", "score", "occurred_at"],
                     "sort": ["score:desc", {"column": "occurred_at", "direction": "ASC"}]}]
     }
-    return run_sheet(spark, sf_dir, params, 2).limit(500)
+    # The rank is the place in the sheet itself: parts in order, rows in order inside a part.
+    placed = run_sheet(spark, sf_dir, params, 2).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33).alias("part")
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before.alias("start"))
+    rank = F.col("start") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    ranked = placed.withColumn("part", part).join(starts, "part").withColumn("rank", rank)
+    return ranked.drop("_at", "part", "start")
 
 
 QUERIES["events_sorted_desc_tiebreak"] = _ranked_events
 ORACLES["events_sorted_desc_tiebreak"] = (
-    EVENTS + f"select id, player_id, {E_SCORE} as score, occurred_at from s_events where version_id = 2 "
-    "order by score desc nulls last, occurred_at, id limit 500"
+    EVENTS + f"select id, player_id, {E_SCORE} as score, occurred_at, "
+    f"row_number() over (order by {E_SCORE} desc nulls last, occurred_at, id) as rank from s_events where version_id = 2"
 )
 
 QUERIES["events_group_count"] = lambda spark, sf: count_sheet(
@@ -409,6 +418,22 @@ ORACLES["preview_truncated"] = (
     "cast(max(amount) as double) as top_amount from s_transactions where version_id = 1"
 )
 
+
+
+def _preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that a preview shows, as it returns them."""
+    params = {"sheets": [{"source": "transactions", "columns": ["id", "type", "amount"], "sort": ["amount:desc"]}]}
+    [shown] = preview(params, st.tables(spark, sf_dir), 1)
+    rows = [(n, *(r[c] for c in ("id", "type", "amount"))) for n, r in enumerate(shown["rows"], start=1)]
+    return spark.createDataFrame(rows, "place int, id bigint, type string, amount decimal(12,2)").withColumn("amount", F.col("amount").cast("double"))
+
+
+QUERIES["preview_rows"] = _preview_rows
+ORACLES["preview_rows"] = (
+    TRANSACTIONS + "select cast(row_number() over (order by amount desc, id) as int) as place, id, type, cast(amount as double) as amount "
+    "from s_transactions where version_id = 1 qualify place <= 100"
+)
+
 VERSIONS = ctes("versions")
 QUERIES["versions_live"] = lambda spark, sf: live_versions(st.table(spark, sf, "versions")).select(
     "id", "uuid", "name", "status"

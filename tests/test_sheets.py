@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import random
 from datetime import datetime
 
 import pytest
@@ -22,6 +24,7 @@ from campaignlake.operators.scores import score_mismatches
 from campaignlake.plans.preview import player_count, preview, sheet_page
 from campaignlake.plans.sheet import compile_sheet, sheet_row_count
 from campaignlake.plans.spec import parse_spec
+from campaignlake.settings import Settings
 
 JAN = datetime(2026, 1, 10, 12)
 
@@ -39,16 +42,16 @@ def tables(spark):
     return {
         "events": raw(
             [
-                event(1, 1, '{"language":"it","utm_source":"linkedin","score":100}'),
-                event(2, 2, '{"language":"it","utm_source":"linkedin","score":200}'),
-                event(3, 1, '{"language":"en","utm_source":"facebook","score":0}', "answer_submitted"),
+                event(1, 1, '{"language":"sv","utm_source":"newsletter","score":37}'),
+                event(2, 2, '{"language":"sv","utm_source":"newsletter","score":64}'),
+                event(3, 1, '{"language":"en","utm_source":"billboard","score":0}', "answer_submitted"),
                 event(4, 9, '{"language":"it","score":7}', version_id=2),
             ]
         ),
         "players": frame(
             spark, "players",
             [
-                {"id": 1, "version_id": 1, "user_id": 11, "language": "it", "total_score": 100,
+                {"id": 1, "version_id": 1, "user_id": 11, "language": "it", "total_score": 37,
                  "registered_at": datetime(2026, 1, 1)},
                 {"id": 2, "version_id": 1, "user_id": 12, "language": "it", "total_score": 5,
                  "registered_at": datetime(2026, 1, 20)},
@@ -68,8 +71,8 @@ def test_summary_segment(tables):
     got = sheet(tables, {"source": "events", "group_by": ["type", "language", "utm_source"],
                          "metrics": ["unique_players", "avg_score", "count"]})
     assert rows_of(got, *got.columns) == [
-        ("answer_submitted", "en", "facebook", 1, 0.0, 1),
-        ("game_completed", "it", "linkedin", 2, 150.0, 2),
+        ("answer_submitted", "en", "billboard", 1, 0.0, 1),
+        ("game_completed", "sv", "newsletter", 2, 50.5, 2),
     ]
 
 
@@ -154,15 +157,17 @@ def test_payload_functions(spark):
         ('{"language":"it","score":87.6}', "it", 88, False, '{"language":"it","score":87.6}'),
         ('{"language":null,"score":"x"}', None, None, False, '{"language":null,"score":"x"}'),
         ('{"language":"  "}', None, None, False, '{"language":null}'),
-        ('{"language": "it ", "n": 1}', "it", None, False, '{"language":"it","n":1}'),
-        ('{"language": "it", "n": {"m": ""}}', "it", None, False, '{"language":"it","n":{"m":""}}'),
-        ('{"language": "\\tit", "n": "a, b"}', "it", None, False, '{"language":"it","n":"a, b"}'),
+        ('{"language": "it ", "n": 1}', "it", None, False, '{"language": "it", "n": 1}'),
+        ('{"language": "it", "n": {"m": ""}}', "it", None, False, '{"language": "it", "n": {"m": null}}'),
+        ('{"language": "\\tit", "n": "a, b"}', "it", None, False, '{"language": "it", "n": "a, b"}'),
+        ('{"a": {"b": "  x "}, " k ": [" y ", [""]]}', None, None, False, '{"a": {"b": "x"}, " k ": ["y", [null]]}'),
+        ('{"a": " x ", "a": " y "}', None, None, False, '{"a": "x", "a": "y"}'),
         ('{"language": "it", "n": "a b"}', "it", None, False, '{"language": "it", "n": "a b"}'),
         ('[{"language":"it"}]', None, None, False, '[{"language":"it"}]'),
         ("[]", None, None, True, "[]"),
         (" { } ", None, None, True, "[]"),
         ("{}", None, None, True, "[]"),
-        ('[1," x "]', None, None, False, '[1," x "]'),
+        ('[1," x "]', None, None, False, '[1,"x"]'),
         ("plain", None, None, False, "[]"),
         (None, None, None, False, "[]"),
     ]
@@ -204,7 +209,7 @@ def test_quality_checks(spark, tables):
 
 def test_score_reconciliation(tables):
     assert rows_of(score_mismatches(tables["players"], tables["events"]), "player_id", "total_score", "score") == [
-        (2, 5, 200)
+        (2, 5, 64)
     ]
 
 
@@ -222,3 +227,38 @@ def test_distribution_keeps_options_without_answers(spark):
 def test_integrity_report(tables):
     got = {(r["child"], r["column"]): r["orphans"] for r in integrity_report(tables).collect()}
     assert got == {("players", "user_id"): 0, ("events", "player_id"): 0}
+
+
+def test_payload_trim_equals_a_plain_walk(spark):
+    rng = random.Random(2)
+    ends = ["", " ", "\t", "\n ", "\u000b", "\\", '"', "\\t", " : ", ", ", "é", "\u0000"]
+
+    def value(depth):
+        kind = rng.randrange(6 if depth else 2)
+        if kind < 2:
+            return "".join(rng.choice(ends) for _ in range(3)) + rng.choice(["", "x", 'a "b" c', "\\"]) + "".join(rng.choice(ends) for _ in range(2))
+        if kind == 2:
+            return rng.choice([1, 2.5, None, True])
+        if kind == 3:
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        return {value(0): value(depth - 1) for _ in range(rng.randrange(4))}
+
+    def walk(v):
+        if isinstance(v, str):
+            return v.strip(" \t\n\r\0\x0b") or None
+        if isinstance(v, list):
+            return [walk(x) for x in v]
+        return {k: walk(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    given = [{"k": value(3), "l": [value(2)]} for _ in range(300)]
+    df = spark.createDataFrame([(i, json.dumps(g, ensure_ascii=i % 2 == 0)) for i, g in enumerate(given)], "i int, payload string")
+    got = {r.i: json.loads(r.payload) for r in with_stored_payload(df).collect()}
+    assert [got[i] for i in range(300)] == [walk(g) for g in given]
+
+
+def test_distinct_counts_follow_the_collation(tables, spark):
+    spec = {"source": "events", "group_by": ["language"], "columns": [{"fn": "count_distinct", "field": "type", "as": "n"}]}
+    doubled = tables["events"].withColumn("type", F.when(F.col("id") == 2, "GAME_completed").otherwise(F.col("type")))
+    plan = parse_spec({"sheets": [{**spec, "columns": ["language", *spec["columns"]]}]}).sheets[0]
+    count = lambda settings: {r[0]: r[1] for r in compile_sheet(plan, {**tables, "events": doubled}, 1, settings=settings).collect()}
+    assert count(Settings())["sv"] == 2 and count(Settings(text_collation="UNICODE_CI"))["sv"] == 1
