@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from campaignlake.llm import textkit as tk
 from campaignlake.llm.common import staged
-from campaignlake.llm.graph import components
+from campaignlake.llm.graph import components, nearest_roots
 
 RANGE_SHINGLES = 2_000_000
 FLUSH_SHINGLES = 1_000_000
@@ -348,7 +348,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
         "h", "sig", "n", "m", (F.col("n") - F.col("m") + F.col("i")).alias("at")
     )
     stars = _links(_star_pairs(tokens, percent, boundary), sets, percent)
-    rest = _links(_open_pairs(tokens, components(stars), percent, boundary), sets, percent)
+    rest = _links(_open_pairs(tokens, nearest_roots(stars), percent, boundary), sets, percent)
     roots = components(stars.unionByName(rest).unionByName(light_edges))
 
     filled = measured.where("n > 0").join(roots.withColumnRenamed("node", "sig"), "sig", "left")

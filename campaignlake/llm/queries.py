@@ -23,10 +23,9 @@ def op3_merkle_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives all pages twice, the second time with one byte changed in the records of every 97th page_id, and audits."""
     records = warc_audit.archive_records(table(spark, sf_dir, "pages"))
     root = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
-    warc_audit.write_archive(records, f"{root}/archive")
     rot = F.when(F.col("page_id") % 97 == 5, F.regexp_replace("record", "^(WARC/1.0\r\nWARC-Type: resourc)e", "$1f"))
-    warc_audit.write_archive(records.withColumn("record", F.coalesce(rot, F.col("record"))), f"{root}/replica")
-    leaves, damaged = warc_audit.audit(spark, f"{root}/archive", f"{root}/replica")
+    warc_audit.write_archives(records, root, {"archive": F.col("record"), "replica": F.coalesce(rot, F.col("record"))})
+    leaves, damaged = warc_audit.audit(spark, f"{root}/replica=archive", f"{root}/replica=replica")
     found = damaged.select("node", "other_digest")
     return leaves.join(found, "node", "left").select(
         F.regexp_extract("record_id", r"(\d+)$", 1).cast("long").alias("page_id"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,14 +63,21 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, 0..size-1."""
+    out = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(size, np.uint64(base), np.uint64)
+        steps[:1] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
 
 
-_POW = powers(_BASE, SLICE_BYTES + 1)
-_INV = powers(_INVERSE, SLICE_BYTES + 1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers; tables of the usual size are kept, of larger ones nothing is."""
+    size = max(1 << 12, 1 << (n - 1).bit_length())
+    return _powers(size) if size <= 2 * SLICE_BYTES else _powers.__wrapped__(size)
 
 
 def word_edges(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +101,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE_BYTES, "right")))
         lo, hi = int(starts[a]), int(ends[b - 1])
         n = hi - lo
-        pw, inv = (_POW, _INV) if n <= SLICE_BYTES else (powers(_BASE, n + 1), powers(_INVERSE, n + 1))
+        pw, inv = powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data[lo:hi]] * pw[:n], out=sums[1:])
         s, e = starts[a:b] - lo, ends[a:b] - lo

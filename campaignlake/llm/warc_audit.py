@@ -1,6 +1,6 @@
 """WARC archives and their Merkle fixity audit.
 
-Records are written as WARC files by Spark's text writer. An audit reads every replica's files, hashes each
+Records are written as gzipped WARC files by Spark's text writer; offsets count plain bytes. An audit reads every replica's files, hashes each
 record (the leaves, in order of file and offset) and then ordered ranges of FAN nodes level by level up to one
 root for each replica. Replicas are compared from the roots down: only the children of nodes that differ are
 looked at, which ends at the records that are damaged, missing or moved.
@@ -9,7 +9,7 @@ Leaf numbers are file * FAN ** depth + place in the file, so a node's parent is
 within files and above them; a group never has more than FAN members.
 
 Defined cases: null url or html are written as empty; pages that share a page_id are ordered by url and html;
-a null page_id is archived in file 0 first; bytes that are no record (a damaged header) become a leaf of their own up to
+a null page_id is archived in file 0 first; bytes that are no record (a damaged header or gzip stream) become a leaf of their own up to
 the next record; an empty table gives an archive without records and an audit without rows; other input columns are not read.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,18 +61,40 @@ def archive_records(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataF
     )
 
 
-def write_archive(records: DataFrame, path: str) -> None:
-    """WARC files `<path>/file=<n>/`, one for each file number, in order of page_id."""
+def write_archives(records: DataFrame, path: str, replicas: dict[str, Column] | None = None) -> None:
+    """WARC files `<path>/replica=<name>/file=<n>/`, in order of page_id; `replicas` maps names to record columns.
+
+    Records are shuffled once, whatever the number of replicas, and files are gzip streams.
+    """
+    named = [
+        F.struct(F.lit(name).alias("replica"), record.alias("value"))
+        for name, record in (replicas or {"archive": F.col("record")}).items()
+    ]
     (
         records.repartition("file")
-        .sortWithinPartitions("file", "page_id", "url", "html")
-        .select("file", F.col("record").alias("value"))
-        .write.partitionBy("file")
+        .select("file", "page_id", "url", "html", F.inline(F.array(*named)))
+        .sortWithinPartitions("replica", "file", "page_id", "url", "html")
+        .select("replica", "file", "value")
+        .write.partitionBy("replica", "file")
         .option("lineSep", END)
+        .option("compression", "gzip")
         .text(path)
     )
 
 
+def plain_bytes(raw: bytes) -> bytes:
+    """A file's records; of a damaged gzip stream what can be read, and then the rest as it is."""
+    if not raw.startswith(b"\x1f\x8b"):
+        return raw
+    stream, out, at = zlib.decompressobj(31), [], 0
+    try:
+        for at in range(0, len(raw), 1 << 16):
+            out.append(stream.decompress(raw[at : at + (1 << 16)]))
+    except zlib.error:
+        out.append(raw[at:])
+    return b"".join(out)
+
+
 def split_records(content: bytes) -> Iterator[tuple[int, int, str]]:
     """(offset, length, record id) of each record; damaged stretches have the id of what can be read, or none."""
     at = 0
@@ -92,7 +115,7 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["file", "place", "start", "length", "record_id", "digest"]
     for batch in batches:
         for file, content in zip(batch.column("file"), batch.column("content"), strict=True):
-            raw = content.as_buffer().to_pybytes()
+            raw = plain_bytes(content.as_buffer().to_pybytes())
             rows = [(file.as_py(), i, a, n, rid, hashlib.sha256(raw[a : a + n]).hexdigest()) for i, (a, n, rid) in enumerate(split_records(raw))]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             kinds = [pa.int64()] * 4 + [pa.string()] * 2

@@ -11,6 +11,7 @@ import pytest
 
 from campaignlake.llm import decontamination, fingerprints, ngram_join
 from campaignlake.llm.common import ship_package
+from campaignlake.llm.graph import components, nearest_roots
 
 
 @pytest.fixture(autouse=True)
@@ -120,3 +121,12 @@ def test_decontamination_keeps_columns_and_clean_rows(spark):
     assert not {1, 2, 3} & {r.doc_id for r in clean.collect()} and clean.count() == len(brute.awkward()) - 4
     assert decontamination.clean_documents(docs, bench.where("false")).count() == len(brute.awkward())
     assert decontamination.clean_documents(docs.where("false"), bench).count() == 0
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 140)] + [(7, 7), (1, 40), (200, 201), (201, 200), (202, 201), (105, 300)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, **{x: 100 for x in range(100, 140)}, 200: 200, 201: 200, 202: 200, 300: 100}
+    near = nearest_roots(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(near) == len({r.node for r in near}) and all(got[r.node] == got[r.root] for r in near if r.node in got)
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == []

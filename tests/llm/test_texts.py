@@ -270,8 +270,8 @@ def test_wrappers_are_union_free():
 
 def archive_of(spark, folder: str, rows: list[tuple], damage=None, file_records: int = 7) -> str:
     records = warc_audit.archive_records(spark.createDataFrame(rows, "page_id long, url string, html string"), file_records)
-    warc_audit.write_archive(records if damage is None else records.transform(damage), folder)
-    return folder
+    warc_audit.write_archives(records if damage is None else records.transform(damage), folder)
+    return f"{folder}/replica=archive"
 
 
 ROWS = [(i, f"https://x/{i}", f"<p>päge {i}</p>\r\n\r\nWARC/1.0\r\n" * (i % 3)) for i in range(40)] + [(40, None, None), (41, "", ""), (41, "", "")]
@@ -294,6 +294,16 @@ def test_damage_is_located(spark, tmp_path):
     assert "urn:page:9" in {r.record_id for r in warc_audit.audit(spark, a, c)[1].collect()}
 
 
+def test_a_damaged_stream_is_one_damaged_file():
+    import gzip
+
+    records = b"".join(b"WARC/1.0\r\nContent-Length: 900\r\n\r\n" + hashlib.sha512(b"%d" % i).hexdigest().encode() * 7 + b"1234" + b"\r\n\r\n" for i in range(900))
+    packed = gzip.compress(records)
+    assert warc_audit.plain_bytes(packed) == warc_audit.plain_bytes(records) == records
+    broken = packed[: len(packed) // 2] + bytes([packed[len(packed) // 2] ^ 255]) + packed[len(packed) // 2 + 1 :]
+    assert warc_audit.plain_bytes(broken) != records and len(list(warc_audit.split_records(warc_audit.plain_bytes(broken)))) > 1
+
+
 def test_missing_records_and_empty_archives(spark, tmp_path):
     a = archive_of(spark, str(tmp_path / "a"), ROWS)
     b = archive_of(spark, str(tmp_path / "b"), ROWS, lambda r: r.where("page_id is null or page_id <> 39"))
