@@ -23,19 +23,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     network = langid.train(docs)
     if network is None:
         return docs
-    sure = langid.predict(docs, network, docs.columns).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE))
-    return sure.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    spare = [f"_c{i}" for i in range(len(docs.columns))]
+    text, lang = (spare[docs.columns.index(c)] for c in ("text", "lang"))
+    judged = langid.predict(docs.toDF(*spare).withColumn("text", F.col(text)), network, spare)
+    sure = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE))
+    return sure.withColumn(lang, F.coalesce(lang, "lang_pred")).select(*spare).toDF(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates (five words, 0.8): the one with the smallest doc_id.
     Rows without doc_id go by a hash of their text; of repeated rows one stays."""
     ship_package(spark)
-    named = docs.withColumn("_id", F.coalesce("doc_id", -F.pmod(F.xxhash64("text"), F.lit(1 << 62)) - 1))
-    groups = ngram_join.ngram_components(named.select(F.col("_id").alias("doc_id"), "text"), words=5, percent=80)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    one = F.row_number().over(Window.partitionBy("_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64(*docs.columns)))
-    return named.join(kept, "_id", "left_semi").withColumn("_n", one).where("_n = 1").select(*docs.columns)
+    named = docs.withColumn("_ngram_id", F.coalesce("doc_id", -F.pmod(F.xxhash64("text"), F.lit(1 << 62)) - 1))
+    groups = ngram_join.ngram_components(named.select(F.col("_ngram_id").alias("doc_id"), "text"), words=5, percent=80)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_ngram_id")).distinct()
+    one = F.row_number().over(Window.partitionBy("_ngram_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64(*docs.columns)))
+    return named.join(kept, "_ngram_id", "left_semi").withColumn("_ngram_n", one).where("_ngram_n = 1").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
