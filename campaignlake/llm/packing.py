@@ -150,36 +150,56 @@ def fillings(room: int, counts: dict[int, int], sizes: list[int], wanted: int =
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY) -> Bins:
-    """Bins for lengths with counts, as few as the search finds; never more than best fit makes."""
-    total = sum(s * n for s, n in counts.items())
-    least = -(-total // capacity)
+    """Bins for lengths with counts, as few as the search finds; never more than best fit makes.
+
+    One table of what is left is changed on the way down and restored on the way back, so the memory is that of
+    the table and one bin for each level.
+    """
     best = best_fit(counts, capacity)
     made = sum(n for _, n in best)
-    nodes = 0
-    #: (counts left, bins so far, their number)
-    stack: list[tuple[dict[int, int], Bins, int]] = [(dict(counts), [], 0)]
-    while stack and made > least and nodes < SEARCH_NODES:
-        left, bins, n = stack.pop()
-        nodes += 1
-        if not left:
-            if n < made:
-                best, made = bins, n
-            continue
-        rest = sum(s * c for s, c in left.items())
-        if n + -(-rest // capacity) >= made:
-            continue
-        largest = max(left)
-        inner = {**left, largest: left[largest] - 1}
-        branches = []
-        for chosen in fillings(capacity - largest, inner, sorted(s for s, c in inner.items() if c)):
-            need = Counter((largest, *chosen))
-            times = min(left[s] // c for s, c in need.items())
-            after = {s: c - times * need[s] for s, c in left.items() if c > times * need[s]}
-            branches.append((after, [*bins, ((largest, *chosen), times)], n + times))
-        stack += branches[::-1]
+    left = {s: n for s, n in counts.items() if n}
+    rest = sum(s * n for s, n in left.items())
+    least = -(-rest // capacity)
+    bins: Bins = []
+    levels = [iter(_completions(left, capacity))]
+    number = nodes = 0
+    while levels and made > least and nodes < SEARCH_NODES:
+        chosen = next(levels[-1], None)
+        if chosen is None:
+            levels.pop()
+        else:
+            nodes += 1
+            lengths, times = chosen
+            bins.append(chosen)
+            number, rest = number + times, rest - times * sum(lengths)
+            for size in lengths:
+                left[size] -= times
+                if not left[size]:
+                    del left[size]
+            if not left and number < made:
+                best, made = list(bins), number
+            if left and number + -(-rest // capacity) < made:
+                levels.append(iter(_completions(left, capacity)))
+                continue
+        if bins and (chosen is not None or levels):
+            lengths, times = bins.pop()
+            number, rest = number - times, rest + times * sum(lengths)
+            for size in lengths:
+                left[size] = left.get(size, 0) + times
     return best
 
 
+def _completions(left: dict[int, int], capacity: int) -> Bins:
+    """Bins around the largest length that is left, each as often as the counts allow."""
+    if not left:
+        return []
+    largest = max(left)
+    inner = {**left, largest: left[largest] - 1}
+    found = fillings(capacity - largest, inner, sorted(s for s, c in inner.items() if c))
+    full = [(largest, *chosen) for chosen in found]
+    return [(lengths, min(left[s] // c for s, c in Counter(lengths).items())) for lengths in full]
+
+
 # ---- placing
 
 def plan_table(bins: Bins) -> dict[int, np.ndarray]:
