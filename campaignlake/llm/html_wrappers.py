@@ -58,6 +58,10 @@ BOILERPLATE = frozenset(
     "topbar widget".split()
 )
 
+# Class tokens that begin so describe the page around them (`has-sidebar`), not a region; and elements that hold all regions.
+MODIFIERS = frozenset("has have no not with without is show hide".split())
+WHOLE = frozenset(["html", "body", "main"])
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -81,13 +85,14 @@ class Node:
 
 def element_key(tag: str, attributes: str) -> str:
     """Element with the words of its class, id and role; digits and values that differ from page to page stay out."""
-    words = {w for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower())}
-    return " ".join([tag, *sorted(words)])
+    names = [name for m in _ATTRIBUTE.finditer(attributes) for name in (m[2] or m[3] or m[4] or "").lower().split()]
+    parts = [_WORD.findall(name) for name in names]
+    return " ".join([tag, *sorted({w for p in parts if not MODIFIERS & set(p[:-1]) for w in p})])
 
 
 def excluded(key: str) -> bool:
     tag, *words = key.split(" ")
-    return tag in NEVER or any(w in BOILERPLATE for w in words)
+    return tag in NEVER or (tag not in WHOLE and any(w in BOILERPLATE for w in words))
 
 
 def stream(source: str) -> Iterator[tuple[str, str]]:

@@ -244,6 +244,13 @@ def test_articles_come_out_clean(spark):
         assert got[i].text == f"T{i} & co\nFirst {i} line\nSecond <{i}>" and got[i].n_chars == len(got[i].text)
 
 
+def test_classes_of_the_whole_page_exclude_nothing(spark):
+    html = "<body class='has-sidebar ad-free'><div class='content with-sidebar'><p>{}</p></div><div class='left-sidebar'>Side</div><div class=user-comments>C</div></body>"
+    rows = [(i, f"https://c.example/{i}", html.format(brute.prose(i, 20))) for i in range(9)]
+    got = html_wrappers.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()
+    assert all(r.text == brute.prose(r.page_id, 20) for r in got)
+
+
 def test_region_without_article_and_template_slots(spark):
     mains = [f"<div class=wrap><div class=kicker>Our magazine</div><div class=body><p>{brute.prose(i, 30)}</p><p>{brute.prose(i + 1, 20)}</p></div></div>" for i in range(10)]
     got = {r.page_id: r.text for r in html_wrappers.page_texts(pages(spark, mains), ["page_id"]).collect()}
