@@ -25,7 +25,8 @@ class JoinDef:
     """Join to another table; `on` is a list of (left column, operator, right column).
 
     Declared joins go from the source to a table with one row per key. A hot key then sits on
-    the left side, which AQE can split for inner and left joins alike.
+    the left side, which AQE can split for inner and left joins alike. One condition at least is an
+    equality, since a join of inequalities alone compares all pairs.
     """
 
     table: str
@@ -33,6 +34,10 @@ class JoinDef:
     on: tuple[tuple[str, str, str], ...]
     how: str = "inner"
 
+    def __post_init__(self) -> None:
+        if not any(op == "=" for _, op, _ in self.on):
+            raise ValueError(f"the join to {self.table} needs an equality")
+
 
 @dataclass(frozen=True)
 class SourceDef:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from campaignlake.plans.guards import check_spec
+from campaignlake.sources.registry import JoinDef
 from campaignlake.plans.spec import SortKey, SpecError, parse_spec, sort_entry, source_of
 from campaignlake.plans.workbook import README_LABELS, configuration_rows, kpi_rows, labelled, unique_sheet_names
 
@@ -146,3 +147,8 @@ def test_summary_flag():
         True, True, False, False, False,
     ]
 
+
+
+def test_joins_need_an_equality():
+    with pytest.raises(ValueError, match="equality"):
+        JoinDef("users", "u", (("u.id", "<", "players.user_id"),))
