@@ -9,8 +9,10 @@ from campaignlake.llm.common import staged
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
-    """(u, v) with v joined to `low`, the smallest of u and its neighbours; a hub is split by the join, never collected.
-    Both sides are dealt by u already, so a merge join costs no exchange and nothing passes through the driver."""
+    """(u, v) with v joined to `low`, the smallest of u and its neighbours.
+
+    Both sides are dealt by u already, so a merge join costs no exchange and nothing passes through the driver. A
+    hub's edges are streamed, never collected; they are one task's rows of two numbers each."""
     low = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
     return edges.join(low.hint("merge"), "u")
 

@@ -305,7 +305,8 @@ def _star_pairs(tokens: DataFrame, percent: int, boundary: int) -> DataFrame:
     centre = tokens.groupBy("h").agg(
         F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "sig", "n", "m", "at")).alias("c"), F.count(F.lit(1)).alias("listed")
     )
-    c = centre.where("listed > 1").select("h", "c.*").alias("q")
+    # Staged, so that the join has a plain exchange on either side and Spark can split the list of a hot shingle.
+    c = staged(centre.where("listed > 1").select("h", "c.*"), "centres").alias("q")
     met = tokens.alias("p").join(c, "h").where(_possible(percent, boundary, "p", "q"))
     return met.select(F.expr("least(p.sig, q.sig)").alias("u"), F.expr("greatest(p.sig, q.sig)").alias("v")).distinct()
 
@@ -336,7 +337,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
 
     subsets = staged(texts.mapInArrow(_subsets(words, percent, boundary), "key long, sig long, n int, a int"), "subsets")
     centres = subsets.groupBy("key").agg(F.min(F.struct("n", "sig")).alias("c"), F.count(F.lit(1)).alias("listed"))
-    light = subsets.join(centres.where("listed > 1"), "key").where("c.n = a and c.sig <> sig")
+    light = subsets.join(staged(centres.where("listed > 1"), "light-centres"), "key").where("c.n = a and c.sig <> sig")
     light_edges = light.select(F.col("c.sig").alias("u"), F.col("sig").alias("v")).distinct()
 
     requests = texts.mapInArrow(
