@@ -47,7 +47,7 @@ def test_events_replay_keyless_and_unresolved(spark, store):
     got = store.read("events")
     assert got.count() == 7 and got.select("id").distinct().count() == 7
     stored = got.where("dedup_key = 'k1'").first()
-    assert (stored.payload, stored.payload_language, stored.payload_score) == ('{"language":"it","score":3}', "it", 3)
+    assert (json.loads(stored.payload), stored.payload_language, stored.payload_score) == ({"language": "it", "score": 3}, "it", 3)
     assert str(stored.occurred_at) == "2026-01-15 08:00:00" or stored.occurred_at.hour == 8
     assert got.where("dedup_key = 'k2'").first().player_id == 2
     assert got.where("dedup_key is null").first().payload == "[]"
