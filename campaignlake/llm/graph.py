@@ -17,15 +17,6 @@ def _lowest(edges: DataFrame) -> DataFrame:
     return edges.join(low.hint("merge"), "u")
 
 
-def nearest_roots(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest direct neighbour, and that one's in turn. Nodes with one root are connected;
-    the reverse does not hold. One pass, for pruning where `components` would cost more than it saves."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    first = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("v")), "nearest")
-    second = first.select(F.col("u").alias("v"), F.col("v").alias("root"))
-    return first.join(second.hint("merge"), "v").select(F.col("u").alias("node"), "root")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of `edges` (columns u, v) with the smallest node it is connected to.
 

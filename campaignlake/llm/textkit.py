@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 MASK48 = np.uint64((1 << 48) - 1)
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 SLICE_DOCS = 1 << 15
 
 _rng = np.random.default_rng(20260101)
