@@ -1,10 +1,11 @@
 """Benchmark decontamination with training suffix arrays.
 
 Each run of training texts is a shard with its own suffix array over words. Every suffix of a test item is
-binary-searched in every shard's array; the neighbours of its place give the longest verbatim match, and the
-rows that begin with the item's window give its locations. Training words that no test item has can't lie
-in a match, so an array holds only the suffixes that start a long enough run of test vocabulary: same answers
-as the full array, at a fraction of its size.
+binary-searched in every shard's array, and the rows that begin with the item's window give its locations. The
+test suffixes are sorted in with the shard's: of every training suffix, the test suffixes next to it give the
+longest verbatim match, whatever copies and other texts the shard holds. Training words that no test item has,
+and pairs of words that none has in a row, can't lie in a match, so an array holds only the runs between them:
+same answers as the full array, at a fraction of its size.
 
 Test items come to the tasks in blocks of bounded size (BLOCK_WORDS words each); a larger benchmark means
 more blocks, each a broadcast of the same size.
@@ -46,6 +47,11 @@ class TestBlock:
         self.vocabulary, self.code = np.unique(self.words, return_inverse=True)
         self.code = self.code.astype(np.int32) + 1
         self.shortest = int(self.length.min()) if len(self.length) else 0
+        # the items one after the other, each followed by a zero; and the pairs of words that follow each other
+        self.place = np.arange(len(self.words)) + self.item
+        self.line = np.zeros(len(self.words) + len(ids), np.int32)
+        self.line[self.place] = self.code
+        self.pairs = np.unique(self._pair(self.code[:-1], self.code[1:])[self.item[:-1] == self.item[1:]])
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self._cells(self.vocabulary)] = True
 
@@ -53,6 +59,17 @@ class TestBlock:
     def _cells(words: np.ndarray) -> np.ndarray:
         return (words >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a.astype(np.int64) << 32) | b
+
+    def adjacent(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether an item has the words of codes `a` and `b` in a row."""
+        pair = self._pair(a, b)
+        at = np.searchsorted(self.pairs, pair)
+        at[at == len(self.pairs)] = 0
+        return self.pairs[at] == pair if len(self.pairs) else np.zeros(len(pair), bool)
+
     def codes(self, words: np.ndarray) -> np.ndarray:
         """1.. for words of the test vocabulary in its order, 0 for all others."""
         out = np.zeros(len(words), np.int32)
@@ -94,9 +111,8 @@ def _order(train: np.ndarray, at: np.ndarray, test: np.ndarray, query: np.ndarra
     return sign, common
 
 
-def find_windows(codes: np.ndarray, arrays: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray, list]:
-    """(first, past, nearest) of every test suffix: its rows in the array for its window; and for either neighbour
-    of its place, (test suffixes, array rows, words that agree), of which the larger is its longest match."""
+def find_windows(codes: np.ndarray, arrays: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray]:
+    """(first, past) of every test suffix: its rows in the array for its window."""
     n = len(block.code)
     test = np.append(block.code, np.zeros(block.window + 1, block.code.dtype))
     length = np.minimum(block.length, block.left)
@@ -110,12 +126,25 @@ def find_windows(codes: np.ndarray, arrays: np.ndarray, block: TestBlock) -> tup
             lo[todo[right]] = mid[right] + 1
             hi[todo[~right]] = mid[~right]
         ends.append(lo)
-    nearest = []
-    for rows in (ends[0] - 1, ends[0]):
-        there = np.flatnonzero((rows >= 0) & (rows < len(arrays)))
-        _, common = _order(codes, arrays[rows[there]], test, there, block.left[there])
-        nearest.append((there, rows[there], common))
-    return ends[0], ends[1], nearest
+    return ends[0], ends[1]
+
+
+def longest_matches(codes: np.ndarray, order: np.ndarray, base: int, block: TestBlock) -> np.ndarray:
+    """Words that the training suffixes (places below `base` in `order`, all suffixes sorted) have in common with
+    any test suffix: the ones next to it in the order agree the longest."""
+    rows, line = np.arange(len(order)), order >= base
+    train = np.flatnonzero(~line)
+    before = np.maximum.accumulate(np.where(line, rows, -1))[train]
+    after = np.minimum.accumulate(np.where(line, rows, len(rows))[::-1])[::-1][train]
+    left = np.zeros(len(block.line), np.int64)
+    left[block.place] = block.left
+    longest = np.zeros(len(train), np.int64)
+    for beside in (before, after):
+        there = np.flatnonzero((beside >= 0) & (beside < len(rows)))
+        test = order[beside[there]]
+        _, common = _order(codes, order[train[there]], codes, test, left[test - base])
+        longest[there] = np.maximum(longest[there], common)
+    return longest
 
 
 def shard_hits(data: np.ndarray, offsets: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]], np.ndarray]:
@@ -126,33 +155,36 @@ def shard_hits(data: np.ndarray, offsets: np.ndarray, block: TestBlock) -> tuple
     if not n_words or not len(block.words):
         return bounds, hit, items, longest
     doc = np.repeat(np.arange(n_docs), np.diff(bounds))
-    # a zero stands after each text, so that no run of words passes from one text to the next
-    place = np.arange(n_words) + doc
-    codes = np.zeros(n_words + n_docs, np.int32)
-    codes[place] = block.codes(tk.word_hashes(data, starts, ends))
-    inside = np.flatnonzero(codes)
-    stops = np.flatnonzero(codes == 0)
-    run_end = stops[np.searchsorted(stops, inside)]
-    inside = inside[run_end - inside >= block.shortest]
-    if not len(inside):
+    codes = block.codes(tk.word_hashes(data, starts, ends))
+    np.maximum.at(longest, doc, codes > 0)
+    # runs of words that follow each other in an item; those of one word matter to items of one word only
+    joined = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0) & (doc[:-1] == doc[1:]))
+    joined = joined[block.adjacent(codes[joined], codes[joined + 1])]
+    follows = np.zeros(n_words + 1, bool)
+    follows[joined + 1] = True
+    alone = ~follows[:-1] & ~follows[1:]
+    kept = np.flatnonzero((codes > 0) & ~(alone & (block.shortest > 1)))
+    if not len(kept):
         return bounds, hit, items, longest
-    # the runs alone, one after the other, each followed by a zero
-    runs = np.zeros(len(codes) + 1, np.int64)
-    np.add.at(runs, inside, 1)
-    np.add.at(runs, stops[np.searchsorted(stops, inside)] + 1, -1)
-    kept = np.flatnonzero(np.cumsum(runs[:-1]) > 0)
-    dense = np.append(codes[kept], np.zeros(int(block.left.max()) + 1, np.int32))
-    array = suffix_array(dense, np.searchsorted(kept, inside), int(block.left.max()))
-    first, past, nearest = find_windows(dense, array, block)
-    word_of = np.zeros(len(codes), np.int64)
-    word_of[place] = np.arange(n_words)
-    for _, rows, common in nearest:
-        np.maximum.at(longest, doc[word_of[kept[array[rows]]]], common)
+    # the runs alone, one after the other, each followed by a zero; then the test items
+    run = np.cumsum(~follows[kept]) - 1
+    place = np.arange(len(kept)) + run
+    far = int(block.left.max())
+    base = len(kept) + int(run[-1]) + 1
+    dense = np.zeros(base + len(block.line) + far + 1, np.int32)
+    dense[place] = codes[kept]
+    dense[base : base + len(block.line)] = block.line
+    word_of = np.zeros(base, np.int64)
+    word_of[place] = kept
+    order = suffix_array(dense, np.concatenate([place, base + block.place]), far)
+    array = order[order < base]
+    np.maximum.at(longest, doc[word_of[array]], longest_matches(dense, order, base, block))
+    first, past = find_windows(dense, array, block)
     full = np.flatnonzero((past > first) & (block.left >= block.length))
     sizes = past[full] - first[full]
     test = np.repeat(full, sizes)
     rows = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[full], sizes)
-    at = word_of[kept[array[rows]]]
+    at = word_of[array[rows]]
     marks = np.zeros(n_words + 1, np.int64)
     np.add.at(marks, at, 1)
     np.add.at(marks, at + block.length[test], -1)

@@ -113,6 +113,16 @@ def test_decontamination_finds_the_longest_match(spark):
     assert decontamination.contamination(docs, bench, ["doc_id"]).first().longest_match == 25
 
 
+def test_longest_match_of_copies_and_of_matches_of_different_length(spark):
+    item = [f"w{i}" for i in range(40)]
+    texts = [item[5:25], item[5:25], item[5:17] + ["x"] + item[20:24], item[5:30], item[5:30], item[3:6], item[:2] + ["x"], ["w7", "x", "w9"], item[36:], ["x"]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    # the second item ends where others go on, and the third has the first one's beginning
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:15])), (3, " ".join(item[5:14] + ["y", "z"]))], "item_id long, text string")
+    got = {r.doc_id: r.longest_match for r in decontamination.contamination(docs, bench, ["doc_id"]).collect()}
+    assert [got[i] for i in range(len(texts))] == [20, 20, 12, 25, 25, 3, 2, 1, 4, 0]
+
+
 def test_decontamination_keeps_columns_and_clean_rows(spark):
     docs = spark.createDataFrame(brute.awkward(), brute.SCHEMA).selectExpr("*", "doc_id as n_hit", "true as contaminated")
     bench = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
