@@ -8,11 +8,14 @@ and pairs of words that none has in a row, can't lie in a match, so an array hol
 same answers as the full array, at a fraction of its size.
 
 Test items come to the tasks in blocks of bounded size (BLOCK_WORDS words each); a larger benchmark means
-more blocks, each a broadcast of the same size.
+more blocks, each a broadcast of the same size. A task holds one block at a time and merges what they find by
+document; the driver holds one block while it is made. Both need one item to fit (and with encrypted broadcasts,
+which Spark reads at once, a task holds all blocks).
 
 Defined cases: null and empty texts have no words and no hits; an item of fewer words than a window is one
-window; repeated rows are handled one by one; equal items count by their item_id, and an item_id that is null
-is left out; an empty benchmark leaves every document clean; other input columns are untouched.
+window; repeated rows are handled one by one; equal items count by their item_id; items whose item_id is null
+are no items to name, and with `unnamed` (as in the registered query and the pipeline) their windows hit words
+all the same; an empty benchmark leaves every document clean; other input columns are untouched.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ FILTER_BITS = 20
 class TestBlock:
     """Words of some test items: their hashes, the first word and window length of every window, and item ids."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int):
+    def __init__(self, ids: list[str | None], texts: list[str | None], window: int):
         data, offsets = tk.text_buffers(pa.array(texts, pa.string()))
         starts, ends, bounds = tk.word_edges(data, offsets, tk.ALNUM)
         counts = np.diff(bounds)
@@ -190,22 +193,38 @@ def shard_hits(data: np.ndarray, offsets: np.ndarray, block: TestBlock) -> tuple
     np.add.at(marks, at + block.length[test], -1)
     hit = np.cumsum(marks[:-1]) > 0
     for pair in np.unique(doc[at] * len(block.ids) + block.item[test]):
-        items.setdefault(int(pair // len(block.ids)), set()).add(block.ids[int(pair % len(block.ids))])
+        name = block.ids[int(pair % len(block.ids))]
+        if name is not None:
+            items.setdefault(int(pair // len(block.ids)), set()).add(name)
     return bounds, hit, items, longest
 
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
 
 
-def _result(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, blocks: list) -> pa.RecordBatch:
-    n = len(offsets) - 1
-    items: list[set[str]] = [set() for _ in range(n)]
-    bounds, hit, longest = None, False, np.zeros(n, np.int64)
-    for shared in blocks:
-        bounds, own, found, far = shard_hits(data, offsets, shared.value)
-        hit, longest = hit | own, np.maximum(longest, far)
+def _release(shared) -> None:
+    """Lets go of a broadcast's value in this worker; the next `value` reads it from its file again."""
+    if getattr(shared, "_path", None) is not None:
+        vars(shared).pop("_value", None)
+
+
+class _Found:
+    """What the blocks so far found in one slice of texts."""
+
+    def __init__(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
+        self.rows, self.data, self.offsets = rows, data, offsets
+        self.items: list[set[str]] = [set() for _ in range(len(offsets) - 1)]
+        self.bounds, self.hit, self.longest = None, False, np.zeros(len(offsets) - 1, np.int64)
+
+    def search(self, block: TestBlock) -> None:
+        self.bounds, own, found, far = shard_hits(self.data, self.offsets, block)
+        self.hit, self.longest = self.hit | own, np.maximum(self.longest, far)
         for doc, names in found.items():
-            items[doc] |= names
+            self.items[doc] |= names
+
+
+def _result(found: _Found) -> pa.RecordBatch:
+    rows, bounds, hit, items, longest = found.rows, found.bounds, found.hit, found.items, found.longest
     upto = np.concatenate([[0], np.cumsum(hit)])
     n_hit = upto[bounds[1:]] - upto[bounds[:-1]]
     named = [",".join(sorted(x)) for x in items]
@@ -224,16 +243,27 @@ def _scan(blocks: list, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.text_buffers(batch.column("_text"))
-            for i, j in tk.slices(offsets):
-                rows = batch.slice(i, j - i).select(keep)
-                yield _result(rows, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], blocks)
+            slices = [
+                _Found(batch.slice(i, j - i).select(keep), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for i, j in tk.slices(offsets)
+            ]
+            for shared in blocks:
+                block = shared.value
+                for found in slices:
+                    found.search(block)
+                if len(blocks) > 1:
+                    del block
+                    _release(shared)
+            yield from map(_result, slices)
 
     return run
 
 
-def test_blocks(benchmark: DataFrame, window: int = WINDOW) -> list:
+def test_blocks(benchmark: DataFrame, window: int = WINDOW, unnamed: bool = False) -> list:
     """Broadcasts of the items, BLOCK_WORDS words each; the driver reads them one after the other."""
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string"))
+    items = benchmark.where(F.lit(unnamed) | benchmark["item_id"].isNotNull()).select(
+        benchmark["item_id"].cast("string"), benchmark["text"].cast("string")
+    )
     context, out = benchmark.sparkSession.sparkContext, []
     ids, texts, held = [], [], 0
     for row in items.toLocalIterator():
@@ -248,16 +278,16 @@ def test_blocks(benchmark: DataFrame, window: int = WINDOW) -> list:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, unnamed: bool = False) -> DataFrame:
     """`keep` of each row of `docs` (column text), with its words, those hit, the items found and its longest match."""
     rows = docs.select(*keep, docs["text"].cast("string").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(_scan(test_blocks(benchmark, window), keep), f"{fields}, {RESULT}")
+    return rows.mapInArrow(_scan(test_blocks(benchmark, window, unnamed), keep), f"{fields}, {RESULT}")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`docs` without the rows in which a window of the benchmark occurs; columns as they were."""
+    """`docs` without the rows in which a window of the benchmark, items without id too, occurs; columns as they were."""
     spare = [f"_c{i}" for i in range(len(docs.columns))]
     text = docs.columns.index("text")
     plain = docs.toDF(*spare).withColumn("text", F.col(spare[text]))
-    return contamination(plain, benchmark, spare, window).where("not contaminated").select(*spare).toDF(*docs.columns)
+    return contamination(plain, benchmark, spare, window, unnamed=True).where("not contaminated").select(*spare).toDF(*docs.columns)

@@ -75,7 +75,7 @@ def op9_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontamination.contamination(docs, benchmark, ["doc_id"])
+    return decontamination.contamination(docs, benchmark, ["doc_id"], unnamed=True)
 
 
 QUERIES = {

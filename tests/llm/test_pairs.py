@@ -9,7 +9,7 @@ import brute
 import numpy as np
 import pytest
 
-from campaignlake.llm import decontamination, fingerprints, ngram_join
+from campaignlake.llm import decontamination, fingerprints, ngram_join, queries
 from campaignlake.llm.common import ship_package
 from campaignlake.llm.graph import components
 
@@ -123,6 +123,38 @@ def test_longest_match_of_copies_and_of_matches_of_different_length(spark):
     assert [got[i] for i in range(len(texts))] == [20, 20, 12, 25, 25, 3, 2, 1, 4, 0]
 
 
+@pytest.mark.parametrize("block_words", [500_000, 5])
+def test_items_without_id_hit_words(spark, monkeypatch, tmp_path, block_words):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block_words)
+    rows = [(r[0], r[1]) for r in brute.awkward() if r[0] != 11] + [(50, brute.prose(2, 30) + " y " + brute.prose(1, 40)), (51, brute.prose(3, 9))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.op10_suffix_array_decontamination(spark, str(tmp_path)).collect()
+    assert sorted(str(tuple(r)[:6]) for r in got) == sorted(str((i, *brute.benchmark_hits(t, ITEMS))) for i, t in rows)
+    docs, bench = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "benchmark"))
+    clean = decontamination.clean_documents(docs, bench).collect()
+    assert sorted(str(tuple(r)) for r in clean) == sorted(str((i, t)) for i, t in rows if not brute.benchmark_hits(t, ITEMS)[3 + 1])
+
+
+def test_a_task_holds_one_block_at_a_time():
+    class Shared:
+        def __init__(self, block):
+            self._path, self.block = "x", block
+
+        @property
+        def value(self):
+            assert not any("_value" in vars(b) for b in blocks if b is not self)
+            self._value = self.block
+            return self._value
+
+    import pyarrow as pa
+
+    blocks = [Shared(decontamination.TestBlock([str(i)], [brute.prose(i, 20)], 10)) for i in range(3)]
+    batches = [pa.RecordBatch.from_pydict({"_text": [brute.prose(0, 20) + " y " + brute.prose(2, 20), None]})] * 2
+    got = [r for b in decontamination._scan(blocks, [])(iter(batches)) for r in b.to_pylist()]
+    assert [(r["n_hit"], r["n_items"], r["longest_match"]) for r in got] == [(40, 2, 20), (0, 0, 0)] * 2
+
+
 def test_decontamination_keeps_columns_and_clean_rows(spark):
     docs = spark.createDataFrame(brute.awkward(), brute.SCHEMA).selectExpr("*", "doc_id as n_hit", "true as contaminated")
     bench = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
