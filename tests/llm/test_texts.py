@@ -50,6 +50,23 @@ def test_pieces_equal_the_tokenizer(docs):
         assert at == len(ids)
 
 
+def test_pieces_of_added_tokens_and_long_blanks(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [
+        "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext|", "<|ENDOFTEXT|>", "a" + " " * 1_000_000 + "b",
+        "a" + " " * 9_999 + "b", "a" + "\u3000\n" * 5_000 + "b", "\x1f" * 10_001, "y" * 100_000, brute.prose(3, 3000),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got: dict = {}
+    for r in packing.token_pieces(docs, with_ids=True).orderBy("piece").collect():
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    for i, text in enumerate(texts):
+        assert got[i] == [*tokenizer.encode(text, add_special_tokens=False).ids, 0], text[:20]
+
+
 def test_packing_is_gapless_and_tight(docs):
     placed = packing.pack(packing.token_pieces(docs)).collect()
     bins: dict = {}
