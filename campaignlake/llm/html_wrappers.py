@@ -4,8 +4,9 @@ A page becomes a nested token stream: elements with their class, id and role, an
 fold into repeated groups. The streams of a host's pages are aligned one after the other: tokens that match are
 merged, those that do not become optional groups, so the result stays free of unions. Text slots know over how
 many pages they occur, how much text they hold and whether it is the same on all of them. The host's main region
-is the article element, or else the element that holds most of the changing text; slots with one and the same text
-on all pages are template and not content. Regions that are never content (navigation, footers, adverts, forms,
+is the article element, or else the element that holds most of the changing text. A slot with one and the same text on
+all pages is template only if it is no heading, stands before or after all changing text of its page and reads as a
+notice, an advert or a menu; other equal text is the article's. Regions that are never content (navigation, footers, adverts, forms,
 comments, ...) are known by their element or by the words in their class, id or role.
 
 Pages of a hot host are first folded into the different streams they have, then merged in salted groups, then by
@@ -65,6 +66,12 @@ WHOLE = frozenset(["html", "body", "main"])
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+_HEADING = re.compile(r"h[1-6]")
+_NOTICE = re.compile(
+    r"\b(?:subscri(?:be|ption)|newsletter|(?:our|this site uses|we use) cookies|cookie (?:policy|settings|notice)|advertisement|advertorial|"
+    r"sponsored|sign up|log in|follow us|share this|privacy policy|terms of (?:use|service)|all rights reserved|copyright)\b|\u00a9",
+    re.I,
+)
 
 
 class Node:
@@ -306,7 +313,7 @@ def main_region(wrapper: Node, texts: dict[tuple[str, ...], tuple[int, int, bool
 
 
 def _rules(key: tuple, wrappers: pa.Table, found: pa.Table) -> pa.Table:
-    """What extraction needs of a host: its main region's paths, and the slots that are template."""
+    """What extraction needs of a host: its main region's paths, and the slots in it with one text on all pages."""
     schema = pa.schema([("host", pa.string()), ("rules", pa.string())])
     if not wrappers.num_rows:
         return schema.empty_table()
@@ -317,10 +324,10 @@ def _rules(key: tuple, wrappers: pa.Table, found: pa.Table) -> pa.Table:
     }
     regions = main_region(Node.unpacked(json.loads(wrappers.column("name")[0].as_py())), texts)
     inside = [p for p in texts if any(p[: len(r)] == r for r in regions)]
-    template = [p for p in inside if texts[p][2] and texts[p][0] == total]
-    if len(template) == len(inside):
-        template = []
-    rules = json.dumps({"regions": regions, "template": sorted(template)})
+    fixed = [p for p in inside if texts[p][2] and texts[p][0] == total]
+    if len(fixed) == len(inside):
+        fixed = []
+    rules = json.dumps({"regions": regions, "fixed": sorted(fixed)})
     return pa.Table.from_pylist([dict(host=wrappers.column("host")[0].as_py(), rules=rules)], schema)
 
 
@@ -343,19 +350,44 @@ def infer_wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ---- extraction
 
-def main_text(source: str, regions: list[tuple[str, ...]], template: set[tuple[str, ...]]) -> str:
+def template_slots(pieces: list[tuple[tuple[str, ...], str | None]], fixed: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """The `fixed` slots among the page's pieces of content that are template: by the element, the place and the text."""
+    found: dict[tuple[str, ...], list] = {}
+    changing = []
+    for i, (path, text) in enumerate(pieces):
+        if text and text.strip():
+            slot = block_of(path)
+            if slot in fixed:
+                x = found.setdefault(slot, [i, i, "", 0])
+                link = any(key.split(" ", 1)[0] == "a" for key in path)
+                x[1:] = [i, x[2] + text, x[3] + len(text) * link]
+            else:
+                changing.append(i)
+    return {
+        slot
+        for slot, (first, last, text, linked) in found.items()
+        if changing
+        and (last < changing[0] or first > changing[-1])
+        and not any(_HEADING.fullmatch(key.split(" ", 1)[0]) for key in slot)
+        and (2 * linked > len(text) or _NOTICE.search(" ".join(html.unescape(text).split())))
+    }
+
+
+def main_text(source: str, regions: list[tuple[str, ...]], fixed: set[tuple[str, ...]]) -> str:
     """Blocks of a page's main region, without excluded regions and template slots, joined by line ends."""
     pieces = list(slots(source))
     fits = [r for r in regions if any(t and t.strip() and p[: len(r)] == r for p, t in pieces)]
     blocks: list[list[str]] = [[]]
     verdict: dict[tuple[str, ...], bool] = {}
-    for path, text in pieces:
+    for path, _ in pieces:
         if path not in verdict:
             within = not fits or any(path[: len(r)] == r for r in fits)
-            verdict[path] = within and block_of(path) not in template and not any(map(excluded, path))
+            verdict[path] = within and not any(map(excluded, path))
+    template = template_slots([x for x in pieces if verdict[x[0]]], fixed) if fixed else set()
+    for path, text in pieces:
         if text is None:
             blocks.append([])
-        elif verdict[path]:
+        elif verdict[path] and not (template and block_of(path) in template):
             blocks[-1].append(html.unescape(text))
     lines = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
@@ -378,11 +410,11 @@ def _extract(keep: list[str]):
             for source, rules in zip(batch.column("_html").to_pylist(), batch.column("rules").to_pylist(), strict=True):
                 if rules is not None and rules not in known:
                     x = json.loads(rules)
-                    known = {**known, rules: ([tuple(r) for r in x["regions"]], {tuple(p) for p in x["template"]})} if len(known) < 1000 else {}
-                    known.setdefault(rules, ([tuple(r) for r in x["regions"]], {tuple(p) for p in x["template"]}))
-                regions, template = known.get(rules, ([], set()))
+                    known = {**known, rules: ([tuple(r) for r in x["regions"]], {tuple(p) for p in x["fixed"]})} if len(known) < 1000 else {}
+                    known.setdefault(rules, ([tuple(r) for r in x["regions"]], {tuple(p) for p in x["fixed"]}))
+                regions, fixed = known.get(rules, ([], set()))
                 source = source or ""
-                out.append(main_text(source, regions or general_regions(source), template))
+                out.append(main_text(source, regions or general_regions(source), fixed))
             columns = [pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, *columns], [*keep, "text", "n_chars"])
 

@@ -274,6 +274,17 @@ def test_region_without_article_and_template_slots(spark):
     assert all(got[i] == f"{brute.prose(i, 30)}\n{brute.prose(i + 1, 20)}" for i in range(10))
 
 
+def test_equal_text_of_articles_is_kept(spark):
+    recipe = "<article><h1>R{0}</h1><h2>Ingredients</h2><ul><li>{1}</ul><div class=tip>Wash your hands</div><h3>Method</h3><p>{2}</p><div class=end>Good luck</div><div class=letter>Subscribe to our newsletter</div><ul class=more><li><a href=/>All recipes</a></ul></article>"
+    mains = [recipe.format(i, brute.prose(i, 9), brute.prose(i + 1, 20)) for i in range(9)]
+    got = {r.page_id: r.text for r in html_wrappers.page_texts(pages(spark, mains), ["page_id"]).collect()}
+    for i in range(9):
+        assert got[i] == f"R{i}\nIngredients\n{brute.prose(i, 9)}\nWash your hands\nMethod\n{brute.prose(i + 1, 20)}\nGood luck"
+    copies = [f"<article><h1>One title</h1><ul><li>first<li>second</ul><p>{brute.prose(i, 20)}</p><blockquote>As they say</blockquote></article>" for i in range(9)]
+    got = {r.page_id: r.text for r in html_wrappers.page_texts(pages(spark, copies), ["page_id"]).collect()}
+    assert all(got[i] == f"One title\nfirst\nsecond\n{brute.prose(i, 20)}\nAs they say" for i in range(9))
+
+
 def test_awkward_pages(spark):
     rows = [(1, "https://b.example/", None), (2, None, ""), (3, "no url", "just text  here"), (None, None, "<p>a<p>b"), (5, "https://b.example/", "<div" * 50 + ">" + "<div>" * 3000 + "deep"), (5, "https://b.example/", "<p>x &am</p><br>y")]
     got = html_wrappers.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as rules"), ["page_id"]).collect()
