@@ -9,6 +9,10 @@ all pages is template only if it is no heading, stands before or after all chang
 notice, an advert or a menu; other equal text is the article's. Regions that are never content (navigation, footers, adverts, forms,
 comments, ...) are known by their element or by the words in their class, id or role.
 
+Extraction reads the wrapper's set of key paths only: a slot is a key path, and what the alignment decides beyond that
+(optional and repeated groups) serves `expression`. Pages are not matched against their wrapper, so siblings of one key
+share a slot: a notice in an unclassed block among the paragraphs is not told apart from them and stays in the text.
+
 Pages of a hot host are first folded into the different streams they have, then merged in salted groups, then by
 host: the state is one wrapper and one row for each slot, whatever the number of pages.
 
