@@ -123,12 +123,17 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def archive_leaves(spark: SparkSession, path: str) -> DataFrame:
-    """(file, place, start, length, record_id, digest) of every record of the archive at `path`."""
+    """(file, place, start, length, record_id, digest) of every record of the archive at `path`; an archive without
+    records has no files, hence no folder, and gives no rows."""
+    fields = "file long, place long, start long, length long, record_id string, digest string"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], fields)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").schema(
         "path string, modificationTime timestamp, length long, content binary"
     ).load(path)
     named = files.select(F.regexp_extract("path", r"file=(\d+)", 1).cast("long").alias("file"), "content")
-    return named.mapInArrow(_leaves, "file long, place long, start long, length long, record_id string, digest string")
+    return named.mapInArrow(_leaves, fields)
 
 
 def tree_levels(replicas: dict[str, DataFrame]) -> list[DataFrame]:
