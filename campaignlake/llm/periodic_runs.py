@@ -38,8 +38,8 @@ from campaignlake.llm.textkit import mixed
 LEAST = 12
 #: Grid steps that one tile spans at most.
 TILE_STEPS = 64
-#: Words of an output batch, about.
-BATCH_WORDS = 1 << 20
+#: Words of an output batch, and of the tiles that one task solves, about.
+BATCH_WORDS, TASK_WORDS = 1 << 20, 1 << 18
 
 TILE = "array<struct<low:int,high:int,block:int,reach:int,start:long,centres:array<int>,words:binary>>"
 _TILE_TYPE = pa.list_(
@@ -186,13 +186,11 @@ def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- documents
 
 def _tiled(keep: list[str], texts: bool):
-    kind = pa.string()
-
     def flushed(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found, strict=True)) or [()] * 4
+        kinds = {"n_words": pa.int64(), "plain": pa.string(), "_words": pa.binary(), "_tiles": _TILE_TYPE, "_work": pa.int64()}
+        columns = list(zip(*found, strict=True)) or [()] * len(kinds)
         kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in keep]
-        kinds = [pa.int64(), kind, pa.binary(), _TILE_TYPE]
-        return pa.RecordBatch.from_arrays([*kept, *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], [*keep, "n_words", "plain", "_words", "_tiles"])
+        return pa.RecordBatch.from_arrays([*kept, *map(pa.array, columns, kinds.values())], [*keep, *kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +202,7 @@ def _tiled(keep: list[str], texts: bool):
                 own = tiles(word_numbers(words))
                 plain = None if own else joined.decode() if texts else hashlib.sha256(joined).hexdigest()
                 rows.append(i)
-                found.append((len(words), plain, joined if own else None, own))
+                found.append((len(words), plain, joined if own else None, own, sum(len(t["words"]) for t in own) // 4))
                 held += len(words)
                 if held >= BATCH_WORDS:
                     yield flushed(batch, rows, found)
@@ -219,7 +217,7 @@ def _tiled_documents(docs: DataFrame, keep: list[str], texts: bool) -> DataFrame
     spare = [f"_k{i}" for i in range(len(keep))]
     rows = docs.select(*[docs[c].alias(s) for c, s in zip(keep, spare, strict=True)], F.coalesce(F.encode(docs["text"].cast("string"), "UTF-8"), F.lit(b"")).alias("_text"))
     kept = [f"`{s}` {docs.schema[c].dataType.simpleString()}" for c, s in zip(keep, spare, strict=True)]
-    fields = ", ".join([*kept, "n_words long", "plain string", "_words binary", f"_tiles {TILE}"])
+    fields = ", ".join([*kept, "n_words long", "plain string", "_words binary", f"_tiles {TILE}", "_work long"])
     return staged(rows.mapInArrow(_tiled(spare, texts), fields).withColumn("_row", F.monotonically_increasing_id()), "word-tiles")
 
 
@@ -235,7 +233,9 @@ def _stitched(fragments: DataFrame) -> DataFrame:
 
 
 def _runs_of_rows(tiled: DataFrame) -> DataFrame:
-    rows = tiled.where(F.size("_tiles") > 0).select("_row", F.inline("_tiles")).repartition("_row", "low", "start")
+    # Tiles are small for the work they are, so tasks are dealt by their words and not by bytes.
+    work = tiled.agg(F.sum("_work")).first()[0] or 0
+    rows = tiled.where(F.size("_tiles") > 0).select("_row", F.inline("_tiles")).repartition(1 + work // TASK_WORDS, "_row", "low", "start")
     return _stitched(rows.mapInArrow(_solved, "_row long, period long, low long, high long"))
 
 
@@ -269,7 +269,7 @@ def periodic_runs(docs: DataFrame, keep: list[str], texts: bool = True) -> DataF
     `texts` it is that text's sha256 in hexadecimal, and documents without runs never leave their task as text."""
     tiled = _tiled_documents(docs, keep, texts)
     runs = _runs_of_rows(tiled).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
-    joined = tiled.drop("_tiles").join(runs, "_row", "left").withColumn("runs", F.coalesce("runs", F.array().cast(RUNS)))
+    joined = tiled.drop("_tiles", "_work").join(runs, "_row", "left").withColumn("runs", F.coalesce("runs", F.array().cast(RUNS)))
     kept = [f for f in joined.schema.fields if f.name.startswith("_k")] + [joined.schema["n_words"], joined.schema["runs"]]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", collapsed string"
     return joined.mapInArrow(_collapsed([f.name for f in kept], texts), fields).toDF(*keep, "n_words", "runs", "collapsed")
