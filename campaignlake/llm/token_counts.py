@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 #: Code points of an output batch, about.
 BATCH_CHARS = 1 << 20
-#: Distinct pieces and pairs of tokens that a task remembers; longer pieces are not kept.
-KEPT_PIECES, KEPT_PAIRS, KEPT_LETTERS = 300_000, 2_000_000, 64
+#: Distinct pieces (about 230 bytes each) and pairs of tokens that a Python worker remembers; longer pieces are not kept.
+KEPT_PIECES, KEPT_PAIRS, KEPT_LETTERS = 700_000, 1_000_000, 64
 
 # The split of the byte-level vocabularies, and its contractions of three characters.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,7 +67,7 @@ class PrefixCounter:
         self.added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}, key=len, reverse=True)
         self.find_added = regex.compile("|".join(map(regex.escape, self.added)) or r"(?!)")
         self.split = regex.compile(SPLIT)
-        self.blank = regex.compile(r"\s+")
+        self.blanks = regex.compile(r"\s{2,}")
         # Where the two regular expression engines can't differ in their Unicode tables.
         self.common = regex.compile(r"[\x00-ɏ‐-‧]*")
         self.letters = {b: letter for b, letter in byte_letters().items() if chr(b) != letter}
@@ -77,46 +77,54 @@ class PrefixCounter:
             if [t.id for t in self.model.tokenize(token)] == [number]:
                 self.automaton.add_word(token, (len(token), token))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.pieces: dict[str, tuple[bytes, int, int, bool]] = {}
+        self.space = byte_letters()[0x20]
+        self.followers: dict[str, dict[str, bool]] = {}
+        self.asked = 0
+        self.pieces: dict[str, bytes] = {}
 
     def adjacent(self, one: str, other: str) -> bool:
-        """Whether two tokens are the encoding of their joint text; the answer is remembered."""
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.pairs.clear()
+        """Whether two tokens are the encoding of their joint text; the answer is remembered with the first one."""
+        if self.asked >= KEPT_PAIRS:
+            self.followers, self.asked = {}, 0
+        self.asked += 1
         fits = [t.value for t in self.model.tokenize(one + other)] == [one, other]
-        self.pairs[one, other] = fits
+        self.followers.setdefault(one, {})[other] = fits
         return fits
 
-    def byte_counts(self, piece: str) -> list[int]:
-        """Tokens of every prefix of a piece, by bytes: entry 0 is 0."""
-        letters = piece.encode().decode("latin-1").translate(self.letters)
-        last, counts = [""] * (len(letters) + 1), [0] * (len(letters) + 1)
-        known = self.pairs.get
-        for end, (size, token) in self.automaton.iter(letters):
-            end += 1
+    def letter_counts(self, letters: str) -> list[int]:
+        """Tokens of every prefix of a piece, by bytes, from the first byte on."""
+        size = len(letters)
+        last, counts, follows = [""] * size, [0] * size, [{}] * size
+        for end, (length, token) in self.automaton.iter(letters):
             if counts[end]:
                 continue
-            start = end - size
-            if start:
-                fits = known((last[start], token))
+            start = end - length
+            if start < 0:
+                counts[end] = 1
+            else:
+                fits = follows[start].get(token)
                 if not (self.adjacent(last[start], token) if fits is None else fits):
                     continue
-            last[end], counts[end] = token, counts[start] + 1
+                counts[end] = counts[start] + 1
+            last[end], follows[end] = token, self.followers.setdefault(token, {})
+        if 0 in counts:
+            raise ValueError("the vocabulary lacks a byte")
         return counts
 
-    def piece(self, piece: str) -> tuple[bytes, int, int, bool]:
-        """(counts after each code point as int32, number of code points, count of the whole, white space or not)."""
+    def piece(self, piece: str) -> bytes:
+        """Counts after each code point of a piece, as int32."""
         known = self.pieces.get(piece)
         if known is None:
-            counts = self.byte_counts(piece)[1:]
-            if not piece.isascii():
-                counts = [counts[at - 1] for at in accumulate(len(c.encode()) for c in piece)]
+            if piece.isascii():
+                counts = self.letter_counts(piece.replace(" ", self.space) if piece.isprintable() else piece.translate(self.letters))
+            else:
+                raw = piece.encode()
+                counts = self.letter_counts(raw.decode("latin-1").translate(self.letters))
+                # A code point ends where the next byte does not continue it.
+                counts = [n for n, after in zip(counts, raw[1:] + b"a", strict=True) if after & 0xC0 != 0x80]
             if piece in CONTRACTIONS:
                 counts[:2] = 1, 2
-            if 0 in counts:
-                raise ValueError("the vocabulary lacks a byte")
-            known = array("i", counts).tobytes(), len(counts), counts[-1], piece.isspace() and self.blank.fullmatch(piece) is not None
+            known = array("i", counts).tobytes()
             if len(piece) <= KEPT_LETTERS:
                 if len(self.pieces) >= KEPT_PIECES:
                     self.pieces.clear()
@@ -135,16 +143,15 @@ class PrefixCounter:
             return np.zeros(0, np.int32)
         found = list(map(self.pieces.get, pieces))
         if None in found:
-            found = list(map(self.piece, pieces))
-        inner, sizes, totals, blank = zip(*found, strict=True)
-        sizes, totals = np.array(sizes), np.array(totals)
-        before = np.cumsum(totals) - totals
-        counts = np.frombuffer(b"".join(inner), np.int32) + np.repeat(before, sizes).astype(np.int32)
-        starts = np.cumsum(sizes) - sizes
-        for k in np.flatnonzero(blank[:-1]) if True in blank else ():
-            # The last character of a run of white space belongs to the next piece, or is one, only if more follows.
-            if self.blank.match(pieces[k + 1]):
-                counts[starts[k + 1]] = before[k] + self.piece(pieces[k] + pieces[k + 1][0])[2]
+            found = [own or self.piece(piece) for own, piece in zip(found, pieces, strict=True)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        counts = np.frombuffer(b"".join(found), np.int32)
+        totals = counts[np.cumsum(sizes) - 1]
+        counts = counts + np.repeat(np.cumsum(totals, dtype=np.int32) - totals, sizes)
+        for run in self.blanks.finditer(text):
+            # At a prefix's end a run of white space is one piece; before a word its last character is not part of it.
+            a, b = run.span()
+            counts[b - 1] = (counts[a - 1] if a else 0) + np.frombuffer(self.piece(run[0]), np.int32)[-1]
         return counts
 
     def counts(self, text: str) -> np.ndarray:
