@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from campaignlake.functions.normalize import dedup_key, money, to_utc, trim_stri
 from campaignlake.functions.payload import with_payload_columns, with_stored_payload
 from campaignlake.ingest.ledger import COMPLETED, FAILED, PROCESSING, ImportLedger, new_id, require_live_versions, utc_now
 from campaignlake.operators.dedup import new_by_natural_key, new_rows
-from campaignlake.operators.keys import flag_existing
+from campaignlake.operators.keys import flag_existing, touched
 from campaignlake.operators.merge import (
     collapse_players,
     collapse_users,
@@ -24,16 +23,15 @@ from campaignlake.operators.merge import (
     merge_users,
     player_counters,
 )
-from campaignlake.operators.resolve import count_unresolved, resolve_players
-from campaignlake.operators.scores import GAME_EVENT, score_mismatches
-from campaignlake.operators.typed import project_typed, skipped_records, typed_records
+from campaignlake.operators.resolve import resolve_players
+from campaignlake.operators.scores import GAME_EVENT, score_mismatches, score_rollup
+from campaignlake.operators.typed import project_all, records_of, skipped_records
 from campaignlake.operators.validate import BatchRejected, require_clean, split_valid
 from campaignlake.settings import DEFAULT_SETTINGS, Settings
 from campaignlake.sources.batches import explode_documents, split_documents, with_ordinal
 from campaignlake.sources.registry import DEFAULT_REGISTRY, Registry
-from campaignlake.sources.tables import CampaignStore, live_versions
+from campaignlake.sources.tables import INDEXED_TABLES, CampaignStore, Snapshot, live_versions, natural_key
 
-ANSWER_KEY = ["version_id", "player_id", "question_id"]
 # Tables that a job gives ids to.
 WRITES = {
     "players": ("users", "players"),
@@ -58,7 +56,8 @@ class Counters:
 
 @dataclass(frozen=True)
 class Job:
-    """What one run needs: where, which batch, and the batch's single clock reading."""
+    """What one run needs: where, which batch, the tables as they were when it began, and the batch's single clock
+    reading. Rows to store are staged; `publish` writes them all under the batch's number."""
 
     store: CampaignStore
     batch_id: str
@@ -68,17 +67,51 @@ class Job:
     settings: Settings = DEFAULT_SETTINGS
     registry: Registry = DEFAULT_REGISTRY
     versions: tuple[int, ...] = ()
+    number: int = 0
+    at: Snapshot = Snapshot()
+    logged: list[tuple[DataFrame, str]] = field(default_factory=list)
+    changed: list[tuple[DataFrame, str]] = field(default_factory=list)
 
     def stamp(self) -> Column:
         return F.lit(self.now).cast("timestamp")
 
     def table(self, name: str) -> DataFrame:
         """A table, pruned to the batch's versions."""
-        return self.store.read(name, self.versions)
-
-    def write(self, rows: DataFrame, name: str) -> DataFrame:
-        """Rows of a log table, unseen by readers until the import is published."""
-        return self.store.prepare_batch(rows, name, self.batch_id)
+        return self.store.read(name, self.versions, self.at)
+
+    def stage(self, rows: DataFrame, name: str) -> DataFrame:
+        return self.store.stage(rows, name, self.attempt)
+
+    def write(self, rows: DataFrame, name: str, label: str = "") -> DataFrame:
+        """Rows for a log table, staged; the table gets them when the import is published."""
+        staged = self.stage(rows, f"log-{name}{label}")
+        self.logged.append((staged, name))
+        return staged
+
+    def change(self, rows: DataFrame, name: str) -> DataFrame:
+        """Changed and new rows of a merged table, staged like those of `write`."""
+        staged = self.stage(rows, f"changed-{name}")
+        self.changed.append((staged, name))
+        return staged
+
+    def publish(self) -> None:
+        """Write what is staged, in any order: nothing is visible before the commit."""
+        store, number = self.store, self.number
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            done = [pool.submit(store.append_log, rows, name, self.batch_id, number) for rows, name in self.logged]
+            done += [pool.submit(store.write_changes, rows, name, number) for rows, name in self.changed]
+            for one in done:
+                one.result()
+
+    def stored_keys(self, name: str, wanted: DataFrame) -> DataFrame:
+        """Keys of stored rows among which those of the batch are, from few splits of the index."""
+        return self.store.stored_keys(name, wanted, self.versions, self.at)
+
+    def identified(self, candidates: DataFrame) -> DataFrame:
+        """Candidates of known players, resolved once and staged. Of the users only those buckets are read that hold
+        the batch's e-mails."""
+        mails = candidates.select(F.col("player_email").alias("email")).where("email is not null")
+        return resolved_rows(candidates, self.table("players"), self.store.in_buckets_of("users", mails, self.at))
 
 
 # --- candidate rows -----------------------------------------------------------------------------
@@ -174,12 +207,9 @@ def with_ids(rows: DataFrame, first_id: int) -> DataFrame:
 
 
 def ingest_events(job: Job, rows: DataFrame) -> Counters:
-    players, users = job.table("players"), job.table("users")
     candidates = event_candidates(rows)
-    seen = count_unresolved(candidates, players, users).first()
-
-    known = resolved_rows(candidates, players, users)
-    fresh = new_rows(known, job.table("events"), wanted=candidates)
+    known = job.stage(job.identified(candidates), "known")
+    fresh = new_rows(known, job.stored_keys("events", candidates), wanted=candidates)
     first_id = job.ids["events"]
     events = job.write(stored_events(fresh, first_id).withColumn("created_at", job.stamp()), "events")
     typed = F.when(F.col("type").isin(*job.registry.typed), F.col("type"))
@@ -187,29 +217,31 @@ def ingest_events(job: Job, rows: DataFrame) -> Counters:
     inserted, skipped = stored["n"], 0
     if stored["typed"]:
         skipped = _write_typed(job, events, first_id, sorted(stored["typed"]))
-    return Counters(seen["rows"], inserted, seen["rows"] - seen["failed"] - inserted, seen["failed"], skipped)
+    if job.settings.maintain_scores:
+        _add_scores(job, events)
+    processed, accepted = candidates.count(), known.count()
+    return Counters(processed, inserted, accepted - inserted, processed - accepted, skipped)
 
 
 def _write_typed(job: Job, events: DataFrame, first_event: int, event_types: list[str]) -> int:
-    """Typed records of the stored events, one filtered pass per event type that occurs, all
-    submitted together; returns how many were skipped."""
+    """Typed records of the stored events, projected in one pass that parses every payload once; each target then
+    reads its own columns of the staged pass. Returns how many events were skipped."""
     references = {name: job.table(name) for name in job.registry.references.values()}
-    projected = {t: project_typed(events, t, references, job.registry) for t in event_types}
+    projected = job.stage(project_all(events, references, job.registry), "typed")
 
     def write(event_type: str) -> None:
         rule = job.registry.typed[event_type]
-        records = typed_records(projected[event_type]).withColumn("ord", F.col("event_id") - first_event)
+        records = records_of(projected, event_type, job.registry).withColumn("ord", F.col("event_id") - first_event)
         if rule.unique:
-            records = new_by_natural_key(records, job.table(rule.table), list(rule.unique))
+            records = _first_of_key(job, records, rule.table, list(rule.unique))
         absent = {"dedup_key": "string", "redeemed_at": "timestamp"}
         records = records.withColumns(
             {c: F.lit(None).cast(t) for c, t in absent.items() if c not in records.columns}
         )
-        job.write(with_ids(records, job.ids[rule.table]), rule.table)
+        job.write(with_ids(records, job.ids[rule.table]), rule.table, f"-{event_type}")
 
     def write_skips() -> int:
-        report = reduce(DataFrame.unionByName, [skipped_records(p) for p in projected.values()])
-        return job.write(report, "typed_skipped").count()
+        return job.write(skipped_records(projected), "typed_skipped").count()
 
     with ThreadPoolExecutor(max_workers=4) as pool:
         skips = pool.submit(write_skips)
@@ -217,74 +249,71 @@ def _write_typed(job: Job, events: DataFrame, first_event: int, event_types: lis
         return skips.result()
 
 
-def _ingest_fact(
-    job: Job, table: str, candidates: DataFrame, known: DataFrame, keys: list[str] | None
-) -> Counters:
+def _first_of_key(job: Job, rows: DataFrame, table: str, keys: list[str]) -> DataFrame:
+    """First row for each key that is not stored yet; through the index where it holds that key."""
+    if keys != ["version_id", *INDEXED_TABLES.get(table, [])]:
+        return new_by_natural_key(rows, job.table(table), keys)
+    keyed = rows.withColumn("dedup_key", natural_key(table))
+    fresh = new_rows(keyed, job.stored_keys(table, keyed))
+    return fresh if "dedup_key" in rows.columns else fresh.drop("dedup_key")
+
+
+def _add_scores(job: Job, events: DataFrame) -> None:
+    """The new events' scores on top of their players' totals. The changed players carry the batch's number like its
+    events, so both are seen or neither, and a retry starts from the totals before."""
+    gained = job.stage(score_rollup(events).where("score <> 0").withColumnRenamed("player_id", "id"), "scores")
+    if gained.limit(1).count() == 0:
+        return
+    keys = ["version_id", "id"]
+    players = touched(job.table("players").drop("bucket"), gained, keys).join(gained, keys)
+    total = (F.coalesce("total_score", F.lit(0)) + F.col("score")).cast("bigint")
+    job.change(players.withColumns({"total_score": total, "updated_at": job.stamp()}).drop("score"), "players")
+
+
+def _ingest_fact(job: Job, table: str, candidates: DataFrame, known: DataFrame) -> Counters:
     """`known` is resolved once: the copy that is staged feeds the count, the dedup and the write."""
-    existing = job.table(table)
-    known = job.store.stage(known, "known", job.attempt)
-    if keys:
-        fresh = new_by_natural_key(known, existing, keys)
-    else:
-        fresh = new_rows(known, existing, wanted=candidates)
+    known = job.stage(known, "known")
+    keyed = known if "dedup_key" in known.columns else known.withColumn("dedup_key", natural_key(table))
+    fresh = new_rows(keyed, job.stored_keys(table, keyed), wanted=keyed)
     fresh = fresh.withColumns({"event_id": F.lit(None).cast("bigint"), "created_at": job.stamp()})
-    inserted = job.write(with_ids(fresh, job.ids[table]), table).count()
+    inserted = job.write(with_ids(fresh.select(*[c for c in fresh.columns if c in known.columns or c != "dedup_key"]), job.ids[table]), table).count()
     processed, accepted = candidates.count(), known.count()
     return Counters(processed, inserted, accepted - inserted, processed - accepted)
 
 
 def ingest_transactions(job: Job, rows: DataFrame) -> Counters:
     candidates = transaction_candidates(rows)
-    known = resolved_rows(candidates, job.table("players"), job.table("users"))
     # An amount that the column cannot hold fails its row, not the batch.
-    known = known.where(F.col("amount").isNotNull())
-    return _ingest_fact(job, "transactions", candidates, known, None)
+    return _ingest_fact(job, "transactions", candidates, job.identified(candidates).where(F.col("amount").isNotNull()))
 
 
 def ingest_rewards(job: Job, rows: DataFrame) -> Counters:
     candidates = reward_candidates(rows)
-    known = resolved_rows(candidates, job.table("players"), job.table("users"))
-    return _ingest_fact(job, "rewards", candidates, known, None)
+    return _ingest_fact(job, "rewards", candidates, job.identified(candidates))
 
 
 def ingest_answers(job: Job, rows: DataFrame) -> Counters:
     candidates = answer_candidates(rows)
-    known = known_answers(
-        resolved_rows(candidates, job.table("players"), job.table("users")),
-        job.table("questions"),
-        job.table("answer_options"),
-    )
-    return _ingest_fact(job, "answers", candidates, known, ANSWER_KEY)
+    known = known_answers(job.identified(candidates), job.table("questions"), job.table("answer_options"))
+    return _ingest_fact(job, "answers", candidates, known)
 
 
 def ingest_players(job: Job, rows: DataFrame) -> Counters:
+    """Users and players are merged with the rows of their keys, and only these are written."""
     store = job.store
     batch = rows.withColumn("registered_at", to_utc(F.col("registered_at")))
-    # Materialised: it depends on the users table that is replaced below.
-    # Materialised: they depend on tables that are replaced below. Both tables are merged before
-    # either is replaced, and a retry merges again from the tables as they are then.
-    accepted = store.stage(
-        batch.join(external_id_clashes(batch, job.table("users")), "email", "left_anti"), "accepted", job.attempt
+    accepted = job.stage(batch.join(external_id_clashes(batch, store.read("users", at=job.at)), "email", "left_anti"), "accepted")
+    users = job.change(
+        merge_users(
+            store.matching("users", accepted.select("email"), at=job.at), collapse_users(accepted), job.ids["users"], job.stamp()
+        ),
+        "users",
     )
-    merged_users = merge_users(
-        store.touched_buckets("users", accepted.select("email")).drop("bucket"),
-        collapse_users(accepted),
-        job.ids["users"],
-        job.stamp(),
-    )
-    users = store.stage(merged_users, "users", job.attempt)
     mails = users.select(F.col("id").alias("user_id"), "email")
     collapsed = collapse_players(accepted, job.settings.chunk_size).join(mails, "email")
-    merged_players = merge_players(
-        store.touched_buckets("players", collapsed.select("version_id", "user_id"), job.versions).drop("bucket"),
-        collapsed,
-        job.ids["players"],
-        job.stamp(),
-    )
-    players = store.stage(merged_players, "players", job.attempt)
+    existing = store.matching("players", collapsed.select("version_id", "user_id"), job.versions, job.at)
+    players = job.change(merge_players(existing, collapsed, job.ids["players"], job.stamp()), "players")
     counted = player_counters(players).first()
-    store.replace_buckets(users, "users")
-    store.replace_buckets(players, "players")
     processed, kept = batch.count(), accepted.count()
     return Counters(processed, counted["inserted"], counted["duplicates"], processed - kept)
 
@@ -313,18 +342,17 @@ def run_import(
     `reject_batch` refuses the whole batch when a row breaks the rules; `quarantine` keeps the
     good rows and stores the others with their errors. Returns None for a batch that is already
     completed. A failed batch may be run again, with the same rows or corrected ones: an attempt
-    takes new ids, computes everything from the tables as they are, and its log rows are published
-    only at its end. The ids of an attempt are reserved in the ledger before it writes and are
-    never given out again.
+    takes new ids and a new number, computes everything from the tables as they are, and becomes
+    visible in all tables at once when its number is committed. The ids of an attempt are reserved in
+    the ledger before it writes and are never given out again.
     """
     import_id = import_id or new_id()
     ledger = ImportLedger(store)
     with store.lock:
+        recover(store)
         before = ledger.state(import_id)
         if before is not None and before["status"] == COMPLETED:
             return None
-        recover(store)
-        store.withdraw(import_id)
         raw = _land(store, batch_type, rows, import_id)
         seen = raw.agg(F.max("ord").alias("last"), F.collect_set("version_id").alias("versions")).first()
         versions = tuple(sorted(seen["versions"]))
@@ -345,8 +373,10 @@ def run_import(
         attempts = (before["attempts"] if before else 0) + 1
         first_ids = ledger.first_ids(WRITES[batch_type])
         size = 0 if seen["last"] is None else seen["last"] + 1
+        number = store.begin(import_id)
         entry = {
             "type": batch_type,
+            "batch_no": number,
             "batch_id": import_id,
             "attempts": attempts,
             "last_ids": {table: first + size - 1 for table, first in first_ids.items()},
@@ -355,38 +385,42 @@ def run_import(
         }
         ledger.write(import_id, status=PROCESSING, **entry)
         attempt = f"{import_id}/{attempts}"
+        job = Job(store, import_id, attempt, now, first_ids, settings, registry, versions, number, store.snapshot())
         try:
-            counters = JOBS[batch_type](
-                Job(store, import_id, attempt, now, first_ids, settings, registry, versions), good
-            )
-            store.publish(import_id)
+            counters = JOBS[batch_type](job, good)
+            job.publish()
+            counters = replace(counters, rejected=rejected, rejected_documents=rejected_documents)
+            store.commits.commit(number, outcome(counters))
         except Exception as error:
-            store.withdraw(import_id)
             ledger.write(import_id, status=FAILED, error_message=str(error), completed_at=utc_now(), **entry)
             raise
-        counters = replace(counters, rejected=rejected, rejected_documents=rejected_documents)
-        ledger.write(
-            import_id,
-            status=COMPLETED,
-            processed_rows=counters.processed,
-            inserted=counters.inserted,
-            duplicates=counters.duplicates,
-            failed=counters.failed,
-            skipped=counters.skipped,
-            rejected=rejected,
-            rejected_documents=rejected_documents,
-            completed_at=utc_now(),
-            **entry,
-        )
+        ledger.write(import_id, status=COMPLETED, completed_at=utc_now(), **outcome(counters), **entry)
         store.drop_stage(import_id)
+        store.tidy()
         return counters
 
 
+def outcome(counters: Counters) -> dict[str, int]:
+    """The counters as the ledger names them."""
+    values = asdict(counters)
+    return {"processed_rows": values.pop("processed"), **values}
+
+
 def recover(store: CampaignStore) -> list[str]:
-    """Take back what imports of a driver that died have left; they may be run again."""
-    lost = ImportLedger(store).unfinished()
-    for import_id in lost:
-        store.withdraw(import_id)
+    """Settle the imports and swaps of a driver that died. An import that was committed is complete, whatever the
+    ledger was told; the others are failed and may be run again. Each is settled once."""
+    store.finish_swaps()
+    ledger, lost = ImportLedger(store), []
+    for state in ledger.unfinished():
+        import_id = state.pop("import_id")
+        kept = {k: v for k, v in state.items() if k not in ("status", "seq", "completed_at")}
+        record = store.commits.done(state["batch_no"]) if state["batch_no"] is not None else None
+        if record is not None:
+            ledger.write(import_id, status=COMPLETED, completed_at=utc_now(), **{**kept, **record})
+        else:
+            ledger.write(import_id, status=FAILED, completed_at=utc_now(), **{**kept, "error_message": "the driver was lost"})
+            lost.append(import_id)
+        store.drop_stage(import_id)
     return lost
 
 
@@ -421,23 +455,24 @@ def run_documents(
 
 
 def refresh_scores(store: CampaignStore, event_type: str = GAME_EVENT) -> int:
-    """Write `total_score` of the players whose events say otherwise; only their buckets are rewritten."""
+    """Write `total_score` of the players whose events say otherwise, as changes of these players only. Imports keep
+    the totals; this is the audit that scans all events."""
     with store.lock:
-        attempt = f"scores-{new_id()}"
-        players, events = store.read("players"), store.read("events")
-        wrong = score_mismatches(players.drop("bucket"), events, event_type).join(
-            players.select("version_id", F.col("id").alias("player_id"), "user_id"), ["version_id", "player_id"]
-        )
-        wrong = store.stage(wrong, "wrong", attempt)
-        changed = wrong.count()
+        recover(store)
+        name = f"scores-{new_id()}"
+        at = store.snapshot()
+        players = store.read("players", at=at).drop("bucket")
+        wrong = score_mismatches(players, store.read("events", at=at), event_type)
+        scores = wrong.select("version_id", F.col("player_id").alias("id"), "score")
+        mended = players.join(scores, ["version_id", "id"]).withColumn("total_score", F.col("score")).drop("score")
+        mended = store.stage(mended, "players", name)
+        changed = mended.count()
         if changed:
-            touched = store.touched_buckets("players", wrong.select("version_id", "user_id")).drop("bucket")
-            scores = wrong.select("version_id", F.col("player_id").alias("id"), F.col("score").alias("_score"))
-            merged = touched.join(scores, ["version_id", "id"], "left").withColumn(
-                "total_score", F.coalesce("_score", "total_score")
-            )
-            store.replace_buckets(store.stage(merged.drop("_score"), "players", attempt), "players")
-        store.drop_stage(attempt)
+            number = store.begin(name)
+            store.write_changes(mended, "players", number)
+            store.commits.commit(number, {"players": changed})
+        store.drop_stage(name)
+        store.tidy()
         return changed
 
 

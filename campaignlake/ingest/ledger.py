@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campaignlake import schemas
-from campaignlake.sources.tables import CampaignStore, live_versions
+from campaignlake.sources.tables import CampaignStore, latest, live_versions
 
 # Job states.
 PENDING, PROCESSING, COMPLETED, FAILED, CANCELLED = (
@@ -29,12 +29,6 @@ def new_id() -> str:
     return str(uuid.uuid4())
 
 
-def latest(log: DataFrame, key: str) -> DataFrame:
-    """Newest state of every job."""
-    fields = [c for c in log.columns if c != key]
-    return log.groupBy(key).agg(F.max_by(F.struct(*fields), "seq").alias("_last")).select(key, "_last.*")
-
-
 class Ledger:
     def __init__(self, store: CampaignStore, table: str, key: str):
         self.store, self.table, self.key = store, table, key
@@ -66,10 +60,10 @@ class ImportLedger(Ledger):
         scanned = lambda table: self.store.read(table).agg(F.max("id")).first()[0] or 0
         return {table: (known[table] if table in known else scanned(table)) + 1 for table in tables}
 
-    def unfinished(self) -> list[str]:
+    def unfinished(self) -> list[dict[str, Any]]:
         """Imports that a driver began and neither completed nor recorded as failed."""
         log = latest(self.store.read(self.table), self.key)
-        return [r[0] for r in log.where(F.col("status") == PROCESSING).select(self.key).collect()]
+        return [r.asDict() for r in log.where(F.col("status") == PROCESSING).collect()]
 
 
 class ExportLedger(Ledger):

@@ -52,6 +52,27 @@ def _first_reason(checks: list[tuple[Column, Column]]) -> Column:
     return F.coalesce(*[F.when(failing, reason) for failing, reason in checks])
 
 
+def _rule_columns(rule: TypedRule) -> tuple[list[Column], Column]:
+    """A record's own columns, and why it is skipped, from the values and reference flags of its keys."""
+    stored = {f.name: f.dataType.simpleString() for f in TABLES[rule.table].fields}
+    checks = [c for f in rule.fields for c in _checks(f)]
+    if rule.require_any:
+        wanted = [f for f in rule.fields if f.key in rule.require_any]
+        any_given = reduce(lambda a, b: a | b, [F.coalesce(present(_value(f)), F.lit(False)) for f in wanted])
+        checks.append((~any_given, F.lit("require_any not satisfied")))
+    checks += [c for f in rule.fields for c in _storage_checks(f, stored[f.column])]
+
+    columns = []
+    for f in rule.fields:
+        value = F.when(present(_value(f)), _value(f))
+        if f.column in rule.statics:
+            value = F.coalesce(value, F.lit(rule.statics[f.column]))
+        columns.append(value.try_cast(stored[f.column]).alias(f.column))
+    mapped = {f.column for f in rule.fields}
+    columns += [F.lit(v).alias(c) for c, v in rule.statics.items() if c not in mapped]
+    return columns, _first_reason(checks)
+
+
 def project_typed(
     events: DataFrame,
     event_type: str,
@@ -60,7 +81,6 @@ def project_typed(
 ) -> DataFrame:
     """Events of one type with their typed columns and `skip_reason` (NULL when projectable)."""
     rule: TypedRule = registry.typed[event_type]
-    stored = {f.name: f.dataType.simpleString() for f in TABLES[rule.table].fields}
     rows = events.where(F.col("type") == event_type).select(
         *BASE, payload_map(F.col("payload")).alias("_payload")
     )
@@ -74,21 +94,7 @@ def project_typed(
                 f"_ok_{f.key}",
                 row_id="id",
             ).drop("_ref_id")
-    checks = [c for f in rule.fields for c in _checks(f)]
-    if rule.require_any:
-        wanted = [f for f in rule.fields if f.key in rule.require_any]
-        any_given = reduce(lambda a, b: a | b, [F.coalesce(present(_value(f)), F.lit(False)) for f in wanted])
-        checks.append((~any_given, F.lit("require_any not satisfied")))
-    checks += [c for f in rule.fields for c in _storage_checks(f, stored[f.column])]
-
-    columns = []
-    for f in rule.fields:
-        value = F.when(present(_value(f)), _value(f))
-        if f.column in rule.statics:
-            value = F.coalesce(value, F.lit(rule.statics[f.column]))
-        columns.append(value.try_cast(stored[f.column]).alias(f.column))
-    mapped = {f.column for f in rule.fields}
-    columns += [F.lit(v).alias(c) for c, v in rule.statics.items() if c not in mapped]
+    columns, reason = _rule_columns(rule)
     return rows.select(
         "version_id",
         "player_id",
@@ -97,10 +103,48 @@ def project_typed(
         F.col("occurred_at").alias(rule.time_column),
         "created_at",
         *columns,
-        _first_reason(checks).alias("skip_reason"),
+        reason.alias("skip_reason"),
+    )
+
+
+def project_all(
+    events: DataFrame, tables: Mapping[str, DataFrame], registry: Registry = DEFAULT_REGISTRY
+) -> DataFrame:
+    """Events of all mapped types in one pass: the payload is parsed once, each reference is looked up once for all
+    rules, and the row's own rule decides. `skip_reason` as in `project_typed`; the columns of the record are in the
+    struct `to_<event type>`, so that whoever writes one target reads only its struct."""
+    rules = registry.typed
+    keys = sorted({f.key for rule in rules.values() for f in rule.fields})
+    rows = events.where(F.col("type").isin(*rules)).select(*BASE, payload_map(F.col("payload")).alias("_payload"))
+    rows = rows.select(*BASE, *[F.col("_payload")[k].alias(f"_v_{k}") for k in keys])
+    for ref in sorted({f.ref for rule in rules.values() for f in rule.fields if f.ref}):
+        asked = [(t, f) for t, rule in rules.items() for f in rule.fields if f.ref == ref]
+        # A rule may name a reference by two keys; each key has its own lookup then.
+        for n in range(max(sum(t == u for u, _ in asked) for t, _ in asked)):
+            nth = {t: [f for u, f in asked if u == t][n] for t, _ in asked if sum(t == u for u, _ in asked) > n}
+            wanted = F.coalesce(*[F.when(F.col("type") == t, _value(f).try_cast("bigint")) for t, f in nth.items()])
+            found = flag_existing(rows.withColumn("_ref_id", wanted), tables[registry.references[ref]], "_ref_id", "_found", row_id="id")
+            for t, f in nth.items():
+                name = f"_ok_{f.key}"
+                own = F.when(F.col("type") == t, F.col("_found"))
+                found = found.withColumn(name, F.coalesce(own, F.col(name)) if name in found.columns else own)
+            rows = found.drop("_ref_id", "_found")
+    own = {t: _rule_columns(rule) for t, rule in rules.items()}
+    reason = F.coalesce(*[F.when(F.col("type") == t, reason) for t, (_, reason) in own.items()])
+    records = [F.when(F.col("type") == t, F.struct(*columns)).alias(f"to_{t}") for t, (columns, _) in own.items()]
+    return rows.select(
+        "version_id", "player_id", F.col("id").alias("event_id"), F.col("type").alias("event_type"), "occurred_at", "created_at",
+        *records, reason.alias("skip_reason"),
     )
 
 
+def records_of(projected: DataFrame, event_type: str, registry: Registry = DEFAULT_REGISTRY) -> DataFrame:
+    """The typed records of one event type in what `project_all` made."""
+    own = projected.where((F.col("event_type") == event_type) & F.col("skip_reason").isNull())
+    time = registry.typed[event_type].time_column
+    return own.select("version_id", "player_id", "event_id", F.col("occurred_at").alias(time), "created_at", f"to_{event_type}.*")
+
+
 def typed_records(projected: DataFrame) -> DataFrame:
     return projected.where(F.col("skip_reason").isNull()).drop("skip_reason", "event_type")
 

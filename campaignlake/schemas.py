@@ -66,7 +66,8 @@ IMPORT_LOG = _schema(
     "import_id STRING, type STRING, batch_id STRING, status STRING, attempts INT, processed_rows BIGINT, "
     "inserted BIGINT, duplicates BIGINT, failed BIGINT, skipped BIGINT, "
     "rejected BIGINT, rejected_documents BIGINT, last_ids MAP<STRING,BIGINT>, "
-    "error_message STRING, created_at TIMESTAMP, started_at TIMESTAMP, completed_at TIMESTAMP, seq BIGINT"
+    "error_message STRING, created_at TIMESTAMP, started_at TIMESTAMP, completed_at TIMESTAMP, batch_no BIGINT, "
+    "seq BIGINT"
 )
 TYPED_SKIPPED = _schema("version_id BIGINT, event_id BIGINT, type STRING, reason STRING")
 EXPORT_LOG = _schema(

@@ -11,6 +11,8 @@ class Settings:
     max_batch_rows: int | None = None
     # Imports and exports name versions that exist and are not soft-deleted.
     check_versions: bool = True
+    # An import of events adds the scores of the new ones to their players' total_score.
+    maintain_scores: bool = True
     # The published defaults of the limits below.
     chunk_size: int = 1000
     max_sheets: int = 10

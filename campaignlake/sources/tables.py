@@ -1,24 +1,49 @@
-"""Reading and writing the campaign tables as partitioned Parquet."""
+"""Reading and writing the campaign tables as partitioned Parquet.
+
+One number orders all writes: an import takes the next one, writes its rows with that number wherever they belong, and
+becomes visible, in all tables at once, when the file `_commits/<number>.done` is created. Readers leave out rows whose
+number has no such file, so nothing is renamed or taken back, whenever a driver dies.
+
+* Log tables are split by version and day; `batch_no` is a column.
+* Users and players are a base, split by a hash of their key, and one folder of changed rows for each import. The
+  newest row of a key wins at read; `compact` folds the changes into the buckets that they touch.
+* Keys that were stored once are kept in an index, split by version and by a hash of the key, so that a small batch is
+  checked against the few splits that its keys can be in.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from threading import RLock
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from campaignlake import schemas
+from campaignlake.operators.keys import touched
 from campaignlake.operators.predicates import has_prefix
 
-# Append-only tables: one directory per version and batch, so that writing a batch again
-# replaces its own rows and nothing else.
-LOG_TABLES = ("events", "answers", "transactions", "rewards", "typed_skipped")
-# Upserted tables are split by a hash of their key; a merge rewrites only the buckets it hits.
+# Append-only tables and the time whose day splits them; without one it is the day of the write.
+LOG_TABLES = {"events": "occurred_at", "answers": "occurred_at", "transactions": "occurred_at", "rewards": "granted_at", "typed_skipped": None}
+# Upserted tables: the key of a row, and the part of it whose hash is the bucket.
 MERGED_TABLES = {"users": "email", "players": "user_id"}
+MERGE_KEYS = {"users": ["email"], "players": ["version_id", "user_id"]}
+# Tables whose rows are stored once for each key: the columns that make the key.
+INDEXED_TABLES = {"events": ["dedup_key"], "transactions": ["dedup_key"], "rewards": ["dedup_key"], "answers": ["player_id", "question_id"]}
+# State logs: one small file a write, folded into a last-state table from time to time.
+STATE_LOGS = {"import_log": "import_id", "export_log": "export_id"}
 DEFAULT_BUCKETS = 64
+# Folders of changes, commit files and files of a state log beyond which they are folded.
+MAX_CHANGES, MAX_COMMITS, MAX_LOG_FILES = 32, 256, 64
+
+KEYS_SCHEMA = T.StructType(
+    [T.StructField("dedup_key", T.StringType()), T.StructField("batch_no", T.LongType()), T.StructField("version_id", T.LongType()), T.StructField("split", T.IntegerType())]
+)
 
 
 def live_versions(versions: DataFrame, with_trashed: bool = False) -> DataFrame:
@@ -35,6 +60,17 @@ def for_version(table: DataFrame, version_id: int) -> DataFrame:
     return table.where(F.col("version_id") == version_id)
 
 
+def natural_key(table: str) -> Column:
+    """The text that an indexed table stores once; null for rows that may repeat."""
+    return F.concat_ws("/", *[F.col(c).cast("string") for c in INDEXED_TABLES[table]]) if len(INDEXED_TABLES[table]) > 1 else F.col(*INDEXED_TABLES[table])
+
+
+def latest(log: DataFrame, key: str) -> DataFrame:
+    """Newest state of every job."""
+    fields = [c for c in log.columns if c != key]
+    return log.groupBy(key).agg(F.max_by(F.struct(*fields), "seq").alias("_last")).select(key, "_last.*")
+
+
 class HadoopPath:
     """A path on whatever file system the cluster uses."""
 
@@ -51,34 +87,96 @@ class HadoopPath:
     def delete(self) -> None:
         self.fs.delete(self.path, True)
 
-    def matches(self) -> list[str]:
-        """Existing paths for a path with wildcards."""
-        found = self.fs.globStatus(self.path)
-        return [] if found is None else [f.getPath().toString() for f in found]
-
-    def move_to(self, target: HadoopPath) -> None:
-        """Rename, replacing what is at the target."""
-        target.delete()
-        target.fs.mkdirs(target.path.getParent())
-        if not self.fs.rename(self.path, target.path):
-            raise OSError(f"cannot move {self.path} to {target.path}")
+    def names(self) -> list[str]:
+        """Names in this folder; none when it is absent."""
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(self.path)) if self.exists() else []
 
     def read_text(self) -> str:
         stream = self.fs.open(self.path)
         try:
-            return stream.readLine() or ""
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
-    def write_new(self, line: str) -> None:
+    def write_new(self, text: str) -> None:
         """Create the file; fails when it is there already."""
         stream = self.fs.create(self.path, False)
         try:
-            stream.writeBytes(line)
+            stream.write(text.encode())
         finally:
             stream.close()
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """The writes that a reader sees: numbers up to the last committed one, without those that never committed."""
+
+    last: int = 0
+    withdrawn: tuple[int, ...] = ()
+
+    def sees(self, number: int) -> bool:
+        return number <= self.last and number not in self.withdrawn
+
+    def visible(self, rows: DataFrame) -> DataFrame:
+        rows = rows.where(F.col("batch_no") <= self.last)
+        return rows.where(~F.col("batch_no").isin(*self.withdrawn)) if self.withdrawn else rows
+
+
+class Commits:
+    """Numbers of writes. `<number>.begun` reserves one, `<number>.done` makes its rows visible; creating a file that is
+    there fails, so no two writers share a number. Old files are folded into one that names the numbers without a
+    commit."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, f"{root}/_commits"
+
+    def _file(self, name: str) -> HadoopPath:
+        return HadoopPath(self.spark, f"{self.root}/{name}")
+
+    def _listed(self) -> tuple[int, list[int], set[int], set[int]]:
+        """(number up to which files were folded, numbers without commit up to it, begun numbers, done numbers)."""
+        kinds: dict[str, list[int]] = {"begun": [], "done": [], "through": []}
+        for name in HadoopPath(self.spark, self.root).names():
+            number, _, kind = name.partition(".")
+            if kind in kinds:
+                kinds[kind].append(int(number))
+        through = max(kinds["through"], default=0)
+        gone = json.loads(self._file(f"{through:012d}.through").read_text()) if through else []
+        return through, gone, {n for n in kinds["begun"] if n > through}, {n for n in kinds["done"] if n > through}
+
+    def snapshot(self) -> Snapshot:
+        through, gone, _, done = self._listed()
+        last = max(done, default=through)
+        missing = [n for n in range(through + 1, last) if n not in done]
+        return Snapshot(last, tuple([*gone, *missing]))
+
+    def begin(self, name: str) -> int:
+        through, _, begun, done = self._listed()
+        number = max([through, *begun, *done]) + 1
+        self._file(f"{number:012d}.begun").write_new(name)
+        return number
+
+    def done(self, number: int) -> dict[str, Any] | None:
+        """What the commit recorded; null without a commit. Asked for recent numbers only."""
+        file = self._file(f"{number:012d}.done")
+        return json.loads(file.read_text()) if file.exists() else None
+
+    def commit(self, number: int, record: dict[str, Any]) -> None:
+        self._file(f"{number:012d}.done").write_new(json.dumps(record, default=str))
+
+    def fold(self) -> None:
+        """Fold all but the newest commit files when there are many. Files go only after the new one stands."""
+        through, _, begun, done = self._listed()
+        if len(begun) + len(done) < MAX_COMMITS:
+            return
+        upto = max(done) - 1
+        kept = [n for n in self.snapshot().withdrawn if n <= upto]
+        self._file(f"{upto:012d}.through").write_new(json.dumps(kept))
+        for name in HadoopPath(self.spark, self.root).names():
+            if int(name.partition(".")[0]) <= upto and name != f"{upto:012d}.through":
+                self._file(name).delete()
+
+
 class CampaignStore:
     """Tables under one root. One driver application writes a store at a time; `lock` orders
     the jobs inside it.
@@ -95,6 +193,7 @@ class CampaignStore:
         if stored is not None and buckets not in (None, stored):
             raise ValueError(f"the store at {root} has {stored} buckets, not {buckets}")
         self.buckets = stored or buckets or DEFAULT_BUCKETS
+        self.commits = Commits(spark, self.root)
         self.lock = RLock()
 
     def keep_layout(self) -> None:
@@ -102,82 +201,254 @@ class CampaignStore:
         if not self._layout.exists():
             self._layout.write_new(str(self.buckets))
 
+    def begin(self, name: str) -> int:
+        """The number of a write that starts now."""
+        self.keep_layout()
+        return self.commits.begin(name)
+
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _exists(self, path: str) -> bool:
+        return HadoopPath(self.spark, path).exists()
+
+    # --- layout
+
     def _partitions(self, table: str) -> list[str]:
         if table in LOG_TABLES:
-            return ["version_id", "batch_id"]
+            return ["version_id", "day"]
         return {"users": ["bucket"], "players": ["version_id", "bucket"]}.get(table, [])
 
     def _schema(self, table: str) -> T.StructType:
         fields = schemas.TABLES[table]
         names = fields.fieldNames()
-        extra = {"batch_id": T.StringType(), "bucket": T.IntegerType()}
-        return T.StructType(
-            fields.fields
-            + [T.StructField(p, extra[p]) for p in self._partitions(table) if p not in names]
-        )
+        extra = [T.StructField("batch_id", T.StringType()), T.StructField("batch_no", T.LongType())] if table in LOG_TABLES else []
+        kinds = {"day": T.DateType(), "bucket": T.IntegerType()}
+        return T.StructType(fields.fields + extra + [T.StructField(p, kinds[p]) for p in self._partitions(table) if p not in names])
+
+    def bucket_of(self, table: str) -> Column:
+        return self._split_of(F.col(MERGED_TABLES[table]))
+
+    def _split_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _splits(self, keys: DataFrame, split: Column) -> list[int]:
+        """The splits that hold any of the keys; at most as many as the layout has."""
+        return sorted(r[0] for r in keys.select(split.alias("s")).where("s is not null").distinct().collect())
+
+    # --- reading
 
-    def read(self, table: str, versions: Sequence[int] | None = None) -> DataFrame:
-        """The table with its fixed schema; an empty frame before the first write.
+    def snapshot(self) -> Snapshot:
+        return self.commits.snapshot()
+
+    def _files(self, root: str, schema: T.StructType, versions: Sequence[int] | None) -> DataFrame:
+        """Parquet files under a root; with `versions` only their directories are listed."""
+        paths = [root] if versions is None else [f"{root}/version_id={v}" for v in versions]
+        paths = [p for p in paths if self._exists(p)]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", root).parquet(*paths).select(*schema.fieldNames())
+
+    def read(self, table: str, versions: Sequence[int] | None = None, at: Snapshot | None = None) -> DataFrame:
+        """The table with its fixed schema as the snapshot `at` (now) shows it; an empty frame before the first write.
 
         With `versions`, only their directories are listed and read.
         """
         schema, root = self._schema(table), self.path(table)
-        scoped = versions is not None and "version_id" in self._partitions(table)
-        paths = [f"{root}/version_id={v}" for v in versions] if scoped else [root]
-        paths = [p for p in paths if HadoopPath(self.spark, p).exists()]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("basePath", root).parquet(*paths)
-        rows = rows.select(*schema.fieldNames())
-        if versions is not None and not scoped and "version_id" in schema.fieldNames():
-            rows = rows.where(F.col("version_id").isin(*versions))
-        return rows
+        if table in LOG_TABLES:
+            rows = (at or self.snapshot()).visible(self._files(root, schema, versions))
+            return rows.drop("batch_no", "day")
+        if table in MERGED_TABLES:
+            return self._merged(table, versions, at or self.snapshot())
+        if table in STATE_LOGS:
+            return self._state_log(table)
+        rows = self._files(root, schema, None)
+        return rows.where(F.col("version_id").isin(*versions)) if versions is not None and "version_id" in schema.fieldNames() else rows
 
     def tables(self, versions: Sequence[int] | None = None) -> Mapping[str, DataFrame]:
-        """All tables as they are now; read again after a write."""
-        return LazyTables(schemas.TABLES, lambda name: self.read(name, versions))
+        """All tables as one snapshot shows them; take them again after a write."""
+        at = self.snapshot()
+        return LazyTables(schemas.TABLES, lambda name: self.read(name, versions, at))
 
-    def bucket_of(self, table: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(MERGED_TABLES[table])), F.lit(self.buckets)).cast("int")
+    # --- log tables
+
+    def append_log(self, rows: DataFrame, table: str, batch_id: str, number: int) -> None:
+        """Add a batch's rows, and the keys that they are found by, under a number that is not committed yet."""
+        time = LOG_TABLES[table]
+        schema = self._schema(table)
+        stamped = rows.withColumns(
+            {"batch_id": F.lit(batch_id), "batch_no": F.lit(number).cast("long"), "day": F.to_date(time) if time else F.current_date()}
+        )
+        self._append(stamped.select(*schema.fieldNames()), self.path(table), self._partitions(table))
+        if table in INDEXED_TABLES:
+            keys = rows.select(natural_key(table).alias("dedup_key"), F.lit(number).cast("long").alias("batch_no"), "version_id")
+            keys = keys.where("dedup_key is not null").withColumn("split", self._split_of(F.col("dedup_key")))
+            self._append(keys, self.path(f"keys/{table}"), ["version_id", "split"])
+
+    def stored_keys(self, table: str, wanted: DataFrame, versions: Sequence[int] | None, at: Snapshot | None = None) -> DataFrame:
+        """(version_id, dedup_key) of stored rows, from the index's splits that can hold a wanted key and no others."""
+        splits = self._splits(wanted, self._split_of(F.col("dedup_key")))
+        index = self._files(self.path(f"keys/{table}"), KEYS_SCHEMA, versions).where(F.col("split").isin(*splits) if splits else F.lit(False))
+        return (at or self.snapshot()).visible(index).select("version_id", "dedup_key")
 
     def write_batch(self, rows: DataFrame, table: str, batch_id: str) -> DataFrame:
-        """Write and publish one batch of a log table; returns the stored rows."""
-        self.prepare_batch(rows, table, batch_id)
-        self.publish(batch_id)
-        return self.read(table).where(F.col("batch_id") == batch_id)
-
-    def _pending(self, batch_id: str, table: str = "") -> str:
-        return f"{self.root}/_pending/{batch_id}/{table}"
-
-    def prepare_batch(self, rows: DataFrame, table: str, batch_id: str) -> DataFrame:
-        """Write a batch's rows beside the table, where no reader sees them; returns the written rows."""
-        schema, path = self._schema(table), self._pending(batch_id, table)
-        rows = rows.withColumn("batch_id", F.lit(batch_id)).select(*schema.fieldNames())
-        self._write(rows, table, path, "static")
-        return self.spark.read.schema(schema).option("basePath", path).parquet(path).select(*schema.fieldNames())
-
-    def publish(self, batch_id: str) -> None:
-        """Move a prepared batch's directories into their tables: one rename for each version and table."""
-        for table in LOG_TABLES:
-            root = self._pending(batch_id, table)
-            for path in HadoopPath(self.spark, f"{root}/version_id=*/batch_id=*").matches():
-                version, batch = path.split("/")[-2:]
-                HadoopPath(self.spark, path).move_to(HadoopPath(self.spark, f"{self.path(table)}/{version}/{batch}"))
-        HadoopPath(self.spark, self._pending(batch_id)).delete()
-
-    def withdraw(self, batch_id: str) -> None:
-        """Remove whatever a batch has left, published or not."""
-        for table in LOG_TABLES:
-            for path in HadoopPath(self.spark, f"{self.path(table)}/version_id=*/batch_id={batch_id}").matches():
-                HadoopPath(self.spark, path).delete()
-        HadoopPath(self.spark, self._pending(batch_id)).delete()
+        """Write and commit one batch of a log table beside the imports; returns the stored rows."""
+        with self.lock:
+            number = self.begin(batch_id)
+            self.append_log(rows, table, batch_id, number)
+            self.commits.commit(number, {"load": table})
+            return self.read(table).where(F.col("batch_id") == batch_id)
+
+    # --- merged tables
+
+    def _changes_path(self, table: str) -> str:
+        return self.path(f"_changes/{table}")
+
+    def _change_numbers(self, table: str) -> list[int]:
+        return [int(n.partition("=")[2]) for n in HadoopPath(self.spark, self._changes_path(table)).names() if n.startswith("batch_no=")]
+
+    def write_changes(self, rows: DataFrame, table: str, number: int) -> None:
+        """Add changed and new rows of a merged table under a number that is not committed yet. Only these rows are
+        written, into as few files as they fill."""
+        # Split like the base by version, so that a pruned read prunes both.
+        self._write(rows.select(*schemas.TABLES[table].fieldNames()), f"{self._changes_path(table)}/batch_no={number}", self._partitions(table)[:-1], "overwrite")
+
+    def changes(self, table: str, at: Snapshot) -> DataFrame | None:
+        """The newest row of every key that visible changes hold; None without any."""
+        root = self._changes_path(table)
+        paths = [f"{root}/batch_no={n}" for n in self._change_numbers(table) if at.sees(n)]
+        if not paths:
+            return None
+        schema = schemas.TABLES[table]
+        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_no", T.LongType())])).option("basePath", root).parquet(*paths)
+        keys = MERGE_KEYS[table]
+        rest = [c for c in schema.fieldNames() if c not in keys]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_no").alias("_row"))
+        return newest.select(*keys, "_row.*").withColumn("bucket", self.bucket_of(table)).select(*self._schema(table).fieldNames())
+
+    def _merged(self, table: str, versions: Sequence[int] | None, at: Snapshot, splits: Sequence[int] | None = None) -> DataFrame:
+        """Base rows that no change replaces, and the changes. The changes are few, since compaction bounds them, so
+        Spark leaves the base where it is."""
+        base = self._files(self.path(table), self._schema(table), versions if table == "players" else None)
+        fresh = self.changes(table, at)
+        scoped = lambda rows: rows if versions is None or table != "players" else rows.where(F.col("version_id").isin(*versions))
+        held = lambda rows: rows if splits is None else rows.where(F.col("bucket").isin(*splits) if splits else F.lit(False))
+        base = held(base)
+        if fresh is None:
+            return base
+        fresh = held(scoped(fresh))
+        keys = MERGE_KEYS[table]
+        return base.join(fresh.select(*keys), keys, "left_anti").select(*fresh.columns).unionByName(fresh)
+
+    def matching(self, table: str, keys: DataFrame, versions: Sequence[int] | None = None, at: Snapshot | None = None) -> DataFrame:
+        """Rows of a merged table whose key is among `keys`, read from the buckets that can hold one."""
+        splits = self._splits(keys, self.bucket_of(table))
+        return touched(self._merged(table, versions, at or self.snapshot(), splits), keys, MERGE_KEYS[table]).drop("bucket")
+
+    def in_buckets_of(self, table: str, keys: DataFrame, at: Snapshot | None = None) -> DataFrame:
+        """The table cut down to the buckets that can hold the keys (only the bucket column is needed)."""
+        return self._merged(table, None, at or self.snapshot(), self._splits(keys, self.bucket_of(table))).drop("bucket")
+
+    def replace_buckets(self, rows: DataFrame, table: str) -> None:
+        """Load whole buckets of a merged table, in place of what they held."""
+        with self.lock:
+            self.compact(table)
+            self._swap(rows.withColumn("bucket", self.bucket_of(table)).select(*self._schema(table).fieldNames()), table)
+
+    def compact(self, table: str) -> int:
+        """Fold the visible changes of a merged table into the buckets that they touch, and rewrite no other; returns
+        how many folders of changes went. A change that is read beside the bucket it was folded into changes nothing."""
+        with self.lock:
+            self.finish_swaps()
+            at, numbers = self.snapshot(), self._change_numbers(table)
+            fresh = self.changes(table, at)
+            if fresh is not None:
+                places = self._partitions(table)
+                splits = self._splits(fresh, F.col("bucket"))
+                versions = sorted(r[0] for r in fresh.select("version_id").distinct().collect()) if table == "players" else None
+                hit = self._merged(table, versions, at, splits).join(fresh.select(*places).distinct(), places, "left_semi")
+                self._swap(hit.select(*self._schema(table).fieldNames()), table)
+            gone = [n for n in numbers if n <= at.last]
+            for number in gone:
+                HadoopPath(self.spark, f"{self._changes_path(table)}/batch_no={number}").delete()
+            return len(gone)
+
+    def compact_log(self, table: str, versions: Sequence[int], first_day: str, last_day: str) -> None:
+        """Rewrite the days of a log table, typically past ones, into few files without rows that never committed."""
+        with self.lock:
+            self.finish_swaps()
+            rows = self.snapshot().visible(self._files(self.path(table), self._schema(table), versions))
+            self._swap(rows.where(F.col("day").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))), table)
+
+    def tidy(self) -> None:
+        """Keep reads short: fold changes and commit files when there are many."""
+        for table in MERGED_TABLES:
+            if len(self._change_numbers(table)) > MAX_CHANGES:
+                self.compact(table)
+        self.commits.fold()
+
+    # --- swaps of whole directories
+
+    def _swap(self, rows: DataFrame, table: str) -> None:
+        """Replace the directories that `rows` fall into. The rows are staged whole and the swap is noted first, so one
+        that was cut short is done again from the staged rows; until then a reader may miss the directory."""
+        self.keep_layout()
+        name = f"swap-{uuid.uuid4()}"
+        self.stage(rows, table, name)
+        HadoopPath(self.spark, f"{self.root}/_swaps/{name}").write_new(table)
+        self.finish_swaps()
+
+    def finish_swaps(self) -> None:
+        for name in HadoopPath(self.spark, f"{self.root}/_swaps").names():
+            if not name.startswith("swap-"):
+                continue
+            note = HadoopPath(self.spark, f"{self.root}/_swaps/{name}")
+            table = note.read_text()
+            rows = self.spark.read.schema(self._schema(table)).parquet(f"{self.root}/_staging/{name}/{table}")
+            self._write(rows, self.path(table), self._partitions(table), "overwrite")
+            note.delete()
+            self.drop_stage(name)
+
+    # --- small tables and state logs
 
     def append(self, rows: DataFrame, table: str) -> None:
-        writer = rows.select(*schemas.TABLES[table].fieldNames()).write.mode("append")
-        writer.parquet(self.path(table))
+        rows = rows.select(*schemas.TABLES[table].fieldNames())
+        if table in STATE_LOGS:
+            self._fold_state(table)
+            rows.write.mode("append").parquet(f"{self.path(table)}/gen={self._generation(table):06d}")
+        else:
+            rows.write.mode("append").parquet(self.path(table))
+
+    def _folded(self, table: str) -> int:
+        """The last generation of a state log that is folded into its last-state table."""
+        found = [int(n.partition("=")[2]) for n in HadoopPath(self.spark, self.path(f"_state/{table}")).names() if n.startswith("gen=")]
+        return max((g for g in found if self._exists(self.path(f"_state/{table}/gen={g:06d}/_SUCCESS"))), default=0)
+
+    def _generation(self, table: str) -> int:
+        return self._folded(table) + 1
+
+    def log_paths(self, table: str) -> list[str]:
+        """What a state log is read from: its last-state table and the generation that is being written."""
+        folded = self._folded(table)
+        paths = [self.path(f"_state/{table}/gen={folded:06d}"), f"{self.path(table)}/gen={folded + 1:06d}"]
+        return [p for p in paths if self._exists(p)]
+
+    def _state_log(self, table: str) -> DataFrame:
+        schema, paths = schemas.TABLES[table], self.log_paths(table)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _fold_state(self, table: str) -> None:
+        """When a generation has many files, the newest state of every job becomes the new last-state table; the
+        generation's files stay as history and are not read again."""
+        generation = self._generation(table)
+        files = [n for n in HadoopPath(self.spark, f"{self.path(table)}/gen={generation:06d}").names() if n.endswith(".parquet")]
+        if len(files) >= MAX_LOG_FILES:
+            state = latest(self._state_log(table), STATE_LOGS[table]).select(*schemas.TABLES[table].fieldNames())
+            state.hint("rebalance").sortWithinPartitions(STATE_LOGS[table]).write.mode("overwrite").parquet(self.path(f"_state/{table}/gen={generation:06d}"))
+            if generation > 1:
+                HadoopPath(self.spark, self.path(f"_state/{table}/gen={generation - 1:06d}")).delete()
+
+    # --- staging and whole versions
 
     def stage(self, rows: DataFrame, name: str, attempt: str) -> DataFrame:
         """Materialise a frame for one attempt of a batch. Nothing of another attempt is reused, since the
@@ -189,37 +460,39 @@ class CampaignStore:
     def drop_stage(self, attempt: str) -> None:
         HadoopPath(self.spark, f"{self.root}/_staging/{attempt}").delete()
 
-    def replace_buckets(self, staged: DataFrame, table: str) -> None:
-        """Swap the merged buckets in. `staged` never reads from the table it replaces."""
-        schema = self._schema(table)
-        self.keep_layout()
-        self._write(staged.withColumn("bucket", self.bucket_of(table)).select(*schema.fieldNames()), table, self.path(table), "dynamic")
-
-    def touched_buckets(
-        self, table: str, keys: DataFrame, versions: Sequence[int] | None = None
-    ) -> DataFrame:
-        """Rows of the buckets that hold any of the keys. The bucket list is small by design, so
-        the semi-join prunes partitions."""
-        on = self._partitions(table)
-        hit = keys.withColumn("bucket", self.bucket_of(table)).select(*on).distinct()
-        return self.read(table, versions).join(hit, on, "left_semi")
-
     def drop_version(self, table: str, version_id: int) -> None:
         """Remove one version's rows of a table, to rebuild them."""
+        if table in MERGED_TABLES:
+            self.compact(table)
         if "version_id" in self._partitions(table):
-            HadoopPath(self.spark, f"{self.path(table)}/version_id={version_id}").delete()
+            for root in (self.path(table), self.path(f"keys/{table}")):
+                HadoopPath(self.spark, f"{root}/version_id={version_id}").delete()
         else:
             self.keep_only(table, F.col("version_id") != version_id)
 
     def keep_only(self, table: str, condition: Column) -> None:
-        """Rewrite a whole table without the rows that fail the condition."""
-        kept = self.read(table).where(F.coalesce(condition, F.lit(True)))
+        """Remove the rows that fail the condition. Of a table with buckets only those that hold such a row are
+        rewritten, a small dimension is rewritten whole."""
+        keep = F.coalesce(condition, F.lit(True))
         name = f"keep-{uuid.uuid4()}"
-        staged = self.stage(kept, table, name)
-        writer = staged.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        if self._partitions(table):
-            writer = writer.partitionBy(*self._partitions(table))
-        writer.parquet(self.path(table))
+        if table in MERGED_TABLES:
+            self.compact(table)
+            rows = self._files(self.path(table), self._schema(table), None)
+            places = self._partitions(table)
+            hit = rows.where(~keep).select(*places).distinct().collect()
+            if not hit:
+                return
+            held = [c for c in places if c != "bucket"]
+            kept = self.stage(rows.where(F.col("bucket").isin(*{r["bucket"] for r in hit}) & keep), table, name)
+            left = {tuple(r) for r in kept.select(*places).distinct().collect()}
+            self._swap(kept, table)
+            for r in hit:
+                if tuple(r) not in left:
+                    folder = "/".join(f"{c}={r[c]}" for c in [*held, "bucket"])
+                    HadoopPath(self.spark, f"{self.path(table)}/{folder}").delete()
+        else:
+            kept = self.stage(self.read(table).where(keep), table, name)
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.path(table))
         self.drop_stage(name)
 
     def wipe_version(self, version_id: int, email_prefix: str | None = None) -> None:
@@ -233,17 +506,15 @@ class CampaignStore:
             for table in ("answer_options", "questions"):
                 self.drop_version(table, version_id)
 
-    def _write(self, rows: DataFrame, table: str, path: str, overwrite: str) -> None:
-        # Rows of one directory meet in few tasks, so no task opens a file in every directory;
-        # AQE splits a directory that is large and merges those that are small.
-        keys = self._partitions(table)
-        (
-            rows.hint("rebalance", *[k for k in keys if k != "batch_id"])
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", overwrite)
-            .partitionBy(*keys)
-            .parquet(path)
-        )
+    # Rows of one directory meet in few tasks, so no task opens a file in every directory;
+    # AQE splits a directory that is large and merges those that are small.
+
+    def _append(self, rows: DataFrame, path: str, keys: list[str]) -> None:
+        self._write(rows, path, keys, "append")
+
+    def _write(self, rows: DataFrame, path: str, keys: list[str], mode: str) -> None:
+        writer = rows.hint("rebalance", *keys).write.mode(mode)
+        (writer.partitionBy(*keys) if keys else writer).option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 class LazyTables(Mapping):

@@ -302,7 +302,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         st.table(spark, sf_dir, "answer_options"),
     )
     # Answers of the stand-in table are the ones already stored.
-    fresh = new_by_natural_key(known, st.table(spark, sf_dir, "answers"), jobs.ANSWER_KEY)
+    fresh = new_by_natural_key(known, st.table(spark, sf_dir, "answers"), ["version_id", "player_id", "question_id"])
     return _text_time(jobs.with_ids(fresh, FIRST_ID), "occurred_at").select(
         "id", "version_id", "player_id", "question_id", "answer_option_id", "answer_text", "occurred_at"
     )
@@ -325,30 +325,30 @@ ORACLES["ingest_answers"] = (
 # --- typed projection -------------------------------------------------------------------------------
 
 
-def _v(key: str) -> str:
+def value(key: str) -> str:
     return f"nullif(json_extract_string(payload, '$.{key}'), '')"
 
 
 TYPED_SQL = (
     ctes("typed_events", "questions", "answer_options")
     + ", a as (select e.*, "
-    f"case when {_v('question_id')} is null then 'missing field ''question_id''' "
+    f"case when {value('question_id')} is null then 'missing field ''question_id''' "
     f"when not exists (select 1 from s_questions q where q.version_id = e.version_id and "
-    f"q.id = try_cast({_v('question_id')} as bigint)) then 'unknown question ''' || {_v('question_id')} || '''' "
-    f"when {_v('answer_option_id')} is not null and not exists (select 1 from s_answer_options o where "
-    f"o.version_id = e.version_id and o.id = try_cast({_v('answer_option_id')} as bigint)) "
-    f"then 'unknown answer_option ''' || {_v('answer_option_id')} || '''' "
-    f"when {_v('answer_option_id')} is null and {_v('answer_text')} is null then 'require_any not satisfied' "
+    f"q.id = try_cast({value('question_id')} as bigint)) then 'unknown question ''' || {value('question_id')} || '''' "
+    f"when {value('answer_option_id')} is not null and not exists (select 1 from s_answer_options o where "
+    f"o.version_id = e.version_id and o.id = try_cast({value('answer_option_id')} as bigint)) "
+    f"then 'unknown answer_option ''' || {value('answer_option_id')} || '''' "
+    f"when {value('answer_option_id')} is null and {value('answer_text')} is null then 'require_any not satisfied' "
     "end as reason from s_typed_events e where type = 'answer_submitted'), "
     "t as (select e.*, "
-    f"case when {_v('type')} not in ('purchase', 'spend', 'refund') then 'invalid value for ''type''' "
-    f"when {_v('amount')} is null then 'missing field ''amount''' "
-    f"when not regexp_full_match({_v('amount')}, '[0-9]+(\\.[0-9]+)?') then 'non-numeric ''amount''' "
-    f"when {_v('status')} not in ('pending', 'completed', 'failed') then 'invalid value for ''status''' "
-    f"when try_cast({_v('amount')} as decimal(12,2)) is null then 'out of range ''amount''' "
-    f"when length({_v('currency')}) > 3 then 'too long ''currency''' "
+    f"case when {value('type')} not in ('purchase', 'spend', 'refund') then 'invalid value for ''type''' "
+    f"when {value('amount')} is null then 'missing field ''amount''' "
+    f"when not regexp_full_match({value('amount')}, '[0-9]+(\\.[0-9]+)?') then 'non-numeric ''amount''' "
+    f"when {value('status')} not in ('pending', 'completed', 'failed') then 'invalid value for ''status''' "
+    f"when try_cast({value('amount')} as decimal(12,2)) is null then 'out of range ''amount''' "
+    f"when length({value('currency')}) > 3 then 'too long ''currency''' "
     "end as reason from s_typed_events e where type = 'transaction'), "
-    f"r as (select e.*, case when {_v('reward_type')} is null then 'missing field ''reward_type''' end as reason "
+    f"r as (select e.*, case when {value('reward_type')} is null then 'missing field ''reward_type''' end as reason "
     "from s_typed_events e where type = 'reward_granted') "
 )
 
@@ -363,7 +363,7 @@ def _project(event_type: str):
 def _typed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = typed_records(_project("answer_submitted")(spark, sf_dir)).withColumn("ord", F.col("event_id"))
     stored = st.table(spark, sf_dir, "answers")
-    return new_by_natural_key(records, stored, jobs.ANSWER_KEY).select(
+    return new_by_natural_key(records, stored, ["version_id", "player_id", "question_id"]).select(
         "version_id", "player_id", "event_id", "question_id", "answer_option_id", "answer_text", "occurred_at"
     )
 
@@ -371,10 +371,10 @@ def _typed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["typed_answers"] = _typed_answers
 ORACLES["typed_answers"] = (
     TYPED_SQL.replace("with ", ctes("answers").rstrip() + ", ", 1)
-    + f", ok as (select *, cast({_v('question_id')} as bigint) as q from a where reason is null), "
+    + f", ok as (select *, cast({value('question_id')} as bigint) as q from a where reason is null), "
     "ranked as (select *, row_number() over (partition by version_id, player_id, q order by id) as rn from ok) "
     "select version_id, player_id, id as event_id, q as question_id, "
-    f"cast({_v('answer_option_id')} as bigint) as answer_option_id, {_v('answer_text')} as answer_text, occurred_at "
+    f"cast({value('answer_option_id')} as bigint) as answer_option_id, {value('answer_text')} as answer_text, occurred_at "
     "from ranked r where rn = 1 and not exists (select 1 from s_answers s where s.version_id = r.version_id "
     "and s.player_id = r.player_id and s.question_id = r.q)"
 )
@@ -383,16 +383,16 @@ QUERIES["typed_transactions"] = lambda spark, sf: typed_records(_project("transa
     "status", "occurred_at",
 )
 ORACLES["typed_transactions"] = (
-    TYPED_SQL + f"select version_id, player_id, id as event_id, {_v('type')} as type, "
-    f"cast(cast({_v('amount')} as decimal(12,2)) as double) as amount, {_v('currency')} as currency, "
-    f"coalesce({_v('status')}, 'completed') as status, occurred_at from t where reason is null"
+    TYPED_SQL + f"select version_id, player_id, id as event_id, {value('type')} as type, "
+    f"cast(cast({value('amount')} as decimal(12,2)) as double) as amount, {value('currency')} as currency, "
+    f"coalesce({value('status')}, 'completed') as status, occurred_at from t where reason is null"
 )
 QUERIES["typed_rewards"] = lambda spark, sf: typed_records(_project("reward_granted")(spark, sf)).select(
     "version_id", "player_id", "event_id", "reward_type", "reward_code", "status", "granted_at"
 )
 ORACLES["typed_rewards"] = (
-    TYPED_SQL + f"select version_id, player_id, id as event_id, {_v('reward_type')} as reward_type, "
-    f"{_v('reward_code')} as reward_code, 'granted' as status, occurred_at as granted_at from r where reason is null"
+    TYPED_SQL + f"select version_id, player_id, id as event_id, {value('reward_type')} as reward_type, "
+    f"{value('reward_code')} as reward_code, 'granted' as status, occurred_at as granted_at from r where reason is null"
 )
 
 

@@ -36,7 +36,7 @@ def work_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4()}"
 
 
-def _seeded_store(spark: SparkSession, sf_dir: str, folder: str) -> CampaignStore:
+def seeded_store(spark: SparkSession, sf_dir: str, folder: str) -> CampaignStore:
     """Users, players and an already ingested batch of events."""
     store = CampaignStore(spark, f"{folder}/lake", buckets=8)
     stamps = {"created_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")}
@@ -58,7 +58,7 @@ def _seeded_store(spark: SparkSession, sf_dir: str, folder: str) -> CampaignStor
 def stream_ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event batch through a file stream into a store; returns the rows it appended."""
     folder = work_folder(spark)
-    store = _seeded_store(spark, sf_dir, folder)
+    store = seeded_store(spark, sf_dir, folder)
     landing = f"{folder}/landing"
     st.event_batch(spark, sf_dir).write.parquet(landing)
     rows = spark.readStream.schema(spark.read.parquet(landing).schema).parquet(landing)
@@ -145,7 +145,7 @@ def _unique_ids(rows: DataFrame) -> DataFrame:
     return rows.agg((F.count(F.lit(1)) == F.count_distinct("id")).alias("ok"))
 
 
-def _failing(run: Callable[[], object]) -> None:
+def failing(run: Callable[[], object]) -> None:
     try:
         run()
     except Exception:
@@ -167,10 +167,10 @@ PLAYERS_Y = (
 
 def import_retry_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X fails after it staged users, Y runs, X runs again: nobody is lost, nothing is doubled."""
-    store = _seeded_store(spark, sf_dir, work_folder(spark))
+    store = seeded_store(spark, sf_dir, work_folder(spark))
     st.load(spark, sf_dir, "customer").createOrReplaceTempView("customer")
     x, y = spark.sql(PLAYERS_X), spark.sql(PLAYERS_Y)
-    _failing(lambda: run_import(store, "players", x, "X", settings=Settings(chunk_size=0)))
+    failing(lambda: run_import(store, "players", x, "X", settings=Settings(chunk_size=0)))
     run_import(store, "players", y, "Y")
     run_import(store, "players", x, "X")
     users, players = store.read("users"), store.read("players").drop("bucket")
@@ -189,7 +189,7 @@ ORACLES["import_retry_players"] = (
 )
 
 
-def _event_rows(spark: SparkSession, sf_dir: str, where: str, kind: str) -> DataFrame:
+def event_rows(spark: SparkSession, sf_dir: str, where: str, kind: str) -> DataFrame:
     return st.load(spark, sf_dir, "events").where(where).selectExpr(
         "cast(user_id as string) as player_id", "cast(null as string) as player_email", f"{kind} as type",
         "date_format(cast(ts as timestamp), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") as occurred_at", "'n' || cast(event_id as string) as dedup_key",
@@ -199,11 +199,11 @@ def _event_rows(spark: SparkSession, sf_dir: str, where: str, kind: str) -> Data
 
 def import_retry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X fails after it wrote its events, Y takes some of its keys, X runs again."""
-    store = _seeded_store(spark, sf_dir, work_folder(spark))
-    x = _event_rows(spark, sf_dir, "event_id % 2 = 0", "case when event_id % 10 = 0 then 'transaction' else 'tap' end")
-    y = _event_rows(spark, sf_dir, "event_id % 3 = 0", "'swipe'")
+    store = seeded_store(spark, sf_dir, work_folder(spark))
+    x = event_rows(spark, sf_dir, "event_id % 2 = 0", "case when event_id % 10 = 0 then 'transaction' else 'tap' end")
+    y = event_rows(spark, sf_dir, "event_id % 3 = 0", "'swipe'")
     broken = replace(DEFAULT_REGISTRY, references={"question": "no such table"})
-    _failing(lambda: run_import(store, "events", x, "X", registry=broken))
+    failing(lambda: run_import(store, "events", x, "X", registry=broken))
     run_import(store, "events", y, "Y")
     run_import(store, "events", x, "X")
     rows = store.read("events")
@@ -223,8 +223,8 @@ ORACLES["import_retry_events"] = (
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON documents, some of them broken, through the stream: what was stored and what was refused."""
     folder = work_folder(spark)
-    store = _seeded_store(spark, sf_dir, folder)
-    rows = _event_rows(spark, sf_dir, "true", "event_type").withColumn("doc", F.col("player_id").cast("bigint") % 60)
+    store = seeded_store(spark, sf_dir, folder)
+    rows = event_rows(spark, sf_dir, "true", "event_type").withColumn("doc", F.col("player_id").cast("bigint") % 60)
     body = F.struct("player_id", "type", "occurred_at", "dedup_key")
     documents = rows.groupBy("doc", "version_id").agg(F.collect_list(body).alias("events"))
     whole = F.to_json(F.struct("version_id", "events"))
@@ -269,7 +269,7 @@ PRIZES = (
 
 def import_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of transactions and rewards imports, each run twice, and the rows that are stored."""
-    store = _seeded_store(spark, sf_dir, work_folder(spark))
+    store = seeded_store(spark, sf_dir, work_folder(spark))
     st.load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     rows = []
     for table, sql in (("transactions", PAYMENTS), ("rewards", PRIZES)):

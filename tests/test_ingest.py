@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from helpers import batch, rows_of, seed, with_players, with_versions
+from pyspark.sql import functions as F
 
 from campaignlake.ingest import jobs
 from campaignlake.ingest.jobs import Counters, refresh_scores, run_documents, run_import
@@ -15,7 +17,8 @@ from campaignlake.operators.validate import BatchRejected
 from campaignlake.plans.workbook import run_export
 from campaignlake.settings import Settings
 from campaignlake.sources.batches import explode_documents, read_documents, with_ordinal
-from campaignlake.sources.tables import CampaignStore
+from campaignlake.sources import tables
+from campaignlake.sources.tables import CampaignStore, Commits, latest
 
 AT = "2026-01-15T10:00:00+02:00"
 
@@ -260,7 +263,7 @@ def test_a_failed_import_leaves_nothing_and_its_ids_are_gone(spark, store, monke
     with_players(store, "zora")
     rows = batch(spark, "events", [event(1, "k1"), event(1, None)])
     with monkeypatch.context() as patch:
-        patch.setattr(CampaignStore, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        patch.setattr(jobs.Job, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
         with pytest.raises(RuntimeError):
             run_import(store, "events", rows, "x")
     assert store.read("events").count() == 0
@@ -270,15 +273,143 @@ def test_a_failed_import_leaves_nothing_and_its_ids_are_gone(spark, store, monke
     assert len(ids) == len(set(ids)) == 3 and min(ids) > 2
 
 
-def test_what_a_lost_driver_left_is_taken_back(spark, store):
+class Killed(BaseException):
+    """A driver's death: nothing handles it."""
+
+
+def test_a_driver_lost_between_two_tables_shows_neither(spark, store, monkeypatch):
+    with_players(store, "zora")
+    rows = batch(spark, "events", [event(1, "k", "reward_granted", {"reward_type": "badge"}), event(1, "g", "game_completed", {"score": 7})])
+    append = CampaignStore.append_log
+
+    def killed(self, frame, table, *more):
+        append(self, frame, table, *more)
+        if table == "rewards":
+            raise Killed
+
+    with monkeypatch.context() as patch:
+        patch.setattr(CampaignStore, "append_log", killed)
+        with pytest.raises(Killed):
+            run_import(store, "events", rows, "dead")
+    left = lambda: {t: store.read(t).count() for t in ("events", "rewards")}
+    assert left() == {"events": 0, "rewards": 0} and ImportLedger(store).state("dead")["status"] == "processing"
+    assert spark.read.parquet(store.path("events")).count() == 2 and spark.read.parquet(store.path("rewards")).count() == 1
+    # The next import settles the lost one, once; the keys it wrote are free again.
+    run_import(store, "events", batch(spark, "events", [event(1, "k")]), "next")
+    state = ImportLedger(store).state("dead")
+    assert state["status"] == "failed" and ImportLedger(store).unfinished() == [] and jobs.recover(store) == []
+    assert left() == {"events": 1, "rewards": 0}
+    assert run_import(store, "events", rows, "dead") == Counters(2, 1, 1, 0)
+    assert left() == {"events": 2, "rewards": 0} and rows_of(store.read("players"), "total_score") == [(7,)]
+    ids = [r.id for r in store.read("events").collect()]
+    assert len(ids) == len(set(ids)) and min(ids) > 2
+
+
+def test_a_commit_stands_when_the_ledger_was_not_told(spark, store, monkeypatch):
+    with_players(store, "zora")
+    commit = Commits.commit
+
+    def killed(self, *a):
+        commit(self, *a)
+        raise Killed
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Commits, "commit", killed)
+        with pytest.raises(Killed):
+            run_import(store, "events", batch(spark, "events", [event(1, "k"), event(1, "k")]), "x")
+    assert store.read("events").count() == 1
+    assert run_import(store, "events", batch(spark, "events", [event(1, "k")]), "x") is None
+    state = ImportLedger(store).state("x")
+    assert (state["status"], state["inserted"], state["duplicates"]) == ("completed", 1, 1)
+
+
+def files_of(store, *folders):
+    root = Path(store.root)
+    return {str(f.relative_to(root)) for folder in folders for f in (root / folder).rglob("*.parquet")}
+
+
+def test_an_upsert_writes_no_more_than_its_rows(spark, tmp_path):
+    store = CampaignStore(spark, str(tmp_path / "wide"), buckets=16)
+    with_versions(store)
+    many = [player(f"p{i}", language="it") for i in range(400)]
+    run_import(store, "players", batch(spark, "players", many))
+    store.compact("users"), store.compact("players")
+    base = files_of(store, "users", "players")
+    assert len(base) == 32 and not files_of(store, "_changes")
+    for k in range(3):
+        changed = [player(f"p{i}", language=f"l{k}") for i in range(k, 400, 40)] + [player(f"new{k}")]
+        assert run_import(store, "players", batch(spark, "players", changed)).inserted == 1
+        assert files_of(store, "users", "players") == base and len(files_of(store, "_changes")) <= 2 * (k + 1)
+    want = sorted([("it", 370), ("l0", 10), ("l1", 10), ("l2", 10), (None, 3)], key=str)
+    seen = lambda: rows_of(store.read("players").groupBy("language").count(), "language", "count")
+    before = store.read("players").drop("bucket").orderBy("id").collect()
+    assert seen() == want
+    assert store.compact("players") == 3 and store.compact("players") == 0
+    assert seen() == want and store.read("players").drop("bucket").orderBy("id").collect() == before
+    assert len(files_of(store, "players")) == 16 and store.read("users").count() == 403
+
+
+def test_a_swap_that_was_cut_short_is_done_again(spark, store, monkeypatch):
+    with_players(store, "zora", "milan")
+    run_import(store, "players", batch(spark, "players", [player("zora", language="hr")]))
+    with monkeypatch.context() as patch:
+        patch.setattr(CampaignStore, "_write", lambda *a: (_ for _ in ()).throw(Killed()))
+        with pytest.raises(Killed):
+            store.compact("players")
+    staged = spark.read.parquet(*map(str, Path(store.root, "_staging").glob("swap-*/players")))
+    for r in staged.select("version_id", "bucket").distinct().collect():
+        for part in Path(store.root, f"players/version_id={r.version_id}/bucket={r.bucket}").iterdir():
+            part.unlink()
+    jobs.recover(store)
+    assert rows_of(store.read("players"), "id", "language") == [(1, "hr"), (2, None)] and not list(Path(store.root, "_swaps").glob("swap*"))
+
+
+def test_commit_files_and_state_logs_stay_few(spark, store, monkeypatch):
+    monkeypatch.setattr(tables, "MAX_COMMITS", 6)
+    monkeypatch.setattr(tables, "MAX_LOG_FILES", 5)
+    monkeypatch.setattr(tables, "MAX_CHANGES", 2)
+    with_players(store, "zora")
+    for k in range(9):
+        rows = batch(spark, "events", [event(1, f"k{k // 2}", "game_completed", {"score": 1})])
+        if k % 3 == 2:
+            with monkeypatch.context() as patch:
+                patch.setattr(jobs.Job, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("no")))
+                with pytest.raises(RuntimeError):
+                    run_import(store, "events", rows, f"i{k}")
+        else:
+            run_import(store, "events", rows, f"i{k}")
+    assert len(Commits(spark, store.root)._listed()[2]) <= 6 and len(store._change_numbers("players")) <= 3
+    assert sum(len(list(Path(p).glob("*.parquet"))) for p in store.log_paths("import_log")) <= 6
+    assert rows_of(store.read("events"), "dedup_key") == [("k0",), ("k1",), ("k2",), ("k3",)]
+    assert rows_of(store.read("players"), "total_score") == [(4,)]
+    states = latest(store.read("import_log"), "import_id")
+    assert rows_of(states.groupBy("status").count(), "status", "count") == [("completed", 6), ("failed", 3)]
+    assert ImportLedger(store).state("i0")["inserted"] == 1 and run_import(store, "events", batch(spark, "events", [event(1)]), "i0") is None
+
+
+def test_a_small_batch_is_checked_against_few_splits(spark, tmp_path):
+    store = CampaignStore(spark, str(tmp_path / "wide"), buckets=64)
     with_players(store, "zora")
-    seed(store, "events", [{"id": 1, "version_id": 1}])
-    store.write_batch(store.read("events").drop("batch_id"), "events", "dead")
-    store.prepare_batch(store.read("events").drop("batch_id"), "events", "dead")
-    ImportLedger(store).write("dead", status="processing", type="events", batch_id="dead", attempts=1, last_ids={"events": 40})
-    run_import(store, "events", batch(spark, "events", [event(1, "k")]))
-    got = {r.batch_id: r.id for r in store.read("events").collect()}
-    assert set(got) == {"seed", *[b for b in got if b not in ("seed", "dead")]} and max(got.values()) == 41
+    stored = [{"id": i, "version_id": 1, "player_id": 1, "type": "x", "occurred_at": datetime(2026, 1, 1 + i % 20), "dedup_key": f"k{i}"} for i in range(2000)]
+    seed(store, "events", stored)
+    rows = batch(spark, "events", [event(1, f"k{i * 300}") for i in range(4)])
+    wanted = jobs.event_candidates(rows)
+    index = store.stored_keys("events", wanted, [1])
+    opened = {f.split("split=")[1].split("/")[0] for f in index.inputFiles()}
+    assert len(opened) == 64
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    splits = {r[0] for r in wanted.select(store._split_of(F.col("dedup_key"))).collect()}
+    assert "PartitionFilters" in plan and all(f"split=" not in line or "events" in line for line in plan.splitlines())
+    read = {r[0].split("split=")[1].split("/")[0] for r in index.select(F.input_file_name()).distinct().collect()}
+    assert read == {str(s) for s in splits} and len(read) <= 4
+    assert run_import(store, "events", rows) == Counters(4, 0, 4, 0)
+    # Days of the log are rewritten without changing a row.
+    before = store.read("events").orderBy("id").collect()
+    run_import(store, "events", batch(spark, "events", [{**event(1, "late"), "occurred_at": "2026-01-03T00:00:00Z"}]))
+    assert len(list(Path(store.root, "events/version_id=1/day=2026-01-03").glob("*.parquet"))) == 2
+    store.compact_log("events", [1], "2026-01-01", "2026-01-05")
+    assert len(list(Path(store.root, "events/version_id=1/day=2026-01-03").glob("*.parquet"))) == 1
+    assert store.read("events").where("dedup_key <> 'late'").orderBy("id").collect() == before
 
 
 def test_retry_of_a_players_import_keeps_what_came_between(spark, store, monkeypatch):

@@ -7,7 +7,7 @@ import json
 from helpers import rows_of, with_players
 from pyspark.sql import functions as F
 
-from campaignlake.ingest.ledger import latest
+from campaignlake.sources.tables import latest
 from campaignlake.sources.tables import CampaignStore
 from campaignlake.streaming.ingest_stream import keyed_events_stream, start_ingest
 
