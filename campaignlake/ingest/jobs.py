@@ -25,6 +25,7 @@ from campaignlake.operators.merge import (
 )
 from campaignlake.operators.resolve import resolve_players
 from campaignlake.operators.scores import GAME_EVENT, score_mismatches, score_rollup
+from campaignlake.operators.sketches import event_sketches
 from campaignlake.operators.typed import project_all, records_of, skipped_records
 from campaignlake.operators.validate import BatchRejected, require_clean, split_valid
 from campaignlake.settings import DEFAULT_SETTINGS, Settings
@@ -217,8 +218,10 @@ def ingest_events(job: Job, rows: DataFrame) -> Counters:
     inserted, skipped = stored["n"], 0
     if stored["typed"]:
         skipped = _write_typed(job, events, first_id, sorted(stored["typed"]))
-    if job.settings.maintain_scores:
-        _add_scores(job, events)
+    if inserted:
+        job.write(event_sketches(events), "event_sketches")
+        if job.settings.maintain_scores:
+            _add_scores(job, events)
     processed, accepted = candidates.count(), known.count()
     return Counters(processed, inserted, accepted - inserted, processed - accepted, skipped)
 

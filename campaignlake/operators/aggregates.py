@@ -34,7 +34,7 @@ def aggregate(
     if fn == "count":
         return F.count(F.lit(1))
     if fn == "count_distinct":
-        return F.count_distinct(column)
+        return F.approx_count_distinct(column, settings.approx_distinct) if settings.approx_distinct else F.count_distinct(column)
     if fn == "avg":
         return average(column, dtype)
     if fn == "sum":

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from campaignlake.functions.normalize import iso8601
 from campaignlake.plans.guards import check_spec
-from campaignlake.plans.sheet import Tables, compile_sheet, filtered_source
+from campaignlake.plans.shared import shared_sheets
+from campaignlake.plans.sheet import Tables, filtered_source
 from campaignlake.plans.spec import SheetSpec, parse_spec
 from campaignlake.settings import DEFAULT_SETTINGS, Settings
 from campaignlake.sources.registry import DEFAULT_REGISTRY, Registry
@@ -35,18 +36,18 @@ def preview(
 ) -> list[dict[str, Any]]:
     """First rows of every sheet, keyed by header; a repeated label keeps its last value."""
     check_spec(params, settings, registry)
-    shown = []
-    for spec in parse_spec(params, day, registry).sheets:
-        sheet = compile_sheet(spec, tables, version_id, registry, settings)
-        rows = preview_frame(sheet, settings.preview_rows).collect()
-        shown.append(
-            {
-                "name": spec.name,
-                "header": spec.header,
-                "rows": [dict(zip(spec.header, row)) for row in rows[: settings.preview_rows]],
-                "truncated": len(rows) > settings.preview_rows,
-            }
-        )
+    specs, shown = parse_spec(params, day, registry).sheets, []
+    with shared_sheets(specs, tables, version_id, registry, settings) as sheets:
+        for spec, sheet in zip(specs, sheets):
+            rows = preview_frame(sheet, settings.preview_rows).collect()
+            shown.append(
+                {
+                    "name": spec.name,
+                    "header": spec.header,
+                    "rows": [dict(zip(spec.header, row)) for row in rows[: settings.preview_rows]],
+                    "truncated": len(rows) > settings.preview_rows,
+                }
+            )
     return shown
 
 

@@ -28,7 +28,7 @@ def scoped_source(source: SourceDef, tables: Tables, version_id: int | None) ->
     return rows
 
 
-def _dtype(rows: DataFrame, column: str) -> T.DataType:
+def column_type(rows: DataFrame, column: str) -> T.DataType:
     return rows.select(F.col(column)).schema[0].dataType
 
 
@@ -40,7 +40,7 @@ def filtered_source(
     for alias, value in spec.filters.items():
         rule = source.filters.get(alias)
         if rule is not None:
-            dtype = _dtype(rows, rule.column)
+            dtype = column_type(rows, rule.column)
             rows = rows.where(predicate(rule.op, F.col(rule.column), dtype, value, settings))
     return rows
 
@@ -51,7 +51,7 @@ def _aggregate_column(
     if column.field is None:
         return aggregate(column.fn, None, None, settings)
     real = source.fields[column.field]
-    dtype = _dtype(rows, real)
+    dtype = column_type(rows, real)
     return aggregate(column.fn, _compared(F.col(real), dtype, settings), dtype, settings)
 
 
@@ -65,7 +65,7 @@ def _grouped(
     spec: SheetSpec, source: SourceDef, rows: DataFrame, per_version: bool, settings: Settings
 ) -> DataFrame:
     fields = {alias: source.fields[alias] for alias in spec.group_by}
-    dims = {alias: _compared(F.col(f), _dtype(rows, f), settings) for alias, f in fields.items()}
+    dims = {alias: _compared(F.col(f), column_type(rows, f), settings) for alias, f in fields.items()}
     keys = [c.alias(f"g{i}") for i, c in enumerate(dims.values())]
     if per_version:
         keys = [F.col(source.version_column).alias("version_id"), *keys]

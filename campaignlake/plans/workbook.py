@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -29,7 +30,8 @@ from campaignlake.ingest.ledger import (
 )
 from campaignlake.operators.quality import quality_report
 from campaignlake.plans.guards import check_spec
-from campaignlake.plans.sheet import Tables, compile_sheet, sheet_row_count
+from campaignlake.plans.shared import shared_sheets
+from campaignlake.plans.sheet import Tables, sheet_row_count
 from campaignlake.plans.spec import TRUE_VALUES, parse_spec
 from campaignlake.settings import DEFAULT_SETTINGS, Settings
 from campaignlake.sources.registry import DEFAULT_REGISTRY, Registry
@@ -192,6 +194,7 @@ def quality_sheet(tables: Tables, version_id: int) -> Sheet:
 # --- sink -----------------------------------------------------------------------------------------
 
 
+@contextmanager
 def data_sheets(
     params: Mapping[str, Any],
     tables: Tables,
@@ -199,12 +202,12 @@ def data_sheets(
     registry: Registry = DEFAULT_REGISTRY,
     settings: Settings = DEFAULT_SETTINGS,
     day: Any = None,
-) -> list[Sheet]:
+) -> Iterator[list[Sheet]]:
+    """The sheets of a request, to be written inside the block: aggregated ones of a source share a pass over it."""
     check_spec(params, settings, registry)
-    return [
-        Sheet(spec.name, spec.header, compile_sheet(spec, tables, version_id, registry, settings))
-        for spec in parse_spec(params, day, registry).sheets
-    ]
+    specs = parse_spec(params, day, registry).sheets
+    with shared_sheets(specs, tables, version_id, registry, settings) as frames:
+        yield [Sheet(spec.name, spec.header, rows) for spec, rows in zip(specs, frames)]
 
 
 def _writable(rows: DataFrame, kind: str) -> DataFrame:
@@ -288,12 +291,12 @@ def export_workbook(
     """
     export_id, now = export_id or new_id(), now or utc_now()
     fmt = str(params.get("format") or "xlsx")
-    data = data_sheets(params, tables, version_id, registry, settings, now.date())
-    HadoopPath(spark, path).delete()
-    if params.get("include_summary") not in TRUE_VALUES:
-        written = write_workbook(spark, data, path, WRITERS[fmt])
-    else:
-        written = _with_summary(spark, data, params, tables, version_id, path, export_id, fmt, now)
+    with data_sheets(params, tables, version_id, registry, settings, now.date()) as data:
+        HadoopPath(spark, path).delete()
+        if params.get("include_summary") not in TRUE_VALUES:
+            written = write_workbook(spark, data, path, WRITERS[fmt])
+        else:
+            written = _with_summary(spark, data, params, tables, version_id, path, export_id, fmt, now)
     manifest_frame(spark, written).write.mode("overwrite").json(f"{path}/manifest")
     return written
 

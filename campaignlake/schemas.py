@@ -14,6 +14,7 @@ _TYPES = {
     "TIMESTAMP": T.TimestampType(),
     "DECIMAL(12,2)": T.DecimalType(12, 2),
     "MAP<STRING,BIGINT>": T.MapType(T.StringType(), T.LongType()),
+    "BINARY": T.BinaryType(),
 }
 
 
@@ -69,6 +70,8 @@ IMPORT_LOG = _schema(
     "error_message STRING, created_at TIMESTAMP, started_at TIMESTAMP, completed_at TIMESTAMP, batch_no BIGINT, "
     "seq BIGINT"
 )
+# Events of a batch by version, type and day: how many, and a mergeable sketch of their players.
+EVENT_SKETCHES = _schema("version_id BIGINT, type STRING, occurred_at TIMESTAMP, events BIGINT, players BINARY")
 TYPED_SKIPPED = _schema("version_id BIGINT, event_id BIGINT, type STRING, reason STRING")
 EXPORT_LOG = _schema(
     "export_id STRING, version_id BIGINT, params STRING, format STRING, status STRING, attempts INT, "
@@ -87,6 +90,7 @@ TABLES = {
     "transactions": TRANSACTIONS,
     "rewards": REWARDS,
     "typed_skipped": TYPED_SKIPPED,
+    "event_sketches": EVENT_SKETCHES,
     "import_log": IMPORT_LOG,
     "export_log": EXPORT_LOG,
 }

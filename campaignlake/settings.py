@@ -13,6 +13,8 @@ class Settings:
     check_versions: bool = True
     # An import of events adds the scores of the new ones to their players' total_score.
     maintain_scores: bool = True
+    # Relative error that distinct counts of sheets may have; None counts exactly.
+    approx_distinct: float | None = None
     # The published defaults of the limits below.
     chunk_size: int = 1000
     max_sheets: int = 10

@@ -29,7 +29,7 @@ from campaignlake.operators.keys import touched
 from campaignlake.operators.predicates import has_prefix
 
 # Append-only tables and the time whose day splits them; without one it is the day of the write.
-LOG_TABLES = {"events": "occurred_at", "answers": "occurred_at", "transactions": "occurred_at", "rewards": "granted_at", "typed_skipped": None}
+LOG_TABLES = {"events": "occurred_at", "answers": "occurred_at", "transactions": "occurred_at", "rewards": "granted_at", "typed_skipped": None, "event_sketches": "occurred_at"}
 # Upserted tables: the key of a row, and the part of it whose hash is the bucket.
 MERGED_TABLES = {"users": "email", "players": "user_id"}
 MERGE_KEYS = {"users": ["email"], "players": ["version_id", "user_id"]}
@@ -499,7 +499,7 @@ class CampaignStore:
         """Empty one version, children before parents; users only by an e-mail prefix, because
         versions share them. The version row itself stays."""
         with self.lock:
-            for table in ("answers", "transactions", "rewards", "events", "players"):
+            for table in ("answers", "transactions", "rewards", "typed_skipped", "event_sketches", "events", "players"):
                 self.drop_version(table, version_id)
             if email_prefix:
                 self.keep_only("users", ~has_prefix(F.col("email"), email_prefix))

@@ -15,8 +15,8 @@ from campaignlake.sources.tables import CampaignStore
 def keyed_events_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Event stream without repeated dedup keys, with state bounded by the watermark.
 
-    For readers of the stream itself; `start_ingest` needs no state, it checks the stored table.
-    Rows without a key are never repeats of each other, so they pass beside the dedup.
+    For readers of the stream itself (`start_keyed_events`); `start_ingest` needs no state, it checks the key index.
+    Rows without a key are never repeats of each other, so they pass beside the dedup, late ones too.
     """
     timed = events.withWatermark("occurred_at", delay)
     keyed = timed.where(F.col("dedup_key").isNotNull())
@@ -25,6 +25,22 @@ def keyed_events_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
+def start_keyed_events(
+    events: DataFrame, target: str, checkpoint: str, delay: str = "1 day", available_now: bool = True
+) -> StreamingQuery:
+    """Append an event stream to the files at `target` without repeated keys, for consumers beside the store.
+
+    The state is one row for each key of the last `delay`, whatever the stream's age; it survives a restart with the
+    checkpoint. Keyed rows older than the watermark are dropped: their keys may have been forgotten.
+    """
+    writer = (
+        keyed_events_stream(events, delay).writeStream.format("parquet").outputMode("append")
+        .queryName("keyed_events").option("checkpointLocation", checkpoint).option("path", target)
+    )
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
+
+
 def start_ingest(
     store: CampaignStore,
     batch_type: str,

@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campaignlake.ingest.jobs import Job, run_import
+from campaignlake.operators.sketches import unique_players
+from campaignlake.plans.sheet import compile_sheet
+from campaignlake.plans.spec import parse_spec
+from campaignlake.plans.workbook import export_workbook, read_sheet
+from campaignlake.settings import Settings
 from campaignlake.sources.tables import CampaignStore, latest
+from campaignlake.streaming.ingest_stream import start_keyed_events
 from suite import standins as st
 from suite.ingestion import TYPED_SQL, value
-from suite.sheets import Query
+from suite.sheets import E_LANG, E_SCORE, E_UTM, Query, avg2
 from suite.standins import ctes
 from suite.stored import event_rows, failing, seeded_store, work_folder
 
@@ -255,3 +261,105 @@ ORACLES["import_ledger"] = (
     "union all select 'd', 'events', 'failed', 1, null, null, null, null, null, 'lost' from n "
     "union all select 'e', 'events', 'completed', 2, n, 0, n, 0, 0, null from n"
 )
+
+
+def stream_keys_across_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounded-state dedup in three runs of one stream. The second run repeats rows of the first, whose keys are
+    still remembered, and brings new rows and rows older than the watermark; the third repeats the first's rows when they
+    are too old themselves."""
+    folder = work_folder(spark)
+    events = st.load(spark, sf_dir, "events").selectExpr(
+        "user_id % 3 as version_id", "case when event_id % 9 <> 0 then 'n' || cast(event_id as string) end as dedup_key", "event_id"
+    )
+    at = lambda start: F.expr(f"timestamp'{start}' + make_interval(0, 0, 0, 0, 0, cast(event_id % 600 as int), 0)")
+    first = events.withColumn("occurred_at", at("2026-01-01 00:00:00"))
+    late = events.where("event_id % 4 = 0").withColumn("occurred_at", at("2025-12-01 00:00:00")).withColumn("dedup_key", F.expr("'late' || dedup_key"))
+    new = events.where("event_id % 5 = 0").withColumn("occurred_at", at("2026-01-03 00:00:00")).withColumn("dedup_key", F.expr("'new' || dedup_key"))
+    runs = [first.unionByName(first.where("event_id % 2 = 0")), first.where("event_id % 3 = 0").unionByName(late).unionByName(new), first]
+    schema = runs[0].schema
+    for number, rows in enumerate(runs):
+        rows.write.parquet(f"{folder}/landing/run={number}")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/landing/*")
+        start_keyed_events(stream, f"{folder}/keyed", f"{folder}/checkpoint").awaitTermination()
+    rows = spark.read.schema(schema).parquet(f"{folder}/keyed")
+    return rows.groupBy("version_id", "dedup_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["stream_keys_across_restarts"] = stream_keys_across_restarts
+ORACLES["stream_keys_across_restarts"] = (
+    "select user_id % 3 as version_id, 'n' || cast(event_id as string) as dedup_key, 1 as n from events where event_id % 9 <> 0 "
+    "union all select user_id % 3, 'newn' || cast(event_id as string), 1 from events where event_id % 9 <> 0 and event_id % 5 = 0 "
+    "union all select user_id % 3, null, sum(2 + (event_id % 2 = 0)::int + (event_id % 3 = 0)::int + (event_id % 4 = 0)::int + (event_id % 5 = 0)::int) "
+    "from events where event_id % 9 = 0 group by 1"
+)
+
+
+def unique_players_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and players by version and type from the sketches that two overlapping imports kept: the events are exact,
+    the players within 5 % of the exact count."""
+    store = seeded_store(spark, sf_dir, work_folder(spark))
+    run_import(store, "events", event_rows(spark, sf_dir, "event_id % 3 <> 0", "event_type"), "one")
+    run_import(store, "events", event_rows(spark, sf_dir, "event_id % 3 <> 1", "event_type"), "two")
+    exact = store.read("events").where("batch_id <> 'seed'").groupBy("version_id", "type").agg(F.count_distinct("player_id").alias("exact"))
+    about = unique_players(store.read("event_sketches"), ["version_id", "type"])
+    near = F.abs(F.col("unique_players") - F.col("exact")) <= F.greatest(F.lit(1), 0.05 * F.col("exact"))
+    return about.join(exact, ["version_id", "type"]).select("version_id", "type", "events", near.alias("near"))
+
+
+QUERIES["unique_players_sketched"] = unique_players_sketched
+ORACLES["unique_players_sketched"] = (
+    "select user_id % 3 as version_id, event_type as type, count(*) as events, true as near from events group by 1, 2"
+)
+
+
+def events_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The opt-in for approximate distinct counts in a sheet, against the exact ones."""
+    sheet = {"source": "events", "group_by": ["type"], "metrics": ["unique_players", "count"]}
+    spec = parse_spec({"sheets": [sheet]}).sheets[0]
+    about = compile_sheet(spec, st.tables(spark, sf_dir), None, settings=Settings(approx_distinct=0.01)).toDF("version_id", "type", "about", "n")
+    exact = compile_sheet(spec, st.tables(spark, sf_dir), None).toDF("version_id", "type", "exact", "n_exact")
+    near = F.abs(F.col("about") - F.col("exact")) <= F.greatest(F.lit(1), 0.05 * F.col("exact"))
+    return about.join(exact, ["version_id", "type"]).select("version_id", "type", "n", near.alias("near"))
+
+
+QUERIES["events_approx_distinct"] = events_approx_distinct
+ORACLES["events_approx_distinct"] = (
+    ctes("events") + "select version_id, type, count(*) as n, true as near from s_events group by 1, 2"
+)
+
+
+FIVE_SHEETS = {
+    "sheets": [
+        {"name": "By type", "source": "events", "group_by": ["type"], "metrics": ["count", "unique_players", "avg_score"]},
+        {"name": "Languages", "source": "events", "group_by": ["language", "type"], "filters": {"type": ["click", "view"]}, "metrics": ["count"]},
+        {"name": "Scores", "source": "events", "filters": {"language": ["it"]},
+         "columns": [{"fn": "min", "field": "score", "as": "low"}, {"fn": "max", "field": "score", "as": "high"}, {"fn": "sum", "field": "score", "as": "sum"}, {"fn": "count", "as": "n"}]},
+        {"name": "Nobody", "source": "events", "filters": {"type": ["no such type"]}, "metrics": ["count", "unique_players", "avg_score"]},
+        {"name": "Pairs", "source": "events", "group_by": ["type", "utm_source"]},
+    ],
+}
+
+
+def workbook_of_one_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a workbook of five aggregated sheets over one source, which read it once."""
+    path = f"{work_folder(spark)}/export"
+    written = export_workbook(spark, FIVE_SHEETS, st.tables(spark, sf_dir), 1, path)
+    sheets = []
+    for w in written:
+        cells = [f"c{i}" for i in range(len(w.header))]
+        rows = read_sheet(spark, path, w.number).toDF(*cells)
+        sheets.append(rows.select(F.lit(w.number).alias("sheet_no"), F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in cells]).alias("cells")))
+    return reduce(DataFrame.unionByName, sheets)
+
+
+QUERIES["workbook_of_one_source"] = workbook_of_one_source
+ORACLES["workbook_of_one_source"] = (
+    ctes("events")
+    + f", e as (select *, {E_LANG} as language, {E_UTM} as utm, {E_SCORE} as score from s_events where version_id = 1) "
+    f"select 1 as sheet_no, concat_ws('|', type, count(*), count(distinct player_id), coalesce(cast({avg2('sum(score)', 'count(score)')} as string), '')) as cells "
+    "from e group by type "
+    "union all select 2, concat_ws('|', coalesce(language, ''), type, count(*)) from e where type in ('click', 'view') group by language, type "
+    "union all select 3, concat_ws('|', min(score), max(score), sum(score), count(*)) from e where language = 'it' "
+    "union all select 4, '0|0|' "
+    "union all select distinct 5, concat_ws('|', type, coalesce(utm, '')) from e"
+)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from campaignlake.sources.tables import latest
 from campaignlake.sources.tables import CampaignStore
-from campaignlake.streaming.ingest_stream import keyed_events_stream, start_ingest
+from campaignlake.streaming.ingest_stream import keyed_events_stream, start_ingest, start_keyed_events
 
 
 def document(path, rows, version_id=1):
@@ -61,3 +61,20 @@ def test_stream_dedup_within_the_watermark(spark, tmp_path):
     )
     query.awaitTermination()
     assert rows_of(spark.table("deduped"), "version_id", "dedup_key") == [(1, "a"), (1, None), (1, None), (2, "a")]
+
+
+def test_stream_state_is_bounded_by_the_watermark(spark, tmp_path):
+    """Each run is a restart of the stream; a run's rows are a day and a half later than those of the run before."""
+    schema = "version_id long, dedup_key string, occurred_at timestamp"
+    held = []
+    for run in range(4):
+        rows = spark.range(50).selectExpr(
+            "1L as version_id", f"concat('r{run}-', id) as dedup_key", f"timestamp'2026-01-01' + make_dt_interval({run}, {12 * run}, cast(id as int)) as occurred_at"
+        )
+        rows.union(rows).write.parquet(str(tmp_path / f"in/run={run}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+        query = start_keyed_events(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+        query.awaitTermination()
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert spark.read.parquet(str(tmp_path / "out")).groupBy("dedup_key").count().where("count = 1").count() == 200
+    assert max(held) <= 100 and held[-1] <= 100
