@@ -7,7 +7,7 @@ many pages they occur, how much text they hold and whether it is the same on all
 is the article element, or else the element that holds most of the changing text. A slot with one and the same text on
 all pages is template only if it is no heading, stands before or after all changing text of its page and reads as a
 notice, an advert or a menu; other equal text is the article's. Regions that are never content (navigation, footers, adverts, forms,
-comments, ...) are known by their element or by the words in their class, id or role.
+comments, ...) are known by their element, or by a name in their class, id or role that consists of such words.
 
 Extraction reads the wrapper's set of key paths only: a slot is a key path, and what the alignment decides beyond that
 (optional and repeated groups) serves `expression`. Pages are not matched against their wrapper, so siblings of one key
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from campaignlake.llm.common import staged
 
 MAX_DEPTH = 120
-MIN_PAGES = 8
 MAIN_SHARE = 0.7
 SALTS = 16
 LONGEST_TANDEM = 4
@@ -63,9 +62,13 @@ BOILERPLATE = frozenset(
     "topbar widget".split()
 )
 
-# Class tokens that begin so describe the page around them (`has-sidebar`), not a region; and elements that hold all regions.
-MODIFIERS = frozenset("has have no not with without is show hide".split())
-WHOLE = frozenset(["html", "body", "main"])
+# Words that only say which part of a region an element is: `site-footer` is a footer, `ad-free` is no advert.
+PARTS = frozenset(
+    "site page main top bottom left right primary secondary inner outer area block box bar body container content form group header "
+    "item items inner link links list panel row section slot title widget wrap wrapper".split()
+)
+# Elements that hold all regions, and the article itself, are never excluded for their class.
+WHOLE = frozenset(["html", "body", "main", "article"])
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -95,15 +98,32 @@ class Node:
 
 
 def element_key(tag: str, attributes: str) -> str:
-    """Element with the words of its class, id and role; digits and values that differ from page to page stay out."""
+    """Element with the names of its class, id and role, their words joined by hyphens; digits, which differ from page to
+    page, stay out."""
     names = [name for m in _ATTRIBUTE.finditer(attributes) for name in (m[2] or m[3] or m[4] or "").lower().split()]
-    parts = [_WORD.findall(name) for name in names]
-    return " ".join([tag, *sorted({w for p in parts if not MODIFIERS & set(p[:-1]) for w in p})])
+    return " ".join([tag, *sorted({"-".join(_WORD.findall(name)) for name in names} - {""})])
+
+
+def boilerplate(name: str) -> bool:
+    """A name that says nothing but that its region is no content: all its words do, or name a part of such a region."""
+    words = set(name.split("-"))
+    return bool(words & BOILERPLATE) and words <= BOILERPLATE | PARTS
 
 
 def excluded(key: str) -> bool:
-    tag, *words = key.split(" ")
-    return tag in NEVER or (tag not in WHOLE and any(w in BOILERPLATE for w in words))
+    tag, *names = key.split(" ")
+    return tag in NEVER or (tag not in WHOLE and any(map(boilerplate, names)))
+
+
+def outside(path: tuple[str, ...]) -> bool:
+    """Whether a path leads into a region that is never content. A heading in an article's own header is content."""
+    for i, key in enumerate(path):
+        if excluded(key):
+            tag, *names = key.split(" ")
+            own = tag == "header" and not any(map(boilerplate, names)) and any(k.split(" ", 1)[0] == "article" for k in path[:i])
+            if not (own and any(_HEADING.fullmatch(k.split(" ", 1)[0]) for k in path[i + 1 :])):
+                return True
+    return False
 
 
 def stream(source: str) -> Iterator[tuple[str, str]]:
@@ -272,7 +292,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: dict[tuple[str, ...], str] = {}
             for path, text in slots(source or ""):
                 if text and text.strip():
-                    slot = path if any(map(excluded, path)) else block_of(path)
+                    slot = path if outside(path) else block_of(path)
                     own[slot] = own.get(slot, "") + text
             for path, text in own.items():
                 mark = zlib.crc32(" ".join(text.split()).encode())
@@ -310,7 +330,7 @@ def main_region(wrapper: Node, texts: dict[tuple[str, ...], tuple[int, int, bool
         outer = [p for p in found if not any(p[: len(q)] == q and p != q for q in found)]
         if outer:
             return sorted(outer)
-    mass = {p: sum(c for q, (_, c, fixed) in texts.items() if q[: len(p)] == p and not fixed and not any(map(excluded, q))) for p, _ in nodes}
+    mass = {p: sum(c for q, (_, c, fixed) in texts.items() if q[: len(p)] == p and not fixed and not outside(q)) for p, _ in nodes}
     total = max(mass.values(), default=0)
     held = [p for p, c in mass.items() if total and c >= MAIN_SHARE * total]
     return [max(held, key=lambda p: (len(p), p))] if held else []
@@ -323,7 +343,7 @@ def _rules(key: tuple, wrappers: pa.Table, found: pa.Table) -> pa.Table:
         return schema.empty_table()
     total = wrappers.column("pages")[0].as_py()
     texts = {
-        tuple(json.loads(p)): (n, c, n >= MIN_PAGES and low == high)
+        tuple(json.loads(p)): (n, c, n > 1 and low == high)
         for p, n, c, low, high in zip(*(found.column(x).to_pylist() for x in ("name", "pages", "chars", "low", "high")), strict=True)
     }
     regions = main_region(Node.unpacked(json.loads(wrappers.column("name")[0].as_py())), texts)
@@ -386,7 +406,7 @@ def main_text(source: str, regions: list[tuple[str, ...]], fixed: set[tuple[str,
     for path, _ in pieces:
         if path not in verdict:
             within = not fits or any(path[: len(r)] == r for r in fits)
-            verdict[path] = within and not any(map(excluded, path))
+            verdict[path] = within and not outside(path)
     template = template_slots([x for x in pieces if verdict[x[0]]], fixed) if fixed else set()
     for path, text in pieces:
         if text is None:

@@ -130,16 +130,17 @@ class Discriminant:
         counts = sums[:, 0, 0]
         self.share = float(counts[1] / counts.sum()) if counts.sum() else 0.0
         self.classes = None
-        if counts.min() > N_STATISTICS:
+        if counts.min() > 0:
             means = sums[:, 0, 1:] / counts[:, None]
             own = [sums[k, 1:, 1:] / counts[k] - np.outer(means[k], means[k]) for k in (0, 1)]
             pooled = (own[0] * counts[0] + own[1] * counts[1]) / counts.sum()
+            # A class of few rows has little spread of its own: the identity keeps its covariance invertible.
             self.scale = np.sqrt(np.diag(pooled) + 1e-9)
             self.classes = []
             unit = lambda c: c / np.outer(self.scale, self.scale)
             for k in (0, 1):
                 c = (1 - SHRINK_POOLED - SHRINK_IDENTITY) * unit(own[k]) + SHRINK_POOLED * unit(pooled)
-                c += SHRINK_IDENTITY * np.trace(unit(own[k])) / len(c) * np.eye(len(c))
+                c += SHRINK_IDENTITY * max(np.trace(unit(own[k])) / len(c), 1e-3) * np.eye(len(c))
                 factor = np.linalg.cholesky(c)
                 constant = np.log(counts[k] / counts.sum()) - np.log(np.diag(factor)).sum()
                 self.classes.append((means[k] / self.scale, np.linalg.inv(factor), constant))

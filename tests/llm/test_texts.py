@@ -346,3 +346,34 @@ def test_missing_records_and_empty_archives(spark, tmp_path):
     assert "urn:page:39" in {r.record_id for r in found}
     e = archive_of(spark, str(tmp_path / "e"), [])
     assert warc_audit.audit(spark, e, e)[0].count() == 0
+
+
+def test_empty_pages_are_audited(spark, tmp_path):
+    from campaignlake.llm import queries
+
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert queries.op3_merkle_fixity_audit(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["post ad-free", "social-history", "tags-guide", "notice-of-changes", "share", "ad-7"])
+@pytest.mark.parametrize("pages", [1, 2, 7, 8])
+def test_names_that_only_resemble_boilerplate_are_content(spark, name, pages):
+    source = (
+        '<html><body><nav>Home</nav><article class="{0}"><header class="top"><h1>Title {1}</h1><p>by someone</p></header>'
+        '<p>First text {1}.</p><section class="{0}"><p>Second text {1}.</p></section><div class="site-footer">bottom</div></article></body></html>'
+    )
+    rows = [(i, f"http://h.example/{i}", source.format(name, i)) for i in range(pages)]
+    got = html_wrappers.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()
+    second = "" if name in ("share", "ad-7") else "\nSecond text {0}."
+    assert {r.page_id: r.text for r in got} == {i: ("Title {0}\nFirst text {0}." + second).format(i) for i in range(pages)}
+
+
+def test_quality_is_learned_from_few_rows(spark):
+    good, bad = brute.prose(3, 120), "click 111 $$$ NOW!!! " * 20
+    for n in (1, 2, 16, 17):
+        docs = spark.createDataFrame([(i, (good if i % 2 else bad) + f" {i}") for i in range(400)], "doc_id long, text string")
+        seen = {r.doc_id for r in docs.select("doc_id", langid.in_fold(F.col("doc_id")).alias("h")).where("not h").collect()}
+        chosen = [i for k in (0, 1) for i in [j for j in sorted(seen) if j % 2 == k][:n]]
+        labels = spark.createDataFrame([(i, i % 2) for i in chosen], "doc_id long, quality int")
+        got = quality.score_documents(docs, labels).collect()
+        assert all(0 <= r.score <= 1 for r in got) and np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
