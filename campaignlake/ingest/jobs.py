@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from campaignlake import schemas
 from campaignlake.functions.normalize import dedup_key, money, to_utc, trim_strings
 from campaignlake.functions.payload import with_payload_columns, with_stored_payload
 from campaignlake.ingest.ledger import COMPLETED, FAILED, PROCESSING, ImportLedger, new_id, require_live_versions, utc_now
@@ -70,6 +72,7 @@ class Job:
     versions: tuple[int, ...] = ()
     number: int = 0
     at: Snapshot = Snapshot()
+    replaces: int | None = None
     logged: list[tuple[DataFrame, str]] = field(default_factory=list)
     changed: list[tuple[DataFrame, str]] = field(default_factory=list)
 
@@ -220,8 +223,8 @@ def ingest_events(job: Job, rows: DataFrame) -> Counters:
         skipped = _write_typed(job, events, first_id, sorted(stored["typed"]))
     if inserted:
         job.write(event_sketches(events), "event_sketches")
-        if job.settings.maintain_scores:
-            _add_scores(job, events)
+    if job.settings.maintain_scores and (inserted or job.replaces is not None):
+        _add_scores(job, events)
     processed, accepted = candidates.count(), known.count()
     return Counters(processed, inserted, accepted - inserted, processed - accepted, skipped)
 
@@ -263,8 +266,13 @@ def _first_of_key(job: Job, rows: DataFrame, table: str, keys: list[str]) -> Dat
 
 def _add_scores(job: Job, events: DataFrame) -> None:
     """The new events' scores on top of their players' totals. The changed players carry the batch's number like its
-    events, so both are seen or neither, and a retry starts from the totals before."""
-    gained = job.stage(score_rollup(events).where("score <> 0").withColumnRenamed("player_id", "id"), "scores")
+    events, so both are seen or neither, and a retry starts from the totals before. A replay adds the difference."""
+    sums = score_rollup(events)
+    if job.replaces is not None:
+        before = score_rollup(job.store.rows_of_write("events", job.replaces, job.versions))
+        both = sums.unionByName(before.withColumn("score", -F.col("score")))
+        sums = both.groupBy("version_id", "player_id").agg(F.sum("score").alias("score"))
+    gained = job.stage(sums.where("score <> 0").withColumnRenamed("player_id", "id"), "scores")
     if gained.limit(1).count() == 0:
         return
     keys = ["version_id", "id"]
@@ -427,6 +435,65 @@ def recover(store: CampaignStore) -> list[str]:
     return lost
 
 
+def replay(
+    store: CampaignStore, import_id: str, settings: Settings = DEFAULT_SETTINGS, registry: Registry = DEFAULT_REGISTRY
+) -> DataFrame:
+    """Run a completed import again from its raw batch, under the rules and reference tables of today, in place of
+    what it stored. Returns the difference: (stored, id, change) with `added`, `changed` or `removed` rows.
+
+    Rows keep the ids that the import reserved. The new rows become visible and the old ones vanish by one commit; a
+    replay that fails leaves the import as it was. Bad rows are quarantined. Rows that later imports left out as
+    duplicates of a row that is removed now do not come back. Player batches overwrite fields in order of arrival and
+    are not replayed.
+    """
+    with store.lock:
+        recover(store)
+        ledger = ImportLedger(store)
+        before = ledger.state(import_id)
+        if before is None or before["status"] != COMPLETED or before["type"] == "players":
+            raise ValueError(f"no completed import of log rows {import_id}")
+        batch_type, old = before["type"], store.commits.newest(before["batch_no"])
+        raw = store.spark.read.parquet(store.path(f"raw/{batch_type}/{import_id}"))
+        seen = raw.agg(F.max("ord").alias("last"), F.collect_set("version_id").alias("versions")).first()
+        good, bad = split_valid(trim_strings(raw, skip=("payload",)), batch_type)
+        first_ids = {table: last - seen["last"] for table, last in before["last_ids"].items()}
+        number = store.begin(import_id)
+        attempt, now = f"{import_id}/replay-{number}", utc_now()
+        job = Job(
+            store, import_id, attempt, now, first_ids, settings, registry, tuple(sorted(seen["versions"])), number, store.snapshot().without(old), old
+        )
+        try:
+            rejected = store.stage(bad.withColumn("import_id", F.lit(import_id)), "rejected", attempt)
+            counters = replace(JOBS[batch_type](job, good), rejected=rejected.count())
+            job.publish()
+            difference = _difference(job)
+            store.commits.commit(number, outcome(counters), old)
+            rejected.write.mode("overwrite").parquet(store.path(f"rejected/{batch_type}/{import_id}"))
+            kept = {k: v for k, v in before.items() if k not in ("import_id", "seq", *outcome(counters))}
+            kept |= {"batch_no": number, "attempts": before["attempts"] + 1, "started_at": now, "completed_at": utc_now()}
+            ledger.write(import_id, **outcome(counters), **kept)
+        finally:
+            store.drop_stage(import_id)
+        store.tidy()
+        return difference
+
+
+def _difference(job: Job) -> DataFrame:
+    """Rows that the replay adds, changes or removes, kept beside the import's other records."""
+    store, parts = job.store, []
+    for table in WRITES["events"]:
+        fields = [c for c in schemas.TABLES[table].fieldNames() if c not in ("id", "created_at")]
+        side = lambda number, name, table=table, fields=fields: store.rows_of_write(table, number, job.versions).select(
+            "id", F.struct(*fields).alias(name)
+        )
+        both = side(job.replaces, "_old").join(side(job.number, "_new"), "id", "full")
+        change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("changed")
+        parts.append(both.where(~F.col("_old").eqNullSafe(F.col("_new"))).select(F.lit(table).alias("stored"), "id", change.alias("change")))
+    path = store.path(f"replays/{job.batch_id}/{job.number}")
+    reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(path)
+    return store.spark.read.schema("stored string, id long, change string").parquet(path)
+
+
 def run_documents(
     store: CampaignStore,
     batch_type: str,

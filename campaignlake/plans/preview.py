@@ -90,7 +90,7 @@ def player_listing(players: DataFrame, users: DataFrame, version_id: int | None)
     )
 
 
-def _page_size(per_page: int) -> int:
+def checked_page_size(per_page: int) -> int:
     if not 1 <= per_page <= MAX_PAGE:
         raise ValueError(f"a page holds 1 to {MAX_PAGE} rows, not {per_page}")
     return per_page
@@ -100,7 +100,7 @@ def player_page(
     players: DataFrame, users: DataFrame, version_id: int, page: int = 1, per_page: int = DEFAULT_PAGE
 ) -> DataFrame:
     """Offset page, ordered by id. The page is cut before the e-mail join."""
-    size = _page_size(per_page)
+    size = checked_page_size(per_page)
     ids = (
         players.where(F.col("version_id") == version_id)
         .orderBy("id")
@@ -122,6 +122,6 @@ def player_keyset_page(
     ids = (
         players.where((F.col("version_id") == version_id) & (F.col("id") > after_id))
         .orderBy("id")
-        .limit(_page_size(per_page))
+        .limit(checked_page_size(per_page))
     )
     return player_listing(ids, users, version_id).orderBy("id")

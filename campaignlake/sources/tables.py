@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from threading import RLock
 from typing import Any
 
@@ -109,23 +109,29 @@ class HadoopPath:
 
 @dataclass(frozen=True)
 class Snapshot:
-    """The writes that a reader sees: numbers up to the last committed one, without those that never committed."""
+    """The writes that a reader sees: numbers up to the last committed one, without those that never committed, and in
+    log tables without those that a replay has replaced."""
 
     last: int = 0
     withdrawn: tuple[int, ...] = ()
+    replaced: tuple[int, ...] = ()
 
     def sees(self, number: int) -> bool:
         return number <= self.last and number not in self.withdrawn
 
+    def without(self, number: int) -> Snapshot:
+        return replace(self, replaced=(*self.replaced, number))
+
     def visible(self, rows: DataFrame) -> DataFrame:
         rows = rows.where(F.col("batch_no") <= self.last)
-        return rows.where(~F.col("batch_no").isin(*self.withdrawn)) if self.withdrawn else rows
+        gone = (*self.withdrawn, *self.replaced)
+        return rows.where(~F.col("batch_no").isin(*gone)) if gone else rows
 
 
 class Commits:
-    """Numbers of writes. `<number>.begun` reserves one, `<number>.done` makes its rows visible; creating a file that is
-    there fails, so no two writers share a number. Old files are folded into one that names the numbers without a
-    commit."""
+    """Numbers of writes. `<number>.begun` reserves one, `<number>.done` makes its rows visible, and
+    `<number>.done-<other>` does so in place of another's log rows; creating a file that is there fails, so no two writers
+    share a number. Old files are folded into one that names the numbers that are not to be seen."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, f"{root}/_commits"
@@ -133,44 +139,63 @@ class Commits:
     def _file(self, name: str) -> HadoopPath:
         return HadoopPath(self.spark, f"{self.root}/{name}")
 
-    def _listed(self) -> tuple[int, list[int], set[int], set[int]]:
-        """(number up to which files were folded, numbers without commit up to it, begun numbers, done numbers)."""
-        kinds: dict[str, list[int]] = {"begun": [], "done": [], "through": []}
+    def _listed(self) -> tuple[int, dict[str, Any], set[int], dict[int, str], dict[int, int]]:
+        """(number up to which files were folded, what they said, begun numbers, done numbers with their files, numbers
+        that replaced others by those others)."""
+        through, begun, done, by = 0, set(), {}, {}
         for name in HadoopPath(self.spark, self.root).names():
             number, _, kind = name.partition(".")
-            if kind in kinds:
-                kinds[kind].append(int(number))
-        through = max(kinds["through"], default=0)
-        gone = json.loads(self._file(f"{through:012d}.through").read_text()) if through else []
-        return through, gone, {n for n in kinds["begun"] if n > through}, {n for n in kinds["done"] if n > through}
+            kind, _, other = kind.partition("-")
+            if kind == "through":
+                through = max(through, int(number))
+            elif kind == "begun":
+                begun.add(int(number))
+            elif kind == "done":
+                done[int(number)] = name
+                if other:
+                    by[int(other)] = int(number)
+        said = json.loads(self._file(f"{through:012d}.through").read_text()) if through else {"withdrawn": [], "replaced": {}}
+        by = {**{int(old): new for old, new in said["replaced"].items()}, **by}
+        return through, said, {n for n in begun if n > through}, {n: f for n, f in done.items() if n > through}, by
 
     def snapshot(self) -> Snapshot:
-        through, gone, _, done = self._listed()
+        through, said, _, done, by = self._listed()
         last = max(done, default=through)
         missing = [n for n in range(through + 1, last) if n not in done]
-        return Snapshot(last, tuple([*gone, *missing]))
+        return Snapshot(last, (*said["withdrawn"], *missing), tuple(sorted(by)))
+
+    def newest(self, number: int) -> int:
+        """The number that holds what `number` wrote, after any replays."""
+        by = self._listed()[-1]
+        while number in by:
+            number = by[number]
+        return number
 
     def begin(self, name: str) -> int:
-        through, _, begun, done = self._listed()
+        through, _, begun, done, _ = self._listed()
         number = max([through, *begun, *done]) + 1
         self._file(f"{number:012d}.begun").write_new(name)
         return number
 
     def done(self, number: int) -> dict[str, Any] | None:
         """What the commit recorded; null without a commit. Asked for recent numbers only."""
-        file = self._file(f"{number:012d}.done")
-        return json.loads(file.read_text()) if file.exists() else None
+        name = self._listed()[3].get(number)
+        return json.loads(self._file(name).read_text()) if name else None
 
-    def commit(self, number: int, record: dict[str, Any]) -> None:
-        self._file(f"{number:012d}.done").write_new(json.dumps(record, default=str))
+    def commit(self, number: int, record: dict[str, Any], replaces: int | None = None) -> None:
+        kind = "done" if replaces is None else f"done-{replaces:012d}"
+        self._file(f"{number:012d}.{kind}").write_new(json.dumps(record, default=str))
 
     def fold(self) -> None:
         """Fold all but the newest commit files when there are many. Files go only after the new one stands."""
-        through, _, begun, done = self._listed()
+        through, _, begun, done, by = self._listed()
         if len(begun) + len(done) < MAX_COMMITS:
             return
         upto = max(done) - 1
-        kept = [n for n in self.snapshot().withdrawn if n <= upto]
+        kept = {
+            "withdrawn": [n for n in self.snapshot().withdrawn if n <= upto],
+            "replaced": {old: new for old, new in by.items() if new <= upto},
+        }
         self._file(f"{upto:012d}.through").write_new(json.dumps(kept))
         for name in HadoopPath(self.spark, self.root).names():
             if int(name.partition(".")[0]) <= upto and name != f"{upto:012d}.through":
@@ -209,6 +234,10 @@ class CampaignStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def rank_path(self, version_id: int) -> str:
+        """Where a version's player ranges are kept; they go with the version's players."""
+        return f"{self.root}/_ranks/players/version_id={version_id}"
+
     def _exists(self, path: str) -> bool:
         return HadoopPath(self.spark, path).exists()
 
@@ -285,6 +314,11 @@ class CampaignStore:
             keys = keys.where("dedup_key is not null").withColumn("split", self._split_of(F.col("dedup_key")))
             self._append(keys, self.path(f"keys/{table}"), ["version_id", "split"])
 
+    def rows_of_write(self, table: str, number: int, versions: Sequence[int] | None) -> DataFrame:
+        """What one write put into a log table, seen or not."""
+        rows = self._files(self.path(table), self._schema(table), versions).where(F.col("batch_no") == number)
+        return rows.select(*schemas.TABLES[table].fieldNames())
+
     def stored_keys(self, table: str, wanted: DataFrame, versions: Sequence[int] | None, at: Snapshot | None = None) -> DataFrame:
         """(version_id, dedup_key) of stored rows, from the index's splits that can hold a wanted key and no others."""
         splits = self._splits(wanted, self._split_of(F.col("dedup_key")))
@@ -465,7 +499,7 @@ class CampaignStore:
         if table in MERGED_TABLES:
             self.compact(table)
         if "version_id" in self._partitions(table):
-            for root in (self.path(table), self.path(f"keys/{table}")):
+            for root in (self.path(table), self.path(f"keys/{table}"), self.path(f"_ranks/{table}")):
                 HadoopPath(self.spark, f"{root}/version_id={version_id}").delete()
         else:
             self.keep_only(table, F.col("version_id") != version_id)

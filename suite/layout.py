@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaignlake.ingest.jobs import Job, run_import
+from campaignlake.ingest.jobs import Job, replay, run_import
 from campaignlake.operators.sketches import unique_players
+from campaignlake.plans.ranks import build_ranks, ranked_page
 from campaignlake.plans.sheet import compile_sheet
 from campaignlake.plans.spec import parse_spec
 from campaignlake.plans.workbook import export_workbook, read_sheet
 from campaignlake.settings import Settings
+from campaignlake.sources.registry import DEFAULT_REGISTRY
 from campaignlake.sources.tables import CampaignStore, latest
 from campaignlake.streaming.ingest_stream import start_keyed_events
 from suite import standins as st
@@ -363,3 +366,72 @@ ORACLES["workbook_of_one_source"] = (
     "union all select 4, '0|0|' "
     "union all select distinct 5, concat_ws('|', type, coalesce(utm, '')) from e"
 )
+
+
+PAGES = (1, 2, 3, 7, 9, 10_000)
+
+
+def players_ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the listing at several depths out of key ranges, after players have changed and others have come since
+    the ranges were built."""
+    store = seeded_store(spark, sf_dir, work_folder(spark))
+    for version in range(3):
+        build_ranks(store, version, rows_per_range=7)
+    customers = st.load(spark, sf_dir, "customer")
+    changed = _languages(customers, "c_custkey % 4 = 0", "sv")
+    fresh = customers.where("c_custkey % 5 = 0").selectExpr(
+        "'new' || cast(c_custkey as string) || '@example.com' as email", "cast(null as string) as external_id", "cast(null as string) as registered_at",
+        "'xx' as language", "c_custkey % 3 as version_id", "1000000 + c_custkey as ord",
+    )
+    run_import(store, "players", changed.unionByName(fresh), "later")
+    pages = [
+        ranked_page(store, version, page, 6).select(F.lit(version).alias("version_id"), F.lit(page).alias("page"), "email", "language")
+        for version in range(3) for page in PAGES
+    ]
+    return reduce(DataFrame.unionByName, pages)
+
+
+QUERIES["players_ranked_pages"] = players_ranked_pages
+ORACLES["players_ranked_pages"] = (
+    ctes("players", "users")
+    + ", whole as (select version_id, p.id, email, case when p.id % 4 = 0 then 'sv' else language end as language from s_players p join s_users u on u.id = p.user_id "
+    "union all select c_custkey % 3, 1000000000 + c_custkey, 'new' || c_custkey || '@example.com', 'xx' from customer where c_custkey % 5 = 0), "
+    "numbered as (select *, cast((row_number() over (partition by version_id order by id) - 1) // 6 + 1 as int) as page from whole) "
+    f"select cast(version_id as int) as version_id, page, email, language from numbered where page in {PAGES}"
+)
+
+
+def replay_under_new_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for typed rows changes after an import: what the replay of its raw batch adds, changes and removes, and
+    the typed rows that are stored then."""
+    store = seeded_store(spark, sf_dir, work_folder(spark))
+    rows = event_rows(spark, sf_dir, "true", "case when event_id % 3 = 0 then 'reward_granted' else 'transaction' end").withColumn(
+        "payload",
+        F.expr(
+            "case when ord % 3 = 0 then '{\"reward_type\": \"badge\"' || case when ord % 2 = 0 then ', \"reward_code\": \"c\"' else '' end || '}' "
+            "else '{\"amount\": 2, \"currency\": \"EUR\", \"type\": \"' || case when ord % 5 = 0 then 'gift' else 'spend' end || '\"}' end"
+        ),
+    )
+    run_import(store, "events", rows, "x")
+    run_import(store, "events", rows.where("ord % 7 = 0"), "again")
+    typed = DEFAULT_REGISTRY.typed
+    payment, reward = typed["transaction"], typed["reward_granted"]
+    gifts = replace(
+        payment, statics={"status": "pending"}, fields=tuple(replace(f, one_of=("gift", "purchase")) if f.key == "type" else f for f in payment.fields)
+    )
+    codes = replace(reward, fields=tuple(replace(f, required=True) for f in reward.fields))
+    changes = replay(store, "x", registry=replace(DEFAULT_REGISTRY, typed={**typed, "transaction": gifts, "reward_granted": codes}))
+    stored = [store.read(t).select(F.lit(t).alias("stored"), F.lit("stored").alias("change")) for t in ("events", "transactions", "rewards", "typed_skipped")]
+    return reduce(DataFrame.unionByName, [changes.drop("id"), *stored]).groupBy("stored", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["replay_under_new_rules"] = replay_under_new_rules
+ORACLES["replay_under_new_rules"] = (
+    "with n as (select count(*) as n, count(*) filter (event_type = 'view') as seeds, count(*) filter (event_id % 3 <> 0 and event_id % 5 = 0) as gifts, "
+    "count(*) filter (event_id % 3 <> 0 and event_id % 5 <> 0) as spends, count(*) filter (event_id % 3 = 0 and event_id % 2 = 0) as coded, "
+    "count(*) filter (event_id % 3 = 0 and event_id % 2 <> 0) as bare from events) "
+    "select 'transactions' as stored, 'added' as change, gifts as n from n union all select 'transactions', 'removed', spends from n "
+    "union all select 'rewards', 'removed', bare from n union all select 'events', 'stored', n + seeds from n "
+    "union all select 'transactions', 'stored', gifts from n union all select 'rewards', 'stored', coded from n "
+    "union all select 'typed_skipped', 'stored', spends + bare from n"
+)

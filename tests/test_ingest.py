@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from dataclasses import replace
 from datetime import datetime
 from pathlib import Path
 
@@ -14,10 +16,12 @@ from campaignlake.ingest import jobs
 from campaignlake.ingest.jobs import Counters, refresh_scores, run_documents, run_import
 from campaignlake.ingest.ledger import ImportLedger, UnknownVersion, create_version
 from campaignlake.operators.validate import BatchRejected
+from campaignlake.plans import ranks
 from campaignlake.plans.workbook import run_export
 from campaignlake.settings import Settings
 from campaignlake.sources.batches import explode_documents, read_documents, with_ordinal
 from campaignlake.sources import tables
+from campaignlake.sources.registry import DEFAULT_REGISTRY
 from campaignlake.sources.tables import CampaignStore, Commits, latest
 
 AT = "2026-01-15T10:00:00+02:00"
@@ -378,7 +382,7 @@ def test_commit_files_and_state_logs_stay_few(spark, store, monkeypatch):
                     run_import(store, "events", rows, f"i{k}")
         else:
             run_import(store, "events", rows, f"i{k}")
-    assert len(Commits(spark, store.root)._listed()[2]) <= 6 and len(store._change_numbers("players")) <= 3
+    assert len(list(Path(store.root, "_commits").glob("[0-9]*"))) <= 14 and len(store._change_numbers("players")) <= 3
     assert sum(len(list(Path(p).glob("*.parquet"))) for p in store.log_paths("import_log")) <= 6
     assert rows_of(store.read("events"), "dedup_key") == [("k0",), ("k1",), ("k2",), ("k3",)]
     assert rows_of(store.read("players"), "total_score") == [(4,)]
@@ -492,3 +496,67 @@ def test_scores_are_written_back(spark, store):
     ])
     assert refresh_scores(store) == 1 and refresh_scores(store) == 0
     assert rows_of(store.read("players"), "id", "total_score") == [(1, 4_000_000_000), (2, 0)]
+
+
+def test_replay_puts_the_present_rules_in_place(spark, store, monkeypatch):
+    """Rules, players and a bad row change after the import; a replay takes them up, once and at once."""
+    with_players(store, "zora")
+    catalogue(store)
+    rows = [
+        event(1, "a", "transaction", {"type": "gift", "amount": "3", "currency": "CHF"}),
+        event(1, "b", "reward_granted", {"reward_type": "badge"}),
+        event(1, None, "game_completed", {"score": 5}),
+        event(2, "d", "game_completed", {"score": 7}),
+        event(1, "e", "transaction", {"type": "spend", "amount": "1", "currency": "CHF"}),
+        event("nobody", "f"),
+    ]
+    assert run_import(store, "events", batch(spark, "events", rows), "x", "quarantine") == Counters(5, 4, 0, 1, 1, 1)
+    ids = {r.dedup_key: r.id for r in store.read("events").collect()}
+    assert jobs.replay(store, "x").count() == 0 and store.read("events").count() == 4
+    # Another import, whose scores and keys stay as they are.
+    run_import(store, "events", batch(spark, "events", [event(1, "d2", "game_completed", {"score": 100}), event(1, "a")]), "y")
+    run_import(store, "players", batch(spark, "players", [player("milan")]))
+    milan = store.read("players").where("id <> 1").first().id
+    raw = store.path("raw/events/x")
+    mended = spark.read.parquet(raw).withColumn("player_id", F.when(F.col("player_id") == "2", str(milan)).otherwise(F.col("player_id")))
+    mended.write.parquet(raw + "-mended")
+    spark.read.parquet(raw + "-mended").write.mode("overwrite").parquet(raw)
+    typed = DEFAULT_REGISTRY.typed
+    gifts = replace(typed["transaction"], fields=tuple(replace(f, one_of=("gift", "spend")) if f.key == "type" else f for f in typed["transaction"].fields))
+    codes = replace(typed["reward_granted"], fields=tuple(replace(f, required=True) for f in typed["reward_granted"].fields))
+    registry = replace(DEFAULT_REGISTRY, typed={**typed, "transaction": gifts, "reward_granted": codes})
+    with monkeypatch.context() as patch:
+        patch.setattr(Commits, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            jobs.replay(store, "x", registry=registry)
+    assert store.read("events").count() == 5 and store.read("rewards").count() == 1 and ImportLedger(store).state("x")["status"] == "completed"
+    found = jobs.replay(store, "x", registry=registry)
+    assert rows_of(found, "stored", "change") == [("events", "added"), ("rewards", "removed"), ("transactions", "added")]
+    now = {r.dedup_key: r.id for r in store.read("events").where("batch_id = 'x'").collect()}
+    assert {k: v for k, v in now.items() if k != "d"} == ids and len(now) == 5
+    assert store.read("rewards").count() == 0 and store.read("transactions").count() == 2
+    assert rows_of(store.read("typed_skipped"), "reason") == [("missing field 'reward_code'",)]
+    assert rows_of(store.read("players"), "id", "total_score") == [(1, 105), (milan, 7)]
+    state = ImportLedger(store).state("x")
+    assert (state["inserted"], state["failed"], state["rejected"], state["attempts"]) == (5, 0, 1, 3)
+    assert jobs.replay(store, "x", registry=registry).count() == 0 and store.read("events").count() == 6
+    with pytest.raises(ValueError):
+        jobs.replay(store, "no such import")
+
+
+def test_a_deep_page_opens_one_range(spark, tmp_path):
+    store = CampaignStore(spark, str(tmp_path / "lake"), buckets=8)
+    with_players(store, *[f"p{i:03}" for i in range(200)])
+    assert ranks.build_ranks(store, 1, rows_per_range=20) >= 8
+    for page in (1, 9, 20, 21):
+        ids = ranks.page_ids(store, 1, page, 10)
+        ranges = re.findall(r"PartitionFilters: \[[^]]*range#\d+ (?:= |IN \()([\d,]+)", ids._jdf.queryExecution().executedPlan().toString())
+        assert (page == 21) == (not ranges) and all(len(r.split(",")) <= 2 for r in ranges)
+        assert [r.id for r in ids.orderBy("id").collect()] == list(range(10 * page - 9, min(10 * page, 200) + 1))
+    run_import(store, "players", batch(spark, "players", [player("late"), player("p000", language="sv")]))
+    assert [r.email for r in ranks.ranked_page(store, 1, 21, 10).collect()] == ["late@example.com"]
+    assert ranks.ranked_page(store, 1, 1, 10).first().language == "sv"
+    assert ranks.build_ranks(store, 1, rows_per_range=300) == 1 and len(list(Path(store.rank_path(1)).iterdir())) == 1
+    assert [r.email for r in ranks.ranked_page(store, 1, 21, 10).collect()] == ["late@example.com"]
+    store.wipe_version(1)
+    assert ranks.ranked_page(store, 1, 1, 10).collect() == []
