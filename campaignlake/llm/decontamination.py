@@ -1,7 +1,10 @@
 """Benchmark decontamination with training suffix arrays.
 
 Each run of training texts is a shard with its own suffix array over words. Every suffix of a test item is
-binary-searched in every shard's array, and the rows that begin with the item's window give its locations. The
+binary-searched in every shard's array, suffixes that begin with the same window together, and the rows that begin
+with the window give its locations. Different windows of one length have different rows, so the locations of a
+shard are at most its rows for each length of window, however many items and documents share a window; items are
+looked up by window afterwards, for one document at a time. The
 test suffixes are sorted in with the shard's: of every training suffix, the test suffixes next to it give the
 longest verbatim match, whatever copies and other texts the shard holds. Training words that no test item has,
 and pairs of words that none has in a row, can't lie in a match, so an array holds only the runs between them:
@@ -36,13 +39,13 @@ FILTER_BITS = 20
 
 
 class TestBlock:
-    """Words of some test items: their hashes, the first word and window length of every window, and item ids."""
+    """Words of some test items: their hashes, the distinct windows, and the names of the items that have each."""
 
     def __init__(self, ids: list[str | None], texts: list[str | None], window: int):
         data, offsets = tk.text_buffers(pa.array(texts, pa.string()))
         starts, ends, bounds = tk.word_edges(data, offsets, tk.ALNUM)
         counts = np.diff(bounds)
-        self.ids, self.window = ids, window
+        self.window = window
         self.words = tk.word_hashes(data, starts, ends)
         self.item = np.repeat(np.arange(len(ids)), counts)
         self.left = bounds[1:][self.item] - np.arange(len(self.words))
@@ -55,9 +58,27 @@ class TestBlock:
         self.line = np.zeros(len(self.words) + len(ids), np.int32)
         self.line[self.place] = self.code
         self.pairs = np.unique(self._pair(self.code[:-1], self.code[1:])[self.item[:-1] == self.item[1:]])
+        # a word at which each distinct window begins, and for each the ranks of its items' names: `has[ends[w]:ends[w+1]]`
+        full = np.flatnonzero(self.left >= self.length)
+        _, begins, window_of = np.unique(self._window_ranks()[full], return_index=True, return_inverse=True)
+        self.begins = full[begins]
+        self.names = sorted({x for x in ids if x is not None})
+        rank = {name: i for i, name in enumerate(self.names)}
+        name_of = np.array([-1 if x is None else rank[x] for x in ids], np.int64)[self.item[full]]
+        named = np.unique(np.stack([window_of, name_of])[:, name_of >= 0], axis=1)
+        self.has, self.ends = named[1], np.searchsorted(named[0], np.arange(len(begins) + 1))
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self._cells(self.vocabulary)] = True
 
+    def _window_ranks(self) -> np.ndarray:
+        """A number for every word, equal where the windows that begin there are."""
+        rank = self.length.astype(np.int64)
+        for j in range(int(self.length.max(initial=0))):
+            ahead = np.minimum(np.arange(len(rank)) + j, max(0, len(rank) - 1))
+            step = np.where(j < np.minimum(self.length, self.left), self.code[ahead], 0)
+            _, rank = np.unique(rank * (len(self.vocabulary) + 1) + step, return_inverse=True)
+        return rank
+
     @staticmethod
     def _cells(words: np.ndarray) -> np.ndarray:
         return (words >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
@@ -115,16 +136,15 @@ def _order(train: np.ndarray, at: np.ndarray, test: np.ndarray, query: np.ndarra
 
 
 def find_windows(codes: np.ndarray, arrays: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray]:
-    """(first, past) of every test suffix: its rows in the array for its window."""
-    n = len(block.code)
+    """(first, past) of every distinct window: its rows in the array."""
     test = np.append(block.code, np.zeros(block.window + 1, block.code.dtype))
-    length = np.minimum(block.length, block.left)
+    begins, length = block.begins, block.length[block.begins]
     ends = []
     for past in (False, True):
-        lo, hi = np.zeros(n, np.int64), np.full(n, len(arrays), np.int64)
+        lo, hi = np.zeros(len(begins), np.int64), np.full(len(begins), len(arrays), np.int64)
         while (todo := np.flatnonzero(lo < hi)).size:
             mid = (lo[todo] + hi[todo]) // 2
-            sign, _ = _order(codes, arrays[mid], test, todo, length[todo])
+            sign, _ = _order(codes, arrays[mid], test, begins[todo], length[todo])
             right = sign <= 0 if past else sign < 0
             lo[todo[right]] = mid[right] + 1
             hi[todo[~right]] = mid[~right]
@@ -150,13 +170,13 @@ def longest_matches(codes: np.ndarray, order: np.ndarray, base: int, block: Test
     return longest
 
 
-def shard_hits(data: np.ndarray, offsets: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]], np.ndarray]:
-    """(index of each text's first word, hit of each word, items with windows by text, longest match of each text)."""
+def shard_hits(data: np.ndarray, offsets: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of each text's first word, hit of each word, (text, window) pairs that occur, longest match of each text)."""
     starts, ends, bounds = tk.word_edges(data, offsets, tk.ALNUM)
     n_docs, n_words = len(bounds) - 1, len(starts)
-    hit, longest, items = np.zeros(n_words, bool), np.zeros(n_docs, np.int64), {}
+    hit, longest, found = np.zeros(n_words, bool), np.zeros(n_docs, np.int64), np.zeros((2, 0), np.int64)
     if not n_words or not len(block.words):
-        return bounds, hit, items, longest
+        return bounds, hit, found, longest
     doc = np.repeat(np.arange(n_docs), np.diff(bounds))
     codes = block.codes(tk.word_hashes(data, starts, ends))
     np.maximum.at(longest, doc, codes > 0)
@@ -168,7 +188,7 @@ def shard_hits(data: np.ndarray, offsets: np.ndarray, block: TestBlock) -> tuple
     alone = ~follows[:-1] & ~follows[1:]
     kept = np.flatnonzero((codes > 0) & ~(alone & (block.shortest > 1)))
     if not len(kept):
-        return bounds, hit, items, longest
+        return bounds, hit, found, longest
     # the runs alone, one after the other, each followed by a zero; then the test items
     run = np.cumsum(~follows[kept]) - 1
     place = np.arange(len(kept)) + run
@@ -183,20 +203,14 @@ def shard_hits(data: np.ndarray, offsets: np.ndarray, block: TestBlock) -> tuple
     array = order[order < base]
     np.maximum.at(longest, doc[word_of[array]], longest_matches(dense, order, base, block))
     first, past = find_windows(dense, array, block)
-    full = np.flatnonzero((past > first) & (block.left >= block.length))
-    sizes = past[full] - first[full]
-    test = np.repeat(full, sizes)
-    rows = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[full], sizes)
-    at = word_of[array[rows]]
-    marks = np.zeros(n_words + 1, np.int64)
-    np.add.at(marks, at, 1)
-    np.add.at(marks, at + block.length[test], -1)
+    sizes = past - first
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    at = word_of[array[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)]]
+    marks = np.bincount(at, minlength=n_words + 1) - np.bincount(at + block.length[block.begins[which]], minlength=n_words + 1)
     hit = np.cumsum(marks[:-1]) > 0
-    for pair in np.unique(doc[at] * len(block.ids) + block.item[test]):
-        name = block.ids[int(pair % len(block.ids))]
-        if name is not None:
-            items.setdefault(int(pair // len(block.ids)), set()).add(name)
-    return bounds, hit, items, longest
+    pairs = np.unique(doc[at] * max(1, len(sizes)) + which)
+    found = np.stack([pairs // max(1, len(sizes)), pairs % max(1, len(sizes))])
+    return bounds, hit, found, longest
 
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
@@ -209,30 +223,56 @@ def _release(shared) -> None:
 
 
 class _Found:
-    """What the blocks so far found in one slice of texts."""
+    """What the blocks so far found in one slice of texts. Of a block it keeps the items of windows that occur."""
 
     def __init__(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
         self.rows, self.data, self.offsets = rows, data, offsets
-        self.items: list[set[str]] = [set() for _ in range(len(offsets) - 1)]
+        self.windows: list[tuple[np.ndarray, ...]] = []
+        self.names: list[list[str]] = []
         self.bounds, self.hit, self.longest = None, False, np.zeros(len(offsets) - 1, np.int64)
 
     def search(self, block: TestBlock) -> None:
-        self.bounds, own, found, far = shard_hits(self.data, self.offsets, block)
+        self.bounds, own, pairs, far = shard_hits(self.data, self.offsets, block)
         self.hit, self.longest = self.hit | own, np.maximum(self.longest, far)
-        for doc, names in found.items():
-            self.items[doc] |= names
+        if not pairs.shape[1]:
+            return
+        used, windows = np.unique(pairs[1], return_inverse=True)
+        sizes = block.ends[used + 1] - block.ends[used]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        has = block.has[np.repeat(block.ends[used] - ends[:-1], sizes) + np.arange(ends[-1])]
+        kept, has = np.unique(has, return_inverse=True)
+        texts = np.searchsorted(pairs[0], np.arange(len(self.offsets)))
+        self.windows.append((texts, windows, ends, has))
+        self.names.append([block.names[i] for i in kept])
+
+    def items(self, doc: int, seen: dict[tuple, tuple[int, str]]) -> tuple[int, str]:
+        """Number and digest of the items found in a text; texts with the same windows have the same ones."""
+        own = [windows[texts[doc] : texts[doc + 1]] for texts, windows, _, _ in self.windows]
+        key = tuple(w.tobytes() for w in own)
+        if key not in seen:
+            lists = []
+            for mine, (_, _, ends, has), names in zip(own, self.windows, self.names):
+                if len(mine):
+                    there = np.zeros(len(names), bool)
+                    for w in mine:
+                        there[has[ends[w] : ends[w + 1]]] = True
+                    lists.append([names[i] for i in np.flatnonzero(there)])
+            named = lists[0] if len(lists) == 1 else sorted(set().union(*lists))
+            seen[key] = len(named), hashlib.sha256(",".join(named).encode()).hexdigest()
+        return seen[key]
 
 
 def _result(found: _Found) -> pa.RecordBatch:
-    rows, bounds, hit, items, longest = found.rows, found.bounds, found.hit, found.items, found.longest
+    rows, bounds, hit, longest = found.rows, found.bounds, found.hit, found.longest
     upto = np.concatenate([[0], np.cumsum(hit)])
     n_hit = upto[bounds[1:]] - upto[bounds[:-1]]
-    named = [",".join(sorted(x)) for x in items]
+    seen: dict[tuple, tuple[int, str]] = {}
+    items = [found.items(doc, seen) for doc in range(len(bounds) - 1)]
     columns = [
         pa.array(np.diff(bounds).astype(np.int64)),
         pa.array(n_hit.astype(np.int64)),
-        pa.array(np.array([len(x) for x in items], np.int64)),
-        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in named], pa.string()),
+        pa.array([n for n, _ in items], pa.int64()),
+        pa.array([digest for _, digest in items], pa.string()),
         pa.array(n_hit > 0),
         pa.array(longest),
     ]

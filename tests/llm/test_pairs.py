@@ -136,6 +136,28 @@ def test_items_without_id_hit_words(spark, monkeypatch, tmp_path, block_words):
     assert sorted(str(tuple(r)) for r in clean) == sorted(str((i, t)) for i, t in rows if not brute.benchmark_hits(t, ITEMS)[3 + 1])
 
 
+def test_windows_that_many_items_and_documents_share(spark):
+    prefix = brute.prose(9, 14)
+    bench = [(i // 2, f"{prefix} {brute.prose(300 + i, 12)}") for i in range(300)] + [(900, "only three words"), (None, prefix)]
+    rows = [(i, f"a {prefix} b " + (brute.prose(300 + i, 12) if i % 3 else "only three words")) for i in range(200)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontamination.contamination(docs, items, ["doc_id"], unnamed=True).collect()
+    want = {i: str((i, *brute.benchmark_hits(t, bench))) for i, t in rows}
+    assert sorted(str(tuple(r)[:6]) for r in got) == sorted(want[i] for i, _ in rows)
+
+
+def test_places_of_a_shard_are_bounded_by_its_rows_for_each_length_of_window():
+    import pyarrow as pa
+
+    item = " ".join(f"w{i}" for i in range(10))
+    block = decontamination.TestBlock([str(i) for i in range(2000)], [f"{item} x{i}" for i in range(2000)], 10)
+    assert len(block.begins) == 2001 and len(block.has) == 4000
+    data, offsets = decontamination.tk.text_buffers(pa.array([f"{item} y"] * 500))
+    _, hit, pairs, _ = decontamination.shard_hits(data, offsets, block)
+    assert hit.sum() == 5000 and pairs.shape == (2, 500)
+
+
 def test_a_task_holds_one_block_at_a_time():
     class Shared:
         def __init__(self, block):
