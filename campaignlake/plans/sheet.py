@@ -19,7 +19,7 @@ Tables = Mapping[str, DataFrame]
 
 def scoped_source(source: SourceDef, tables: Tables, version_id: int | None) -> DataFrame:
     """Source rows of one version (all versions for None), with its declared joins."""
-    rows = source.prepare(tables[source.table]).alias(source.table)
+    rows = source.rows(tables[source.table]).alias(source.table)
     if version_id is not None:
         rows = rows.where(F.col(source.version_column) == version_id)
     for join in source.joins:

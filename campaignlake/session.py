@@ -13,6 +13,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    # Of a key that a payload repeats the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

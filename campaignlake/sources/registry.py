@@ -6,12 +6,16 @@ Adding a source is a registry entry; no other module changes.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
 from campaignlake import schemas
 from campaignlake.functions.payload import with_payload_columns
+from campaignlake.functions.variants import PayloadPath, with_payload_paths
+
+
+NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
 @dataclass(frozen=True)
@@ -51,6 +55,30 @@ class SourceDef:
     version_column: str = "version_id"
     key: str = "id"
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df
+    # Columns read out of the payload by path.
+    paths: Mapping[str, PayloadPath] = field(default_factory=dict)
+
+    def rows(self, table: DataFrame) -> DataFrame:
+        """The table's rows with all columns that the source's fields name."""
+        return with_payload_paths(self.prepare(table), self.paths)
+
+    def with_path(self, alias: str, path: PayloadPath, sort: bool = False) -> "SourceDef":
+        """A source that also knows `alias`: to select, group, filter (texts by a list, others by a value) and count,
+        and with a numeric type to sum up."""
+        if alias in self.fields:
+            raise ValueError(f"the source has a field {alias}")
+        column = f"payload_path_{len(self.paths)}"
+        kind = path.type.lower()
+        functions = ("count_distinct", *(("avg", "sum", "min", "max") if kind.startswith(NUMERIC_TYPES) else ()))
+        allowed = {fn: (*self.aggregatable.get(fn, ()), alias) for fn in functions}
+        return replace(
+            self,
+            fields={**self.fields, alias: column},
+            filters={**self.filters, alias: FilterDef(column, "in" if kind == "string" else "eq")},
+            aggregatable={**self.aggregatable, **allowed},
+            sort=(*self.sort, alias) if sort else self.sort,
+            paths={**self.paths, column: path},
+        )
 
 
 @dataclass(frozen=True)
@@ -104,6 +132,10 @@ class Registry:
             self.references,
         )
 
+    def with_path(self, source: str, alias: str, path: str, type: str = "string", sort: bool = False) -> "Registry":
+        """A registry whose `source`, one over a table with payloads, also knows a payload path under `alias`."""
+        return self.with_source(source, self.sources[source].with_path(alias, PayloadPath(path, type), sort))
+
 
 # Public aliases, whitelists, default columns and metric definitions.
 EVENTS = SourceDef(

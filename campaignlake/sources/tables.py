@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from campaignlake import schemas
+from campaignlake.functions.variants import VARIANT_COLUMN, payload_variant
 from campaignlake.operators.keys import touched
 from campaignlake.operators.predicates import has_prefix
 
@@ -206,11 +207,11 @@ class CampaignStore:
     """Tables under one root. One driver application writes a store at a time; `lock` orders
     the jobs inside it.
 
-    The bucket count is part of the layout: the first write stores it under the root, and a
-    store that is opened with another one is refused.
+    The bucket count, and whether payloads are kept as variants too, are part of the layout: the first write stores
+    them under the root, and a store that is opened with others is refused.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, variants: bool | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self._layout = HadoopPath(spark, f"{self.root}/_buckets")
@@ -218,12 +219,21 @@ class CampaignStore:
         if stored is not None and buckets not in (None, stored):
             raise ValueError(f"the store at {root} has {stored} buckets, not {buckets}")
         self.buckets = stored or buckets or DEFAULT_BUCKETS
+        self._keeps = HadoopPath(spark, f"{self.root}/_variants")
+        keeps = self._keeps.exists()
+        if stored is not None and variants not in (None, keeps):
+            raise ValueError(f"the store at {root} {'keeps' if keeps else 'does not keep'} payloads as variants")
+        self.variants = keeps if stored is not None else bool(variants)
         self.commits = Commits(spark, self.root)
         self.lock = RLock()
 
     def keep_layout(self) -> None:
-        """Store the bucket count before anything depends on it."""
+        """Store the layout before anything depends on it; the bucket count comes last and stands for all of it."""
         if not self._layout.exists():
+            if self.variants and not self._keeps.exists():
+                self._keeps.write_new("")
+            if not self.variants:
+                self._keeps.delete()
             self._layout.write_new(str(self.buckets))
 
     def begin(self, name: str) -> int:
@@ -252,6 +262,8 @@ class CampaignStore:
         fields = schemas.TABLES[table]
         names = fields.fieldNames()
         extra = [T.StructField("batch_id", T.StringType()), T.StructField("batch_no", T.LongType())] if table in LOG_TABLES else []
+        if table == "events" and self.variants:
+            extra.append(T.StructField(VARIANT_COLUMN, T.VariantType()))
         kinds = {"day": T.DateType(), "bucket": T.IntegerType()}
         return T.StructType(fields.fields + extra + [T.StructField(p, kinds[p]) for p in self._partitions(table) if p not in names])
 
@@ -308,6 +320,8 @@ class CampaignStore:
         stamped = rows.withColumns(
             {"batch_id": F.lit(batch_id), "batch_no": F.lit(number).cast("long"), "day": F.to_date(time) if time else F.current_date()}
         )
+        if VARIANT_COLUMN in schema.fieldNames():
+            stamped = stamped.withColumn(VARIANT_COLUMN, payload_variant(F.col("payload")))
         self._append(stamped.select(*schema.fieldNames()), self.path(table), self._partitions(table))
         if table in INDEXED_TABLES:
             keys = rows.select(natural_key(table).alias("dedup_key"), F.lit(number).cast("long").alias("batch_no"), "version_id")

@@ -36,9 +36,9 @@ def work_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4()}"
 
 
-def seeded_store(spark: SparkSession, sf_dir: str, folder: str) -> CampaignStore:
+def seeded_store(spark: SparkSession, sf_dir: str, folder: str, variants: bool = False) -> CampaignStore:
     """Users, players and an already ingested batch of events."""
-    store = CampaignStore(spark, f"{folder}/lake", buckets=8)
+    store = CampaignStore(spark, f"{folder}/lake", buckets=8, variants=variants)
     stamps = {"created_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")}
     versions = st.load(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as bigint) as id")
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.VERSIONS if f.name != "id"]
