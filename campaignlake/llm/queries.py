@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from campaignlake.llm import decontamination, fingerprints, html_wrappers, langid, ngram_join, packing, periodic_runs, quality, secret_scan, sharding, spelling, token_counts, warc_audit
 from campaignlake.llm.common import shared_dir, table, text_column
@@ -43,15 +44,18 @@ def op4_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shuffles and writes the whole documents; the digests are of the shards as they are read back."""
     docs = table(spark, sf_dir, "documents")
-    text = text_column(docs)
-    rows = docs.select(
+    root = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(docs, "doc_id", 8, root)
+    written = StructType([*docs.schema.fields, StructField("slot", LongType()), StructField("shard", IntegerType())])
+    shards = spark.read.schema(written).parquet(root)
+    text = text_column(shards)
+    return shards.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-    )
-    return sharding.shuffled_shards(rows, "doc_id", 8).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

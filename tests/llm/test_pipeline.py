@@ -41,6 +41,14 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(i for i in kept if i is not None) == sorted({root for _, root in groups.values()}) and kept.count(None) == 2
 
 
+def test_texts_that_share_a_doc_id_are_different_documents(spark):
+    one, two, other = (brute.prose(k, 40) for k in (70, 71, 72))
+    rows = [(5, one), (5, two), (5, two), (3, two + " end"), (None, other), (9, other), (None, brute.prose(73, 40))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], brute.SCHEMA)
+    kept = corpus_pipeline.ngram_jaccard_join(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(5, one), (3, two + " end"), (9, other), rows[-1]], key=str)
+
+
 def test_run_equals_plain_versions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from campaignlake.llm import html_wrappers, langid, packing, quality, secret_scan, sharding, warc_audit
+from campaignlake.llm import html_wrappers, langid, packing, quality, queries, secret_scan, sharding, warc_audit
 from campaignlake.llm.common import ship_package
 
 
@@ -128,6 +128,31 @@ def test_shards_mix_and_depend_on_the_seed(spark):
     assert abs(np.corrcoef(one, range(4000))[0, 1]) < 0.06
 
 
+def test_rows_without_a_key_or_with_one_key_are_spread(spark):
+    rows = spark.range(3000).selectExpr("if(id % 2 = 0, null, 7L) as k", "'t' || id as text")
+    buckets = sharding._scattered(rows, "k", 17, 100).groupBy("_bucket").count().collect()
+    assert len(buckets) == 30 and max(r["count"] for r in buckets) < 160
+    got = sharding.shuffled_shards(rows, "k", 8, bucket_rows=100).collect()
+    assert sorted((r.slot, r.shard) for r in got) == [(i // 8, i % 8) for i in range(3000)] and len({r.text for r in got}) == 3000
+
+
+def test_buckets_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 10_000)
+    monkeypatch.setattr(sharding, "OFFSET_GROUP", 4)
+    rows = spark.range(200).selectExpr("id", "repeat('x', 1000) as text")
+    assert sharding._scattered(rows, "id", 17, 4096).select("_bucket").distinct().count() > 15
+    got = sharding.shuffled_shards(rows, "id", 3).collect()
+    assert sorted((r.slot, r.shard) for r in got) == [(i // 3, i % 3) for i in range(200)]
+
+
+def test_shards_query_reads_back_what_it_wrote(spark, docs, tmp_path):
+    for name, rows in (("some", docs), ("none", docs.where("false"))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = [(r.doc_id, r["size"], r.text_crc32) for r in queries.op5_two_pass_shuffle(spark, f"{tmp_path}/{name}").collect()]
+        plain = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows.select("doc_id", "text").collect()]
+        assert sorted(got, key=str) == sorted(plain, key=str)
+
+
 def test_written_shards_read_back(spark, docs, tmp_path):
     sharding.write_shards(docs, "doc_id", 3, str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
