@@ -18,7 +18,8 @@ LEAST_SURE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognisable language; a missing `lang` is filled in. Without any labelled
-    document there is nothing to learn, and all pass."""
+    document there is nothing to learn, and all pass. Null, blank and letterless texts have no language; whole texts
+    count, however long; repeated rows are judged alike and all kept."""
     ship_package(spark)
     network = langid.train(docs)
     if network is None:
@@ -31,28 +32,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates (five words, 0.8): the one with the smallest doc_id.
-    Rows without doc_id go by a hash of their text; of repeated rows one stays."""
+    """Keeps one document of each group of near-duplicates (five words, 0.8): the one with the smallest doc_id, those
+    without one last. Rows are told apart by doc_id and text, so different texts with one doc_id are different
+    documents; of rows equal in both one stays. An empty table stays empty."""
     ship_package(spark)
-    named = docs.withColumn("_ngram_id", F.coalesce("doc_id", -F.pmod(F.xxhash64("text"), F.lit(1 << 62)) - 1))
-    groups = ngram_join.ngram_components(named.select(F.col("_ngram_id").alias("doc_id"), "text"), words=5, percent=80)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_ngram_id")).distinct()
-    one = F.row_number().over(Window.partitionBy("_ngram_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64(*docs.columns)))
-    return named.join(kept, "_ngram_id", "left_semi").withColumn("_ngram_n", one).where("_ngram_n = 1").select(*docs.columns)
+    named = docs.withColumn("_ngram_key", F.xxhash64("doc_id", "text"))
+    groups = ngram_join.ngram_components(named.select(F.col("_ngram_key").alias("doc_id"), "text"), words=5, percent=80)
+    owners = named.select(F.col("_ngram_key").alias("key"), F.col("doc_id").alias("owner")).distinct()
+    first = F.struct(F.col("owner").isNull(), "owner", "key")
+    kept = groups.withColumnRenamed("doc_id", "key").distinct().join(owners, "key").groupBy("component_id").agg(F.min(first).alias("first"))
+    kept = kept.select(F.col("first.key").alias("_ngram_key"))
+    own = Window.partitionBy("_ngram_key", "doc_id", F.crc32(F.encode("text", "UTF-8"))).orderBy(F.xxhash64(*docs.columns))
+    rows = named.join(kept, "_ngram_key", "left_semi").withColumn("_ngram_n", F.row_number().over(own))
+    return rows.where("_ngram_n = 1").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold a window of the benchmark."""
+    """Removes documents that hold a window of the benchmark. Null and empty texts hold none; repeated rows go or stay
+    together; an empty benchmark removes nothing."""
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts."""
+    """Replaces secrets in the texts; null, empty and other texts stay as they are, and no row goes."""
     return secret_scan.redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents' tokens into sequences."""
+    """Packs all documents' tokens into sequences. A null or empty text is its closing token alone; repeated rows are
+    packed each."""
     ship_package(spark)
     return packing.pack(packing.token_pieces(docs))
 
