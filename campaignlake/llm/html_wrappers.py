@@ -1,33 +1,36 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from the pages of one host.
 
-A page becomes a nested token stream: elements with their class, id and role, and text slots. Siblings that repeat
-fold into repeated groups. The streams of a host's pages are aligned one after the other: tokens that match are
-merged, those that do not become optional groups, so the result stays free of unions. Text slots know over how
-many pages they occur, how much text they hold and whether it is the same on all of them. The host's main region
-is the article element, or else the element that holds most of the changing text. A slot with one and the same text on
-all pages is template only if it is no heading, stands before or after all changing text of its page and reads as a
-notice, an advert or a menu; other equal text is the article's. Regions that are never content (navigation, footers, adverts, forms,
-comments, ...) are known by their element, or by a name in their class, id or role that consists of such words.
-
-Extraction reads the wrapper's set of key paths only: a slot is a key path, and what the alignment decides beyond that
-(optional and repeated groups) serves `expression`. Pages are not matched against their wrapper, so siblings of one key
-share a slot: a notice in an unclassed block among the paragraphs is not told apart from them and stays in the text.
-
-Pages of a hot host are first folded into the different streams they have, then merged in salted groups, then by
-host: the state is one wrapper and one row for each slot, whatever the number of pages.
-
-Defined cases: null and empty html give empty text; pages without any element are one block of text; a page that does not
-fit its host's wrapper, or has no host, is cut by the general rules; repeated rows give repeated rows; unclosed elements end
-with their parent; elements nested deeper than MAX_DEPTH are read as children of that depth; extra columns are not read.
+A page becomes a tree of elements with their class, id and role. A block whose whole text stands on at least half of its host's
+pages (two at least) is a token of the template: its text belongs to its key, so it never folds into its neighbours. All other
+text is a slot. Siblings that repeat fold into repeated groups. The different trees of a host are aligned with each other: tokens
+that match are merged, those that do not become optional groups, so the result stays free of unions.
+
+The host's main region is the article element, or else the element that holds most of the changing text and is no block of running text. Every page is then matched
+against its host's wrapper, which binds its elements to the wrapper's nodes, each at its own place: two paragraphs of one key are
+two slots if a token parts them. A token is template if it is no heading, stands in the wrapper before or after all
+changing slots of the main region and reads as a notice, an advert or a menu; it goes on every page that has it, optional or not.
+Other equal text is the article's. Pages of a host without such tokens are not matched, since a match would decide nothing there.
+Regions that are never content (navigation, footers, adverts, forms, comments, ...) are known by their element, or by a name in their
+class, id or role that consists of such words.
+
+Pages of a hot host are first folded into the different trees they have, which are merged in staged rounds of about FAN_IN trees a
+task until one wrapper is left; tokens are counted by host and text. A host has at most twice as many tokens as its mean page has
+blocks, and a wrapper grows with the longest page and the different elements, not with the number of pages.
+
+Defined cases: null and empty html give empty text; pages without any element are one block of text; an element that does not
+fit its host's wrapper is read by the general rules, and so is a page without a host; repeated rows give repeated rows; unclosed
+elements end with their parent; elements nested deeper than MAX_DEPTH are read as children of that depth; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
-import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +40,9 @@ from campaignlake.llm.common import staged
 
 MAX_DEPTH = 120
 MAIN_SHARE = 0.7
-SALTS = 16
+FAN_IN = 200
 LONGEST_TANDEM = 4
+KNOWN_HOSTS = 1000
 
 # Fixed values of HTML: elements without content, with raw content, and those that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +52,10 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th "
     "thead tr ul".split()
 )
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
+    "time tt u var".split()
+)
 ENDS = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
@@ -67,6 +75,8 @@ PARTS = frozenset(
     "site page main top bottom left right primary secondary inner outer area block box bar body container content form group header "
     "item items inner link links list panel row section slot title widget wrap wrapper".split()
 )
+# Blocks of running text: such a block is part of a main region, never the whole of one.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd pre blockquote address figcaption caption details summary tr".split())
 # Elements that hold all regions, and the article itself, are never excluded for their class.
 WHOLE = frozenset(["html", "body", "main", "article"])
 
@@ -82,12 +92,13 @@ _NOTICE = re.compile(
 
 
 class Node:
-    """An element, or with key `()` a repeated group of siblings."""
+    """An element, or with key `()` a repeated group of siblings. On a page, `said` has its own pieces of text."""
 
-    __slots__ = ("key", "children", "optional", "repeated", "text")
+    __slots__ = ("key", "children", "optional", "repeated", "text", "said")
 
     def __init__(self, key: str, children: list | None = None, optional=False, repeated=False, text=False):
         self.key, self.children, self.optional, self.repeated, self.text = key, children or [], optional, repeated, text
+        self.said: list[str] = []
 
     def packed(self) -> list:
         return [self.key, self.optional * 1 + self.repeated * 2 + self.text * 4, [c.packed() for c in self.children]]
@@ -97,6 +108,11 @@ class Node:
         return Node(x[0], [Node.unpacked(c) for c in x[2]], bool(x[1] & 1), bool(x[1] & 2), bool(x[1] & 4))
 
 
+#: Parts an element's key from the hash of its text, for tokens of the template.
+TOKEN = " #"
+
+
+@lru_cache(maxsize=10_000)
 def element_key(tag: str, attributes: str) -> str:
     """Element with the names of its class, id and role, their words joined by hyphens; digits, which differ from page to
     page, stay out."""
@@ -110,6 +126,7 @@ def boilerplate(name: str) -> bool:
     return bool(words & BOILERPLATE) and words <= BOILERPLATE | PARTS
 
 
+@lru_cache(maxsize=10_000)
 def excluded(key: str) -> bool:
     tag, *names = key.split(" ")
     return tag in NEVER or (tag not in WHOLE and any(map(boilerplate, names)))
@@ -169,22 +186,33 @@ def stream(source: str) -> Iterator[tuple[str, str]]:
         yield "close", stack.pop()
 
 
-def slots(source: str) -> Iterator[tuple[tuple[str, ...], str]]:
-    """(path of keys, text) of each piece of text, and ("gap", "") pieces at block ends as text None."""
-    path: list[str] = []
+def parsed(source: str) -> tuple[list[tuple[tuple[str, ...], str | None, Node]], Node]:
+    """(pieces, tree): each piece of text with its path of keys and its element, text None at block ends."""
+    root = Node("")
+    nodes, paths, pieces = [root], [()], []
     for kind, value in stream(source):
         if kind == "open":
-            path.append(value)
-            if value.split(" ", 1)[0] in BLOCK:
-                yield tuple(path[:MAX_DEPTH]), None
+            tag = value.split(" ", 1)[0]
+            deep = len(paths) > MAX_DEPTH
+            node = nodes[-1] if deep or tag in INLINE else Node(value)
+            if node is not nodes[-1]:
+                nodes[-1].children.append(node)
+            nodes.append(node)
+            paths.append(paths[-1] if deep else (*paths[-1], value))
+            if tag in BLOCK:
+                pieces.append((paths[-1], None, node))
         elif kind == "close":
-            path.pop()
+            nodes.pop()
+            paths.pop()
             if value in BLOCK:
-                yield tuple(path[:MAX_DEPTH]), None
+                pieces.append((paths[-1], None, nodes[-1]))
         elif kind == "gap":
-            yield tuple(path[:MAX_DEPTH]), None if value == "hr" else " "
+            pieces.append((paths[-1], None if value == "hr" else " ", nodes[-1]))
+            nodes[-1].said.append(" ")
         else:
-            yield tuple(path[:MAX_DEPTH]), value
+            pieces.append((paths[-1], value, nodes[-1]))
+            nodes[-1].said.append(value)
+    return pieces, root
 
 
 def block_of(path: tuple[str, ...]) -> tuple[str, ...]:
@@ -195,23 +223,30 @@ def block_of(path: tuple[str, ...]) -> tuple[str, ...]:
     return path[:n] if n else path
 
 
-def tree(source: str) -> Node:
+def text_mark(node: Node) -> str | int:
+    """Hash of the whole text of an element without elements in it; else 1 if it has text of its own, 0 if not."""
+    text = " ".join("".join(node.said).split())
+    if not text or node.children:
+        return int(bool(text))
+    return hashlib.blake2b(html.unescape(text).encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+def marked(node: Node) -> list:
+    """[key, text mark, children] of a page's element."""
+    return [node.key, text_mark(node), [marked(c) for c in node.children]]
+
+
+def shaped(page: list, tokens: frozenset[str] | set[str]) -> Node:
+    """The page's tree with its host's `tokens` as part of the keys, repeats folded."""
+    key, mark, children = page
+    if mark in tokens:
+        key += TOKEN + mark
+    return Node(key, folded([shaped(c, tokens) for c in children]), text=bool(mark))
+
+
+def tree(source: str, tokens: frozenset[str] = frozenset()) -> Node:
     """The page's token stream, repeats folded."""
-    root = Node("")
-    stack = [root]
-    for kind, value in stream(source):
-        if kind == "open":
-            node = Node(value)
-            if len(stack) <= MAX_DEPTH:
-                stack[-1].children.append(node)
-            stack.append(node if len(stack) <= MAX_DEPTH else stack[-1])
-        elif kind == "close":
-            done = stack.pop()
-            done.children = folded(done.children)
-        elif kind == "text" and value.strip():
-            stack[-1].text = True
-    root.children = folded(root.children)
-    return root
+    return shaped(marked(parsed(source)[1]), tokens)
 
 
 def folded(nodes: list[Node]) -> list[Node]:
@@ -277,29 +312,63 @@ def page_host(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-FACT = "host string, kind string, name string, pages long, chars long, low long, high long"
-_FACT = pa.schema([("host", pa.string()), ("kind", pa.string()), ("name", pa.string())] + [(x, pa.int64()) for x in ("pages", "chars", "low", "high")])
+FACT = "host string, kind string, name string, pages long, chars long, low string, high string"
+_FACT = pa.schema(
+    [("host", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("pages", pa.int64()), ("chars", pa.int64())]
+    + [(x, pa.string()) for x in ("low", "high")]
+)
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different streams and slots of each host in a batch, with counts."""
+    """Trees of a batch's pages, and by host its texts of blocks and its slots by key path, with counts."""
     for batch in batches:
-        streams: dict[tuple[str, str], int] = {}
-        found: dict[tuple[str, str], list[int]] = {}
+        trees: dict[tuple[str, str], int] = {}
+        texts: dict[tuple[str, str], int] = {}
+        found: dict[tuple[str, str], list] = {}
+        slot_of: dict[tuple[str, ...], tuple[str, ...] | None] = {}
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            shape = json.dumps(tree(source or "").packed(), separators=(",", ":"))
-            streams[host, shape] = streams.get((host, shape), 0) + 1
-            own: dict[tuple[str, ...], str] = {}
-            for path, text in slots(source or ""):
-                if text and text.strip():
-                    slot = path if outside(path) else block_of(path)
-                    own[slot] = own.get(slot, "") + text
-            for path, text in own.items():
-                mark = zlib.crc32(" ".join(text.split()).encode())
+            pieces, root = parsed(source or "")
+            page = marked(root)
+            shape = json.dumps(page, separators=(",", ":"))
+            trees[host, shape] = trees.get((host, shape), 0) + 1
+            for mark in set(_marks(page)):
+                texts[host, mark] = texts.get((host, mark), 0) + 1
+            own: dict[tuple[str, ...], list[str]] = {}
+            for path, text, _ in pieces:
+                if text and not text.isspace():
+                    if path not in slot_of:
+                        slot_of[path] = None if outside(path) else block_of(path)
+                    if slot_of[path] is not None:
+                        own.setdefault(slot_of[path], []).append(text)
+            for path, said in own.items():
+                whole = "".join(said)
+                mark = hashlib.blake2b(" ".join(whole.split()).encode("utf-8", "replace"), digest_size=8).hexdigest()
                 x = found.setdefault((host, json.dumps(path)), [0, 0, mark, mark])
-                x[:] = [x[0] + 1, x[1] + len(text), min(x[2], mark), max(x[3], mark)]
-        rows = [(h, "stream", s, n, 0, 0, 0) for (h, s), n in streams.items()] + [(h, "slot", p, *x) for (h, p), x in found.items()]
-        yield pa.RecordBatch.from_pylist([dict(zip(_FACT.names, r, strict=True)) for r in rows], _FACT)
+                x[:] = [x[0] + 1, x[1] + len(whole), min(x[2], mark), max(x[3], mark)]
+        rows = [(h, "tree", t, n, 0, "", "") for (h, t), n in trees.items()]
+        rows += [(h, "text", t, n, 0, "", "") for (h, t), n in texts.items()]
+        rows += [(h, "slot", p, *x) for (h, p), x in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FACT, strict=True)], schema=_FACT)
+
+
+def _marks(page: list) -> Iterator[str]:
+    if isinstance(page[1], str):
+        yield page[1]
+    for child in page[2]:
+        yield from _marks(child)
+
+
+_STREAM = pa.schema([("host", pa.string()), ("name", pa.string()), ("pages", pa.int64())])
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different folded trees of each host in a batch, with its tokens."""
+    for batch in batches:
+        found: dict[tuple[str, str], int] = {}
+        for host, page, n, tokens in zip(*(batch.column(x).to_pylist() for x in ("host", "name", "pages", "tokens")), strict=True):
+            shape = json.dumps(shaped(json.loads(page), set(tokens or ())).packed(), separators=(",", ":"))
+            found[host, shape] = found.get((host, shape), 0) + n
+        yield pa.RecordBatch.from_pylist([dict(host=h, name=s, pages=n) for (h, s), n in found.items()], _STREAM)
 
 
 def _merge(key: tuple, group: pa.Table) -> pa.Table:
@@ -310,135 +379,224 @@ def _merge(key: tuple, group: pa.Table) -> pa.Table:
     for _, shape in order[1:]:
         wrapper = merged(wrapper, Node.unpacked(json.loads(shape)))
     row = dict(host=host, name=json.dumps(wrapper.packed(), separators=(",", ":")), pages=sum(n for n, _ in order))
-    return pa.Table.from_pylist([row], pa.schema([("host", pa.string()), ("name", pa.string()), ("pages", pa.int64())]))
+    return pa.Table.from_pylist([row], _STREAM)
 
 
-def main_region(wrapper: Node, texts: dict[tuple[str, ...], tuple[int, int, bool]]) -> list[tuple[str, ...]]:
-    """Paths of the host's main region: its articles, or the element that holds most of the changing text."""
+def walk(node: Node, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], Node]]:
+    """Nodes below a wrapper's node in order, with their paths of plain keys."""
+    for child in node.children:
+        if child.key == "()":
+            yield from walk(child, path)
+        else:
+            own = (*path, child.key.split(TOKEN, 1)[0])
+            yield own, child
+            yield from walk(child, own)
 
-    def walk(node: Node, path: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...], Node]]:
-        for child in node.children:
-            if child.key == "()":
-                yield from walk(child, path)
-            elif not excluded(child.key):
-                yield (*path, child.key), child
-                yield from walk(child, (*path, child.key))
 
-    nodes = list(walk(wrapper, ()))
+def article_paths(wrapper: Node) -> list[tuple[str, ...]]:
+    """Paths of the outermost articles, or else of the main elements."""
+    paths = {p for p, _ in walk(wrapper) if not any(map(excluded, p))}
     for tag in ("article", "main"):
-        found = {p for p, n in nodes if n.key.split(" ")[0] == tag or (tag == "main" and "main" in n.key.split(" ")[1:])}
-        outer = [p for p in found if not any(p[: len(q)] == q and p != q for q in found)]
+        found = {p for p in paths if p[-1].split(" ")[0] == tag or (tag == "main" and "main" in p[-1].split(" ")[1:])}
+        outer = [p for p in found if not any(p[:n] in found for n in range(1, len(p)))]
         if outer:
             return sorted(outer)
-    mass = {p: sum(c for q, (_, c, fixed) in texts.items() if q[: len(p)] == p and not fixed and not outside(q)) for p, _ in nodes}
-    total = max(mass.values(), default=0)
-    held = [p for p, c in mass.items() if total and c >= MAIN_SHARE * total]
-    return [max(held, key=lambda p: (len(p), p))] if held else []
+    return []
 
 
-def _rules(key: tuple, wrappers: pa.Table, found: pa.Table) -> pa.Table:
-    """What extraction needs of a host: its main region's paths, and the slots in it with one text on all pages."""
-    schema = pa.schema([("host", pa.string()), ("rules", pa.string())])
-    if not wrappers.num_rows:
-        return schema.empty_table()
-    total = wrappers.column("pages")[0].as_py()
-    texts = {
-        tuple(json.loads(p)): (n, c, n > 1 and low == high)
-        for p, n, c, low, high in zip(*(found.column(x).to_pylist() for x in ("name", "pages", "chars", "low", "high")), strict=True)
-    }
-    regions = main_region(Node.unpacked(json.loads(wrappers.column("name")[0].as_py())), texts)
-    inside = [p for p in texts if any(p[: len(r)] == r for r in regions)]
-    fixed = [p for p in inside if texts[p][2] and texts[p][0] == total]
-    if len(fixed) == len(inside):
-        fixed = []
-    rules = json.dumps({"regions": regions, "fixed": sorted(fixed)})
-    return pa.Table.from_pylist([dict(host=wrappers.column("host")[0].as_py(), rules=rules)], schema)
+def heaviest(slots: DataFrame) -> DataFrame:
+    """(host, heavy): the deepest path of each host that holds MAIN_SHARE of its changing text, as a JSON array."""
+    changing = slots.where("pages < 2 or low <> high").select("host", "chars", F.from_json("name", "array<string>").alias("path"))
+    total = changing.groupBy("host").agg(F.sum("chars").alias("total"))
+    ends = F.explode(F.sequence(F.lit(1), F.size("path")))
+    prefixes = changing.where(F.size("path") > 0).select("host", "chars", "path", ends.alias("depth"))
+    mass = prefixes.groupBy("host", F.slice("path", F.lit(1), F.col("depth")).alias("path")).agg(F.sum("chars").alias("chars"))
+    running = F.substring_index(F.element_at("path", -1), " ", 1).isin(*sorted(RUNNING))
+    held = mass.where(~running).join(total, "host").where(F.col("chars") >= MAIN_SHARE * F.col("total"))
+    return held.groupBy("host").agg(F.to_json(F.max(F.struct(F.size("path").alias("depth"), "path"))["path"]).alias("heavy"))
+
+
+def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What extraction needs of a host: its main region's paths, and its wrapper if tokens of it may be template."""
+    for batch in batches:
+        out = []
+        for name, heavy in zip(batch.column("name").to_pylist(), batch.column("heavy").to_pylist(), strict=True):
+            wrapper = Node.unpacked(json.loads(name))
+            regions = article_paths(wrapper) or ([tuple(json.loads(heavy))] if heavy else [])
+            out.append(json.dumps({"regions": regions, "wrapper": json.loads(name) if edge_tokens(wrapper, regions) else None}))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], ["host", "rules"])
+
+
+def merged_streams(streams: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """(host, name, pages): one wrapper for each host. Each round merges groups of about `fan_in` streams, so no task's
+    group grows with the host; hosts that are done are passed on."""
+    while streams.groupBy("host").count().where("count > 1").limit(1).count():
+        groups = streams.groupBy("host").agg(F.ceil(F.count("*") / fan_in).alias("groups"))
+        dealt = streams.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("name"), "groups")).drop("groups")
+        streams = staged(dealt.groupBy("host", "salt").applyInArrow(_merge, "host string, name string, pages long"), "wrappers")
+    return streams
 
 
 def infer_wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(wrappers, rules) by host of `pages` (host, html)."""
-    facts = staged(
-        pages.select("host", "html").mapInArrow(_facts, FACT).groupBy("host", "kind", "name").agg(
-            F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high")
-        ),
-        "page-facts",
-    )
-    streams = facts.where("kind = 'stream'").withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)))
+    facts = staged(pages.select("host", "html").mapInArrow(_facts, FACT), "page-facts")
+    trees = facts.where("kind = 'tree'").select("host", "name", "pages")
+    sizes = trees.groupBy("host").agg(F.sum("pages").alias("total"))
+    texts = facts.where("kind = 'text'").groupBy("host", "name").agg(F.sum("pages").alias("n")).where("n > 1")
+    tokens = texts.join(sizes, "host").where("2 * n >= total").groupBy("host").agg(F.collect_list("name").alias("tokens"))
     shape = "host string, name string, pages long"
-    parts = streams.groupBy("host", "salt").applyInArrow(_merge, shape)
-    wrappers = staged(parts.groupBy("host").applyInArrow(_merge, shape), "wrappers")
-    found = facts.where("kind = 'slot'")
-    rules = wrappers.groupBy("host").cogroup(found.groupBy("host")).applyInArrow(_rules, "host string, rules string")
+    streams = trees.join(tokens, "host", "left").mapInArrow(_streams, shape).groupBy("host", "name").agg(F.sum("pages").alias("pages"))
+    wrappers = merged_streams(staged(streams, "streams"))
+    slots = facts.where("kind = 'slot'").groupBy("host", "name").agg(
+        F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    rules = wrappers.join(heaviest(slots), "host", "left").mapInArrow(_rules, "host string, rules string")
     return wrappers, staged(rules, "wrapper-rules")
 
 
 # ---- extraction
 
-def template_slots(pieces: list[tuple[tuple[str, ...], str | None]], fixed: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
-    """The `fixed` slots among the page's pieces of content that are template: by the element, the place and the text."""
-    found: dict[tuple[str, ...], list] = {}
-    changing = []
-    for i, (path, text) in enumerate(pieces):
-        if text and text.strip():
-            slot = block_of(path)
-            if slot in fixed:
-                x = found.setdefault(slot, [i, i, "", 0])
-                link = any(key.split(" ", 1)[0] == "a" for key in path)
-                x[1:] = [i, x[2] + text, x[3] + len(text) * link]
-            else:
-                changing.append(i)
+def edge_tokens(wrapper: Node, regions: list[tuple[str, ...]]) -> set[int]:
+    """Identities of the wrapper's tokens that stand before or after all changing slots of the main region, headings left out."""
+    slots = [
+        (p, n) for p, n in walk(wrapper) if n.text and not outside(p) and (not regions or any(p[: len(r)] == r for r in regions))
+    ]
+    changing = [i for i, (_, n) in enumerate(slots) if TOKEN not in n.key]
+    if not changing:
+        return set()
     return {
-        slot
-        for slot, (first, last, text, linked) in found.items()
-        if changing
-        and (last < changing[0] or first > changing[-1])
-        and not any(_HEADING.fullmatch(key.split(" ", 1)[0]) for key in slot)
-        and (2 * linked > len(text) or _NOTICE.search(" ".join(html.unescape(text).split())))
+        id(n)
+        for i, (p, n) in enumerate(slots)
+        if TOKEN in n.key and not changing[0] < i < changing[-1] and not any(_HEADING.fullmatch(k.split(" ", 1)[0]) for k in p)
     }
 
 
-def main_text(source: str, regions: list[tuple[str, ...]], fixed: set[tuple[str, ...]]) -> str:
-    """Blocks of a page's main region, without excluded regions and template slots, joined by line ends."""
-    pieces = list(slots(source))
-    fits = [r for r in regions if any(t and t.strip() and p[: len(r)] == r for p, t in pieces)]
+class Wrapper:
+    """A host's rules, ready for matching."""
+
+    def __init__(self, rules: dict):
+        self.regions = [tuple(r) for r in rules["regions"]]
+        self.root = Node.unpacked(rules["wrapper"]) if rules["wrapper"] else None
+        self.edges = edge_tokens(self.root, self.regions) if self.root else set()
+        self.tokens = {n.key.split(TOKEN, 1)[1] for _, n in walk(self.root) if TOKEN in n.key} if self.root else set()
+        self._plans: dict[int, tuple[dict[str, list[int]], list[tuple[Node, int]]]] = {}
+
+    def _plan(self, node: Node) -> tuple[dict[str, list[int]], list[tuple[Node, int]]]:
+        """Places of each key among the node's children, and for each place its node and the first place that may follow it."""
+        if id(node) not in self._plans:
+            line: list[tuple[Node, int]] = []
+
+            def add(children: list[Node], start: int | None) -> None:
+                for child in children:
+                    if child.key == "()":
+                        add(child.children, len(line) if start is None else start)
+                    else:
+                        after = start if start is not None else len(line) + (not child.repeated)
+                        line.append((child, after))
+
+            add(node.children, None)
+            places: dict[str, list[int]] = {}
+            for i, (child, _) in enumerate(line):
+                places.setdefault(child.key, []).append(i)
+            self._plans[id(node)] = (places, line)
+        return self._plans[id(node)]
+
+    def _line(self, element: Node, node: Node, fitted: dict[tuple[int, int], bool]) -> Iterator[tuple[Node, Node | None, bool]]:
+        """(child, slot, whether all below it fits) for the children of a page's element. Every child takes the first place that
+        its predecessor leaves open and that all below it fits: since everything may be left out and groups may repeat, that
+        leaves most to the children after it. If it fits none, it takes the first of its key, or none."""
+        places, line = self._plan(node)
+        at = 0
+        for child in element.children:
+            mark = text_mark(child)
+            key = child.key + TOKEN + mark if mark in self.tokens else child.key
+            open_places = places.get(key, [])
+            open_places = open_places[bisect_left(open_places, at) :]
+            found = next((j for j in open_places if self._fits(child, line[j][0], fitted)), None)
+            j = open_places[0] if found is None and open_places else found
+            if j is None:
+                yield child, None, False
+            else:
+                at = line[j][1]
+                yield child, line[j][0], found is not None
+
+    def _fits(self, element: Node, node: Node, fitted: dict[tuple[int, int], bool]) -> bool:
+        pair = (id(element), id(node))
+        if pair not in fitted:
+            fitted[pair] = all(fits for _, _, fits in self._line(element, node, fitted))
+        return fitted[pair]
+
+    def bind(self, page: Node) -> dict[int, Node]:
+        """The wrapper's node for each element of a page that matches."""
+        bound: dict[int, Node] = {}
+        fitted: dict[tuple[int, int], bool] = {}
+        todo = [(page, self.root)]
+        while todo:
+            for child, slot, _ in self._line(*todo.pop(), fitted):
+                if slot is not None:
+                    bound[id(child)] = slot
+                    todo.append((child, slot))
+        return bound
+
+    def template(self, root: Node, pieces: list[tuple[tuple[str, ...], str | None, Node]]) -> set[int]:
+        """Identities of a page's elements that are bound to a template token at the region's edge."""
+        bound = {x for x, slot in self.bind(root).items() if id(slot) in self.edges} if self.edges else set()
+        said: dict[int, list] = {}
+        for path, text, node in pieces:
+            if text and id(node) in bound:
+                x = said.setdefault(id(node), ["", 0])
+                link = any(key.split(" ", 1)[0] == "a" for key in path)
+                x[:] = [x[0] + text, x[1] + len(text) * link]
+        return {i for i, (text, linked) in said.items() if 2 * linked > len(text) or _NOTICE.search(" ".join(html.unescape(text).split()))}
+
+
+def main_text(source: str, wrapper: Wrapper | None = None) -> str:
+    """Blocks of a page's main region, without excluded regions and template tokens, joined by line ends."""
+    pieces, root = parsed(source)
+    template = wrapper.template(root, pieces) if wrapper else set()
+    regions = wrapper.regions if wrapper and wrapper.regions else general_regions(root, pieces)
+    fits = [r for r in regions if any(t and t.strip() and p[: len(r)] == r for p, t, _ in pieces)]
     blocks: list[list[str]] = [[]]
     verdict: dict[tuple[str, ...], bool] = {}
-    for path, _ in pieces:
-        if path not in verdict:
-            within = not fits or any(path[: len(r)] == r for r in fits)
-            verdict[path] = within and not outside(path)
-    template = template_slots([x for x in pieces if verdict[x[0]]], fixed) if fixed else set()
-    for path, text in pieces:
+    for path, text, node in pieces:
         if text is None:
             blocks.append([])
-        elif verdict[path] and not (template and block_of(path) in template):
+            continue
+        if path not in verdict:
+            verdict[path] = (not fits or any(path[: len(r)] == r for r in fits)) and not outside(path)
+        if verdict[path] and id(node) not in template:
             blocks[-1].append(html.unescape(text))
     lines = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 
 
-def general_regions(source: str) -> list[tuple[str, ...]]:
+def general_regions(root: Node, pieces: list[tuple[tuple[str, ...], str | None, Node]]) -> list[tuple[str, ...]]:
     """Main region of a page on its own."""
-    texts: dict[tuple[str, ...], tuple[int, int, bool]] = {}
-    for path, text in slots(source):
-        if text and text.strip():
-            texts[path] = (1, texts.get(path, (1, 0))[1] + len(text), False)
-    return main_region(tree(source), texts)
+    found = article_paths(root)
+    if found:
+        return found
+    mass: dict[tuple[str, ...], int] = {}
+    total = 0
+    for path, text, _ in pieces:
+        if text and text.strip() and not outside(path):
+            total += len(text)
+            for n in range(1, len(block_of(path)) + 1):
+                mass[path[:n]] = mass.get(path[:n], 0) + len(text)
+    held = [p for p, c in mass.items() if c >= MAIN_SHARE * total and p[-1].split(" ", 1)[0] not in RUNNING]
+    return [max(held, key=lambda p: (len(p), p))] if held else []
 
 
 def _extract(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple] = {}
+        known: dict[str, Wrapper] = {}
         for batch in batches:
             out = []
             for source, rules in zip(batch.column("_html").to_pylist(), batch.column("rules").to_pylist(), strict=True):
                 if rules is not None and rules not in known:
-                    x = json.loads(rules)
-                    known = {**known, rules: ([tuple(r) for r in x["regions"]], {tuple(p) for p in x["fixed"]})} if len(known) < 1000 else {}
-                    known.setdefault(rules, ([tuple(r) for r in x["regions"]], {tuple(p) for p in x["fixed"]}))
-                regions, fixed = known.get(rules, ([], set()))
-                source = source or ""
-                out.append(main_text(source, regions or general_regions(source), fixed))
+                    if len(known) >= KNOWN_HOSTS:
+                        known.clear()
+                    known[rules] = Wrapper(json.loads(rules))
+                out.append(main_text(source or "", known.get(rules)))
             columns = [pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, *columns], [*keep, "text", "n_chars"])
 

@@ -326,6 +326,66 @@ def test_wrappers_are_union_free():
     assert [n.key for n in tandem.children] == ["()"] and tandem.children[0].repeated
 
 
+def test_notices_among_paragraphs_are_slots_of_their_own(spark):
+    """A notice of the template goes from its place at the edge, also where it is optional or has its neighbours' key; the same
+    words inside the text, equal text without evidence and headings stay."""
+    mains = []
+    for i in range(12):
+        letter = "<p>Subscribe to our <b>newsletter</b> &amp; more</p>" if i % 3 else ""
+        inner = "<p>All rights reserved</p>" if i % 2 else ""
+        paragraphs = "".join(f"<p>{brute.prose(5 * i + k, 8)}</p>" for k in range(1 + i % 4))
+        mains.append(f"<article><h2>About cookie policy</h2>{paragraphs}{inner}<p>{brute.prose(90 + i, 7)}</p><p>Good luck</p>{letter}<p><a href=/>More of us</a></p></article>")
+    got = {r.page_id: r.text for r in html_wrappers.page_texts(pages(spark, mains), ["page_id"]).collect()}
+    for i in range(12):
+        lines = ["About cookie policy", *(brute.prose(5 * i + k, 8) for k in range(1 + i % 4)), *["All rights reserved"][: i % 2], brute.prose(90 + i, 7), "Good luck"]
+        assert got[i].split("\n") == lines
+
+
+def test_region_is_no_single_block(spark):
+    rows = [(1, "https://z.example/", f"<body><h2>T</h2><p>{brute.prose(3, 40)}</p></body>"), (2, "https://y.example/", f"<div><h2>T</h2><ul><li>{brute.prose(4, 40)}</ul></div>")]
+    got = html_wrappers.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()
+    assert {r.page_id: r.text for r in got} == {1: "T\n" + brute.prose(3, 40), 2: "T\n" + brute.prose(4, 40)}
+
+
+LEAVES = st.sampled_from(["<p>a</p>", "<p>x{0}</p>", "<h2>b</h2>", "<h2>y{0}</h2>", "<div class=k>c</div>", "<ul><li>d<li>e{0}</ul>", "<ul><li>d</ul>"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(LEAVES, max_size=9), min_size=1, max_size=7))
+def test_every_page_fits_its_wrapper(sources):
+    """Every element of a page binds to a node of its own key and text in the wrapper merged of all pages."""
+    trees = [html_wrappers.parsed("<article>" + "".join(s).format(i) + "</article>")[1] for i, s in enumerate(sources)]
+    marks = Counter(m for t in trees for m in set(html_wrappers._marks(html_wrappers.marked(t))))
+    tokens = {m for m, n in marks.items() if n > 1 and 2 * n >= len(trees)}
+    shapes = [html_wrappers.shaped(html_wrappers.marked(t), tokens) for t in trees]
+    root = shapes[0]
+    for other in shapes[1:]:
+        root = html_wrappers.merged(root, other)
+    wrapper = html_wrappers.Wrapper({"regions": [], "wrapper": root.packed()})
+    for t in trees:
+        bound = wrapper.bind(t)
+        todo = [t]
+        while todo:
+            element = todo.pop()
+            for child in element.children:
+                slot = bound[id(child)]
+                mark = html_wrappers.text_mark(child)
+                assert slot.key == child.key + (html_wrappers.TOKEN + mark if mark in tokens else "")
+                todo.append(child)
+
+
+def test_wrappers_merge_in_bounded_rounds(spark):
+    shapes = ["".join(("<p>t</p>", "<h2>u</h2>", "<ul><li>v</ul>")[(k // 3**d) % 3] for d in range(4)) for k in range(81)]
+    rows = [("h", html_wrappers.json.dumps(html_wrappers.tree(s).packed()), k) for k, s in enumerate(shapes)] + [("one", html_wrappers.json.dumps(html_wrappers.tree("<p>t").packed()), 3)]
+    ship_package(spark)
+    got = {r.host: r for r in html_wrappers.merged_streams(spark.createDataFrame(rows, "host string, name string, pages long"), fan_in=3).collect()}
+    assert set(got) == {"h", "one"} and got["h"].pages == sum(range(81)) and got["one"].pages == 3
+    wrapper = html_wrappers.Wrapper({"regions": [], "wrapper": html_wrappers.json.loads(got["h"].name)})
+    for s in shapes:
+        page = html_wrappers.parsed(s)[1]
+        assert len(wrapper.bind(page)) >= len(page.children)
+
+
 # ---- archives
 
 def archive_of(spark, folder: str, rows: list[tuple], damage=None, file_records: int = 7) -> str:
