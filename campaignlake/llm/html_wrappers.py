@@ -438,12 +438,16 @@ def merged_streams(streams: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def infer_wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(wrappers, rules) by host of `pages` (host, html)."""
+    """(wrappers, rules) by host of `pages` (host, html).
+
+    The small tables by host are staged before their joins, so both sides of a join are plain and Spark either broadcasts the
+    small one by its size or splits a hot host's partition of the other."""
     facts = staged(pages.select("host", "html").mapInArrow(_facts, FACT), "page-facts")
     trees = facts.where("kind = 'tree'").select("host", "name", "pages")
-    sizes = trees.groupBy("host").agg(F.sum("pages").alias("total"))
+    sizes = staged(trees.groupBy("host").agg(F.sum("pages").alias("total")), "page-counts")
     texts = facts.where("kind = 'text'").groupBy("host", "name").agg(F.sum("pages").alias("n")).where("n > 1")
-    tokens = texts.join(sizes, "host").where("2 * n >= total").groupBy("host").agg(F.collect_list("name").alias("tokens"))
+    frequent = staged(texts.join(sizes, "host").where("2 * n >= total").select("host", "name"), "frequent-texts")
+    tokens = staged(frequent.groupBy("host").agg(F.collect_list("name").alias("tokens")), "tokens")
     shape = "host string, name string, pages long"
     streams = trees.join(tokens, "host", "left").mapInArrow(_streams, shape).groupBy("host", "name").agg(F.sum("pages").alias("pages"))
     wrappers = merged_streams(staged(streams, "streams"))
