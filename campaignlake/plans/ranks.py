@@ -1,8 +1,9 @@
 """Deep pages of the player listing from key ranges with running counts.
 
-Players of a version are kept in ranges of ascending ids, each a directory, with the number of players before it. A
-page of any depth opens the one or two ranges that it lies in, and then the buckets of its own players. Ids only grow,
-so players that came after the ranges were built follow them all; they are read from the table until the next build.
+Players of a version are kept in ranges of ascending ids, each a directory sorted by id, and counted by pieces of them,
+with the number of players before each piece; short pieces make no more directories. A page of any depth opens the one
+or two ranges that it lies in, and then the buckets of its own players. Ids only grow, so players that came after the
+ranges were built follow them all; they are read from the table until the next build.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from campaignlake.plans.preview import DEFAULT_PAGE, checked_page_size
 from campaignlake.sources.tables import CampaignStore, HadoopPath
 
 RANGE_ROWS = 100_000
-RANKED = "id long, user_id long, email string, range int"
-COUNTS = "range int, first_id long, last_id long, rows long, before long"
+MIN_RANGE_ROWS = 100_000
+RANKED = "id long, user_id long, email string, piece long, range int"
+COUNTS = "range int, piece long, first_id long, last_id long, rows long, before long"
 
 
 def _root(store: CampaignStore, version_id: int) -> str:
@@ -26,13 +28,14 @@ def _root(store: CampaignStore, version_id: int) -> str:
 def _built(store: CampaignStore, version_id: int) -> str | None:
     """The newest complete build of a version's ranges."""
     root = _root(store, version_id)
-    found = [n for n in HadoopPath(store.spark, root).names() if HadoopPath(store.spark, f"{root}/{n}/counts/_SUCCESS").exists()]
+    found = [n for n in HadoopPath(store.spark, root).names() if HadoopPath(store.spark, f"{root}/{n}/starts/_SUCCESS").exists()]
     return f"{root}/{max(found)}" if found else None
 
 
 def build_ranks(store: CampaignStore, version_id: int, rows_per_range: int = RANGE_ROWS) -> int:
-    """Build a version's ranges from the players of now; returns their number. The former build serves until the new
-    one is complete."""
+    """Build a version's ranges from the players of now; returns the number of their pieces of at most
+    `rows_per_range` players. The former build serves until the new one is
+    complete."""
     with store.lock:
         at, spark = store.snapshot(), store.spark
         emails = store.read("users", at=at).select(F.col("id").alias("user_id"), "email")
@@ -40,19 +43,26 @@ def build_ranks(store: CampaignStore, version_id: int, rows_per_range: int = RAN
         size = store.read("players", [version_id], at).count()
         path = f"{_root(store, version_id)}/{at.last:012d}"
         before = HadoopPath(spark, _root(store, version_id)).names()
-        ranges = players.repartitionByRange(max(1, -(-size // rows_per_range)), "id").sortWithinPartitions("id")
-        ranges.select("id", "user_id", "email", F.spark_partition_id().alias("range")).write.mode("overwrite").partitionBy("range").parquet(f"{path}/ids")
-        # The ranges are few: one row for each.
-        counts = spark.read.schema(RANKED).parquet(f"{path}/ids").groupBy("range").agg(
+        ranges = max(1, -(-size // max(rows_per_range, MIN_RANGE_ROWS)))
+        # One sort gives a row its range and its place there; it is written at once and not run again.
+        place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        placed = players.repartitionByRange(ranges, "id").sortWithinPartitions("id").select(
+            "id", "user_id", "email", F.floor(place / rows_per_range).alias("piece"), F.spark_partition_id().alias("range")
+        )
+        placed.write.mode("overwrite").partitionBy("range").parquet(f"{path}/ids")
+        counts = spark.read.schema(RANKED).parquet(f"{path}/ids").groupBy("range", "piece").agg(
             F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("rows")
         )
-        earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
+        # The ranges are few; pieces are numbered inside theirs.
+        earlier = lambda window: F.coalesce(F.sum("rows").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = counts.groupBy("range").agg(F.sum("rows").alias("rows")).select("range", earlier(Window.orderBy("range")).alias("start"))
+        inside = counts.withColumn("before", earlier(Window.partitionBy("range").orderBy("piece")))
+        counts = inside.join(starts, "range").withColumn("before", F.col("before") + F.col("start")).drop("start")
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/starts")
         for name in before:
             if name != path.rsplit("/", 1)[1]:
                 HadoopPath(spark, f"{_root(store, version_id)}/{name}").delete()
-        return spark.read.schema(COUNTS).parquet(f"{path}/counts").count()
+        return spark.read.schema(COUNTS).parquet(f"{path}/starts").count()
 
 
 def page_ids(store: CampaignStore, version_id: int, page: int = 1, per_page: int = DEFAULT_PAGE) -> DataFrame:
@@ -60,12 +70,13 @@ def page_ids(store: CampaignStore, version_id: int, page: int = 1, per_page: int
     size, spark = checked_page_size(per_page), store.spark
     offset = (max(page, 1) - 1) * size
     built = _built(store, version_id)
-    counts = spark.read.schema(COUNTS).parquet(f"{built}/counts") if built else spark.createDataFrame([], COUNTS)
+    counts = spark.read.schema(COUNTS).parquet(f"{built}/starts") if built else spark.createDataFrame([], COUNTS)
     whole = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.max("last_id").alias("last_id")).first()
-    hit = counts.where((F.col("before") < offset + size) & (F.col("before") + F.col("rows") > offset)).orderBy("range").collect()
+    hit = counts.where((F.col("before") < offset + size) & (F.col("before") + F.col("rows") > offset)).orderBy("before").collect()
     found = spark.createDataFrame([], "id long, user_id long, email string")
     if hit:
-        rows = spark.read.schema(RANKED).parquet(f"{built}/ids").where(F.col("range").isin(*[r["range"] for r in hit]))
+        rows = spark.read.schema(RANKED).parquet(f"{built}/ids").where(F.col("range").isin(*{r["range"] for r in hit}))
+        rows = rows.where(F.col("id").between(hit[0]["first_id"], hit[-1]["last_id"]))
         found = rows.orderBy("id").offset(offset - hit[0]["before"]).limit(size).select("id", "user_id", "email")
     if offset + size > whole["rows"]:
         at = store.snapshot()
@@ -81,7 +92,8 @@ def page_ids(store: CampaignStore, version_id: int, page: int = 1, per_page: int
 
 def ranked_page(store: CampaignStore, version_id: int, page: int = 1, per_page: int = DEFAULT_PAGE) -> DataFrame:
     """A page of the listing in order of id, whatever its depth."""
-    ids = page_ids(store, version_id, page, per_page)
+    # A page has few rows: they are looked up as they are, and the ranges are not read again for each use.
+    ids = store.spark.createDataFrame(page_ids(store, version_id, page, per_page).collect(), "id long, user_id long, email string")
     keys = ids.select(F.lit(version_id).cast("long").alias("version_id"), "user_id")
     players = store.matching("players", keys, [version_id]).select("id", "registered_at", "total_score", "language")
     return ids.join(players, "id").select("id", "email", iso8601(F.col("registered_at")).alias("registered_at"), "total_score", "language").orderBy("id")

@@ -361,8 +361,8 @@ class CampaignStore:
         # Split like the base by version, so that a pruned read prunes both.
         self._write(rows.select(*schemas.TABLES[table].fieldNames()), f"{self._changes_path(table)}/batch_no={number}", self._partitions(table)[:-1], "overwrite")
 
-    def changes(self, table: str, at: Snapshot) -> DataFrame | None:
-        """The newest row of every key that visible changes hold; None without any."""
+    def changes(self, table: str, at: Snapshot, wanted: DataFrame | None = None) -> DataFrame | None:
+        """The newest row of every key (of every one among `wanted`) that visible changes hold; None without any."""
         root = self._changes_path(table)
         paths = [f"{root}/batch_no={n}" for n in self._change_numbers(table) if at.sees(n)]
         if not paths:
@@ -370,18 +370,22 @@ class CampaignStore:
         schema = schemas.TABLES[table]
         rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_no", T.LongType())])).option("basePath", root).parquet(*paths)
         keys = MERGE_KEYS[table]
+        if wanted is not None:
+            rows = touched(rows, wanted, keys)
         rest = [c for c in schema.fieldNames() if c not in keys]
         newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_no").alias("_row"))
         return newest.select(*keys, "_row.*").withColumn("bucket", self.bucket_of(table)).select(*self._schema(table).fieldNames())
 
-    def _merged(self, table: str, versions: Sequence[int] | None, at: Snapshot, splits: Sequence[int] | None = None) -> DataFrame:
-        """Base rows that no change replaces, and the changes. The changes are few, since compaction bounds them, so
-        Spark leaves the base where it is."""
+    def _merged(self, table: str, versions: Sequence[int] | None, at: Snapshot, splits: Sequence[int] | None = None, wanted: DataFrame | None = None) -> DataFrame:
+        """Base rows that no change replaces, and the changes; with `wanted` only rows of its keys. The changes are few,
+        since compaction bounds them, so Spark leaves the base where it is."""
         base = self._files(self.path(table), self._schema(table), versions if table == "players" else None)
-        fresh = self.changes(table, at)
+        fresh = self.changes(table, at, wanted)
         scoped = lambda rows: rows if versions is None or table != "players" else rows.where(F.col("version_id").isin(*versions))
         held = lambda rows: rows if splits is None else rows.where(F.col("bucket").isin(*splits) if splits else F.lit(False))
         base = held(base)
+        if wanted is not None:
+            base = touched(base, wanted, MERGE_KEYS[table])
         if fresh is None:
             return base
         fresh = held(scoped(fresh))
@@ -391,7 +395,7 @@ class CampaignStore:
     def matching(self, table: str, keys: DataFrame, versions: Sequence[int] | None = None, at: Snapshot | None = None) -> DataFrame:
         """Rows of a merged table whose key is among `keys`, read from the buckets that can hold one."""
         splits = self._splits(keys, self.bucket_of(table))
-        return touched(self._merged(table, versions, at or self.snapshot(), splits), keys, MERGE_KEYS[table]).drop("bucket")
+        return self._merged(table, versions, at or self.snapshot(), splits, keys).drop("bucket")
 
     def in_buckets_of(self, table: str, keys: DataFrame, at: Snapshot | None = None) -> DataFrame:
         """The table cut down to the buckets that can hold the keys (only the bucket column is needed)."""

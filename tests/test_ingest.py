@@ -560,3 +560,23 @@ def test_a_deep_page_opens_one_range(spark, tmp_path):
     assert [r.email for r in ranks.ranked_page(store, 1, 21, 10).collect()] == ["late@example.com"]
     store.wipe_version(1)
     assert ranks.ranked_page(store, 1, 1, 10).collect() == []
+
+
+def test_short_ranges_share_directories(spark, tmp_path):
+    store = CampaignStore(spark, str(tmp_path / "lake"), buckets=2)
+    with_players(store, *[f"p{i:03d}" for i in range(150)])
+    assert ranks.build_ranks(store, 1, rows_per_range=7) == 22
+    build = next(Path(store.rank_path(1)).iterdir())
+    assert [d.name for d in (build / "ids").iterdir() if d.is_dir()] == ["range=0"]
+    ids = ranks.page_ids(store, 1, 4, 10)
+    assert sorted(r.id for r in ids.collect()) == list(range(31, 41))
+
+
+def test_pieces_of_several_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranks, "MIN_RANGE_ROWS", 40)
+    store = CampaignStore(spark, str(tmp_path / "lake"), buckets=2)
+    with_players(store, *[f"p{i:03d}" for i in range(150)])
+    assert ranks.build_ranks(store, 1, rows_per_range=7) >= 22
+    assert len([d for d in (next(Path(store.rank_path(1)).iterdir()) / "ids").iterdir() if d.is_dir()]) > 2
+    for page in range(1, 17):
+        assert sorted(r.id for r in ranks.page_ids(store, 1, page, 10).collect()) == list(range(page * 10 - 9, min(page * 10, 150) + 1))
