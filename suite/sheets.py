@@ -203,8 +203,11 @@ def _ranked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sheets": [{"source": "events", "columns": ["id", "player_id", "score", "occurred_at"],
                     "sort": ["score:desc", {"column": "occurred_at", "direction": "ASC"}]}]
     }
-    # The rank is the place in the sheet itself: parts in order, rows in order inside a part.
-    placed = run_sheet(spark, sf_dir, params, 2).withColumn("_at", F.monotonically_increasing_id())
+    # The rank is the place in the sheet itself: parts in order, rows in order inside a part. The sheet is written once,
+    # since a sort that is run again, or for fewer columns, may cut its parts elsewhere.
+    folder = st.work_folder(spark)
+    run_sheet(spark, sf_dir, params, 2).withColumn("_at", F.monotonically_increasing_id()).write.parquet(folder)
+    placed = spark.read.parquet(folder)
     part = F.shiftright("_at", 33).alias("part")
     sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

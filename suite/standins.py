@@ -6,6 +6,8 @@ and the zone-less timestamp type, which are filled in per engine.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -172,6 +174,11 @@ PLAYER_BATCH = (
 )
 
 
+def work_folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="campaignlake-")
+    return f"{root.rstrip('/')}/{uuid.uuid4()}"
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

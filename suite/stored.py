@@ -6,8 +6,6 @@ stands in where that is unset, as in local tests.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -25,17 +23,12 @@ from campaignlake.streaming.ingest_stream import start_ingest
 from suite import standins as st
 from suite.ingestion import KNOWN
 from suite.sheets import BETWEEN, E_LANG, E_SCORE, WORKBOOK, WORKBOOK_COUNTS, Query
-from suite.standins import DUCK, ctes
+from suite.standins import DUCK, ctes, work_folder
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def work_folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="campaignlake-")
-    return f"{root.rstrip('/')}/{uuid.uuid4()}"
-
-
 def seeded_store(spark: SparkSession, sf_dir: str, folder: str, variants: bool = False) -> CampaignStore:
     """Users, players and an already ingested batch of events."""
     store = CampaignStore(spark, f"{folder}/lake", buckets=8, variants=variants)

@@ -262,3 +262,20 @@ def test_distinct_counts_follow_the_collation(tables, spark):
     plan = parse_spec({"sheets": [{**spec, "columns": ["language", *spec["columns"]]}]}).sheets[0]
     count = lambda settings: {r[0]: r[1] for r in compile_sheet(plan, {**tables, "events": doubled}, 1, settings=settings).collect()}
     assert count(Settings())["sv"] == 2 and count(Settings(text_collation="UNICODE_CI"))["sv"] == 1
+
+
+def test_ranks_of_a_sheet_do_not_depend_on_where_a_sort_cuts(spark):
+    from suite.sheets import QUERIES
+
+    # Few samples and many parts: two runs of one sort cut it in different places.
+    changed = {"spark.sql.shuffle.partitions": "40", "spark.sql.execution.rangeExchange.sampleSizePerPartition": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        rows = QUERIES["events_sorted_desc_tiebreak"](spark, "/root/testdata/sf0.01").collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    rows.sort(key=lambda r: (r.score is None, -(r.score or 0), r.occurred_at, r.id))
+    assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
