@@ -29,7 +29,7 @@ from campaignlake.operators.resolve import resolve_players
 from campaignlake.operators.scores import GAME_EVENT, score_mismatches, score_rollup
 from campaignlake.operators.sketches import event_sketches
 from campaignlake.operators.typed import project_all, records_of, skipped_records
-from campaignlake.operators.validate import BatchRejected, require_clean, split_valid
+from campaignlake.operators.validate import BatchRejected, refuse_unclean, split_checked, with_errors
 from campaignlake.settings import DEFAULT_SETTINGS, Settings
 from campaignlake.sources.batches import explode_documents, split_documents, with_ordinal
 from campaignlake.sources.registry import DEFAULT_REGISTRY, Registry
@@ -369,19 +369,23 @@ def run_import(
         versions = tuple(sorted(seen["versions"]))
         if settings.check_versions:
             require_live_versions(store, versions)
-        trimmed = trim_strings(raw, skip=("payload",))
+        attempts = (before["attempts"] if before else 0) + 1
+        attempt = f"{import_id}/{attempts}"
+        checked = _checked(store, raw, batch_type, attempt)
+        good, bad = split_checked(checked)
         rejected = 0
         if mode == "reject_batch":
-            require_clean(trimmed, batch_type, settings.max_batch_rows)
-            good = trimmed
+            try:
+                refuse_unclean(checked, batch_type, settings.max_batch_rows)
+            except BatchRejected:
+                store.drop_stage(import_id)
+                raise
         else:
-            good, bad = split_valid(trimmed, batch_type)
             bad = bad.withColumn("import_id", F.lit(import_id))
             path = store.path(f"rejected/{batch_type}/{import_id}")
             bad.write.mode("overwrite").parquet(path)
             rejected = store.spark.read.schema(bad.schema).parquet(path).count()
         now = utc_now()
-        attempts = (before["attempts"] if before else 0) + 1
         first_ids = ledger.first_ids(WRITES[batch_type])
         size = 0 if seen["last"] is None else seen["last"] + 1
         number = store.begin(import_id)
@@ -395,7 +399,6 @@ def run_import(
             "started_at": now,
         }
         ledger.write(import_id, status=PROCESSING, **entry)
-        attempt = f"{import_id}/{attempts}"
         job = Job(store, import_id, attempt, now, first_ids, settings, registry, versions, number, store.snapshot())
         try:
             counters = JOBS[batch_type](job, good)
@@ -455,7 +458,6 @@ def replay(
         batch_type, old = before["type"], store.commits.newest(before["batch_no"])
         raw = store.spark.read.parquet(store.path(f"raw/{batch_type}/{import_id}"))
         seen = raw.agg(F.max("ord").alias("last"), F.collect_set("version_id").alias("versions")).first()
-        good, bad = split_valid(trim_strings(raw, skip=("payload",)), batch_type)
         first_ids = {table: last - seen["last"] for table, last in before["last_ids"].items()}
         number = store.begin(import_id)
         attempt, now = f"{import_id}/replay-{number}", utc_now()
@@ -463,6 +465,7 @@ def replay(
             store, import_id, attempt, now, first_ids, settings, registry, tuple(sorted(seen["versions"])), number, store.snapshot().without(old), old
         )
         try:
+            good, bad = split_checked(_checked(store, raw, batch_type, attempt))
             rejected = store.stage(bad.withColumn("import_id", F.lit(import_id)), "rejected", attempt)
             counters = replace(JOBS[batch_type](job, good), rejected=rejected.count())
             job.publish()
@@ -551,3 +554,9 @@ def _land(store: CampaignStore, batch_type: str, rows: DataFrame, import_id: str
     path = store.path(f"raw/{batch_type}/{import_id}")
     rows.write.mode("overwrite").parquet(path)
     return store.spark.read.schema(rows.schema).parquet(path)
+
+
+def _checked(store: CampaignStore, raw: DataFrame, batch_type: str, attempt: str) -> DataFrame:
+    """The batch trimmed and with its errors, staged: a row is judged once, however often the job reads it."""
+    asis = ("payload",)
+    return store.stage(with_errors(trim_strings(raw, skip=asis), batch_type, asis), "checked", attempt)

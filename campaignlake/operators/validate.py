@@ -5,8 +5,9 @@ Input columns are text as read from JSON. Each rule yields (field, rule) entries
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,44 +108,57 @@ def _error(field: str, rule: str, failing: Column) -> Column:
     return F.when(failing, F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule")))
 
 
+Failure = tuple[str, str, Column]
+
+
 def _filled(value: Column) -> Column:
     return F.coalesce(trimmed(value) != "", F.lit(False))
 
 
-def _cross_field(batch_type: str) -> list[Column]:
+def _cross_field(batch_type: str) -> list[Failure]:
     if batch_type == "answers":
         # "0" counts as empty, as any blank value does.
         given = [F.coalesce(~trimmed(F.col(c)).isin("", "0"), F.lit(False))
                  for c in ("answer_option_id", "answer_text")]
-        return [_error("answer_option_id", "required_without:answer_text", ~(given[0] | given[1]))]
+        return [("answer_option_id", "required_without:answer_text", ~(given[0] | given[1]))]
     if batch_type == "versions":
         start, end = (F.col(c).try_cast("timestamp") for c in ("starts_at", "ends_at"))
-        return [_error("ends_at", "after_or_equal:starts_at", end < start)]
+        return [("ends_at", "after_or_equal:starts_at", F.coalesce(end < start, F.lit(False)))]
     return []
 
 
-def with_errors(rows: DataFrame, batch_type: str) -> DataFrame:
-    """Add `errors`, an array of (field, rule); empty for a good row."""
-    found = []
+def with_errors(rows: DataFrame, batch_type: str, untrimmed: Sequence[str] | None = None) -> DataFrame:
+    """Add `errors`, an array of (field, rule); empty for a good row. The array's functions have no compiled form, so
+    only a row that breaks a rule gets to them. `untrimmed` names the fields that may hold blanks (None: all); the
+    others are null where they are empty, as `trim_strings` leaves them."""
+    found: list[Failure] = []
     for rule in ROW_RULES[batch_type]:
         value = F.col(rule.field).cast("string") if rule.field in rows.columns else F.lit(None).cast("string")
+        filled = _filled(value) if untrimmed is None or rule.field in untrimmed else value.isNotNull()
         if rule.required:
-            found.append(_error(rule.field, "required", ~_filled(value)))
+            found.append((rule.field, "required", ~filled))
         for name, ok in rule.checks:
-            found.append(_error(rule.field, name, _filled(value) & ~F.coalesce(ok(value), F.lit(False))))
-    return rows.withColumn("errors", F.array_compact(F.array(*found, *_cross_field(batch_type))))
+            found.append((rule.field, name, filled & ~F.coalesce(ok(value), F.lit(False))))
+    found += _cross_field(batch_type)
+    bad = reduce(Column.__or__, [failing for _, _, failing in found])
+    named = F.array_compact(F.array(*[_error(*failure) for failure in found]))
+    return rows.withColumn("errors", F.when(bad, named).otherwise(F.array().cast("array<struct<field:string,rule:string>>")))
 
 
-def split_valid(rows: DataFrame, batch_type: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejected rows with their errors)."""
-    checked = with_errors(rows, batch_type)
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected rows with their errors) of rows that have their errors."""
     clean = F.size("errors") == 0
     return checked.where(clean).drop("errors"), checked.where(~clean)
 
 
-def require_clean(rows: DataFrame, batch_type: str, max_rows: int | None = None) -> None:
+def split_valid(rows: DataFrame, batch_type: str) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected rows with their errors)."""
+    return split_checked(with_errors(rows, batch_type))
+
+
+def refuse_unclean(checked: DataFrame, batch_type: str, max_rows: int | None = None) -> None:
     """Reject the whole batch when it is empty, too big or has any bad row. One aggregate pass."""
-    seen = with_errors(rows, batch_type).agg(
+    seen = checked.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.size("errors") > 0).alias("bad")
     ).first()
     if seen["rows"] == 0:
@@ -153,3 +167,8 @@ def require_clean(rows: DataFrame, batch_type: str, max_rows: int | None = None)
         raise BatchRejected(f"the batch has {seen['rows']} rows, at most {max_rows} are allowed")
     if seen["bad"]:
         raise BatchRejected(f"{seen['bad']} of {seen['rows']} rows break the {batch_type} rules")
+
+
+def require_clean(rows: DataFrame, batch_type: str, max_rows: int | None = None) -> None:
+    """`refuse_unclean` for rows without their errors."""
+    refuse_unclean(with_errors(rows, batch_type), batch_type, max_rows)

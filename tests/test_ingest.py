@@ -580,3 +580,19 @@ def test_pieces_of_several_ranges(spark, tmp_path, monkeypatch):
     assert len([d for d in (next(Path(store.rank_path(1)).iterdir()) / "ids").iterdir() if d.is_dir()]) > 2
     for page in range(1, 17):
         assert sorted(r.id for r in ranks.page_ids(store, 1, page, 10).collect()) == list(range(page * 10 - 9, min(page * 10, 150) + 1))
+
+
+def test_a_batch_is_judged_once(spark, store, monkeypatch):
+    with_players(store, "alice")
+    for mode, rows in (("quarantine", [event(1, "k"), event("no number", "bad")]), ("reject_batch", [event(1, " m ")])):
+        seen = []
+        original = jobs.JOBS["events"]
+        monkeypatch.setitem(jobs.JOBS, "events", lambda job, good, original=original: seen.append(good.inputFiles()) or original(job, good))
+        assert run_import(store, "events", batch(spark, "events", rows), mode, mode).inserted == 1
+        monkeypatch.setitem(jobs.JOBS, "events", original)
+        # What the job reads has been trimmed and judged already; the raw copy is not read again.
+        assert seen[0] and all("/_staging/" in file for file in seen[0])
+    with pytest.raises(BatchRejected):
+        run_import(store, "events", batch(spark, "events", [event("no number")]), "refused")
+    assert sorted(r.dedup_key for r in store.read("events").collect()) == ["k", "m"]
+    assert not (Path(store.root) / "_staging" / "refused").exists()
