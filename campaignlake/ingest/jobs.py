@@ -321,7 +321,8 @@ def ingest_players(job: Job, rows: DataFrame) -> Counters:
         "users",
     )
     mails = users.select(F.col("id").alias("user_id"), "email")
-    collapsed = collapse_players(accepted, job.settings.chunk_size).join(mails, "email")
+    # Staged, since the buckets, the existing rows and the merge all ask for it.
+    collapsed = job.stage(collapse_players(accepted, job.settings.chunk_size).join(mails, "email"), "collapsed")
     existing = store.matching("players", collapsed.select("version_id", "user_id"), job.versions, job.at)
     players = job.change(merge_players(existing, collapsed, job.ids["players"], job.stamp()), "players")
     counted = player_counters(players).first()

@@ -31,11 +31,6 @@ def touched(table: DataFrame, batch: DataFrame, on: Sequence[str]) -> DataFrame:
     return table.join(batch.select(*on).distinct(), list(on), "left_semi")
 
 
-def unseen(batch: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Batch rows whose key is not in the table yet."""
-    return batch.join(touched(table.select(*on), batch, on), list(on), "left_anti")
-
-
 def flag_existing(
     df: DataFrame, table: DataFrame, column: str, flag: str, row_id: str, table_key: str = "id"
 ) -> DataFrame:

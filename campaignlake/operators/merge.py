@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campaignlake.operators.dedup import last_wins
-from campaignlake.operators.keys import touched, unseen
+from campaignlake.operators.keys import touched
 
 
 def collapse_users(batch: DataFrame) -> DataFrame:
@@ -31,32 +31,24 @@ def collapse_players(batch: DataFrame, chunk_size: int | None = None) -> DataFra
 
 
 def merge_users(existing: DataFrame, batch: DataFrame, first_id: int, now: Column) -> DataFrame:
-    """Existing users with external_id replaced, then the new ones.
+    """Existing users with external_id replaced, and the new ones.
 
-    Left join plus anti-join instead of a full outer join: while the batch is small, both run
-    as map-side joins over the big table.
+    One full outer join: each side, which may be a long plan, is computed once. Imports hand over the existing rows of
+    their keys only.
     """
-    fresh = batch.select("email", F.col("external_id").alias("_external"), F.lit(True).alias("_hit"))
-    hit = F.col("_hit").isNotNull()
-    updated = existing.join(fresh, "email", "left").select(
-        "id",
+    fresh = batch.select("email", F.col("external_id").alias("_external"), "ord")
+    hit, new = F.col("ord").isNotNull(), F.col("id").isNull()
+    return existing.join(fresh, "email", "full").select(
+        F.coalesce("id", (F.lit(first_id) + F.col("ord")).cast("bigint")).alias("id"),
         "email",
         F.when(hit, F.col("_external")).otherwise(F.col("external_id")).alias("external_id"),
-        "created_at",
+        F.when(new, now).otherwise(F.col("created_at")).alias("created_at"),
         F.when(hit, now).otherwise(F.col("updated_at")).alias("updated_at"),
     )
-    inserted = unseen(batch, existing, ["email"]).select(
-        (F.lit(first_id) + F.col("ord")).cast("bigint").alias("id"),
-        "email",
-        "external_id",
-        now.alias("created_at"),
-        now.alias("updated_at"),
-    )
-    return updated.unionByName(inserted)
 
 
 def merge_players(existing: DataFrame, batch: DataFrame, first_id: int, now: Column) -> DataFrame:
-    """Existing players with registered_at and language replaced, then the new ones.
+    """Existing players with registered_at and language replaced, and the new ones, by one full outer join.
 
     total_score is never touched; new players start at 0. `touched_chunks` and `is_new` carry
     what the counters need.
@@ -67,31 +59,20 @@ def merge_players(existing: DataFrame, batch: DataFrame, first_id: int, now: Col
         F.col("registered_at").alias("_registered"),
         F.col("language").alias("_language"),
         F.col("chunks").alias("_chunks"),
+        "ord",
     )
-    hit = F.col("_chunks").isNotNull()
-    updated = existing.join(fresh, keys, "left").select(
-        "id",
+    hit, new = F.col("_chunks").isNotNull(), F.col("id").isNull()
+    return existing.join(fresh, keys, "full").select(
+        F.coalesce("id", (F.lit(first_id) + F.col("ord")).cast("bigint")).alias("id"),
         *keys,
         F.when(hit, F.col("_registered")).otherwise(F.col("registered_at")).alias("registered_at"),
-        "total_score",
+        F.when(new, F.lit(0).cast("bigint")).otherwise(F.col("total_score")).alias("total_score"),
         F.when(hit, F.col("_language")).otherwise(F.col("language")).alias("language"),
-        "created_at",
+        F.when(new, now).otherwise(F.col("created_at")).alias("created_at"),
         F.when(hit, now).otherwise(F.col("updated_at")).alias("updated_at"),
         F.coalesce("_chunks", F.lit(0)).cast("bigint").alias("touched_chunks"),
-        F.lit(False).alias("is_new"),
-    )
-    inserted = unseen(batch, existing, keys).select(
-        (F.lit(first_id) + F.col("ord")).cast("bigint").alias("id"),
-        *keys,
-        "registered_at",
-        F.lit(0).cast("bigint").alias("total_score"),
-        "language",
-        now.alias("created_at"),
-        now.alias("updated_at"),
-        F.col("chunks").cast("bigint").alias("touched_chunks"),
-        F.lit(True).alias("is_new"),
+        new.alias("is_new"),
     )
-    return updated.unionByName(inserted)
 
 
 def player_counters(merged: DataFrame) -> DataFrame:

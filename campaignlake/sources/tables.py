@@ -17,6 +17,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 from threading import RLock
 from typing import Any
 
@@ -66,6 +67,11 @@ def natural_key(table: str) -> Column:
     return F.concat_ws("/", *[F.col(c).cast("string") for c in INDEXED_TABLES[table]]) if len(INDEXED_TABLES[table]) > 1 else F.col(*INDEXED_TABLES[table])
 
 
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """An empty frame that Spark knows to be empty: what it is joined to is neither shuffled nor read."""
+    return spark.range(1).where("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def latest(log: DataFrame, key: str) -> DataFrame:
     """Newest state of every job."""
     fields = [c for c in log.columns if c != key]
@@ -287,7 +293,7 @@ class CampaignStore:
         paths = [root] if versions is None else [f"{root}/version_id={v}" for v in versions]
         paths = [p for p in paths if self._exists(p)]
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            return no_rows(self.spark, schema)
         return self.spark.read.schema(schema).option("basePath", root).parquet(*paths).select(*schema.fieldNames())
 
     def read(self, table: str, versions: Sequence[int] | None = None, at: Snapshot | None = None) -> DataFrame:
@@ -361,35 +367,46 @@ class CampaignStore:
         # Split like the base by version, so that a pruned read prunes both.
         self._write(rows.select(*schemas.TABLES[table].fieldNames()), f"{self._changes_path(table)}/batch_no={number}", self._partitions(table)[:-1], "overwrite")
 
-    def changes(self, table: str, at: Snapshot, wanted: DataFrame | None = None) -> DataFrame | None:
-        """The newest row of every key (of every one among `wanted`) that visible changes hold; None without any."""
+    def _changed(self, table: str, at: Snapshot) -> DataFrame | None:
+        """All rows of visible changes with the number of their write; None without any."""
         root = self._changes_path(table)
         paths = [f"{root}/batch_no={n}" for n in self._change_numbers(table) if at.sees(n)]
         if not paths:
             return None
-        schema = schemas.TABLES[table]
-        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_no", T.LongType())])).option("basePath", root).parquet(*paths)
+        schema = T.StructType([*schemas.TABLES[table].fields, T.StructField("batch_no", T.LongType())])
+        return self.spark.read.schema(schema).option("basePath", root).parquet(*paths)
+
+    def _newest(self, table: str, rows: DataFrame) -> DataFrame:
+        """The row of the newest write of every key."""
         keys = MERGE_KEYS[table]
-        if wanted is not None:
-            rows = touched(rows, wanted, keys)
-        rest = [c for c in schema.fieldNames() if c not in keys]
+        rest = [c for c in schemas.TABLES[table].fieldNames() if c not in keys]
         newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_no").alias("_row"))
         return newest.select(*keys, "_row.*").withColumn("bucket", self.bucket_of(table)).select(*self._schema(table).fieldNames())
 
+    def changes(self, table: str, at: Snapshot, wanted: DataFrame | None = None) -> DataFrame | None:
+        """The newest row of every key (of every one among `wanted`) that visible changes hold; None without any."""
+        rows = self._changed(table, at)
+        if rows is None:
+            return None
+        return self._newest(table, rows if wanted is None else touched(rows, wanted, MERGE_KEYS[table]))
+
     def _merged(self, table: str, versions: Sequence[int] | None, at: Snapshot, splits: Sequence[int] | None = None, wanted: DataFrame | None = None) -> DataFrame:
-        """Base rows that no change replaces, and the changes; with `wanted` only rows of its keys. The changes are few,
-        since compaction bounds them, so Spark leaves the base where it is."""
+        """Base rows that no change replaces, and the changes. The changes are few, since compaction bounds them, so Spark
+        leaves the base where it is. With `wanted` only rows of its keys: base and changes are cut to them at once and the
+        newest row of each is taken, so that neither the changes nor the wanted keys are computed twice."""
         base = self._files(self.path(table), self._schema(table), versions if table == "players" else None)
-        fresh = self.changes(table, at, wanted)
+        changed = self._changed(table, at)
         scoped = lambda rows: rows if versions is None or table != "players" else rows.where(F.col("version_id").isin(*versions))
         held = lambda rows: rows if splits is None else rows.where(F.col("bucket").isin(*splits) if splits else F.lit(False))
-        base = held(base)
+        base, keys = held(base), MERGE_KEYS[table]
+        if wanted is not None and changed is not None:
+            every = base.drop("bucket").withColumn("batch_no", F.lit(-1).cast("long")).unionByName(scoped(changed))
+            return self._newest(table, touched(every, wanted, keys))
         if wanted is not None:
-            base = touched(base, wanted, MERGE_KEYS[table])
-        if fresh is None:
+            return touched(base, wanted, keys)
+        if changed is None:
             return base
-        fresh = held(scoped(fresh))
-        keys = MERGE_KEYS[table]
+        fresh = held(scoped(self._newest(table, changed)))
         return base.join(fresh.select(*keys), keys, "left_anti").select(*fresh.columns).unionByName(fresh)
 
     def matching(self, table: str, keys: DataFrame, versions: Sequence[int] | None = None, at: Snapshot | None = None) -> DataFrame:
@@ -415,10 +432,18 @@ class CampaignStore:
             at, numbers = self.snapshot(), self._change_numbers(table)
             fresh = self.changes(table, at)
             if fresh is not None:
-                places = self._partitions(table)
-                splits = self._splits(fresh, F.col("bucket"))
-                versions = sorted(r[0] for r in fresh.select("version_id").distinct().collect()) if table == "players" else None
-                hit = self._merged(table, versions, at, splits).join(fresh.select(*places).distinct(), places, "left_semi")
+                # Asked for once: the directories that the changes touch, by version (users have none).
+                touched_in: dict[int | None, set[int]] = {}
+                for place in fresh.select(*self._partitions(table)).distinct().collect():
+                    touched_in.setdefault(place["version_id"] if table == "players" else None, set()).add(place["bucket"])
+                versions = sorted(touched_in) if table == "players" else None
+                hit = self._merged(table, versions, at, sorted(set().union(*touched_in.values())))
+                if versions is not None:
+                    alike: dict[frozenset[int], list[int]] = {}
+                    for version, buckets in touched_in.items():
+                        alike.setdefault(frozenset(buckets), []).append(version)
+                    own = [F.col("version_id").isin(*v) & F.col("bucket").isin(*sorted(b)) for b, v in alike.items()]
+                    hit = hit.where(reduce(Column.__or__, own)) if own else hit.where("false")
                 self._swap(hit.select(*self._schema(table).fieldNames()), table)
             gone = [n for n in numbers if n <= at.last]
             for number in gone:
@@ -487,7 +512,7 @@ class CampaignStore:
 
     def _state_log(self, table: str) -> DataFrame:
         schema, paths = schemas.TABLES[table], self.log_paths(table)
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else no_rows(self.spark, schema)
 
     def _fold_state(self, table: str) -> None:
         """When a generation has many files, the newest state of every job becomes the new last-state table; the
