@@ -244,10 +244,16 @@ def _write_typed(job: Job, events: DataFrame, first_event: int, event_types: lis
         records = records.withColumns(
             {c: F.lit(None).cast(t) for c, t in absent.items() if c not in records.columns}
         )
-        job.write(with_ids(records, job.ids[rule.table]), rule.table, f"-{event_type}")
+        if rule.unique:
+            job.write(with_ids(records, job.ids[rule.table]), rule.table, f"-{event_type}")
+        else:
+            # Columns of the staged pass: nothing is left to compute, so they are not staged again.
+            job.logged.append((with_ids(records, job.ids[rule.table]), rule.table))
 
     def write_skips() -> int:
-        return job.write(skipped_records(projected), "typed_skipped").count()
+        skips = skipped_records(projected)
+        job.logged.append((skips, "typed_skipped"))
+        return skips.count()
 
     with ThreadPoolExecutor(max_workers=4) as pool:
         skips = pool.submit(write_skips)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campaignlake.functions.normalize import is_numeric, money, present
+from campaignlake.functions.normalize import is_numeric, money
 from campaignlake.functions.payload import payload_map
 from campaignlake.operators.keys import flag_existing
 from campaignlake.schemas import TABLES
@@ -17,39 +17,50 @@ from campaignlake.sources.registry import DEFAULT_REGISTRY, FieldRule, Registry,
 BASE = ["id", "version_id", "player_id", "occurred_at", "created_at", "type"]
 
 
+def _key(key: str) -> Column:
+    """A payload key's text; empty text counts as not given and is NULL, so that no later check asks for it again."""
+    return F.nullif(F.col("_payload")[key], F.lit("")).alias(f"_v_{key}")
+
+
 def _value(rule: FieldRule) -> Column:
     return F.col(f"_v_{rule.key}")
 
 
 def _checks(rule: FieldRule) -> list[tuple[Column, Column]]:
-    """(failing condition, reason) pairs of one field, in the order they are applied."""
-    value, given = _value(rule), present(_value(rule))
+    """(failing condition, reason) pairs of one field, in the order they are applied. A condition on a value that is not
+    given is NULL and fails nothing."""
+    value = _value(rule)
     checks: list[tuple[Column, Column]] = []
     if rule.required:
-        checks.append((~F.coalesce(given, F.lit(False)), F.lit(f"missing field '{rule.key}'")))
+        checks.append((value.isNull(), F.lit(f"missing field '{rule.key}'")))
     if rule.one_of:
-        checks.append((given & ~value.isin(*rule.one_of), F.lit(f"invalid value for '{rule.key}'")))
+        checks.append((~value.isin(*rule.one_of), F.lit(f"invalid value for '{rule.key}'")))
     if rule.numeric:
-        checks.append((given & ~is_numeric(value), F.lit(f"non-numeric '{rule.key}'")))
+        checks.append((~is_numeric(value), F.lit(f"non-numeric '{rule.key}'")))
     if rule.ref:
         reason = F.concat(F.lit(f"unknown {rule.ref} '"), value, F.lit("'"))
-        checks.append((given & ~F.col(f"_ok_{rule.key}"), reason))
+        checks.append((value.isNotNull() & ~F.col(f"_ok_{rule.key}"), reason))
     return checks
 
 
 def _storage_checks(rule: FieldRule, table_type: str) -> list[tuple[Column, Column]]:
     """Values the typed column cannot hold are skipped instead of failing the batch."""
-    value, given = _value(rule), present(_value(rule))
+    value = _value(rule)
     if rule.max_length:
-        return [(given & (F.char_length(value) > rule.max_length), F.lit(f"too long '{rule.key}'"))]
+        return [(F.char_length(value) > rule.max_length, F.lit(f"too long '{rule.key}'"))]
     if table_type.startswith("decimal"):
-        return [(given & money(value).isNull(), F.lit(f"out of range '{rule.key}'"))]
+        return [(value.isNotNull() & money(value).isNull(), F.lit(f"out of range '{rule.key}'"))]
     return []
 
 
 def _first_reason(checks: list[tuple[Column, Column]]) -> Column:
     """Reason of the first failing check, NULL when all pass."""
-    return F.coalesce(*[F.when(failing, reason) for failing, reason in checks])
+    return _first_true(checks) if checks else F.lit(None).cast("string")
+
+
+def _first_true(cases: list[tuple[Column, Column]]) -> Column:
+    """The value of the first condition that holds, as one chain: small enough to be compiled as a whole."""
+    return reduce(lambda chain, case: chain.when(*case), cases[1:], F.when(*cases[0]))
 
 
 def _rule_columns(rule: TypedRule) -> tuple[list[Column], Column]:
@@ -58,13 +69,12 @@ def _rule_columns(rule: TypedRule) -> tuple[list[Column], Column]:
     checks = [c for f in rule.fields for c in _checks(f)]
     if rule.require_any:
         wanted = [f for f in rule.fields if f.key in rule.require_any]
-        any_given = reduce(lambda a, b: a | b, [F.coalesce(present(_value(f)), F.lit(False)) for f in wanted])
-        checks.append((~any_given, F.lit("require_any not satisfied")))
+        checks.append((F.coalesce(*[_value(f) for f in wanted]).isNull(), F.lit("require_any not satisfied")))
     checks += [c for f in rule.fields for c in _storage_checks(f, stored[f.column])]
 
     columns = []
     for f in rule.fields:
-        value = F.when(present(_value(f)), _value(f))
+        value = _value(f)
         if f.column in rule.statics:
             value = F.coalesce(value, F.lit(rule.statics[f.column]))
         columns.append(value.try_cast(stored[f.column]).alias(f.column))
@@ -84,7 +94,7 @@ def project_typed(
     rows = events.where(F.col("type") == event_type).select(
         *BASE, payload_map(F.col("payload")).alias("_payload")
     )
-    rows = rows.select(*BASE, *[F.col("_payload")[f.key].alias(f"_v_{f.key}") for f in rule.fields])
+    rows = rows.select(*BASE, *[_key(f.key) for f in rule.fields])
     for f in rule.fields:
         if f.ref:
             rows = flag_existing(
@@ -116,7 +126,7 @@ def project_all(
     rules = registry.typed
     keys = sorted({f.key for rule in rules.values() for f in rule.fields})
     rows = events.where(F.col("type").isin(*rules)).select(*BASE, payload_map(F.col("payload")).alias("_payload"))
-    rows = rows.select(*BASE, *[F.col("_payload")[k].alias(f"_v_{k}") for k in keys])
+    rows = rows.select(*BASE, *[_key(k) for k in keys])
     for ref in sorted({f.ref for rule in rules.values() for f in rule.fields if f.ref}):
         asked = [(t, f) for t, rule in rules.items() for f in rule.fields if f.ref == ref]
         # A rule may name a reference by two keys; each key has its own lookup then.
@@ -130,7 +140,7 @@ def project_all(
                 found = found.withColumn(name, F.coalesce(own, F.col(name)) if name in found.columns else own)
             rows = found.drop("_ref_id", "_found")
     own = {t: _rule_columns(rule) for t, rule in rules.items()}
-    reason = F.coalesce(*[F.when(F.col("type") == t, reason) for t, (_, reason) in own.items()])
+    reason = _first_true([(F.col("type") == t, reason) for t, (_, reason) in own.items()])
     records = [F.when(F.col("type") == t, F.struct(*columns)).alias(f"to_{t}") for t, (columns, _) in own.items()]
     return rows.select(
         "version_id", "player_id", F.col("id").alias("event_id"), F.col("type").alias("event_type"), "occurred_at", "created_at",

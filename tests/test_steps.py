@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from campaignlake.functions.payload import MAY_NEED_TRIM, with_stored_payload
+from campaignlake.functions.payload import MAY_NEED_TRIM, with_payload_columns, with_stored_payload
 from campaignlake.ingest.jobs import run_import
 from campaignlake.operators.merge import merge_players, merge_users
 from campaignlake.operators.typed import project_all
@@ -93,3 +93,27 @@ def test_rows_of_wanted_keys_come_from_one_pass_over_the_changes(spark, tmp_path
     before = rows_of(store.read("players"), "id", "user_id", "language")
     store.compact("players")
     assert rows_of(store.read("players"), "id", "user_id", "language") == before
+
+
+def test_payloads_without_the_kept_keys_are_not_parsed(spark):
+    given = ['{"a": 1}', '{"language": "it"}', '{"l\\u0061nguage": "sv"}', '{"x": "score"}', '[{"score": 2}]', '{"score": "2.6"}', None]
+    df = with_payload_columns(spark.createDataFrame([(p,) for p in given], "payload string"))
+    assert [(r.payload_language, r.payload_score) for r in df.collect()] == [(None, None), ("it", None), ("sv", None), (None, None), (None, None), (None, 3), (None, None)]
+    assert "Contains(payload" in plan(df)
+
+
+def test_typed_rows_are_staged_once(spark, tmp_path, monkeypatch):
+    store = CampaignStore(spark, str(tmp_path / "lake"), buckets=2)
+    with_players(store, "ann")
+    staged = []
+    stage = CampaignStore.stage
+    monkeypatch.setattr(CampaignStore, "stage", lambda self, rows, name, attempt: staged.append(name) or stage(self, rows, name, attempt))
+    rows = [
+        {"player_id": 1, "type": "transaction", "occurred_at": "2024-01-05T10:00:00Z", "payload": {"type": "spend", "amount": 2, "currency": "EUR"}, "dedup_key": "a"},
+        {"player_id": 1, "type": "reward_granted", "occurred_at": "2024-01-05T10:00:00Z", "payload": {"reward_type": "badge"}, "dedup_key": "b"},
+        {"player_id": 1, "type": "reward_granted", "occurred_at": "2024-01-05T10:00:00Z", "payload": {}, "dedup_key": "c"},
+    ]
+    done = run_import(store, "events", batch(spark, "events", rows), "A")
+    assert "typed" in staged and not [n for n in staged if n.startswith(("log-transactions", "log-rewards", "log-typed_skipped"))]
+    assert done.inserted == 3 and done.skipped == 1
+    assert rows_of(store.read("transactions"), "amount", "type") != [] and store.read("rewards").count() == 1 and store.read("typed_skipped").count() == 1
