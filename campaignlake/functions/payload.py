@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +20,13 @@ OBJECT = r"^\s*\{"
 CONTAINER = r"^\s*[{\[]"
 EMPTY_CONTAINER = r"^\s*[{\[]\s*[}\]]\s*$"
 # White space at an end of a text value, as it is or escaped, once `\\\\` and `\\"` are masked.
-EDGE = r"(?:\s|\\[tnr]|\\u00(?:00|09|0[aAbBdD]|20))+"
-# Such an end somewhere, or an empty value: what makes a payload worth writing anew.
-MAY_NEED_TRIM = rf'"{EDGE}|{EDGE}"|""'
+EDGE = r"(?:\s|\\[tnr]|\\u00(?:00|09|0[aAbBdD]|20))"
+# Such an end, or an empty value: what makes a payload worth writing anew. A literal opens after one of `[{,:` and closes
+# before one of `]},:`, so that blanks between literals mark nothing.
+MAY_NEED_TRIM = rf'[\[{{,:]\s*+"(?:{EDGE}|")|{EDGE}"\s*+[\]}},:]'
+# A key, which stays, or a value without the blanks at its ends; and an empty value. Possessive loops need no stack.
+LITERAL = rf'("[^"]*+"\s*+:)|("){EDGE}*+([^"]*?){EDGE}*+(")'
+BLANK = r'""(?!\s*+:)'
 # Control characters, which JSON text cannot hold, stand for an escaped backslash and an escaped quote.
 MASKS = {"\\\\": "\u0001", '\\"': "\u0002"}
 
@@ -39,7 +45,10 @@ def with_payload_columns(events: DataFrame) -> DataFrame:
     missing = [c for c in PAYLOAD_COLUMNS if c not in events.columns]
     if not missing:
         return events
-    keys = F.from_json(F.when(F.col("payload").rlike(OBJECT), F.col("payload")), PAYLOAD_KEYS)
+    payload = F.col("payload")
+    # A key stands in the text as it is, or with a code of its letters: other payloads are not parsed.
+    named = [payload.contains(key) for key in PAYLOAD_COLUMNS.values()] + [payload.contains("\\u")]
+    keys = F.from_json(F.when(reduce(Column.__or__, named) & payload.rlike(OBJECT), payload), PAYLOAD_KEYS)
     derived = {
         "payload_language": F.col("_keys.language"),
         "payload_utm_source": F.col("_keys.utm_source"),
@@ -68,22 +77,13 @@ def is_empty_payload(payload: Column) -> Column:
 def trimmed_payload(payload: Column) -> Column:
     """JSON text with every text value trimmed, at any depth, and blank ones null; keys and all else as they are.
 
-    Without escaped quotes the text alternates between what is outside and inside a literal, so
-    the odd parts of a split at the quotes are the literals; one before a colon is a key.
+    Without escaped quotes a literal is what stands between two quotes, and two patterns that walk from literal to literal
+    do the work: a lambda over the split text would run interpreted, and split it again for each part.
     """
     masked = payload
     for text, mask in MASKS.items():
         masked = F.replace(masked, F.lit(text), F.lit(mask))
-    parts = F.split(masked, '"', -1)
-    quote = F.lit('"')
-
-    def written(part: Column, i: Column) -> Column:
-        key = F.coalesce(F.get(parts, i + 1), F.lit("")).rlike(r"^\s*:")
-        value = F.regexp_replace(part, f"^{EDGE}|{EDGE}$", "")
-        text = F.when(value == "", "null").otherwise(F.concat(quote, value, quote))
-        return F.when(i % 2 == 0, part).when(key, F.concat(quote, part, quote)).otherwise(text)
-
-    joined = F.array_join(F.transform(parts, written), "")
+    joined = F.regexp_replace(F.regexp_replace(masked, LITERAL, "$1$2$3$4"), BLANK, "null")
     for text, mask in MASKS.items():
         joined = F.replace(joined, F.lit(mask), F.lit(text))
     return joined
